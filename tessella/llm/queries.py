@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, simhash
 from .common import documents
+from .pieces import vocabulary_path
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_documents(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.tiktoken"), decoded=True)
+    return token_digests(out)
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +31,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash
+from . import bpe, exact_dedup, simhash, token_tables
 from .common import documents
 from .pieces import vocabulary_path
 
@@ -20,6 +20,11 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_tables.token_tables(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), end_id=2)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha256").alias("text_sha256"))
@@ -32,6 +37,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_token_tables": op4_token_tables,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, token_tables
+from . import bpe, exact_dedup, quality, simhash, token_tables
 from .common import documents
 from .pieces import vocabulary_path
 
@@ -25,6 +25,11 @@ def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.assess(documents(spark, sf_dir), carry=["doc_id"])
+    return out.select("doc_id", *[F.col(f"quality.{c}") for c in [*quality.BASE, "base_failed", "kept"]])
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha256").alias("text_sha256"))
@@ -38,6 +43,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_token_tables": op4_token_tables,
+    "op5_quality_votes": op5_quality_votes,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

@@ -19,15 +19,20 @@ SYMBOLS = r"[#*$%&|<>]"
 CLOSING = ".!?:;\"')]}»”’…。！？"
 WINDOW = 5
 
-#: name: (measure, bad where, good where); a rule abstains where neither holds.
-RULES: dict[str, tuple[str, str, str]] = {
-    "symbols": ("n_symbols / n_words", "x > 0.1", "x <= 0.02"),
-    "repeated_lines": ("n_dup_lines / n_lines", "x > 0.5", "x = 0 AND n_lines >= 3"),
-    "repeated_words": ("n_repeat_words / n_words", "x > 0.2", "x <= 0.05"),
-    "capitals": ("n_capitals / word_chars", "x > 0.3", "x <= 0.15"),
-    "word_length": ("word_chars / n_words", "x < 2.5 OR x > 12", "x >= 3.5 AND x <= 9"),
+#: A word that ends in a letter, or in one with ordinary punctuation behind it.
+PLAIN = r"\p{L}[.,;:!?\"'’”»)]{0,3}(?=[\x20\x09-\x0D]|$)"
+
+#: name: (measure, votes bad where, votes good where); a rule abstains where neither holds. What
+#: almost every text passes is no sign of a good one, so most rules only ever speak against a text.
+RULES: dict[str, tuple[str, str, str | None]] = {
+    "symbols": ("n_symbols / n_words", "x > 0.1", None),
+    "plain_words": ("n_plain / n_words", "x < 0.6", "x > 0.8"),
+    "repeated_lines": ("n_dup_lines / n_lines", "x > 0.5", None),
+    "repeated_words": ("n_repeat_words / n_words", "x > 0.2", None),
+    "capitals": ("n_capitals / word_chars", "x > 0.3", None),
+    "word_length": ("word_chars / n_words", "x < 2.5 OR x > 12", None),
     "line_ends": ("n_closed_lines / n_lines", "x < 0.2", "x > 0.5"),
-    "exclamations": ("n_exclamations / n_words", "x > 0.5", "x <= 0.1"),
+    "exclamations": ("n_exclamations / n_words", "x > 0.5", None),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -59,6 +64,7 @@ def _measured(docs: DataFrame, text_col: str, at: str) -> DataFrame:
         "n_lines": F.size(c("lines")),
         "n_dup_lines": F.size(c("lines")) - F.size(F.array_distinct(c("lines"))),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
+        "n_plain": F.regexp_count(text, F.lit(PLAIN)),
         "n_capitals": F.regexp_count(text, F.lit(r"\p{Lu}")),
         "n_closed_lines": F.size(F.filter(c("lines"), lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*CLOSING))),
         "n_exclamations": F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))),
@@ -70,7 +76,7 @@ def _votes(at: str) -> Column:
     """One vote per rule, as a digit each: 0 bad, 1 abstains, 2 good."""
     votes = []
     for name, (measure, bad, good) in RULES.items():
-        names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_closed_lines", "n_exclamations")
+        names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_plain", "n_capitals", "n_closed_lines", "n_exclamations")
         over, under = measure.split(" / ")
         x = f"try_divide(`{at}`.{over}, `{at}`.{under})"
 
@@ -78,35 +84,61 @@ def _votes(at: str) -> Column:
             parts = [f"`{at}`.{w}" if w in names else x if w == "x" else w for w in condition.split(" ")]
             return " ".join(parts)
 
-        votes.append(F.expr(f"CASE WHEN {sql(bad)} THEN 0 WHEN {sql(good)} THEN 2 ELSE 1 END").alias(name))
+        votes.append(F.expr(f"CASE WHEN {sql(bad)} THEN 0 WHEN {sql(good or 'false')} THEN 2 ELSE 1 END").alias(name))
     return F.array(*votes)
 
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Share of good documents, and each rule's chances of its three votes for either kind."""
+    """Share of good documents, and of either kind the share that each rule gives its votes to.
+
+    ``chances[rule][kind][vote]``, kind 0 bad and 1 good. Only votes count; a rule that abstains says nothing.
+    """
 
     good: float
     chances: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
 
     def log_odds(self, votes) -> float:
-        return math.log(self.good / (1 - self.good)) + sum(math.log(c[1][v] / c[0][v]) for c, v in zip(self.chances, votes))
+        return math.log(self.good / (1 - self.good)) + sum(math.log(good[v] / bad[v]) for (bad, good), v in zip(self.chances, votes) if v != 1)
+
+    def accuracies(self) -> dict[str, float]:
+        """For each rule, how likely a vote is right if good and bad documents are equally many."""
+        found = {}
+        for name, (bad, good) in zip(RULES, self.chances):
+            right, wrong = bad[0] + good[2], good[0] + bad[2]
+            found[name] = right / (right + wrong)
+        return found
 
     def column(self, votes: Column) -> Column:
         odds = F.lit(math.log(self.good / (1 - self.good)))
         for k, (bad, good) in enumerate(self.chances):
             vote = F.get(votes, F.lit(k))
-            odds = odds + F.when(vote == 0, math.log(good[0] / bad[0])).when(vote == 2, math.log(good[2] / bad[2])).otherwise(math.log(good[1] / bad[1]))
+            odds = odds + F.when(vote == 0, math.log(good[0] / bad[0])).when(vote == 2, math.log(good[2] / bad[2])).otherwise(0.0)
         return odds
 
 
-#: Where fitting starts, and what counts as so many more documents: a rule's word against a good
-#: document is rare, while a bad document breaks a few of the rules only.
+#: Where fitting starts, and as how many more documents that counts: a rule seldom speaks against a
+#: good document, and a bad document breaks a few of the rules only.
 START_GOOD, START_CHANCES, PRIOR_DOCUMENTS = 0.85, ((0.3, 0.1, 0.6), (0.02, 0.08, 0.9)), 10.0
+#: The most good documents, and the fewest bad ones, that a rule may speak against, and the most bad
+#: ones it may speak for. Bad documents are of several kinds; without these bounds, fitting can take
+#: one common kind of them for good ones, or good ones for bad.
+MOST_AGAINST_GOOD, LEAST_AGAINST_BAD, MOST_FOR_BAD = 0.02, 0.1, 0.6
+
+
+def _bounded(bad: list[float], good: list[float]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The chances of the votes for bad and for good documents, within the bounds; abstaining takes the rest."""
+    against_bad, against_good = max(bad[0], LEAST_AGAINST_BAD), min(good[0], MOST_AGAINST_GOOD)
+    for_bad, for_good = min(bad[2], MOST_FOR_BAD, 1 - against_bad), max(good[2], bad[2])
+    return (against_bad, 1 - against_bad - for_bad, for_bad), (against_good, 1 - against_good - min(for_good, 1 - against_good), min(for_good, 1 - against_good))
 
 
 def fit(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> VoteModel:
-    """Expectation-maximisation over the counts of vote patterns; with no documents, the start."""
+    """Expectation-maximisation over the counts of vote patterns; with no documents, the start.
+
+    The first step takes the start for the chances; each later one weighs every pattern by its
+    probability of being good under the model so far.
+    """
     model = VoteModel(START_GOOD, (START_CHANCES,) * len(RULES))
     for _ in range(rounds):
         weight = [[[PRIOR_DOCUMENTS * p for p in START_CHANCES[kind]] for kind in (0, 1)] for _ in RULES]
@@ -117,7 +149,8 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> VoteModel:
                 total[kind] += n * share
                 for rule, vote in enumerate(votes):
                     weight[rule][kind][vote] += n * share
-        chances = tuple(tuple(tuple(x / sum(w) for x in w) for w in rule) for rule in weight)
+        shares = [[[x / sum(w) for x in w] for w in rule] for rule in weight]
+        chances = tuple(_bounded(bad, good) for bad, good in shares)
         model = VoteModel(total[1] / sum(total), chances)
     return model
 
@@ -138,9 +171,10 @@ def assess(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
     extra = [] if text_col in carry else [text_col]
     measured = _measured(docs.select(*[F.col(f"`{x}`") for x in [*carry, *extra]]), text_col, into).select(*[F.col(f"`{x}`") for x in carry], into)
     stored = materialise(measured.withColumn(into, F.col(into).withField("votes", _votes(into))), "quality")
-    counted = stored.groupBy(F.col(f"{into}.votes").alias("votes")).count().collect()  # at most 3 ** len(RULES) rows
-    model = fit({tuple(r["votes"]): r["count"] for r in counted})
     q = F.col(into)
     failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
+    # the model is of those that the base rule leaves; at most 3 ** len(RULES) rows come to the driver
+    counted = stored.where(~failed).groupBy(q["votes"].alias("votes")).count().collect()
+    model = fit({tuple(r["votes"]): r["count"] for r in counted})
     odds = model.column(q["votes"])
     return stored.withColumn(into, q.withField("base_failed", failed).withField("log_odds", odds).withField("kept", ~failed & (odds >= 0)))

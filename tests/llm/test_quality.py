@@ -44,13 +44,14 @@ def test_fit_finds_the_rules_accuracies():
     counts, truth = Counter(), {}
     for _ in range(20_000):
         good = rng.random() < 0.8
-        votes = tuple(rng.choices((0, 1, 2), (0.03, 0.07, 0.9) if good else (0.5, 0.1, 0.4))[0] for _ in quality.RULES)
+        votes = tuple(rng.choices((0, 1, 2), (0.01, 0.09, 0.9) if good else (0.5, 0.1, 0.4))[0] for _ in quality.RULES)
         counts[votes] += 1
         truth.setdefault(votes, Counter())[good] += 1
     model = quality.fit(counts)
     assert abs(model.good - 0.8) < 0.03
     for bad, good in model.chances:
         assert abs(bad[0] - 0.5) < 0.05 and abs(good[2] - 0.9) < 0.03
+    assert all(0.65 < a < 0.85 for a in model.accuracies().values())
     right = sum(n[model.log_odds(v) >= 0] for v, n in truth.items())
     assert right > 0.95 * 20_000
     assert quality.fit({}).good == quality.START_GOOD

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality, simhash, token_tables
+from . import bpe, exact_dedup, mixing, quality, simhash, token_tables
 from .common import documents
 from .pieces import vocabulary_path
 
@@ -20,6 +20,11 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.taken_words(mixing.mix_blocks(documents(spark, sf_dir)))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_tables.token_tables(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), end_id=2)
     return out.withColumnRenamed("id", "doc_id")
@@ -42,6 +47,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_mix_sources": op2_mix_sources,
     "op4_token_tables": op4_token_tables,
     "op5_quality_votes": op5_quality_votes,
     "op6_exact_dedup": op6_exact_dedup,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
-SHORTEST, LONGEST = 128, 1024
+SHORTEST, LONGEST = 512, 4096
 
 
 def _boundary_class(residue: int) -> str:
@@ -18,8 +18,8 @@ def _boundary_class(residue: int) -> str:
     return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x250) if c % 8 == residue) + "]"
 
 
-#: A chunk ends after the first two characters of these classes from SHORTEST on, else at LONGEST.
-CHUNK = rf"(?s).{{{SHORTEST},{LONGEST}}}?(?<={_boundary_class(1)}{_boundary_class(4)})|.{{1,{LONGEST}}}"
+#: A chunk ends with the first two characters of these classes behind SHORTEST others, else at LONGEST.
+CHUNK = rf"(?s).{{{SHORTEST},{LONGEST}}}?{_boundary_class(1)}{_boundary_class(4)}|.{{1,{LONGEST}}}"
 
 
 def content_hash(chunk: Column) -> Column:
@@ -28,7 +28,7 @@ def content_hash(chunk: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """The text without white space; null counts as empty."""
-    return F.regexp_replace(text_or_empty(text), SPACE, "")
+    return F.regexp_replace(F.replace(text_or_empty(text), F.lit(" "), F.lit("")), SPACE, "")
 
 
 def chunks(text: Column) -> Column:
@@ -40,15 +40,19 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def chunk_identifiers(chunked: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """Rows (h, chunk, ordinal) of the chunks whose hash belongs to two or more different chunks.
+def shared_hashes(different: DataFrame) -> DataFrame:
+    """The hashes that belong to two or more of the different chunks (h, chunk); normally none.
 
-    Every distinct chunk is moved once and compared in full. With the ordinal, hash and
-    identifier correspond one to one; for a hash that isn't in the result the ordinal is 0.
+    Every distinct chunk is moved once, to where equal hashes meet; then only hashes are counted.
+    A chunk whose hash isn't in the result is identified by it.
     """
-    different = chunked.select(F.explode("chunks").alias("chunk")).select(hashed(F.col("chunk")).alias("h"), "chunk").distinct()
-    different = different.groupBy("h").agg(F.count("*").alias("n"), F.when(F.count("*") > 1, F.sort_array(F.collect_list("chunk"))).alias("all"))
-    return different.where("n > 1").select("h", F.posexplode("all").alias("ordinal", "chunk"))
+    return materialise(different.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared-hashes")
+
+
+def ordinals(different: DataFrame, shared: DataFrame) -> DataFrame:
+    """(h, chunk, ordinal): the numbers that tell chunks of a shared hash apart."""
+    rivals = different.join(shared, "h").groupBy("h").agg(F.sort_array(F.collect_list("chunk")).alias("all"))
+    return rivals.select("h", F.posexplode("all").alias("ordinal", "chunk"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
@@ -62,13 +66,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = docs.select(F.col(id_col).alias("id"), F.length(text_or_empty(text_col)).cast("long").alias("length"), normalised(F.col(text_col)).alias("norm"))
     cut = text.select("id", "length", F.sha2("norm", 256).alias("sha256"), chunks(F.col("norm")).alias("chunks"))
-    shared = materialise(chunk_identifiers(cut, hashed), "shared-hashes")
+    different = cut.select(F.explode("chunks").alias("chunk")).select(hashed(F.col("chunk")).alias("h"), "chunk").distinct()
+    shared = shared_hashes(different)
     names = F.transform("chunks", lambda c: hashed(c))
     if shared.isEmpty():
         recipes = cut.select("id", "length", "sha256", names.alias("recipe"))
     else:
         found = cut.select("sha256", F.posexplode("chunks").alias("at", "chunk")).distinct().withColumn("h", hashed(F.col("chunk")))
-        found = found.join(shared, ["h", "chunk"]).groupBy("sha256").agg(F.map_from_entries(F.collect_list(F.struct("at", "ordinal"))).alias("ordinals"))
+        found = found.join(ordinals(different, shared), ["h", "chunk"]).groupBy("sha256").agg(F.map_from_entries(F.collect_list(F.struct("at", "ordinal"))).alias("ordinals"))
         named = F.transform("chunks", lambda c, i: F.concat_ws(":", hashed(c).cast("string"), F.coalesce(F.try_element_at(F.col("ordinals"), i), F.lit(0)).cast("string")))
         recipes = cut.join(found, "sha256", "left").select("id", "length", "sha256", named.alias("recipe"))
     recipes = materialise(recipes, "recipes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, simhash, token_tables
+from . import bpe, exact_dedup, line_dedup, mixing, quality, simhash, token_tables
 from .common import documents
 from .pieces import vocabulary_path
 
@@ -40,6 +40,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_token_tables": op4_token_tables,
     "op5_quality_votes": op5_quality_votes,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -65,4 +71,19 @@ ORACLE_SQL = {
             FROM t GROUP BY norm)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g ON t.norm = g.norm""",
+    "op8_line_dedup": r"""
+        WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM a),
+        k AS (
+            SELECT doc_id, i, line,
+                   translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM l),
+        s AS (
+            SELECT key, min(doc_id) AS owner FROM k
+            GROUP BY key HAVING length(key) >= 10 AND count(DISTINCT doc_id) >= 2),
+        m AS (SELECT k.*, s.owner IS NOT NULL AND s.owner <> k.doc_id AS gone FROM k LEFT JOIN s ON k.key = s.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
 }

@@ -20,7 +20,7 @@ from .common import text_or_empty
 from .pieces import CachedEncoder, default_pattern, read_ranks
 
 #: Entries that the tables of prefixes and of token pairs hold at most.
-_REMEMBERED = 400_000
+_REMEMBERED = 300_000
 _SHORT = 48
 _NEVER = 1 << 62
 
@@ -214,13 +214,19 @@ _loaded: dict[tuple[str, str], tuple[PrefixBpe, CachedEncoder]] = {}
 def _encoder(path: str, pattern: str) -> tuple[PrefixBpe, CachedEncoder]:
     """One encoder per vocabulary and worker process."""
     if (path, pattern) not in _loaded:
-        bpe = PrefixBpe(read_ranks(path))
-        _loaded[path, pattern] = bpe, CachedEncoder(lambda ps: (array("I", bpe.encode(p.encode())).tobytes() for p in ps), pattern)
+        import regex
+
+        bpe, split = PrefixBpe(read_ranks(path)), regex.compile(pattern).findall
+
+        def encode_text(text: str) -> bytes:
+            return b"".join([array("I", bpe.encode(p.encode())).tobytes() for p in split(text)])
+
+        _loaded[path, pattern] = bpe, CachedEncoder(lambda words: [encode_text(" " + w) for w in words], encode_text)
     return _loaded[path, pattern]
 
 
 #: Rows that are turned into ids at once within a task; bounds a worker's memory.
-_ROWS = 256
+_ROWS = 512
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -234,14 +240,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str | None = Non
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, ids_of = _encoder(vocabulary, pattern)
+        bpe, encoder = _encoder(vocabulary, pattern)
         for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
-            found = [np.frombuffer(ids_of(t), "<u4") for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, "<u4")]).astype(np.int32)))
-            columns = [batch.column(0), ids]
+            ids, ends = encoder.batch(batch.column(1))
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))]
             if decoded:
-                columns.append(pa.array([bpe.decode(x.tolist()) for x in found], pa.binary()))
+                columns.append(pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))

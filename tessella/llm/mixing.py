@@ -175,12 +175,13 @@ def mix_blocks(docs: DataFrame, block_words: int = 128, slots_per_shard: int = 4
     plan = plan_mix(sources, block_words, weights, most)
     slots = _slots(spark, plan, max(slots_per_shard, -(-int(plan.slots.sum()) // MOST_SHARDS)), seed)
     end = F.col("start") + F.col("size")
-    covered = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))))
+    covered = rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start DIV {block_words}, (start + size - 1) DIV {block_words})")))
     first = F.greatest(F.col("start"), F.col("block") * block_words)
     last = F.least(end, (F.col("block") + 1) * block_words)
     spans = covered.select("k", "block", "bucket", "row", "id", "digest", (first - F.col("start")).alias("first"), (last - first).alias("n"))
     targets = spark.createDataFrame([(k, float(t)) for k, t in enumerate(plan.targets)], "k int, target double")
-    return Mix(plan, rows, slots.join(spans, ["k", "block"]), ranks.join(targets, "k"))
+    # the slots come from a small list of runs, by which Spark would take them for small as well
+    return Mix(plan, rows, slots.join(spans.hint("merge"), ["k", "block"]), ranks.join(targets, "k"))
 
 
 def taken_words(mix: Mix) -> DataFrame:

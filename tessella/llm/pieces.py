@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
-import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-#: Entries that a worker's caches hold at most; they start anew beyond it.
-CACHED_WORDS, CACHED_PIECES, LONGEST_CACHED = 400_000, 300_000, 40
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words that each of a worker's two tables remembers at most, and the length of the longest.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 40
 
 
 def vocabulary_path(name: str) -> str:
@@ -30,46 +33,61 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class CachedEncoder:
-    """Ids of a text, each match of ``pattern`` encoded by itself and common ones remembered.
-
-    ``encode`` maps a list of pieces to a list of little-endian unsigned 32-bit id strings. A text
-    is first cut before single spaces that a visible character follows: no match of the pattern
-    reaches across such a place, so these words can be remembered as well.
+    """Ids of texts as unsigned 32-bit numbers, with common words remembered.
+
+    A text is cut before each single space that a visible character follows. No match of a byte-level
+    splitting pattern reaches across such a place, so these words have ids of their own, and each
+    different word of a batch is looked up once. ``encode_words`` maps a list of words, each behind a
+    space, to their ids as little-endian strings; ``encode_text`` takes a text as a whole, which is
+    for those in which spaces stand otherwise, and for what comes before the first space. When
+    the table of words is full it becomes the old one and a new one is begun; words that are met
+    again move over.
     """
 
-    _gap = re.compile(r" (?:\s|\Z)")
-
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], pattern: str):
-        import regex
-
-        self._encode, self._split = encode, regex.compile(pattern).findall
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        cut = [self._split(t) for t in texts]
-        if len(self._pieces) > CACHED_PIECES:
-            self._pieces.clear()
-        pieces = self._pieces
-        if new := list({p for ps in cut for p in ps}.difference(pieces)):
-            found = dict(zip(new, self._encode(new), strict=True))
-            if len(new) > CACHED_PIECES:
-                pieces = pieces | found
-            else:
-                pieces.update(found)
-        return [b"".join([pieces[p] for p in ps]) for ps in cut]
-
-    def __call__(self, text: str) -> bytes:
-        if self._gap.search(text):
-            return self._encoded([text])[0]
-        head, *words = text.split(" ")
-        if new := list(set(words).difference(self._words)):
-            if len(self._words) > CACHED_WORDS:
-                self._words.clear()
-                new = list(set(words))
-            found = dict(zip(new, self._encoded([" " + w for w in new])))
-            self._words.update((w, x) for w, x in found.items() if len(w) <= LONGEST_CACHED)
-            if any(len(w) > LONGEST_CACHED for w in new):
-                known = self._words
-                return self._encoded([head])[0] + b"".join([known.get(w) or found[w] for w in words])
-        return self._encoded([head])[0] + b"".join(map(self._words.__getitem__, words))
+    #: A space before any white space of Unicode, or at the end.
+    _gap = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes]):
+        self._encode_words, self._encode_text = encode_words, encode_text
+        self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        found = list(map(self._known.get, words))
+        unknown = [k for k, ids in enumerate(found) if ids is None]
+        if not unknown:
+            return found
+        missing = []
+        for k in unknown:
+            ids = found[k] = self._old.get(words[k])
+            if ids is None:
+                missing.append(k)
+        if missing:
+            for k, ids in zip(missing, self._encode_words([words[k] for k in missing]), strict=True):
+                found[k] = ids
+        if len(self._known) + len(unknown) > REMEMBERED:
+            self._known, self._old = {}, self._known
+        self._known.update([(words[k], found[k]) for k in unknown if len(words[k]) <= LONGEST_REMEMBERED][:REMEMBERED])
+        return found
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each begins and the last ends) of a string array without nulls."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        odd = pc.match_substring_regex(texts, self._gap)
+        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        offsets, words = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py(), split.flatten()
+        heads = pc.if_else(odd, texts, words.take(pa.array(offsets[:-1])))
+        different = words.dictionary_encode()
+        codes = different.indices.to_numpy().astype(np.int64)
+        parts = self._ids(different.dictionary.to_pylist())
+        codes[offsets[:-1]] = np.arange(len(parts), len(parts) + len(texts))
+        parts += [self._encode_text(t) for t in heads.to_pylist()]
+        table = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        ids = table[np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[offsets]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, quality, simhash, token_tables
+from . import bpe, exact_dedup, line_dedup, mixing, quality, simhash, token_tables, toxicity
 from .common import documents
 from .pieces import vocabulary_path
 
@@ -25,6 +25,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.crc32(F.col("id").cast("string")) % 5 == 0
+    return out.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("evidence.id").alias("nearest"))
+
+
 def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_tables.token_tables(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), end_id=2)
     return out.withColumnRenamed("id", "doc_id")
@@ -53,6 +59,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mix_sources": op2_mix_sources,
+    "op3_toxicity": op3_toxicity,
     "op4_token_tables": op4_token_tables,
     "op5_quality_votes": op5_quality_votes,
     "op6_exact_dedup": op6_exact_dedup,

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_system, materialise, new_path, text_or_empty
-from .pieces import CachedEncoder, default_pattern
+from .pieces import CachedEncoder
 
 MAGIC = b"TSSTABL1"
 RESTART = 16
@@ -179,24 +179,44 @@ class ShardReader:
                 yield identifier_of(key), ids
 
 
-_loaded: dict[tuple[str, str], CachedEncoder] = {}
+_loaded: dict[str, CachedEncoder] = {}
 
 
-def library_encoder(path: str, pattern: str) -> CachedEncoder:
-    """An encoder that asks the tokenizers library for each new piece; one per worker process.
+def library_encoder(path: str) -> CachedEncoder:
+    """An encoder that asks the tokenizers library for new words and odd texts; one per worker process.
 
+    The file has to hold a byte-level vocabulary, each of whose token's characters stands for one
+    byte. New words go to the library as one text, whose ids are dealt out by their tokens' lengths.
     Strings of special tokens in a text are ordinary text.
     """
-    if (path, pattern) not in _loaded:
+    if path not in _loaded:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
-        _loaded[path, pattern] = CachedEncoder(lambda ps: (np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(ps, add_special_tokens=False)), pattern)
-    return _loaded[path, pattern]
+        vocabulary = library.get_vocab()
+        lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            lengths[i] = len(token)
 
+        def encode_text(text: str) -> np.ndarray:
+            return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 2) -> DataFrame:
+        def encode_words(words: list[str]) -> list[bytes]:
+            ids = encode_text(" " + " ".join(words))
+            ends = np.cumsum([len(w.encode()) + 1 for w in words])
+            at = np.cumsum(lengths[ids])
+            last = np.searchsorted(at, ends)
+            if not np.array_equal(at[last], ends):
+                raise ValueError("a token reaches across words; the vocabulary isn't byte-level")
+            data, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+            return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+        _loaded[path] = CachedEncoder(encode_words, lambda text: encode_text(text).tobytes() if text else b"")
+    return _loaded[path]
+
+
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 2) -> DataFrame:
     """Encode all texts, write them as shards in ``folder`` and return the manifest.
 
     The manifest has shard, path, documents and ids, in ascending order of shard; shard k holds
@@ -205,14 +225,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, patt
     end id only. Repeated rows are all written, those of one identifier in order of the text's hash.
     A retried task writes the same file again under the same name. Other columns are not read.
     """
-    pattern = pattern or default_pattern()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("order", F.xxhash64("text"))
     order = [F.col("id").asc_nulls_last(), F.col("order")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        encoder, shard = library_encoder(tokenizer, pattern), TaskContext.get().partitionId()
+        encoder, shard = library_encoder(tokenizer), TaskContext.get().partitionId()
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         path = f"shard-{shard:06d}.sst"
@@ -222,10 +241,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, patt
             if batch.num_rows and wrote is None:
                 out = fs.open_output_stream(part)
                 wrote = ShardWriter(out, id_bytes)
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                for identifier, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    wrote.add(identifier, np.concatenate((np.frombuffer(encoder(text), "<u4"), end)))
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                ids, ends = encoder.batch(some.column(1))
+                for identifier, a, b in zip(some.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
+                    wrote.add(identifier, np.concatenate((ids[a:b], end)))
         if wrote is not None:
             documents, ids = wrote.close()
             out.close()

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -26,13 +27,13 @@ def odd_texts(n=400, seed=1):
 
 
 def test_texts_encode_as_the_library_does(table, library):
-    ids_of = bpe._encoder(PATH, pieces.default_pattern())[1]
-    for text in odd_texts():
-        expected = library.encode_ordinary(text)
-        import numpy as np
-
-        assert np.frombuffer(ids_of(text), "<u4").tolist() == expected, repr(text)
-        assert table.decode(expected) == text.encode()
+    encoder, texts = bpe._encoder(PATH, pieces.default_pattern())[1], odd_texts()
+    for some in (texts, texts[::-1], texts[:1], []):
+        ids, ends = encoder.batch(pa.array(some, pa.string()).slice(0))
+        for text, a, b in zip(some, ends, ends[1:]):
+            expected = library.encode_ordinary(text)
+            assert ids[a:b].tolist() == expected, repr(text)
+            assert table.decode(expected) == text.encode()
 
 
 def test_any_bytes_encode_as_the_library_does(table, library):

@@ -31,9 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def new_name(name: str) -> str:
+    """A name that nothing else has."""
+    return f"{name}-{uuid.uuid4().hex}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{new_name(name)}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -72,6 +77,37 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
+def exists(uri: str) -> bool:
+    from pyarrow import fs as files
+
+    fs, path = file_system(uri)
+    return fs.get_file_info(path).type != files.FileType.NotFound
+
+
+def list_files(uri: str, suffix: str) -> list[str]:
+    """URIs of the files right in a folder, by name; none if there is no such folder."""
+    from pyarrow import fs as files
+
+    fs, path = file_system(uri)
+    found = fs.get_file_info(files.FileSelector(path, allow_not_found=True))
+    return sorted(f"{uri.rstrip('/')}/{f.base_name}" for f in found if f.base_name.endswith(suffix))
+
+
+def keep_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``wanted`` (id, digest) names, one for each, with all their columns.
+
+    ``digest`` is the xxhash64 of the text, null as empty. Rows that repeat id and text, of which
+    one stays, are looked for in ids and digests only; texts are moved a second time only if any do.
+    """
+    named = wanted.select(F.col("id").alias("tessella_id"), F.col("digest").alias("tessella_digest"))
+    repeated = not named.groupBy("tessella_id", "tessella_digest").count().where("count > 1").isEmpty()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("tessella_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("tessella_digest"))
+    kept = docs.join(named, same, "left_semi")
+    if repeated:
+        kept = kept.withColumn("tessella_digest", F.xxhash64(text_or_empty(text_col))).dropDuplicates([id_col, "tessella_digest"]).drop("tessella_digest")
+    return kept
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -215,3 +215,13 @@ def mixed_texts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str
     piece = F.regexp_replace(F.array_join(F.slice("tessella_words", (p["first"] + 1).cast("int"), p["n"].cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
     kept = [piece.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return each.select(*kept, p["shard"].alias("shard"), p["order"].alias("slot_order"), p["first"].alias("piece_first"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix of ``docs`` as a table of the same columns: one row per piece, its words for its text.
+
+    ``size_col`` gets the piece's code points. Options are those of ``mix_blocks``.
+    """
+    pieces = mixed_texts(docs, mix_blocks(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+    length = F.length(text_col).cast("long")
+    return pieces.select(*[length.alias(c) if c == size_col else F.col(f"`{c}`") for c in docs.columns])

@@ -178,3 +178,8 @@ def assess(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
     model = fit({tuple(r["votes"]): r["count"] for r in counted})
     odds = model.column(q["votes"])
     return stored.withColumn(into, q.withField("base_failed", failed).withField("log_odds", odds).withField("kept", ~failed & (odds >= 0)))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", into: str = "tessella_quality") -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns."""
+    return assess(docs, text_col, into=into).where(F.col(into)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

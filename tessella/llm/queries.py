@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, quality, simhash, token_tables, toxicity
-from .common import documents
+from . import bpe, credentials, exact_dedup, line_dedup, mixing, quality, simhash, token_rollup, token_tables, toxicity
+from .common import WORD, documents, new_path
 from .pieces import vocabulary_path
 
 
@@ -46,11 +46,50 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = credentials.find_secrets(documents(spark, sf_dir))
+
+    def named(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in credentials.BASE]
+    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(credentials.in_order(F.concat("base", "linked"))).alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: Versions of op9's tokenizer: words, and runs of letters, of digits and single other characters.
+TOKENIZERS = {"words-1": WORD, "pieces-1": r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
+MARKUP = r"[#*$%&|<>]"
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents after their load by both versions, a recount of the texts without
+    markup, the removal of what is under ten words long, and a second try of each batch."""
+    docs = documents(spark, sf_dir)
+    words = token_rollup.pattern_count("text", WORD)
+    marked = docs.where(F.col("text").rlike(MARKUP) & (words >= 10))
+    plain = marked.withColumn("text", F.regexp_replace("text", MARKUP, ""))
+
+    def counts(rows: DataFrame) -> DataFrame:
+        return token_rollup.counted(rows, {v: token_rollup.pattern_count("text", p) for v, p in TOKENIZERS.items()})
+
+    rollup = token_rollup.TokenRollup(spark, new_path(spark, "token-rollup"))
+    batches = {
+        "load": token_rollup.inserts(counts(docs)),
+        "short documents": token_rollup.deletes(counts(docs.where(words < 10))),
+        "markup": token_rollup.revisions(counts(marked), counts(plain)),
+    }
+    for batch, changes in [*batches.items(), *batches.items()]:
+        rollup.commit(batch, changes)
+    rollup.compact()
+    return rollup.totals()
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -63,7 +102,9 @@ QUERIES = {
     "op4_token_tables": op4_token_tables,
     "op5_quality_votes": op5_quality_votes,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secrets": op7_secrets,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_rollup": op9_token_rollup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -93,4 +134,19 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op9_token_rollup": r"""
+        WITH d AS (
+            SELECT source, lang, coalesce(text, '') AS text,
+                   regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g') AS plain
+            FROM documents),
+        n AS (
+            SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS old_words FROM d),
+        t AS (
+            SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(plain, '[^\x20\x09-\x0D]+')) AS tokens
+            FROM n WHERE old_words >= 10
+            UNION ALL
+            SELECT source, lang, 'pieces-1', len(regexp_extract_all(plain, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]'))
+            FROM n WHERE old_words >= 10)
+        SELECT source, lang, version, count(*) AS n_docs, CAST(sum(tokens) AS BIGINT) AS n_tokens
+        FROM t GROUP BY source, lang, version""",
 }

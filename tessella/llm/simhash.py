@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import keep_rows, materialise, text_or_empty
 from .components import connected_components
 
 BITS = 64
@@ -38,7 +38,7 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp long) for every row; null and blank texts get fingerprint 0."""
+    """(id, digest, fp long) for every row; null and blank texts get fingerprint 0. The digest is the text's xxhash64."""
 
     def mapped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
@@ -47,7 +47,8 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     from pyspark.sql.functions import pandas_udf
 
     mapped.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.select(F.col(id_col).alias("id"), pandas_udf(mapped, "long")(text_or_empty(text_col)).alias("fp"))
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), pandas_udf(mapped, "long")(text).alias("fp"))
 
 
 def _masks(distance: int, blocks: int) -> list[int]:
@@ -100,19 +101,33 @@ def close_pairs(prints: DataFrame, distance: int = 2, blocks: int = 4, small: in
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, blocks: int = 4) -> DataFrame:
-    """One row per input row: id, fp (long), component (smallest id that can be reached).
+    """One row per input row: id, fp (long), component (smallest id that can be reached), root, digest.
 
     Equal fingerprints are linked, and so are those that differ in up to ``distance`` bits; null and
     blank texts share fingerprint 0. Rows with a null id take part, but a component's id is the
     smallest that isn't null (null if it has none). Repeated rows stay repeated. Other columns are
     not read. An empty table gives an empty result. Only distinct fingerprints are compared, and
-    links, components and fingerprints stay in tables.
+    links, components and fingerprints stay in tables. ``root`` is a fingerprint of the component, the
+    same for all of it, and ``digest`` the xxhash64 of the text.
     """
     prints = materialise(simhash(docs, id_col, text_col, shingle), "prints")
     heads = materialise(prints.groupBy("fp").agg(F.min("id").alias("head")), "heads")
     parts = materialise(connected_components(close_pairs(heads, distance, blocks)), "parts")
     named = materialise(parts.join(heads.withColumnRenamed("fp", "node"), "node"), "named")
     least = materialise(named.groupBy("component").agg(F.min("head").alias("least")), "least")
-    linked = named.join(least, "component").select(F.col("node").alias("fp"), "least")
-    reach = materialise(heads.join(linked, "fp", "left").select("fp", F.coalesce("least", "head").alias("component")), "reach")
-    return prints.join(reach, "fp").select("id", "fp", "component")
+    linked = named.join(least, "component").select(F.col("node").alias("fp"), "least", F.col("component").alias("root"))
+    reach = materialise(heads.join(linked, "fp", "left").select("fp", F.coalesce("least", "head").alias("component"), F.coalesce("root", "fp").alias("root")), "reach")
+    return prints.join(reach, "fp").select("id", "fp", "component", "root", "digest")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, one of each group of near duplicates, with all their columns.
+
+    The row with the smallest id stays, nulls last, then the one with the smallest text hash. Options
+    are those of ``near_duplicates``. An empty table stays empty.
+    """
+    found = materialise(near_duplicates(docs, id_col, text_col, **options).select("id", "digest", "root"), "near-duplicates")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    best = materialise(found.groupBy("root").agg(F.min(first).alias("best")), "best")
+    here = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))
+    return keep_rows(docs, found.join(best, "root").where(here).select("id", "digest"), id_col, text_col)

@@ -3,14 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, simhash
+from tessella.llm import bpe, exact_dedup, mixing, quality, queries, simhash
 from tessella.llm.common import documents, materialise
+from tessella.llm.pieces import vocabulary_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-STAGES: list = []
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the base rules and the weighed votes keep."""
+    return quality.keep_good(docs)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints are linked."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents that the mix takes; a piece taken again is a row again."""
+    return mixing.mixed_documents(docs)
+
+
+def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every piece, as digests."""
+    return queries.token_digests(bpe.encode_documents(docs, vocabulary_path("byte_bpe_50k.tiktoken"), decoded=True))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_duplicates),
+    ("simhash near-dedup", near_duplicates),
+    ("mix sources", mixed_sources),
+    ("byte-level bpe", token_digests),
+]
+#: Fitting, chance and byte pair merges can't be written as SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -8,8 +8,8 @@ table of sums; a batch whose marker stands is never applied again.
 
 from __future__ import annotations
 
+import hashlib
 import json
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +57,7 @@ class TokenRollup:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _marker(self, batch: str) -> str:
-        return f"{self.folder}/markers/{quote(batch, safe='')}.json"
+        return f"{self.folder}/markers/{hashlib.sha256(batch.encode()).hexdigest()}.json"
 
     def committed(self) -> list[str]:
         return sorted({json.loads(get_file(p))["batch"] for p in list_files(f"{self.folder}/markers", ".json")})

@@ -204,6 +204,19 @@ def term_vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str)
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(counted, f"id {id_type}, terms array<int>, counts array<int>")
 
 
+def document_frequencies(vectors: DataFrame, number: int) -> DataFrame:
+    """(term, n) of the vocabulary's ``number`` terms; each task adds its rows up before the shuffle."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(number, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=number)
+        here = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(total[here])], ["term", "n"])
+
+    return vectors.select("terms").mapInArrow(added, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[ToxicityModel, DataFrame]:
     """The model, and the stored term vectors of all rows of ``docs``.
 
@@ -217,8 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     vectors = materialise(term_vectors(docs, terms, id_col, text_col), "term-vectors")
     number = vectors.count()
     idf = np.full(len(terms), np.log(1.0 + number))
-    for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        idf[r.term] = np.log((1 + number) / (1 + r["count"]))
+    for r in document_frequencies(vectors, len(terms)).collect():
+        idf[r.term] = np.log((1 + number) / (1 + r.n))
     known = term_vectors(examples.select("id", "text"), terms, "id", "text").join(F.broadcast(sample), "id").orderBy("id").collect()
     ids, labelled = np.array([r.id for r in known], np.int64), np.array([r.toxic for r in known], np.int64)
     numbers, counts = [np.array(r.terms, np.int64) for r in known], [np.array(r.counts, np.int64) for r in known]

@@ -29,6 +29,8 @@ NEIGHBOURS, EVIDENCE = 20, 5
 BLOCK = 32
 #: A share of toxic examples and its weight in examples, for when there are few or none.
 PRIOR_SHARE, PRIOR_WEIGHT = 0.1, 5.0
+#: Rows that a task scores, about.
+ROWS_PER_TASK = 8192
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHED = 200_000
 
@@ -268,4 +270,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 evidence.append([{"id": i, "cosine": c, "toxic": y} for i, c, y in near])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["id", "score", "evidence"])
 
-    return vectors.mapInArrow(scored, f"id {id_type}, score double, evidence array<struct<id: bigint, cosine: double, toxic: int>>")
+    # a row is a few bytes and much work: partitions by rows, whatever the files' sizes
+    dealt = vectors.repartition(max(1, -(-vectors.count() // ROWS_PER_TASK)))
+    return dealt.mapInArrow(scored, f"id {id_type}, score double, evidence array<struct<id: bigint, cosine: double, toxic: int>>")

@@ -10,7 +10,9 @@ from ..functions.scoring import PairScorer, calibrated, lexical_logit
 from ..functions.text import tokens, without_prefix
 from .windows import windows
 
-_BY_QUERY = Window.partitionBy("query_id")
+
+def _by_query():
+    return Window.partitionBy("query_id")
 
 
 def score_candidates(queries: DataFrame, candidates: DataFrame, config: RerankConfig = RerankConfig(), scorer: PairScorer = lexical_logit) -> DataFrame:
@@ -31,9 +33,9 @@ def score_candidates(queries: DataFrame, candidates: DataFrame, config: RerankCo
 
 def gate(scored: DataFrame, config: RerankConfig = RerankConfig()) -> DataFrame:
     """Adds ``rank``, ``passed_gate`` and ``fallback``: at the threshold or above, or else the best one."""
-    order = _BY_QUERY.orderBy(F.desc("score"), "position")
+    order = _by_query().orderBy(F.desc("score"), "position")
     ranked = scored.withColumn("rank", F.row_number().over(order))
-    fallback = F.max("score").over(_BY_QUERY) < config.gate
+    fallback = F.max("score").over(_by_query()) < config.gate
     return ranked.withColumn("fallback", fallback).withColumn("passed_gate", (F.col("score") >= config.gate) | (F.col("fallback") & (F.col("rank") == 1)))
 
 
@@ -43,11 +45,11 @@ def place(gated: DataFrame, config: RerankConfig = RerankConfig(), placement: st
     Leading chunks stay while their tokens fit the budget, the first always; the first that doesn't fit
     ends the context. ``recency`` puts the best last; ``edges`` puts odd ranks last and even ranks first.
     """
-    running = _BY_QUERY.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    running = _by_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.when(F.col("passed_gate"), F.greatest(F.coalesce("token_count", F.lit(0)), F.lit(0)))).over(running)
     fits = F.col("passed_gate") & ((F.col("rank") == 1) | (used <= config.context_tokens))
     chosen = gated.withColumn("in_context", fits)
-    n = F.count_if("in_context").over(_BY_QUERY)
+    n = F.count_if("in_context").over(_by_query())
     rank = F.col("rank")
     if placement == "recency":
         at = n - rank + 1

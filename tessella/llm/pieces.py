@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = 2048, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of up to ``rows`` rows and ``size`` bytes of text; a longer text is a part by itself."""
+    ends, at = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        to = min(max(most, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class CachedEncoder:
     """Ids of texts as unsigned 32-bit numbers, with common words remembered.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_system, materialise, new_path, text_or_empty
-from .pieces import CachedEncoder
+from .pieces import CachedEncoder, slices
 
 MAGIC = b"TSSTABL1"
 RESTART = 16
@@ -241,8 +241,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             if batch.num_rows and wrote is None:
                 out = fs.open_output_stream(part)
                 wrote = ShardWriter(out, id_bytes)
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
+            for some in slices(batch, 1):
                 ids, ends = encoder.batch(some.column(1))
                 for identifier, a, b in zip(some.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
                     wrote.add(identifier, np.concatenate((ids[a:b], end)))

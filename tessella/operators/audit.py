@@ -37,3 +37,10 @@ def findings(texts: DataFrame, most: int = 10, snippet: int = 300) -> DataFrame:
 
 def counts(found: DataFrame) -> DataFrame:
     return found.groupBy("type").agg(F.count("*").alias("n_findings"), F.sum("match_count").alias("n_matches")).orderBy(F.desc("n_findings"), "type")
+
+
+def report(found: DataFrame) -> DataFrame:
+    """One row: n_findings, by_type as an ordered list of counts."""
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n_findings")).alias("o"), "type", "n_findings", "n_matches")))
+    by_type = F.transform(listed, lambda x: F.struct(x["type"].alias("type"), x["n_findings"].alias("n_findings"), x["n_matches"].alias("n_matches")))
+    return counts(found).agg(F.coalesce(F.sum("n_findings"), F.lit(0)).alias("n_findings"), by_type.alias("by_type"))

@@ -51,3 +51,20 @@ def describe(metrics: DataFrame, columns: list[str] = METRICS) -> DataFrame:
     long = metrics.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns])).alias("m")).select("m.*").where("x IS NOT NULL AND NOT isnan(x)")
     quartiles = [F.percentile("x", F.lit(q)).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)]
     return long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev("x").alias("std"), F.min("x").alias("least"), *quartiles, F.max("x").alias("largest"))
+
+
+def contexts(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, contexts, n_missing) of ids (query_id, chunk_ids): the texts of chunks (chunk_id, content) in the order of the ids.
+
+    Unknown ids are left out and counted.
+    """
+    each = ids.select("query_id", F.posexplode_outer("chunk_ids").alias("at", "chunk_id"))
+    found = each.join(chunks.select("chunk_id", "content"), "chunk_id", "left")
+    listed = F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("at", "content"))))
+    missing = F.count_if(F.col("chunk_id").isNotNull() & F.col("content").isNull())
+    return found.groupBy("query_id").agg(F.transform(listed, lambda x: x["content"]).alias("contexts"), missing.alias("n_missing"))
+
+
+def samples(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """Runs (query_id, answer, ...) with their contexts, without blank answers and those that have no context."""
+    return runs.join(found, "query_id").where((F.trim(F.coalesce("answer", F.lit(""))) != "") & (F.size("contexts") > 0))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, orchestrate, rerank
+from ..operators import audit, bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, nodes, orchestrate, rerank, wiki
 from ..storage import stored
 
 #: The domains in their order, with allocations of the fused list.
@@ -240,8 +240,61 @@ def b4_upsert(spark, sf_dir):
     return ingest.upsert(old, new, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+def _told(spark, sf_dir, turn):
+    """Conversations as pages (title, text): each turn as ``turn`` writes it, in their order."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    listed = turns.groupBy(F.col("conv_id").alias("title")).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return listed.select("title", F.array_join(F.transform("t", turn), "\n").alias("text"))
+
+
+def d1_sections(spark, sf_dir):
+    """Each role's turns as sections of one name: the last counts."""
+    pages = _told(spark, sf_dir, lambda t: F.concat(F.lit("== "), t["role"], F.lit(" ==\n"), t["text"]))
+    return wiki.sections(pages).select(F.col("title").alias("conv_id"), "section", F.md5("content").alias("content_md5"))
+
+
+def d18_versions(spark, sf_dir):
+    """Each turn as an element of a version table."""
+    pages = _told(spark, sf_dir, lambda t: F.concat(F.lit("{{VersionTableElement|"), t["turn"], F.lit("|\n* "), t["role"], F.lit("\n** turn "), t["turn"]))
+    return wiki.versions(pages).select(F.col("title").alias("conv_id"), F.col("position").cast("long").alias("position"), "version", "most_recent", F.array_join("changes", ";").alias("changes"))
+
+
+def d4_derived(spark, sf_dir):
+    """Parts as heroes: attributes and stats by their key and size."""
+    key = F.col("p_partkey").cast("int")
+    primary = F.element_at(F.array(*[F.lit(x) for x in ("Strength", "Agility", "Intelligence", "Universal")]), key % 4 + 1)
+    heroes = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("strength"), (key % 30).alias("agility"), (key % 25).alias("intelligence"), primary.alias("primary_attribute"))
+    stats = {"attack_damage_min": key % 50, "attack_damage_max": key % 50 + 6, "health_regen": F.lit(0.5), "mana_regen": F.lit(None).cast("double"), "armor": F.lit(-1.0)}
+    derived = wiki.with_derived(heroes.withColumns(stats))
+    names = ("total_health", "total_mana", "damage_min", "damage_max", "total_health_regen", "total_mana_regen", "total_armor")
+    return derived.select("p_partkey", *[F.col(n).cast("double").alias(n) for n in names])
+
+
+def e4_nested_nodes(spark, sf_dir):
+    """A record per conversation with its turns as a list of objects under a guide."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.concat_ws("-", "role", "turn").alias("name")).alias("t"))
+    listed = turns.groupBy(F.col("conv_id").alias("record_id")).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    records = listed.select("record_id", F.to_json(F.struct(F.struct(F.struct(F.col("t").alias("told")).alias("turns")).alias("guide"))).alias("json"))
+    found = nodes.dispatch(nodes.top_nodes(records))
+    return found.select(F.col("record_id").alias("conv_id"), "primary_node", "sub_node", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+def m6_contexts(spark, sf_dir):
+    """Three listed ids per benchmark item, of which the last is unknown."""
+    item = F.col("item_id")
+    ids = table(spark, sf_dir, "benchmark").select(item.alias("query_id"), F.array(item * 3 % 200, item, -1 - item).alias("chunk_ids"))
+    found = evaluate.contexts(ids, chunks(spark, sf_dir))
+    return found.select("query_id", F.md5(F.array_join("contexts", "|")).alias("contexts_md5"), "n_missing")
+
+
+def b3_report(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), F.col("html").alias("text"))
+    return audit.report(audit.findings(pages)).select("n_findings", F.array_join(F.col("by_type.type"), ",").alias("types"))
+
+
 QUERIES = {f.__name__: f for f in (
     h4_bm25_topk, h1_tokens, h2_index_terms, h5_dense_topk, h8_merged_lists, h9_rrf_per_domain, h10_rrf_over_all, h12_counts,
     i9_gate, i11_context, i12_context_edges, i13_admitted, i15_context_text, j1_prompt, j8_abstentions, k5_claims, k7_faithfulness,
     l6_tiers, m10_rank_metrics, m13_summary, f1_findings, f4_counts, d3_plain_pages, e2_word_chunks, e5_bundles, g2_normalised, g5_chunk_ids, b4_upsert,
+    d1_sections, d4_derived, d18_versions, e4_nested_nodes, m6_contexts, b3_report,
 )}

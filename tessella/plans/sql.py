@@ -168,4 +168,21 @@ ORACLE_SQL = {
         n AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id),
         u AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM n))
         SELECT user_id, event_id, event_type FROM u JOIN events USING (user_id, event_id)""",
+    "d1_sections": "SELECT conv_id, role AS section, md5(arg_max(coalesce(text, ''), turn)) AS content_md5 FROM conversations GROUP BY conv_id, role",
+    "d4_derived": """
+        WITH h AS (SELECT p_partkey, p_size AS s, p_partkey % 30 AS a, p_partkey % 25 AS i, p_partkey % 4 AS k, p_partkey % 50 AS low FROM part),
+        b AS (SELECT *, CASE k WHEN 0 THEN s WHEN 1 THEN a WHEN 2 THEN i ELSE round(0.7::DOUBLE * (s + a + i), 1) END AS bonus FROM h)
+        SELECT p_partkey, (120 + 22 * s)::DOUBLE AS total_health, (75 + 12 * i)::DOUBLE AS total_mana, (bonus + low)::DOUBLE AS damage_min, (bonus + low + 6)::DOUBLE AS damage_max,
+            round(0.09::DOUBLE * s + 0.5, 2) AS total_health_regen, round(0.05::DOUBLE * i, 2) AS total_mana_regen, round(-1.0 + a / 6, 2) AS total_armor FROM b""",
+    "d18_versions": """
+        WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position FROM conversations)
+        SELECT conv_id, position, turn::VARCHAR AS version, position = 1 AS most_recent, role || ';  * turn ' || turn AS changes FROM t WHERE position <= 3""",
+    "e4_nested_nodes": """
+        WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS chunk_index FROM conversations)
+        SELECT conv_id, 'guide' AS primary_node, 'turns.told.' || role || '-' || turn AS sub_node, chunk_index, '{"turn":' || turn || ',"name":"' || role || '-' || turn || '"}' AS text FROM t""",
+    "m6_contexts": """
+        WITH i AS (SELECT item_id, unnest([item_id * 3 % 200, item_id, -1 - item_id]) AS doc_id, unnest([1, 2, 3]) AS pos FROM benchmark),
+        f AS (SELECT i.item_id, pos, d.doc_id, coalesce(text, '') AS text FROM i LEFT JOIN documents d USING (doc_id))
+        SELECT item_id AS query_id, md5(coalesce(string_agg(text, '|' ORDER BY pos) FILTER (doc_id IS NOT NULL), '')) AS contexts_md5, count(*) FILTER (doc_id IS NULL) AS n_missing FROM f GROUP BY item_id""",
+    "b3_report": _with(_findings() + ", n AS (SELECT type, count(*) AS n FROM found GROUP BY type)", "SELECT CAST(sum(n) AS BIGINT) AS n_findings, string_agg(type, ',' ORDER BY n DESC, type) AS types FROM n"),
 }

@@ -1,9 +1,9 @@
 """Toxicity scores by the votes of the nearest labelled examples.
 
-Texts are vectors of TF-IDF weights over a vocabulary of words and word beginnings that is chosen on
-a bounded sample of labelled examples; document frequencies are those of all documents. The nearest
-examples by exact cosine are found in a block-max inverted index, their distance-weighted votes are
-calibrated on the examples themselves, each left out of its own vote.
+Texts are vectors of TF-IDF weights over all their words and word beginnings; document frequencies
+are those of all documents. The nearest of a bounded sample of labelled examples by exact cosine are
+found in a block-max index of sparse postings over every term of the examples, their
+distance-weighted votes are calibrated on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -15,24 +15,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise, text_or_empty
 
-#: Bounds of the fit: labelled examples (a sample by hash of the id) and terms of the vocabulary.
-MOST_EXAMPLES, MOST_TERMS = 6000, 1024
-#: A term has to be in so many examples; beginnings of words of so many letters are terms, too.
-LEAST_EXAMPLES, BEGINNINGS = 3, (4, 5, 6, 7)
+#: Bound of the fit: labelled examples (a sample by hash of the id).
+MOST_EXAMPLES = 6000
+#: Beginnings of words of so many letters are terms, too.
+BEGINNINGS = (4, 5, 6, 7)
+#: Terms in more than this share of the documents are known to every task, as are those of the examples.
+COMMON_SHARE = 1 / 1000
 NEIGHBOURS, EVIDENCE = 20, 5
-BLOCK = 32
+BLOCK = 1024
 #: A share of toxic examples and its weight in examples, for when there are few or none.
 PRIOR_SHARE, PRIOR_WEIGHT = 0.1, 5.0
-#: Rows that a task scores, about.
-ROWS_PER_TASK = 8192
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 200_000
+#: Words whose terms a task remembers, and terms that it counts before it passes them on.
+_CACHED, _COUNTED = 50_000, 300_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -44,31 +45,36 @@ class Vocabulary:
 
     def __init__(self, terms: list[str]):
         self._at = {t: k for k, t in enumerate(terms)}
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
 
-    def count(self, text: str) -> dict[int, int]:
+    def count(self, text: str) -> tuple[dict[int, int], dict[str, int]]:
+        """The counts of the vocabulary's terms, by number, and of all others, by name."""
         found: dict[int, int] = {}
+        others: dict[str, int] = {}
         known, at = self._known, self._at
         for word, n in Counter(_WORD.findall(text.lower())).items():
             here = known.get(word)
             if here is None:
-                here = tuple(at[t] for t in terms_of(word) if t in at)
+                terms = terms_of(word)
+                here = tuple(at[t] for t in terms if t in at), tuple(t for t in terms if t not in at)
                 if len(known) > _CACHED:
                     known.clear()
                 if len(word) <= 40:
                     known[word] = here
-            for k in here:
+            for k in here[0]:
                 found[k] = found.get(k, 0) + n
-        return found
+            for t in here[1]:
+                others[t] = others.get(t, 0) + n
+        return found, others
 
 
 class BlockMaxIndex:
     """Exact nearest examples by cosine, blocks of examples at a time.
 
-    ``examples`` are (ids, labels, term numbers, counts). For every term the index has its postings
-    by block and the largest weight in each block. A query adds up the largest weights, which
-    bounds the cosines of a block, and scores blocks in falling order of that bound until it is below the
-    last neighbour found. Ties go to the smaller id.
+    ``examples`` are (ids, labels, term numbers, counts). Every block has sparse postings by term,
+    and for every term the largest weight in each block is kept. A query adds up the largest weights,
+    which bounds the cosines of a block, and scores blocks in falling order of that bound until it is
+    below the last neighbour found. Ties go to the smaller id.
     """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray):
@@ -77,43 +83,49 @@ class BlockMaxIndex:
         # like stands by like: by the heaviest terms of each
         order = sorted(range(len(ids)), key=lambda k: (*terms[k][np.argsort(-vectors[k], kind="stable")[:3]].tolist(), int(ids[k])))
         self.ids, self.labels = ids[order].astype(np.int64), labels[order].astype(np.float64)
-        n = -(-len(order) // BLOCK) if order else 0
-        self.postings = np.zeros((len(idf), n * BLOCK), np.float32)
-        for row, k in enumerate(order):
-            self.postings[terms[k], row] = vectors[k]
-        self.largest = self.postings.reshape(len(idf), n, BLOCK).max(axis=2) if n else np.zeros((len(idf), 0), np.float32)
+        n = -(-len(order) // BLOCK)
+        rows = np.repeat(np.arange(len(order)), [len(terms[k]) for k in order])
+        numbers = np.concatenate([np.zeros(0, np.int64), *(terms[k] for k in order)])
+        weights = np.concatenate([np.zeros(0), *(vectors[k] for k in order)])
+        cells = rows // BLOCK * len(idf) + numbers
+        by_cell = np.argsort(cells, kind="stable")
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(cells, minlength=n * len(idf)))))
+        self.spots, self.postings = (rows[by_cell] % BLOCK).astype(np.int16), weights[by_cell]
+        self.largest = np.zeros((n, len(idf)), np.float32)
+        # rounded up, so that a bound is one
+        np.maximum.at(self.largest.reshape(-1), cells, np.nextafter(weights.astype(np.float32), np.float32(2)))
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The unit vector of a text over its terms; zeros stay zeros."""
-        w = (1 + np.log(np.maximum(counts, 1))) * self.idf[terms]
+        w = self.raw_weights(terms, counts)
         size = np.sqrt((w * w).sum())
         return w / size if size else w
 
+    def raw_weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(np.maximum(counts, 1))) * self.idf[terms]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the up to ``k`` nearest examples that share a term; ``without`` leaves a row out."""
         rows, cosines = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not len(self.ids):
             return rows, cosines
-        weights = weights.astype(np.float32)
-        bound = weights @ self.largest[terms]
-        blocks = np.argsort(-bound, kind="stable")
-        at, some = 0, 8
-        while at < len(blocks):
-            if len(rows) >= k and bound[blocks[at]] < cosines[k - 1] - 1e-6:
-                break
-            here = blocks[at : at + some]
-            here = here[bound[here] > 0]
-            if not len(here):
+        bound = self.largest[:, terms] @ weights
+        for block in np.argsort(-bound, kind="stable").tolist():
+            if bound[block] <= 0 or len(rows) >= k and bound[block] < cosines[k - 1] - 1e-6:
                 break
-            spots = (here[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = weights @ self.postings[terms[:, None], spots]
-            good = (found > 1e-7) & (spots < len(self.ids))
-            if without is not None:
-                good &= spots != without
-            rows, cosines = np.concatenate((rows, spots[good])), np.concatenate((cosines, found[good].astype(np.float64)))
+            cells = block * len(self.idf) + terms
+            first, sizes = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+            at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            found = np.bincount(self.spots[at], self.postings[at] * np.repeat(weights, sizes), BLOCK)
+            good = found > 1e-7
+            if without is not None and without // BLOCK == block:
+                good[without % BLOCK] = False
+            if len(rows) >= k:
+                good &= found > cosines[k - 1] - 1e-5
+            spots = np.flatnonzero(good)
+            rows, cosines = np.concatenate((rows, block * BLOCK + spots)), np.concatenate((cosines, found[spots]))
             best = np.lexsort((self.ids[rows], -np.round(cosines, 6)))[:k]
             rows, cosines = rows[best], cosines[best]
-            at, some = at + some, 2 * some
         return rows, np.minimum(cosines, 1.0)
 
 
@@ -130,15 +142,13 @@ class ToxicityModel:
         weight = 1 / (1.05 - cosines)
         return float((weight @ self.index.labels[rows] + self.share) / (weight.sum() + 1))
 
-    def calibrated(self, vote: float) -> float:
-        odds = np.log(vote / (1 - vote))
-        return float(1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -50, 50))))
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
-        """The score of a text and its evidence: the nearest examples' ids, cosines and labels."""
-        rows, cosines = self.index.nearest(terms, self.index.weights(terms, counts))
-        near = [(int(self.index.ids[r]), float(c), int(self.index.labels[r])) for r, c in zip(rows[:EVIDENCE], cosines)]
-        return self.calibrated(self.vote(rows, cosines)), near
+    def scored(self, near: Column) -> Column:
+        """The calibrated vote of ``near`` (array of structs with cosine and toxic), as ``vote`` has it."""
+        weight = lambda x: 1 / (1.05 - x["cosine"])
+        toxic = F.aggregate(near, F.lit(0.0), lambda total, x: total + weight(x) * x["toxic"])
+        vote = (toxic + self.share) / (F.aggregate(near, F.lit(0.0), lambda total, x: total + weight(x)) + 1)
+        odds = self.slope * F.log(vote / (1 - vote)) + self.shift
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))))
 
     def calibrate(self, terms: list[np.ndarray], weights: list[np.ndarray], rows: list[int]) -> None:
         """Logistic regression of the labels on the votes of all but the example itself."""
@@ -165,111 +175,122 @@ def example_sample(labels: DataFrame, id_col: str, label_col: str, most: int = M
     return known.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def choose_terms(examples: DataFrame, most: int = MOST_TERMS) -> list[str]:
-    """The terms of ``examples`` (id, toxic, text) that tell most about the label, by chi-squared.
-
-    Of terms that begin alike and are in equally many examples of either kind, the shortest is taken.
-    """
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(term, n) of every term in the column ``text``; each task adds its rows up before the shuffle."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
-            found = Counter()
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.update((t, toxic) for t in {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
-            keys = list(found)
-            yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in keys], pa.string()), "toxic": pa.array([y for _, y in keys], pa.int32()), "n": pa.array([found[k] for k in keys], pa.int64())})
-
-    counted = examples.select("toxic", "text").mapInArrow(listed, "term string, toxic int, n long").groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("toxic")).alias("a")).where(F.col("n") >= LEAST_EXAMPLES)
-    total = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("a")).first()
-    if not total.n or not 0 < total.a < total.n:
-        return []
-    expected = F.col("n") * (total.a / total.n)
-    spread = expected * (1 - total.a / total.n) * (1.0001 - F.col("n") / total.n)
-    scored = counted.withColumn("gain", F.round(F.pow(F.col("a") - expected, 2) / spread, 6))
-    first = F.row_number().over(Window.partitionBy("n", "a", F.substring("term", 1, 4)).orderBy(F.length("term"), "term"))
-    chosen = scored.withColumn("first", first).where("first = 1").orderBy(F.desc("gain"), F.length("term"), "term").limit(most)
-    return [r.term for r in chosen.select("term").collect()]
-
-
-def term_vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, terms array<int>, counts array<int>) of every row over the vocabulary."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(terms)
-        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            found = [vocabulary.count(t) for t in batch.column(1).to_pylist()]
-            ends = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
-            columns = [pa.ListArray.from_arrays(ends, pa.array([x for f in found for x in get(f)], pa.int32())) for get in (dict.keys, dict.values)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "terms", "counts"])
+        found: Counter = Counter()
+        known: dict[str, list[str]] = {}
 
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(counted, f"id {id_type}, terms array<int>, counts array<int>")
+        def passed_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+            found.clear()
+            return out
 
-
-def document_frequencies(vectors: DataFrame, number: int) -> DataFrame:
-    """(term, n) of the vocabulary's ``number`` terms; each task adds its rows up before the shuffle."""
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(number, np.int64)
         for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=number)
-        here = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(total[here])], ["term", "n"])
-
-    return vectors.select("terms").mapInArrow(added, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[ToxicityModel, DataFrame]:
-    """The model, and the stored term vectors of all rows of ``docs``.
-
-    What comes to the driver is bounded: MOST_TERMS terms with their document frequencies, and the
-    vectors of MOST_EXAMPLES examples.
+            for text in batch.column(0):
+                here: set[str] = set()
+                for word in set(_WORD.findall(text.as_py().lower())):
+                    terms = known.get(word)
+                    if terms is None:
+                        terms = terms_of(word)
+                        if len(known) > _CACHED:
+                            known.clear()
+                        if len(word) <= 40:
+                            known[word] = terms
+                    here.update(terms)
+                found.update(here)
+                if len(found) > _COUNTED:
+                    yield passed_on()
+        yield passed_on()
+
+    return texts.select("text").mapInArrow(listed, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def fit(texts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> tuple[ToxicityModel, DataFrame, int]:
+    """The model, the document frequencies of all terms of ``texts`` (id, text), and the number of texts.
+
+    What comes to the driver is bounded by the examples and COMMON_SHARE: the terms of MOST_EXAMPLES
+    examples and the common ones, with their document frequencies, and the examples' vectors.
     """
     sample = materialise(example_sample(labels, id_col, label_col), "example-ids")
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     examples = materialise(texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]), "examples")
-    terms = choose_terms(examples)
-    vectors = materialise(term_vectors(docs, terms, id_col, text_col), "term-vectors")
-    number = vectors.count()
-    idf = np.full(len(terms), np.log(1.0 + number))
-    for r in document_frequencies(vectors, len(terms)).collect():
-        idf[r.term] = np.log((1 + number) / (1 + r.n))
-    known = term_vectors(examples.select("id", "text"), terms, "id", "text").join(F.broadcast(sample), "id").orderBy("id").collect()
-    ids, labelled = np.array([r.id for r in known], np.int64), np.array([r.toxic for r in known], np.int64)
-    numbers, counts = [np.array(r.terms, np.int64) for r in known], [np.array(r.counts, np.int64) for r in known]
-    index = BlockMaxIndex(ids, labelled, numbers, counts, idf)
-    share = (labelled.sum() + PRIOR_SHARE * PRIOR_WEIGHT) / (len(ids) + PRIOR_WEIGHT)
+    number = texts.count()
+    total = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("a")).first()
+    share = (total.a + PRIOR_SHARE * PRIOR_WEIGHT) / (total.n + PRIOR_WEIGHT)
+    if not 0 < total.a < total.n:
+        nothing = np.zeros(0, np.int64)
+        return ToxicityModel([], BlockMaxIndex(nothing, nothing, [], [], np.zeros(0)), float(share)), texts.sparkSession.createDataFrame([], "term string, n long"), number
+    frequencies = materialise(document_frequencies(texts), "document-frequencies")
+    own = document_frequencies(examples).select("term", F.lit(True).alias("own"))
+    listed = frequencies.join(own, "term", "left").where(F.col("own") | (F.col("n") > number * COMMON_SHARE)).select("term", "n").orderBy("term").toArrow()
+    terms, idf = listed.column(0).to_pylist(), np.log((1 + number) / (1 + listed.column(1).to_numpy()))
+    vocabulary = Vocabulary(terms)
+    ids, labelled, numbers, counts = [], [], [], []
+    for r in examples.orderBy("id").toLocalIterator():
+        found = vocabulary.count(r.text)[0]
+        ids.append(r.id)
+        labelled.append(r.toxic)
+        numbers.append(np.fromiter(found, np.int64, len(found)))
+        counts.append(np.fromiter(found.values(), np.int64, len(found)))
+    index = BlockMaxIndex(np.array(ids, np.int64), np.array(labelled, np.int64), numbers, counts, idf)
     model = ToxicityModel(terms, index, float(share))
     row_of = {int(i): k for k, i in enumerate(index.ids)}
-    model.calibrate(numbers, [index.weights(t, c) for t, c in zip(numbers, counts)], [row_of[int(i)] for i in ids])
-    return model, vectors
+    model.calibrate(numbers, [index.weights(t, c) for t, c in zip(numbers, counts)], [row_of[i] for i in ids])
+    return model, frequencies, number
+
+
+def nearest_examples(texts: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(row, id, square, near, others) of every row of ``texts`` (id, text).
+
+    ``near`` has the nearest examples with the cosines of the text's known terms alone, whose
+    squared length is ``square``; ``others`` are the text's other terms, which lengthen its vector
+    and so change the size of its cosines and not their order.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # postings of MOST_EXAMPLES texts
+    id_type = texts.schema["id"].dataType.simpleString()
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        index, vocabulary = model.index, Vocabulary(model.terms)
+        kinds = [pa.float64(), pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])), pa.list_(pa.struct([("term", pa.string()), ("count", pa.int32())]))]
+        row = TaskContext.get().partitionId() << 40
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            squares, near, rest = [], [], []
+            for text in batch.column(1).to_pylist():
+                found, others = vocabulary.count(text)
+                terms = np.fromiter(found, np.int64, len(found))
+                weights = index.raw_weights(terms, np.fromiter(found.values(), np.int64, len(found)))
+                square = float((weights * weights).sum())
+                rows, cosines = index.nearest(terms, weights / np.sqrt(square)) if square else ((), ())
+                squares.append(square)
+                near.append([{"id": int(index.ids[r]), "cosine": float(c), "toxic": int(index.labels[r])} for r, c in zip(rows, cosines)])
+                rest.append([{"term": t, "count": n} for t, n in others.items()] if len(rows) else [])
+            columns = [pa.array(x, kind) for x, kind in zip((squares, near, rest), kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), *columns], ["row", "id", "square", "near", "others"])
+            row += batch.num_rows
+
+    return texts.select("id", "text").mapInArrow(searched, f"row long, id {id_type}, square double, near array<struct<id: bigint, cosine: double, toxic: int>>, others array<struct<term: string, count: int>>")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, score, evidence array<struct<id, cosine, toxic>>) of every row of ``docs``.
 
-    Null and empty texts, and texts without any term of the vocabulary, get the calibrated base rate
+    Null and empty texts, and texts without any term of the examples, get the calibrated base rate
     and no evidence, and so do all if no label or only one kind of label is known. Repeated rows are
     scored alike. Of the tables' other columns none is read; an empty table gives an empty result.
     """
-    model, vectors = fit(docs, labels, id_col, text_col, label_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_EXAMPLES x MOST_TERMS weights at most
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-        for batch in batches:
-            scores, evidence = [], []
-            numbers, counts = batch.column(1), batch.column(2)
-            flat = [c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (numbers, counts)]
-            ends = np.cumsum([0, *numbers.value_lengths().to_pylist()]).tolist()
-            for a, b in zip(ends, ends[1:]):
-                score, near = model.score(flat[0][a:b], flat[1][a:b])
-                scores.append(score)
-                evidence.append([{"id": i, "cosine": c, "toxic": y} for i, c, y in near])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["id", "score", "evidence"])
-
-    # a row is a few bytes and much work: partitions by rows, whatever the files' sizes
-    dealt = vectors.repartition(max(1, -(-vectors.count() // ROWS_PER_TASK)))
-    return dealt.mapInArrow(scored, f"id {id_type}, score double, evidence array<struct<id: bigint, cosine: double, toxic: int>>")
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    model, frequencies, number = fit(texts, labels, id_col, label_col)
+    if not len(model.index.ids):
+        none = F.array().cast("array<struct<id: bigint, cosine: double, toxic: int>>")
+        return texts.select("id", model.scored(none).alias("score"), none.alias("evidence"))
+    found = materialise(nearest_examples(texts, model), "nearest-examples")
+    # a term that isn't common is in few documents, so no key is hot
+    others = found.select("row", F.explode("others").alias("o")).select("row", "o.term", "o.count").join(frequencies, "term")
+    weight = (1 + F.log("count")) * F.log((1 + number) / (1 + F.col("n")))
+    longer = others.groupBy("row").agg(F.sum(weight * weight).alias("more"))
+    shrink = F.sqrt(F.col("square") / (F.col("square") + F.coalesce("more", F.lit(0.0))))
+    near = F.transform("near", lambda x: F.struct(x["id"].alias("id"), (x["cosine"] * F.col("shrink")).alias("cosine"), x["toxic"].alias("toxic")))
+    whole = found.drop("others").join(longer, "row", "left").withColumn("shrink", shrink).select("id", near.alias("near"))
+    return whole.select("id", model.scored(F.col("near")).alias("score"), F.slice("near", 1, EVIDENCE).alias("evidence"))

@@ -32,7 +32,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_tables.token_tables(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), end_id=2)
+    out = token_tables.token_tables(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), end_id=2, added_tokens=True)
     return out.withColumnRenamed("id", "doc_id")
 
 

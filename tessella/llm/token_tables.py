@@ -22,10 +22,11 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,17 +180,38 @@ class ShardReader:
                 yield identifier_of(key), ids
 
 
-_loaded: dict[str, CachedEncoder] = {}
+class WholeTextEncoder:
+    """Encodes texts that hold one of ``strings`` as wholes, and all others by ``cached``."""
 
+    def __init__(self, cached: CachedEncoder, strings: list[str], encode_text: Callable[[str], np.ndarray]):
+        self._cached, self._strings, self._encode_text = cached, strings, encode_text
 
-def library_encoder(path: str) -> CachedEncoder:
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``CachedEncoder.batch``."""
+        whole = np.zeros(len(texts), bool)
+        for s in self._strings:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._cached.batch(texts)
+        ids, ends = self._cached.batch(pc.if_else(pa.array(whole), "", texts))
+        parts = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        for k in np.flatnonzero(whole).tolist():
+            parts[k] = self._encode_text(texts[k].as_py())
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+
+_loaded: dict[tuple[str, bool], CachedEncoder | WholeTextEncoder] = {}
+
+
+def library_encoder(path: str, added_tokens: bool = False) -> CachedEncoder | WholeTextEncoder:
     """An encoder that asks the tokenizers library for new words and odd texts; one per worker process.
 
     The file has to hold a byte-level vocabulary, each of whose token's characters stands for one
     byte. New words go to the library as one text, whose ids are dealt out by their tokens' lengths.
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text are ordinary text, unless ``added_tokens`` is set: then the
+    strings of all added tokens become their ids, as by the library's default.
     """
-    if path not in _loaded:
+    if (path, added_tokens) not in _loaded:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
@@ -212,17 +234,30 @@ def library_encoder(path: str) -> CachedEncoder:
             data, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
             return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-        _loaded[path] = CachedEncoder(encode_words, lambda text: encode_text(text).tobytes() if text else b"")
-    return _loaded[path]
+        encoder = CachedEncoder(encode_words, lambda text: encode_text(text).tobytes() if text else b"")
+        if added_tokens:
+
+            def encode_whole(text: str) -> np.ndarray:
+                library.encode_special_tokens = False
+                try:
+                    return encode_text(text)
+                finally:
+                    library.encode_special_tokens = True
+
+            strings = [t.content for t in library.get_added_tokens_decoder().values()]
+            encoder = WholeTextEncoder(encoder, strings, encode_whole)
+        _loaded[path, added_tokens] = encoder
+    return _loaded[path, added_tokens]
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 2, added_tokens: bool = False) -> DataFrame:
     """Encode all texts, write them as shards in ``folder`` and return the manifest.
 
     The manifest has shard, path, documents and ids, in ascending order of shard; shard k holds
     smaller identifiers than shard k+1. Rows are dealt by ranges of (identifier, text hash), so that
     a repeated or null identifier doesn't fill one task. Null texts count as empty: they get the
     end id only. Repeated rows are all written, those of one identifier in order of the text's hash.
+    ``added_tokens`` is that of ``library_encoder``.
     A retried task writes the same file again under the same name. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("order", F.xxhash64("text"))
@@ -231,7 +266,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        encoder, shard = library_encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = library_encoder(tokenizer, added_tokens), TaskContext.get().partitionId()
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         path = f"shard-{shard:06d}.sst"

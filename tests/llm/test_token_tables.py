@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tessella.llm import common, token_tables
+from tessella.llm import common, queries, token_tables
 from tessella.llm.pieces import vocabulary_path
 from tests.llm.test_bpe import odd_texts
 
@@ -66,3 +66,17 @@ def test_spark_tables(spark):
     assert order == sorted((i for i in order if i is not None)) + [None]
     assert [x.tolist() for x in token_tables.look_up(manifest, [900])[900]] == [t.encode("same").ids + [2]] * 2
     assert token_tables.token_tables(docs.limit(0), PATH, 2).count() == 0
+
+
+def test_added_tokens_are_those_of_the_unchanged_library(spark, tmp_path):
+    t, texts = Tokenizer.from_file(PATH), [*odd_texts(), "a<|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>\n", "<|endof text|> c"]
+    assert sum(50256 in t.encode(x, add_special_tokens=False).ids for x in texts) > 50
+    for some in (texts, texts[-4:], ["plain words"]):
+        ids, ends = token_tables.library_encoder(PATH, added_tokens=True).batch(pa.array(some))
+        for text, a, b in zip(some, ends, ends[1:]):
+            assert ids[a:b].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    docs = [(k, x) for k, x in enumerate(texts[-4:])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op4_token_tables(spark, str(tmp_path)).collect()}
+    expected = {k: t.encode(x, add_special_tokens=False).ids + [2] for k, x in docs}
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in expected.items()}

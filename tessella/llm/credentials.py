@@ -31,11 +31,15 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _ENDPOINT = re.compile(r"(?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s\"'<>]+|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b", _EITHER_CASE)
-_WEAK_ACCESS = re.compile(r"""\b(?:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:_?name|_?id)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,64}""", _EITHER_CASE)
+#: Where a label begins: behind no letter, or at a change of case as in dbUser.
+_LABEL = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"
+_WEAK_ACCESS = re.compile(_LABEL + r"""(?:(?<!secret)(?<!secret_)access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:_?name|_?id)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,64}""", _EITHER_CASE)
 _WEAK_ACCESS_WORDS = ("access", "client", "account", "user", "login")
-_WEAK_LABELLED = re.compile(r"""\b(?:pass|pwd|key|auth|credentials?|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}""", _EITHER_CASE)
+_WEAK_LABELLED = re.compile(_LABEL + r"""(?:secret_?access_?key|pass|pwd|key|auth|credentials?|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}""", _EITHER_CASE)
 _WEAK_LABELLED_WORDS = ("pass", "pwd", "key", "auth", "credential")
 _WEAK_BARE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_URL_BARE = re.compile(r"[A-Za-z0-9+_=-]{20,}")
+_AFTER_HOST, _USER = re.compile(r"[/?#;]"), re.compile(r"([^:@]*)(?::([^@]*))?@")
 _MIXED = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 _BLANK_LINE = re.compile(r"\n[\x20\x09\x0B-\x0D]*\n")
 
@@ -54,16 +58,37 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def weak_spans(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the weak candidates, none of which overlaps a strong match or another one.
 
-    Where candidates overlap, the kind that comes first in KINDS takes the place.
+    Where candidates overlap, the kind that comes first in KINDS takes the place, but for the parts in
+    a URL: name and password before its host are parts, and it ends before the first part behind its host.
     """
     low = text.lower()
-    lists = [[m.span() + ("endpoint",) for m in _ENDPOINT.finditer(text)] if "://" in text or ":" in text else []]
-    lists.append([m.span() + ("weak_access",) for m in _WEAK_ACCESS.finditer(text)] if any(w in low for w in _WEAK_ACCESS_WORDS) else [])
+    access = [m.span() + ("weak_access",) for m in _WEAK_ACCESS.finditer(text)] if any(w in low for w in _WEAK_ACCESS_WORDS) else []
     labelled = [m.span() + ("weak_secret",) for m in _WEAK_LABELLED.finditer(text)] if any(w in low for w in _WEAK_LABELLED_WORDS) else []
     # values that were too short for a strong match are weak ones
     labelled += [m.span() + ("weak_secret",) for m in _ASSIGN.finditer(text) if 4 <= len(m[2]) < 8] if any(w in low for w in _ASSIGN_WORDS) else []
-    lists.append(sorted(labelled))
-    lists.append([m.span() + ("weak_secret",) for m in _WEAK_BARE.finditer(text) if all(c.search(m[0]) for c in _MIXED)])
+    bare = [m.span() + ("weak_secret",) for m in _WEAK_BARE.finditer(text) if all(c.search(m[0]) for c in _MIXED)]
+    endpoints, parts = [], sorted([*strong, *access, *labelled])
+    for m in _ENDPOINT.finditer(text) if ":" in text else ():
+        start, end = m.span()
+        if "://" in m[0]:
+            host = text.index("://", start) + 3
+            behind = _AFTER_HOST.search(text, host, end)
+            tail = behind.start() if behind else end
+            named = _USER.match(text, host, tail)
+            in_url = [(s, e, "weak_secret") for s, e in (x.span() for x in _URL_BARE.finditer(text, tail, end) if all(c.search(x[0]) for c in _MIXED))]
+            at = bisect_right(parts, (tail,))
+            first = [parts[at][0]] if at < len(parts) and parts[at][0] < end else []
+            end = min([end, *first, *[s for s, _, _ in in_url]])
+            bare += in_url
+            if named:
+                start = named.end()
+                access += [(*named.span(1), "weak_access")] if named[1] else []
+                labelled += [(*named.span(2), "weak_secret")] if named[2] else []
+            while end < m.end() and end > start and text[end - 1] in "?&;#":
+                end -= 1
+        if start < end:
+            endpoints.append((start, end, "endpoint"))
+    lists = [endpoints, sorted(access), sorted(labelled), sorted(bare)]
     taken: list[tuple[int, int, str]] = []
     for end, start, kind in sorted((e, s, k) for s, e, k in strong):  # strong spans may overlap: a union for the test below
         if taken and start <= taken[-1][1]:

@@ -71,3 +71,21 @@ def test_weak_candidates_do_not_overlap():
 def test_order_is_by_start_and_then_kind(spark):
     row = spark.range(1).select(credentials.in_order(F.expr("array(named_struct('start', 5L, 'end', 6L, 'kind', 'hex'), named_struct('start', 5L, 'end', 9L, 'kind', 'assign'), named_struct('start', 1L, 'end', 2L, 'kind', 'weak_secret'))")).alias("x")).first()
     assert [tuple(s) for s in row.x] == [(1, 2, "weak_secret"), (5, 9, "assign"), (5, 6, "hex")]
+
+
+def test_labels_in_names_and_parts_in_urls_are_reported(spark):
+    expected = {
+        "DB_USER=anna\nDB_PASS=hunter2": [("DB_USER=anna", 3, "weak_access"), ("DB_PASS=hunter2", 3, "weak_secret")],
+        "db_user: x11 my_pwd: abcd": [("db_user: x11", 3, "weak_access"), ("my_pwd: abcd", 3, "weak_secret")],
+        "dbUser=anna dbPass=abcd": [("dbUser=anna", 2, "weak_access"), ("dbPass=abcd", 2, "weak_secret")],
+        "aws_access_key_id = ASIA77\naws_secret_access_key = wxyz": [("aws_access_key_id = ASIA77", 4, "weak_access"), ("aws_secret_access_key = wxyz", 4, "weak_secret")],
+        "https://h.example/cb?client_id=c77&auth=abcd": [("https://h.example/cb", 0, "endpoint"), ("client_id=c77", 0, "weak_access"), ("auth=abcd", 0, "weak_secret")],
+        "postgres://anna:hunter2@db.example:5432/x": [("anna", 0, "weak_access"), ("hunter2", 0, "weak_secret"), ("db.example:5432/x", 0, "endpoint")],
+        "login=anna https://h.example/s/Ab1Ab1Ab1Ab1Ab1Ab1Ab1": [("login=anna", 0, "weak_access"), ("https://h.example/s/", 0, "endpoint"), ("Ab1Ab1Ab1Ab1Ab1Ab1Ab1", 0, "weak_secret")],
+        "http://login:8443/x monkey=abcd abuser=anna": [],
+    }
+    rows = list(enumerate(expected))
+    got = {r["id"]: [tuple(s) for s in r["linked"]] for r in credentials.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        spans = [(text.index(x) + skip, text.index(x) + len(x), kind) for x, skip, kind in expected[text]]
+        assert got[k] == spans, text

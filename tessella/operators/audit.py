@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: name: pattern, in flavours that Java and RE2 share.
@@ -26,12 +28,56 @@ PATTERNS: dict[str, str] = {
 PLAIN_TAGS, LEAST_QUOTED = r"(?i)^</?(?:br|p|strong)\b", 5
 
 
+#: The reference detector's patterns, in Java's flavour; those of PATTERNS are the queries' shorter list.
+REFERENCE_PATTERNS: dict[str, str] = {
+    "expression_tag": r"\[EXPR:[^\]]+\]",
+    "double_curly_braces_template": r"\{\{[^}]{2,}\}\}",
+    "question_mark_pipe_values": r"\?\|[a-zA-Z0-9_]+=",
+    "unresolved_wiki_link": r"\[\[[^\]]*\]\]",
+    "html_tags": r"<(?!br\s*/?\s*>)[a-zA-Z][a-zA-Z0-9]*[^>]*>",
+    # possessive, as Java would recurse by character
+    "pipe_separated_template_fragment": r'(?<!\|)\|[a-zA-Z0-9_]+=(?:[^|"\\]++|\\[^\n])*+(?:\|[a-zA-Z0-9_]+=)',
+    "unresolved_magic_words": r"__[A-Z]+__",
+    "parser_functions": r"\{\{#(if|switch|ifeq|expr|rel2abs|titleparts):[^}]+\}\}",
+    "wiki_table_remnants": r"(?:^|\n)(?:\{\||\|\}|\|\+|\|-|!|\|)",
+    "category_tags": r"(?iu)\[\[Category:[^\]]*\]\]",
+    "ref_tags": r"(?isu)<ref[^>]*>.*?</ref>",
+    "nowiki_tags": r"(?isu)<nowiki[^>]*>.*?</nowiki>",
+    "gallery_tags": r"(?isu)<gallery[^>]*>.*?</gallery>",
+    "triple_apostrophe_bold": r"'''[^']+'''",
+    "double_apostrophe_italic": r"''[^']+''",
+    "equals_heading": r"(?:^|\n)={2,}[^=]+=+",
+    "template_parameter_default": r"\{\{\{[^}]+\}\}\}",
+    "unresolved_file_image": r"(?iu)\[\[(?:File|Image):[^\]]*\]\]",
+    "html_entities": r"&[a-z0-9#]+;",
+    "unicode_escape_sequence": r"\\u[0-9a-fA-F]{4}",
+}
+_TEMPLATE_WORDS, _FORMATTING = r"\||\{\{(?:show|Gold|Rune|Ability|Item|Hero)", r"<br|<p>|</p>|<strong|</strong"
+
+
 def findings(texts: DataFrame, most: int = 10, snippet: int = 300) -> DataFrame:
     """One row per text (item_id, text) and pattern that it matches: the first matches, their number, the text's start."""
-    found = F.array(*[F.struct(F.lit(name).alias("type"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(0)).alias("matches")) for name, p in PATTERNS.items()])
-    each = texts.select("item_id", "text", F.explode(found).alias("f")).select("item_id", "text", "f.*")
-    kept = F.when(F.col("type") == "html_tags", F.filter("matches", lambda m: ~m.rlike(PLAIN_TAGS))).when(F.col("type") == "bold_or_italic", F.filter("matches", lambda m: F.length(m) >= LEAST_QUOTED)).otherwise(F.col("matches"))
-    each = each.withColumn("matches", kept).where(F.size("matches") > 0)
+    keep = {"html_tags": lambda m: ~m.rlike(PLAIN_TAGS), "bold_or_italic": lambda m: F.length(m) >= LEAST_QUOTED}
+    return _findings(texts, PATTERNS, keep, most, snippet)
+
+
+def reference_findings(texts: DataFrame, most: int = 10, snippet: int = 300) -> DataFrame:
+    """As ``findings``, by all patterns and filters of the reference; a parser function's match is its name."""
+    keep = {
+        "double_curly_braces_template": lambda m: m.rlike(_TEMPLATE_WORDS) | ~(m.contains('":') | m.contains('": ')),
+        "double_apostrophe_italic": lambda m: (F.length(m) > 4) & ~m.startswith("''s"),
+        "html_tags": lambda m: ~F.lower(m).rlike(_FORMATTING),
+    }
+    return _findings(texts, REFERENCE_PATTERNS, keep, most, snippet)
+
+
+def _findings(texts: DataFrame, patterns: dict[str, str], keep: dict[str, Callable[[Column], Column]], most: int, snippet: int) -> DataFrame:
+    def matches(name: str, pattern: str) -> Column:
+        all_of = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(int(name == "parser_functions")))
+        return F.filter(all_of, keep[name]) if name in keep else all_of
+
+    found = F.array(*[F.struct(F.lit(name).alias("type"), matches(name, p).alias("matches")) for name, p in patterns.items()])
+    each = texts.select("item_id", "text", F.explode(found).alias("f")).select("item_id", "text", "f.*").where(F.size("matches") > 0)
     return each.select("item_id", "type", F.slice("matches", 1, most).alias("matches"), F.size("matches").alias("match_count"), F.substring("text", 1, snippet).alias("snippet"))
 
 

@@ -71,7 +71,7 @@ class TokenRollup:
             return False
         sums = changes.groupBy(*KEYS).agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("n_docs"), F.coalesce(F.sum(F.col("sign") * F.col("tokens")), F.lit(0)).cast("long").alias("n_tokens"))
         path = f"{self.folder}/sums/{new_name('batch')}"
-        sums.where("n_docs <> 0 OR n_tokens <> 0").coalesce(1).write.parquet(path)
+        sums.where("n_docs <> 0 OR n_tokens <> 0").write.parquet(path)
         put_file(self._marker(batch), json.dumps({"batch": batch, "path": path}).encode())
         return True
 
@@ -96,7 +96,7 @@ class TokenRollup:
         """Add all committed batches up to one table. Their markers stay, so none is applied again."""
         paths, batches = self._parts()
         path = f"{self.folder}/sums/{new_name('base')}"
-        self._sum(paths).coalesce(1).write.parquet(path)
+        self._sum(paths).write.parquet(path)
         put_file(f"{self.folder}/bases/{new_name('base')}.json", json.dumps({"batches": batches, "path": path}).encode())
 
 

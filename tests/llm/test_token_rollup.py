@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tessella.llm.common import list_files, new_path
 from tessella.llm.token_rollup import TokenRollup, counted, deletes, inserts, pattern_count, revisions
 
 SCHEMA = "source string, lang string, version string, tokens long"
@@ -57,3 +58,18 @@ def test_counts_of_texts(spark):
     rows = sorted(map(str, got.collect()))
     assert len(rows) == 6 and sum(r.tokens for r in got.collect()) == 3
     assert counted(docs.limit(0), {"w": F.lit(1)}).count() == 0
+
+
+def test_sums_of_many_keys_are_not_written_by_one_task(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rollup = TokenRollup(spark, new_path(spark, "many-keys"))
+        rows = [(f"s{k}", "en", "words-1", k) for k in range(200)]
+        rollup.commit("load", inserts(spark.createDataFrame(rows, "source string, lang string, version string, tokens long")))
+        rollup.commit("nothing", inserts(spark.createDataFrame([], "source string, lang string, version string, tokens long")))
+        assert max(len(list_files(p, ".parquet")) for p in rollup._parts()[0]) > 1
+        rollup.compact()
+        assert len(list_files(rollup._parts()[0][0], ".parquet")) > 1
+        assert sorted((r.source, r.n_docs, r.n_tokens) for r in rollup.totals().collect()) == sorted((s, 1, n) for s, _, _, n in rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -2,8 +2,8 @@
 
 Texts are vectors of TF-IDF weights over all their words and word beginnings; document frequencies
 are those of all documents. The nearest of a bounded sample of labelled examples by exact cosine are
-found in a block-max index of sparse postings over every term of the examples, their
-distance-weighted votes are calibrated on the examples themselves, each left out of its own vote.
+found in a block-max index over every term of the examples, their distance-weighted votes are
+calibrated on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +22,22 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
 
-#: Bound of the fit: labelled examples (a sample by hash of the id).
+#: Default bound of the fit: labelled examples (a sample by hash of the id, toxic ones first, up to half).
 MOST_EXAMPLES = 6000
 #: Beginnings of words of so many letters are terms, too.
 BEGINNINGS = (4, 5, 6, 7)
 #: Terms in more than this share of the documents are known to every task, as are those of the examples.
 COMMON_SHARE = 1 / 1000
-NEIGHBOURS, EVIDENCE = 20, 5
-BLOCK = 1024
+NEIGHBOURS, EVIDENCE = 300, 5
+#: Examples of a block; terms in this share of the examples have dense rows of weights instead of postings.
+BLOCK, DENSE_SHARE = 512, 1 / 12
+#: Texts and postings that a search holds at once.
+_TEXTS, _POSTINGS = 128, 1 << 20
 #: A share of toxic examples and its weight in examples, for when there are few or none.
 PRIOR_SHARE, PRIOR_WEIGHT = 0.1, 5.0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a task remembers, and terms that it counts before it passes them on.
-_CACHED, _COUNTED = 50_000, 300_000
+_CACHED, _COUNTED = 200_000, 300_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -47,53 +51,66 @@ class Vocabulary:
         self._at = {t: k for k, t in enumerate(terms)}
         self._known: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
 
-    def count(self, text: str) -> tuple[dict[int, int], dict[str, int]]:
-        """The counts of the vocabulary's terms, by number, and of all others, by name."""
-        found: dict[int, int] = {}
+    def __getstate__(self) -> dict:
+        return {"_at": self._at, "_known": {}}
+
+    def _terms(self, word: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+        terms, at = terms_of(word), self._at
+        found = tuple(at[t] for t in terms if t in at), tuple(t for t in terms if t not in at)
+        if len(self._known) > _CACHED:
+            self._known.clear()
+        if len(word) <= 40:
+            self._known[word] = found
+        return found
+
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+        """The vocabulary's terms in a text, ascending by number, their counts, and all others by name."""
+        words = Counter(_WORD.findall(text.lower()))
+        known, look_up = self._known, self._terms
+        found = [known.get(w) or look_up(w) for w in words]
+        numbers = np.array(list(chain.from_iterable([f[0] for f in found])), np.int64)
+        times = np.repeat(np.array(list(words.values()), np.int64), np.array([len(f[0]) for f in found], np.int64))
+        order = np.argsort(numbers, kind="stable")
+        numbers = numbers[order]
+        first = np.flatnonzero(np.diff(numbers, prepend=-1))
         others: dict[str, int] = {}
-        known, at = self._known, self._at
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            here = known.get(word)
-            if here is None:
-                terms = terms_of(word)
-                here = tuple(at[t] for t in terms if t in at), tuple(t for t in terms if t not in at)
-                if len(known) > _CACHED:
-                    known.clear()
-                if len(word) <= 40:
-                    known[word] = here
-            for k in here[0]:
-                found[k] = found.get(k, 0) + n
-            for t in here[1]:
+        for f, n in zip(found, words.values()):
+            for t in f[1]:
                 others[t] = others.get(t, 0) + n
-        return found, others
+        return numbers[first], np.add.reduceat(times[order], first) if len(first) else first, others
 
 
 class BlockMaxIndex:
     """Exact nearest examples by cosine, blocks of examples at a time.
 
-    ``examples`` are (ids, labels, term numbers, counts). Every block has sparse postings by term,
-    and for every term the largest weight in each block is kept. A query adds up the largest weights,
-    which bounds the cosines of a block, and scores blocks in falling order of that bound until it is
-    below the last neighbour found. Ties go to the smaller id.
+    ``examples`` are (ids, labels, term numbers, counts). Terms of few examples have sparse postings,
+    those of many a dense row of weights, and for every one of these the largest weight in each block
+    is kept. A query adds the postings up; the sums so far, from which comes a floor of the last
+    neighbour's cosine, and the largest weights bound the cosines of a block. Blocks whose bound
+    is below the floor are left out, of the others the dense rows are added. Ties go to the smaller id.
     """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray):
         self.idf = idf
         vectors = [self.weights(t, c) for t, c in zip(terms, counts)]
-        # like stands by like: by the heaviest terms of each
-        order = sorted(range(len(ids)), key=lambda k: (*terms[k][np.argsort(-vectors[k], kind="stable")[:3]].tolist(), int(ids[k])))
+        # like stands by like: by the commonest terms of each, which tell its language
+        order = sorted(range(len(ids)), key=lambda k: (*terms[k][np.argsort(idf[terms[k]], kind="stable")[:8]].tolist(), int(ids[k])))
         self.ids, self.labels = ids[order].astype(np.int64), labels[order].astype(np.float64)
-        n = -(-len(order) // BLOCK)
+        self.blocks = -(-len(order) // BLOCK)
         rows = np.repeat(np.arange(len(order)), [len(terms[k]) for k in order])
         numbers = np.concatenate([np.zeros(0, np.int64), *(terms[k] for k in order)])
         weights = np.concatenate([np.zeros(0), *(vectors[k] for k in order)])
-        cells = rows // BLOCK * len(idf) + numbers
-        by_cell = np.argsort(cells, kind="stable")
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(cells, minlength=n * len(idf)))))
-        self.spots, self.postings = (rows[by_cell] % BLOCK).astype(np.int16), weights[by_cell]
-        self.largest = np.zeros((n, len(idf)), np.float32)
-        # rounded up, so that a bound is one
-        np.maximum.at(self.largest.reshape(-1), cells, np.nextafter(weights.astype(np.float32), np.float32(2)))
+        dense = np.flatnonzero(np.bincount(numbers, minlength=len(idf)) > max(1, len(order) * DENSE_SHARE))
+        self.dense_at = np.full(len(idf), -1, np.int64)
+        self.dense_at[dense] = np.arange(len(dense))
+        at = self.dense_at[numbers]
+        self.dense = np.zeros((len(dense), self.blocks * BLOCK))
+        self.dense[at[at >= 0], rows[at >= 0]] = weights[at >= 0]
+        self.largest = self.dense.reshape(len(dense), self.blocks, BLOCK).max(axis=2) if len(order) else np.zeros((len(dense), 0))
+        rows, numbers, weights = rows[at < 0], numbers[at < 0], weights[at < 0]
+        by_term = np.argsort(numbers, kind="stable")
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(numbers, minlength=len(idf)))))
+        self.rows, self.postings = rows[by_term].astype(np.int32), weights[by_term]
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The unit vector of a text over its terms; zeros stay zeros."""
@@ -106,73 +123,108 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the up to ``k`` nearest examples that share a term; ``without`` leaves a row out."""
-        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms) or not len(self.ids):
-            return rows, cosines
-        bound = self.largest[:, terms] @ weights
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(rows) >= k and bound[block] < cosines[k - 1] - 1e-6:
-                break
-            cells = block * len(self.idf) + terms
-            first, sizes = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
-            at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            found = np.bincount(self.spots[at], self.postings[at] * np.repeat(weights, sizes), BLOCK)
-            good = found > 1e-7
-            if without is not None and without // BLOCK == block:
-                good[without % BLOCK] = False
-            if len(rows) >= k:
-                good &= found > cosines[k - 1] - 1e-5
-            spots = np.flatnonzero(good)
-            rows, cosines = np.concatenate((rows, block * BLOCK + spots)), np.concatenate((cosines, found[spots]))
-            best = np.lexsort((self.ids[rows], -np.round(cosines, 6)))[:k]
-            rows, cosines = rows[best], cosines[best]
-        return rows, np.minimum(cosines, 1.0)
+        return next(self.search([(terms, weights)], k, None if without is None else [without]))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of every query, in order."""
+        sizes = [int((self.starts[t + 1] - self.starts[t]).sum()) for t, _ in queries]
+        at = 0
+        while at < len(queries):
+            to, total = at + 1, sizes[at]
+            while to < len(queries) and to - at < _TEXTS and total + sizes[to] <= _POSTINGS:
+                total += sizes[to]
+                to += 1
+            yield from self._search(queries[at:to], k, without and without[at:to])
+            at = to
+
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m, width = len(queries), self.blocks * BLOCK
+        query = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weights = (np.concatenate(x) for x in zip(*queries))
+        first, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        spots, shares = np.repeat(query * width, sizes) + self.rows[at], self.postings[at] * np.repeat(weights, sizes)
+        sums = (np.bincount(spots, shares, m * width) if len(at) else np.zeros(m * width)).reshape(m, width)
+        known = self.dense_at[terms] >= 0
+        heavy = np.zeros((m, len(self.dense)))
+        heavy[query[known], self.dense_at[terms[known]]] = weights[known]
+        bound = sums.reshape(m, self.blocks, BLOCK).max(axis=2, initial=0) + heavy @ self.largest
+        spare = k + (without is not None)  # the row that is left out may be among the sums
+        floor = np.partition(sums, width - spare, axis=1)[:, width - spare] if width > spare else np.zeros(m)
+        for block in range(self.blocks):
+            some = np.flatnonzero(bound[:, block] >= floor - 1e-5)
+            here = slice(block * BLOCK, (block + 1) * BLOCK)
+            if len(some):
+                sums[some, here] += heavy[some] @ self.dense[:, here]
+        if without is not None:
+            sums[np.arange(m), without] = 0
+        least = np.partition(sums, width - k, axis=1)[:, width - k] if width > k else np.zeros(m)
+        for found, last in zip(sums, least.tolist()):
+            rows = np.flatnonzero(found > max(1e-7, last - 2e-6))
+            cosines = np.round(found[rows], 6)
+            best = np.lexsort((self.ids[rows], -cosines))[:k]
+            yield rows[best], np.minimum(found[rows[best]], 1.0)
 
 
 @dataclass
 class ToxicityModel:
-    terms: list[str]
+    """``names`` are the examples' ids by the index's, which order them by content."""
+
+    vocabulary: Vocabulary
     index: BlockMaxIndex
+    names: list
     share: float
     slope: float = 1.0
     shift: float = 0.0
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
-        """The share of toxic votes, each with the inverse of its distance; one more has the base rate."""
-        weight = 1 / (1.05 - cosines)
+        """The share of toxic votes, which fall with the squared distance from the nearest's cosine
+        to none; one more vote has the share of all examples."""
+        if not len(rows):
+            return self.share
+        weight = (np.round(cosines, 6) / max(round(float(cosines[0]), 6), 1e-6)) ** 2
         return float((weight @ self.index.labels[rows] + self.share) / (weight.sum() + 1))
 
-    def scored(self, near: Column) -> Column:
-        """The calibrated vote of ``near`` (array of structs with cosine and toxic), as ``vote`` has it."""
-        weight = lambda x: 1 / (1.05 - x["cosine"])
-        toxic = F.aggregate(near, F.lit(0.0), lambda total, x: total + weight(x) * x["toxic"])
-        vote = (toxic + self.share) / (F.aggregate(near, F.lit(0.0), lambda total, x: total + weight(x)) + 1)
-        odds = self.slope * F.log(vote / (1 - vote)) + self.shift
-        return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))))
-
-    def calibrate(self, terms: list[np.ndarray], weights: list[np.ndarray], rows: list[int]) -> None:
-        """Logistic regression of the labels on the votes of all but the example itself."""
-        votes = np.array([self.vote(*self.index.nearest(t, w, without=r)) for t, w, r in zip(terms, weights, rows)])
-        labels = self.index.labels[rows]
-        if not len(votes) or labels.min() == labels.max():
-            return
+    def score(self, vote: float) -> float:
+        odds = self.slope * np.log(vote / (1 - vote)) + self.shift
+        return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+        """Logistic regression of the labels on the examples' votes, weighed as often as all labels say."""
         x = np.column_stack((np.log(votes / (1 - votes)), np.ones(len(votes))))
-        theta, keep = np.array([1.0, 0.0]), np.array([1.0, 1.0])
-        for _ in range(25):  # Newton's method, held near slope 1 and shift 0
+        theta, keep = np.array([1.0, 0.0]), np.array([0.01, 0.01])
+        for _ in range(60):  # Newton's method, held near slope 1 and shift 0
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            gradient = x.T @ (labels - p) - keep * (theta - [1.0, 0.0])
-            theta = theta + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(keep), gradient)
+            gradient = x.T @ (weights * (labels - p)) - keep * (theta - [1.0, 0.0])
+            theta = theta + np.linalg.solve(x.T @ (x * (weights * p * (1 - p))[:, None]) + np.diag(keep), gradient)
         self.slope, self.shift = max(float(theta[0]), 0.1), float(theta[1])
 
 
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, toxic) of the labelled ids whose crc32 leaves 1 to 4 modulo 5.
+
+    An id with several labels is toxic if any is 1; rows without id or label are left out.
+    """
+    known = labels.select(F.col(id_col).alias("id"), (F.col(label_col).cast("int") == 1).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
+    return known.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
+
+
 def example_sample(labels: DataFrame, id_col: str, label_col: str, most: int = MOST_EXAMPLES) -> DataFrame:
-    """(id, toxic) of up to ``most`` labelled ids whose crc32 leaves 1 to 4 modulo 5, by hash of the id.
+    """(id, toxic) of up to ``most`` of the labelled ids, by hash of the id.
 
-    An id with several labels is toxic if any says so; rows without id or label are left out.
+    Toxic ones take up to half of the places, and those that the others leave.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    return known.orderBy(F.xxhash64("id"), "id").limit(most)
+    known = labelled(labels, id_col, label_col)
+    toxic, clean = sizes_of(known)
+    places = min(toxic, max(most // 2, most - clean))
+    of = lambda kind, n: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(n)
+    return of(1, places).unionByName(of(0, most - places))
+
+
+def sizes_of(known: DataFrame) -> tuple[int, int]:
+    """Toxic and other rows."""
+    total = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    return total[0], total[1] - total[0]
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
@@ -207,90 +259,105 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(listed, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> tuple[ToxicityModel, DataFrame, int]:
+def fit(texts: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int = MOST_EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[ToxicityModel, DataFrame, int]:
     """The model, the document frequencies of all terms of ``texts`` (id, text), and the number of texts.
 
-    What comes to the driver is bounded by the examples and COMMON_SHARE: the terms of MOST_EXAMPLES
-    examples and the common ones, with their document frequencies, and the examples' vectors.
+    What comes to the driver is bounded by the examples and COMMON_SHARE: the terms of ``most``
+    examples and the common ones, with their document frequencies, and the examples' vectors. Of
+    the rows that repeat an example's id the text with the smallest hash is the example.
     """
-    sample = materialise(example_sample(labels, id_col, label_col), "example-ids")
-    examples = materialise(texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]), "examples")
+    sample = materialise(example_sample(labels, id_col, label_col, most), "example-ids")
+    digest = F.xxhash64("text")
+    examples = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min_by("text", F.struct(digest, "text")).alias("text"))
+    examples = materialise(examples.withColumn("digest", digest), "examples")
     number = texts.count()
-    total = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("a")).first()
-    share = (total.a + PRIOR_SHARE * PRIOR_WEIGHT) / (total.n + PRIOR_WEIGHT)
-    if not 0 < total.a < total.n:
+    toxic, clean = sizes_of(examples)
+    share = (toxic + PRIOR_SHARE * PRIOR_WEIGHT) / (toxic + clean + PRIOR_WEIGHT)
+    if not toxic or not clean:
         nothing = np.zeros(0, np.int64)
-        return ToxicityModel([], BlockMaxIndex(nothing, nothing, [], [], np.zeros(0)), float(share)), texts.sparkSession.createDataFrame([], "term string, n long"), number
+        return ToxicityModel(Vocabulary([]), BlockMaxIndex(nothing, nothing, [], [], np.zeros(0)), [], float(share)), texts.sparkSession.createDataFrame([], "term string, n long"), number
     frequencies = materialise(document_frequencies(texts), "document-frequencies")
     own = document_frequencies(examples).select("term", F.lit(True).alias("own"))
     listed = frequencies.join(own, "term", "left").where(F.col("own") | (F.col("n") > number * COMMON_SHARE)).select("term", "n").orderBy("term").toArrow()
     terms, idf = listed.column(0).to_pylist(), np.log((1 + number) / (1 + listed.column(1).to_numpy()))
-    vocabulary = Vocabulary(terms)
-    ids, labelled, numbers, counts = [], [], [], []
-    for r in examples.orderBy("id").toLocalIterator():
-        found = vocabulary.count(r.text)[0]
-        ids.append(r.id)
-        labelled.append(r.toxic)
-        numbers.append(np.fromiter(found, np.int64, len(found)))
-        counts.append(np.fromiter(found.values(), np.int64, len(found)))
-    index = BlockMaxIndex(np.array(ids, np.int64), np.array(labelled, np.int64), numbers, counts, idf)
-    model = ToxicityModel(terms, index, float(share))
-    row_of = {int(i): k for k, i in enumerate(index.ids)}
-    model.calibrate(numbers, [index.weights(t, c) for t, c in zip(numbers, counts)], [row_of[i] for i in ids])
+    vocabulary, names, kinds, numbers, counts = Vocabulary(terms), [], [], [], []
+    for r in examples.orderBy("digest", "id").toLocalIterator():
+        found = vocabulary.count(r.text)
+        names.append(r.id)
+        kinds.append(r.toxic)
+        numbers.append(found[0])
+        counts.append(found[1])
+    kinds = np.array(kinds, np.int64)
+    index = BlockMaxIndex(np.arange(len(names)), kinds, numbers, counts, idf)
+    model = ToxicityModel(vocabulary, index, names, float(share))
+    rows = np.argsort(index.ids).tolist()
+    near = index.search([(t, index.weights(t, c)) for t, c in zip(numbers, counts)], neighbours, rows)
+    all_toxic, all_clean = sizes_of(labelled(labels, id_col, label_col))
+    weights = np.where(kinds == 1, all_toxic / toxic, all_clean / clean)
+    model.calibrate(np.array([model.vote(*found) for found in near]), kinds, weights / weights.mean())
     return model, frequencies, number
 
 
-def nearest_examples(texts: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(row, id, square, near, others) of every row of ``texts`` (id, text).
+def nearest_examples(texts: DataFrame, model: ToxicityModel, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(row, id, score, square, evidence, others) of every row of ``texts`` (id, text).
 
-    ``near`` has the nearest examples with the cosines of the text's known terms alone, whose
+    ``evidence`` has the nearest examples with the cosines of the text's known terms alone, whose
     squared length is ``square``; ``others`` are the text's other terms, which lengthen its vector
-    and so change the size of its cosines and not their order.
+    and so change the size of its cosines, all by one factor, and neither their order nor the votes.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # postings of MOST_EXAMPLES texts
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # an index of a bounded number of examples
     id_type = texts.schema["id"].dataType.simpleString()
+    example = dict(texts.dtypes)["id"]
+    evidence_type = f"array<struct<id: {example}, cosine: double, toxic: int>>"
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        index, vocabulary = model.index, Vocabulary(model.terms)
-        kinds = [pa.float64(), pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])), pa.list_(pa.struct([("term", pa.string()), ("count", pa.int32())]))]
+        index, vocabulary = model.index, model.vocabulary  # kept by the worker, with the words met so far
         row = TaskContext.get().partitionId() << 40
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            squares, near, rest = [], [], []
-            for text in batch.column(1).to_pylist():
-                found, others = vocabulary.count(text)
-                terms = np.fromiter(found, np.int64, len(found))
-                weights = index.raw_weights(terms, np.fromiter(found.values(), np.int64, len(found)))
+            queries, squares, rest = [], [], []
+            for text in batch.column(1):
+                terms, counts, others = vocabulary.count(text.as_py())
+                weights = index.raw_weights(terms, counts)
                 square = float((weights * weights).sum())
-                rows, cosines = index.nearest(terms, weights / np.sqrt(square)) if square else ((), ())
+                queries.append((terms, weights / np.sqrt(square) if square else weights))
                 squares.append(square)
-                near.append([{"id": int(index.ids[r]), "cosine": float(c), "toxic": int(index.labels[r])} for r, c in zip(rows, cosines)])
-                rest.append([{"term": t, "count": n} for t, n in others.items()] if len(rows) else [])
-            columns = [pa.array(x, kind) for x, kind in zip((squares, near, rest), kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), *columns], ["row", "id", "square", "near", "others"])
+                rest.append(others)
+            near = list(index.search(queries, neighbours))
+            columns = [
+                pa.array(range(row, row + batch.num_rows), pa.int64()),
+                batch.column(0),
+                pa.array([model.score(model.vote(*found)) for found in near], pa.float64()),
+                pa.array(squares, pa.float64()),
+                pa.array([[{"id": model.names[index.ids[r]], "cosine": float(c), "toxic": int(index.labels[r])} for r, c in zip(rows[:EVIDENCE], cosines)] for rows, cosines in near], pa.list_(pa.struct([("id", batch.column(0).type), ("cosine", pa.float64()), ("toxic", pa.int32())]))),
+                pa.array([[{"term": t, "count": n} for t, n in others.items()] if len(found[0]) else [] for others, found in zip(rest, near)], pa.list_(pa.struct([("term", pa.string()), ("count", pa.int32())]))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "score", "square", "evidence", "others"])
             row += batch.num_rows
 
-    return texts.select("id", "text").mapInArrow(searched, f"row long, id {id_type}, square double, near array<struct<id: bigint, cosine: double, toxic: int>>, others array<struct<term: string, count: int>>")
+    return texts.select("id", "text").mapInArrow(searched, f"row long, id {id_type}, score double, square double, evidence {evidence_type}, others array<struct<term: string, count: int>>")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(id, score, evidence array<struct<id, cosine, toxic>>) of every row of ``docs``.
 
-    Null and empty texts, and texts without any term of the examples, get the calibrated base rate
-    and no evidence, and so do all if no label or only one kind of label is known. Repeated rows are
-    scored alike. Of the tables' other columns none is read; an empty table gives an empty result.
+    The model is fitted on up to ``most`` labelled rows and asks ``neighbours`` of them. Null and
+    empty texts, and texts without any term of the examples, get the calibrated base rate and no
+    evidence, and so do all if no label or only one kind of label is known. Repeated rows are
+    scored alike; ties among examples go by their texts' hashes. Of the tables' other columns none is
+    read; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    model, frequencies, number = fit(texts, labels, id_col, label_col)
+    model, frequencies, number = fit(texts, labels, id_col, label_col, most, neighbours)
+    evidence_type = f"array<struct<id: {dict(texts.dtypes)['id']}, cosine: double, toxic: int>>"
     if not len(model.index.ids):
-        none = F.array().cast("array<struct<id: bigint, cosine: double, toxic: int>>")
-        return texts.select("id", model.scored(none).alias("score"), none.alias("evidence"))
-    found = materialise(nearest_examples(texts, model), "nearest-examples")
+        return texts.select("id", F.lit(model.score(model.share)).alias("score"), F.array().cast(evidence_type).alias("evidence"))
+    found = materialise(nearest_examples(texts, model, neighbours), "nearest-examples")
     # a term that isn't common is in few documents, so no key is hot
     others = found.select("row", F.explode("others").alias("o")).select("row", "o.term", "o.count").join(frequencies, "term")
     weight = (1 + F.log("count")) * F.log((1 + number) / (1 + F.col("n")))
     longer = others.groupBy("row").agg(F.sum(weight * weight).alias("more"))
     shrink = F.sqrt(F.col("square") / (F.col("square") + F.coalesce("more", F.lit(0.0))))
-    near = F.transform("near", lambda x: F.struct(x["id"].alias("id"), (x["cosine"] * F.col("shrink")).alias("cosine"), x["toxic"].alias("toxic")))
-    whole = found.drop("others").join(longer, "row", "left").withColumn("shrink", shrink).select("id", near.alias("near"))
-    return whole.select("id", model.scored(F.col("near")).alias("score"), F.slice("near", 1, EVIDENCE).alias("evidence"))
+    evidence = F.transform("evidence", lambda x: F.struct(x["id"].alias("id"), (x["cosine"] * F.col("shrink")).alias("cosine"), x["toxic"].alias("toxic")))
+    whole = found.drop("others").join(longer, "row", "left").withColumn("shrink", shrink)
+    return whole.select("id", "score", evidence.alias("evidence"))

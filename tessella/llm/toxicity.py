@@ -12,11 +12,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,6 @@ class Vocabulary:
         self._at = {t: k for k, t in enumerate(terms)}
         self._known: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
 
-    def __getstate__(self) -> dict:
-        return {"_at": self._at, "_known": {}}
-
     def _terms(self, word: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
         terms, at = terms_of(word), self._at
         found = tuple(at[t] for t in terms if t in at), tuple(t for t in terms if t not in at)
@@ -119,7 +118,7 @@ class BlockMaxIndex:
         return w / size if size else w
 
     def raw_weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(np.maximum(counts, 1))) * self.idf[terms]
+        return (1 + np.log(np.maximum(counts, 1.0, dtype=np.float64))) * self.idf[terms]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the up to ``k`` nearest examples that share a term; ``without`` leaves a row out."""
@@ -168,14 +167,31 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
-    """``names`` are the examples' ids by the index's, which order them by content."""
+    """Examples in the order of their texts' hashes, as counts of terms, one example behind another.
+
+    The vocabulary's tables and the index are made where they are asked for, and not sent along.
+    """
 
-    vocabulary: Vocabulary
-    index: BlockMaxIndex
+    terms: list[str]
+    idf: np.ndarray
     names: list
+    labels: np.ndarray
+    starts: np.ndarray
+    numbers: np.ndarray
+    counts: np.ndarray
     share: float
-    slope: float = 1.0
-    shift: float = 0.0
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "index")}
+
+    @cached_property
+    def vocabulary(self) -> Vocabulary:
+        return Vocabulary(self.terms)
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        cuts = self.starts[1:-1]
+        return BlockMaxIndex(np.arange(len(self.names)), self.labels, np.split(self.numbers, cuts), np.split(self.counts, cuts), self.idf)
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         """The share of toxic votes, which fall with the squared distance from the nearest's cosine
@@ -185,19 +201,16 @@ class ToxicityModel:
         weight = (np.round(cosines, 6) / max(round(float(cosines[0]), 6), 1e-6)) ** 2
         return float((weight @ self.index.labels[rows] + self.share) / (weight.sum() + 1))
 
-    def score(self, vote: float) -> float:
-        odds = self.slope * np.log(vote / (1 - vote)) + self.shift
-        return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-        """Logistic regression of the labels on the examples' votes, weighed as often as all labels say."""
-        x = np.column_stack((np.log(votes / (1 - votes)), np.ones(len(votes))))
-        theta, keep = np.array([1.0, 0.0]), np.array([0.01, 0.01])
-        for _ in range(60):  # Newton's method, held near slope 1 and shift 0
-            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            gradient = x.T @ (weights * (labels - p)) - keep * (theta - [1.0, 0.0])
-            theta = theta + np.linalg.solve(x.T @ (x * (weights * p * (1 - p))[:, None]) + np.diag(keep), gradient)
-        self.slope, self.shift = max(float(theta[0]), 0.1), float(theta[1])
+def calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of a logistic regression of the labels on the examples' votes."""
+    x = np.column_stack((np.log(votes / (1 - votes)), np.ones(len(votes))))
+    theta, keep = np.array([1.0, 0.0]), np.array([0.01, 0.01])
+    for _ in range(60):  # Newton's method, held near slope 1 and shift 0
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        gradient = x.T @ (weights * (labels - p)) - keep * (theta - [1.0, 0.0])
+        theta = theta + np.linalg.solve(x.T @ (x * (weights * p * (1 - p))[:, None]) + np.diag(keep), gradient)
+    return max(float(theta[0]), 0.1), float(theta[1])
 
 
 def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -259,60 +272,102 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(listed, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int = MOST_EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[ToxicityModel, DataFrame, int]:
-    """The model, the document frequencies of all terms of ``texts`` (id, text), and the number of texts.
+@dataclass
+class Fit:
+    """What ``fit`` finds: the shared model (None if only one kind of label is known), the calibration,
+    the document frequencies of all terms, and the number of documents."""
+
+    model: Broadcast | None
+    share: float
+    slope: float
+    shift: float
+    frequencies: DataFrame | None
+    number: int
+
+    def score(self, vote: Column) -> Column:
+        odds = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), self.slope * F.log(vote / (1 - vote)) + self.shift))
+        return 1 / (1 + F.exp(-odds))
+
+
+def example_vectors(examples: DataFrame, terms: list[str]) -> DataFrame:
+    """(digest, id, toxic, numbers, counts) of the examples (id, text, digest, toxic)."""
+    shared = examples.sparkSession.sparkContext.broadcast(terms)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(shared.value)
+        for batch in batches:
+            found = [vocabulary.count(text.as_py()) for text in batch.column(3)]
+            lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["digest", "id", "toxic", "numbers", "counts"])
+
+    types = dict(examples.dtypes)
+    return examples.select("digest", "id", "toxic", "text").mapInArrow(counted, f"digest long, id {types['id']}, toxic {types['toxic']}, numbers array<int>, counts array<int>")
+
+
+def example_votes(examples: DataFrame, shared: Broadcast, neighbours: int) -> DataFrame:
+    """(toxic, vote) of every example, by the votes of all others."""
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        index = model.index
+        place = dict(zip(model.names, np.argsort(index.ids).tolist()))
+        for batch in batches:
+            counted = [model.vocabulary.count(text.as_py())[:2] for text in batch.column(2)]
+            near = index.search([(t, index.weights(t, c)) for t, c in counted], neighbours, [place[i] for i in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([model.vote(*found) for found in near], pa.float64())], ["toxic", "vote"])
+
+    return examples.select("id", "toxic", "text").mapInArrow(voted, f"toxic {dict(examples.dtypes)['toxic']}, vote double")
+
+
+def fit(texts: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int = MOST_EXAMPLES, neighbours: int = NEIGHBOURS) -> Fit:
+    """Fit the model to ``texts`` (id, text) and labels.
 
     What comes to the driver is bounded by the examples and COMMON_SHARE: the terms of ``most``
-    examples and the common ones, with their document frequencies, and the examples' vectors. Of
-    the rows that repeat an example's id the text with the smallest hash is the example.
+    examples and the common ones, with their document frequencies, and the examples' counts. Of
+    the rows that repeat an example's id the text with the smallest hash is the example. Labels weigh in
+    the calibration as often as all labels say, whatever the sample's shares.
     """
+    context = texts.sparkSession.sparkContext
     sample = materialise(example_sample(labels, id_col, label_col, most), "example-ids")
     digest = F.xxhash64("text")
     examples = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min_by("text", F.struct(digest, "text")).alias("text"))
-    examples = materialise(examples.withColumn("digest", digest), "examples")
+    examples = materialise(examples.withColumn("digest", digest).repartition(context.defaultParallelism, "id"), "examples")
     number = texts.count()
     toxic, clean = sizes_of(examples)
     share = (toxic + PRIOR_SHARE * PRIOR_WEIGHT) / (toxic + clean + PRIOR_WEIGHT)
     if not toxic or not clean:
-        nothing = np.zeros(0, np.int64)
-        return ToxicityModel(Vocabulary([]), BlockMaxIndex(nothing, nothing, [], [], np.zeros(0)), [], float(share)), texts.sparkSession.createDataFrame([], "term string, n long"), number
+        return Fit(None, float(share), 1.0, 0.0, None, number)
     frequencies = materialise(document_frequencies(texts), "document-frequencies")
     own = document_frequencies(examples).select("term", F.lit(True).alias("own"))
     listed = frequencies.join(own, "term", "left").where(F.col("own") | (F.col("n") > number * COMMON_SHARE)).select("term", "n").orderBy("term").toArrow()
     terms, idf = listed.column(0).to_pylist(), np.log((1 + number) / (1 + listed.column(1).to_numpy()))
-    vocabulary, names, kinds, numbers, counts = Vocabulary(terms), [], [], [], []
-    for r in examples.orderBy("digest", "id").toLocalIterator():
-        found = vocabulary.count(r.text)
-        names.append(r.id)
-        kinds.append(r.toxic)
-        numbers.append(found[0])
-        counts.append(found[1])
-    kinds = np.array(kinds, np.int64)
-    index = BlockMaxIndex(np.arange(len(names)), kinds, numbers, counts, idf)
-    model = ToxicityModel(vocabulary, index, names, float(share))
-    rows = np.argsort(index.ids).tolist()
-    near = index.search([(t, index.weights(t, c)) for t, c in zip(numbers, counts)], neighbours, rows)
+    found = example_vectors(examples, terms).orderBy("digest", "id").toArrow().combine_chunks()
+    flat = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (found["numbers"], found["counts"])]
+    starts = flat[0].offsets.to_numpy().astype(np.int64)
+    numbers, counts = (x.flatten().to_numpy(zero_copy_only=False) for x in flat)
+    counts = counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32)
+    model = ToxicityModel(terms, idf, found["id"].to_pylist(), found["toxic"].to_numpy(), starts - starts[0], numbers, counts, float(share))
+    shared = context.broadcast(model)
+    votes = example_votes(examples, shared, neighbours).toArrow()
+    kinds = votes["toxic"].to_numpy()
     all_toxic, all_clean = sizes_of(labelled(labels, id_col, label_col))
     weights = np.where(kinds == 1, all_toxic / toxic, all_clean / clean)
-    model.calibrate(np.array([model.vote(*found) for found in near]), kinds, weights / weights.mean())
-    return model, frequencies, number
+    return Fit(shared, float(share), *calibrated(votes["vote"].to_numpy(), kinds, weights / weights.mean()), frequencies, number)
 
 
-def nearest_examples(texts: DataFrame, model: ToxicityModel, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(row, id, score, square, evidence, others) of every row of ``texts`` (id, text).
+def nearest_examples(texts: DataFrame, shared: Broadcast, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(row, id, vote, square, evidence, others) of every row of ``texts`` (id, text).
 
     ``evidence`` has the nearest examples with the cosines of the text's known terms alone, whose
     squared length is ``square``; ``others`` are the text's other terms, which lengthen its vector
     and so change the size of its cosines, all by one factor, and neither their order nor the votes.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # an index of a bounded number of examples
-    id_type = texts.schema["id"].dataType.simpleString()
-    example = dict(texts.dtypes)["id"]
-    evidence_type = f"array<struct<id: {example}, cosine: double, toxic: int>>"
+    id_type = dict(texts.dtypes)["id"]
+    evidence_type = f"array<struct<id: {id_type}, cosine: double, toxic: int>>"
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        index, vocabulary = model.index, model.vocabulary  # kept by the worker, with the words met so far
+        model = shared.value  # kept by the worker, with its index and the words met so far
+        index, vocabulary = model.index, model.vocabulary
         row = TaskContext.get().partitionId() << 40
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             queries, squares, rest = [], [], []
@@ -324,18 +379,19 @@ def nearest_examples(texts: DataFrame, model: ToxicityModel, neighbours: int = N
                 squares.append(square)
                 rest.append(others)
             near = list(index.search(queries, neighbours))
+            evidence = [[{"id": model.names[index.ids[r]], "cosine": float(c), "toxic": int(index.labels[r])} for r, c in zip(rows[:EVIDENCE], cosines)] for rows, cosines in near]
             columns = [
                 pa.array(range(row, row + batch.num_rows), pa.int64()),
                 batch.column(0),
-                pa.array([model.score(model.vote(*found)) for found in near], pa.float64()),
+                pa.array([model.vote(*found) for found in near], pa.float64()),
                 pa.array(squares, pa.float64()),
-                pa.array([[{"id": model.names[index.ids[r]], "cosine": float(c), "toxic": int(index.labels[r])} for r, c in zip(rows[:EVIDENCE], cosines)] for rows, cosines in near], pa.list_(pa.struct([("id", batch.column(0).type), ("cosine", pa.float64()), ("toxic", pa.int32())]))),
+                pa.array(evidence, pa.list_(pa.struct([("id", batch.column(0).type), ("cosine", pa.float64()), ("toxic", pa.int32())]))),
                 pa.array([[{"term": t, "count": n} for t, n in others.items()] if len(found[0]) else [] for others, found in zip(rest, near)], pa.list_(pa.struct([("term", pa.string()), ("count", pa.int32())]))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "score", "square", "evidence", "others"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "vote", "square", "evidence", "others"])
             row += batch.num_rows
 
-    return texts.select("id", "text").mapInArrow(searched, f"row long, id {id_type}, score double, square double, evidence {evidence_type}, others array<struct<term: string, count: int>>")
+    return texts.select("id", "text").mapInArrow(searched, f"row long, id {id_type}, vote double, square double, evidence {evidence_type}, others array<struct<term: string, count: int>>")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -348,16 +404,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     read; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    model, frequencies, number = fit(texts, labels, id_col, label_col, most, neighbours)
+    found = fit(texts, labels, id_col, label_col, most, neighbours)
     evidence_type = f"array<struct<id: {dict(texts.dtypes)['id']}, cosine: double, toxic: int>>"
-    if not len(model.index.ids):
-        return texts.select("id", F.lit(model.score(model.share)).alias("score"), F.array().cast(evidence_type).alias("evidence"))
-    found = materialise(nearest_examples(texts, model, neighbours), "nearest-examples")
+    if found.model is None:
+        return texts.select("id", found.score(F.lit(found.share)).alias("score"), F.array().cast(evidence_type).alias("evidence"))
+    near = materialise(nearest_examples(texts, found.model, neighbours), "nearest-examples")
     # a term that isn't common is in few documents, so no key is hot
-    others = found.select("row", F.explode("others").alias("o")).select("row", "o.term", "o.count").join(frequencies, "term")
-    weight = (1 + F.log("count")) * F.log((1 + number) / (1 + F.col("n")))
+    others = near.select("row", F.explode("others").alias("o")).select("row", "o.term", "o.count").join(found.frequencies, "term")
+    weight = (1 + F.log("count")) * F.log((1 + found.number) / (1 + F.col("n")))
     longer = others.groupBy("row").agg(F.sum(weight * weight).alias("more"))
     shrink = F.sqrt(F.col("square") / (F.col("square") + F.coalesce("more", F.lit(0.0))))
     evidence = F.transform("evidence", lambda x: F.struct(x["id"].alias("id"), (x["cosine"] * F.col("shrink")).alias("cosine"), x["toxic"].alias("toxic")))
-    whole = found.drop("others").join(longer, "row", "left").withColumn("shrink", shrink)
-    return whole.select("id", "score", evidence.alias("evidence"))
+    whole = near.drop("others").join(longer, "row", "left").withColumn("shrink", shrink)
+    return whole.select("id", found.score(F.col("vote")).alias("score"), evidence.alias("evidence"))

@@ -221,11 +221,11 @@ def _encoder(path: str, pattern: str) -> tuple[PrefixBpe, CachedEncoder]:
         def encode_text(text: str) -> bytes:
             return b"".join([array("I", bpe.encode(p.encode())).tobytes() for p in split(text)])
 
-        _loaded[path, pattern] = bpe, CachedEncoder(lambda words: [encode_text(" " + w) for w in words], encode_text)
+        _loaded[path, pattern] = bpe, CachedEncoder(lambda words: [encode_text(" " + w) for w in words], lambda texts: [encode_text(t) for t in texts])
     return _loaded[path, pattern]
 
 
-#: Rows that are turned into ids at once within a task; bounds a worker's memory.
+#: Rows that are turned into ids at once within a task, fewer if their texts are long; bounds a worker's memory.
 _ROWS = 512
 
 
@@ -241,7 +241,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str | None = Non
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = _encoder(vocabulary, pattern)
-        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+        for batch in (part for b in batches for part in slices(b, 1, _ROWS)):
             ids, ends = encoder.batch(batch.column(1))
             columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))]
             if decoded:

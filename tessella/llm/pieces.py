@@ -48,7 +48,7 @@ class CachedEncoder:
     A text is cut before each single space that a visible character follows. No match of a byte-level
     splitting pattern reaches across such a place, so these words have ids of their own, and each
     different word of a batch is looked up once. ``encode_words`` maps a list of words, each behind a
-    space, to their ids as little-endian strings; ``encode_text`` takes a text as a whole, which is
+    space, to their ids as little-endian strings; ``encode_texts`` takes texts as wholes, which is
     for those in which spaces stand otherwise, and for what comes before the first space. When
     the table of words is full it becomes the old one and a new one is begun; words that are met
     again move over.
@@ -57,8 +57,8 @@ class CachedEncoder:
     #: A space before any white space of Unicode, or at the end.
     _gap = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes]):
-        self._encode_words, self._encode_text = encode_words, encode_text
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_texts: Callable[[list[str]], list[bytes]]):
+        self._encode_words, self._encode_texts = encode_words, encode_texts
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -93,11 +93,12 @@ class CachedEncoder:
         codes = different.indices.to_numpy().astype(np.int64)
         parts = self._ids(different.dictionary.to_pylist())
         codes[offsets[:-1]] = np.arange(len(parts), len(parts) + len(texts))
-        parts += [self._encode_text(t) for t in heads.to_pylist()]
+        parts += self._encode_texts(heads.to_pylist())
         table = np.frombuffer(b"".join(parts), "<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes
         lengths = sizes[codes]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        ids = table[np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+        kind = np.int32 if ends[-1] < 2**31 and len(table) < 2**31 else np.int64
+        ids = table[np.repeat((starts[codes] - ends[:-1]).astype(kind), lengths) + np.arange(ends[-1], dtype=kind)]
         return ids, ends[offsets]

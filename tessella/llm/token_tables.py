@@ -68,6 +68,8 @@ class ShardWriter:
         self._block, self._size, self._restarts, self._count, self._first, self._before = [], 0, [], 0, None, b""
 
     def add(self, identifier: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> (8 * self._id_bytes):
+            raise ValueError(f"id {int(ids.max())} doesn't fit in {self._id_bytes} bytes")
         key, value, before = key_of(identifier), ids.astype(f"<u{self._id_bytes}").tobytes(), self._before
         if self._keys and key < self._keys[-1]:
             raise ValueError("identifiers have to come in ascending order")
@@ -234,7 +236,10 @@ def library_encoder(path: str, added_tokens: bool = False) -> CachedEncoder | Wh
             data, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
             return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-        encoder = CachedEncoder(encode_words, lambda text: encode_text(text).tobytes() if text else b"")
+        def encode_texts(texts: list[str]) -> list[bytes]:
+            return [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+        encoder = CachedEncoder(encode_words, encode_texts)
         if added_tokens:
 
             def encode_whole(text: str) -> np.ndarray:

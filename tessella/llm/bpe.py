@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .pieces import CachedEncoder, default_pattern, read_ranks
+from .pieces import CachedEncoder, default_pattern, read_ranks, slices
 
 #: Entries that the tables of prefixes and of token pairs hold at most.
 _REMEMBERED = 300_000

@@ -3,6 +3,8 @@
 The distinct keys of lines, as 128-bit hashes, are dealt to shards. A shard is a minimal perfect
 hash with three arrays in its order: fingerprints, numbers of documents, and the smallest document
 (the owner). Documents' line hashes are sent to their shard's arrays; no line is joined to another.
+A shard that many lines ask for, such as that of a line in a third of all documents, is asked by
+several tasks, each of which loads its arrays.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import WHITE_SPACE, get_file, materialise, new_path, put_file, text_or_empty
+from .pieces import slices
 
 SHORTEST, DOCUMENTS = 10, 2
 #: Keys of a shard, about; the number of shards follows from it.
 KEYS_PER_SHARD = 1 << 16
-#: A null identifier counts as one document, behind all others.
+#: Stands for a null identifier where one has to stand; what it stands for is told by a column beside it.
 NO_ID = (1 << 63) - 1
 
 
@@ -53,42 +57,47 @@ class PerfectHash:
     gets any index, or -1.
     """
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        sizes = [0, *(int(x.sum()) for x in levels)]
-        self._base = np.cumsum(sizes)
-        self._ranks = [np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[:-1] for x in levels]
+    def __init__(self, sizes: list[int], words: list[np.ndarray]):
+        """Of each level the number of its bits, and the bits in words of 64."""
+        self.sizes, self.words = sizes, words
+        counts = [np.bitwise_count(w).astype(np.uint32) for w in words]
+        self._base = np.cumsum([0, *(int(c.sum()) for c in counts)])
+        self._before = [np.cumsum(c, dtype=np.uint32) - c for c in counts]
 
     @classmethod
     def build(cls, numbers: np.ndarray) -> PerfectHash:
-        levels, left = [], np.asarray(numbers, np.uint64)
+        sizes, words, left = [], [], np.asarray(numbers, np.uint64)
         while len(left):
-            if len(levels) > 200:
+            if len(words) > 200:
                 raise ValueError("the numbers aren't distinct")
-            size = max(64, 2 * len(left))
-            spot = (_mixed(left, len(levels)) % np.uint64(size)).astype(np.int64)
+            size = max(64, -(-2 * len(left) // 64) * 64)
+            spot = (_mixed(left, len(words)) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(spot, minlength=size) == 1
-            levels.append(alone)
+            sizes.append(size)
+            words.append(np.packbits(alone, bitorder="little").view("<u8"))
             left = left[~alone[spot]]
-        return cls(levels)
+        return cls(sizes, words)
 
     def __len__(self) -> int:
         return int(self._base[-1])
 
     def index(self, numbers: np.ndarray) -> np.ndarray:
-        found, todo = np.full(len(numbers), -1, np.int64), np.arange(len(numbers))
-        for level, (bits, ranks) in enumerate(zip(self.levels, self._ranks)):
+        found, todo, one = np.full(len(numbers), -1, np.int64), np.arange(len(numbers)), np.uint64(1)
+        for level, (size, words, before) in enumerate(zip(self.sizes, self.words, self._before)):
             if not len(todo):
                 break
-            spot = (_mixed(numbers[todo], level) % np.uint64(len(bits))).astype(np.int64)
-            here = bits[spot]
-            found[todo[here]] = self._base[level] + ranks[spot[here]]
+            spot = _mixed(numbers[todo], level) % np.uint64(size)
+            word, bit = (spot >> np.uint64(6)).astype(np.int64), spot & np.uint64(63)
+            bits = words[word]
+            here = (bits >> bit & one).astype(bool)
+            below = np.bitwise_count(bits[here] & ((one << bit[here]) - one))
+            found[todo[here]] = self._base[level] + before[word[here]] + below
             todo = todo[~here]
         return found
 
 
 class LineShard:
-    """The arrays of one shard, stored as a whole."""
+    """The arrays of one shard, stored as a whole: fingerprints and counts of 32 bits, owners of 64."""
 
     def __init__(self, table: PerfectHash, prints: np.ndarray, counts: np.ndarray, owners: np.ndarray):
         self.table, self.prints, self.counts, self.owners = table, prints, counts, owners
@@ -98,8 +107,8 @@ class LineShard:
         """``high`` and ``low`` are the halves of the hashes; halves that collide are folded apart."""
         table = PerfectHash.build(_folded(high, low))
         at = table.index(_folded(high, low))
-        shard = cls(table, np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint32), np.zeros(len(at), np.int64))
-        shard.prints[at], shard.counts[at], shard.owners[at] = low, np.minimum(counts, 2**32 - 1), owners
+        shard = cls(table, np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint32), np.zeros(len(at), np.int64))
+        shard.prints[at], shard.counts[at], shard.owners[at] = _print(low), np.minimum(counts, 2**32 - 1), owners
         return shard
 
     def probe(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,20 +116,24 @@ class LineShard:
         at = self.table.index(_folded(high, low))
         if not len(self.prints):
             return np.zeros(len(at), np.uint32), np.zeros(len(at), np.int64)
-        known = (at >= 0) & (self.prints[at] == low)
+        known = (at >= 0) & (self.prints[at] == _print(low))
         return np.where(known, self.counts[at], 0), self.owners[at]
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        levels = [np.packbits(x) for x in self.table.levels]
-        np.savez(out, sizes=np.array([len(x) for x in self.table.levels], np.int64), prints=self.prints, counts=self.counts, owners=self.owners, **{f"level{k}": x for k, x in enumerate(levels)})
+        levels = {f"level{k}": x for k, x in enumerate(self.table.words)}
+        np.savez(out, sizes=np.array(self.table.sizes, np.int64), prints=self.prints, counts=self.counts, owners=self.owners, **levels)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> LineShard:
         with np.load(io.BytesIO(data)) as f:
-            levels = [np.unpackbits(f[f"level{k}"], count=int(n)).astype(bool) for k, n in enumerate(f["sizes"])]
-            return cls(PerfectHash(levels), f["prints"], f["counts"], f["owners"])
+            sizes = f["sizes"].tolist()
+            return cls(PerfectHash(sizes, [f[f"level{k}"] for k in range(len(sizes))]), f["prints"], f["counts"], f["owners"])
+
+
+def _print(low: np.ndarray) -> np.ndarray:
+    return (low.astype(np.uint64) >> np.uint64(32)).astype(np.uint32)
 
 
 def _folded(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -128,28 +141,32 @@ def _folded(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST) -> DataFrame:
-    """(id, high, low) for each different line key of each row that has ``shortest`` code points."""
+    """(id, digest, high, low) for each different line key of each row that has ``shortest`` code points."""
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
-            ids, digests = [], []
-            for identifier, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in (part for b in batches for part in slices(b, 2, 1024)):
+            rows, digests = [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 found = {line_hash(k) for k in {key_of(line) for line in text.split("\n")} if len(k) >= shortest}
-                ids += [identifier] * len(found)
+                rows += [row] * len(found)
                 digests += found
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["id", "high", "low"])
+            halves, rows = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["id", "digest", "high", "low"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(hashed, "id long, high long, low long")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return rows.mapInArrow(hashed, f"id {id_type}, digest long, high long, low long")
 
 
 def build_shards(lines: DataFrame, folder: str, shards: int) -> DataFrame:
     """Write the arrays of each shard to ``folder`` and return (shard, path, keys)."""
-    counted = lines.groupBy("high", "low").agg(F.count("*").alias("rows"), F.min("id").alias("owner"), F.max("id").alias("last"))
-    # rows of one identifier are one document; where several hold a line, its rows are counted
-    counted = counted.withColumn("n", F.when(F.col("owner") == F.col("last"), F.lit(1)).otherwise(F.col("rows")))
-    dealt = counted.select(F.pmod("high", F.lit(shards)).cast("int").alias("shard"), "high", "low", "n", "owner")
+    counted = lines.groupBy("high", "low").agg(F.count("*").alias("rows"), F.count("id").alias("named"), F.min("id").alias("owner"), F.max("id").alias("last"))
+    # rows of one identifier, or of none, are one document; where several hold a line, its rows are
+    # counted, and one of them has an identifier, so that the owner is known
+    one = F.col("owner").isNull() | ((F.col("owner") == F.col("last")) & (F.col("named") == F.col("rows")))
+    counted = counted.withColumn("n", F.when(one, F.lit(1)).otherwise(F.col("rows")))
+    dealt = counted.select(F.pmod("high", F.lit(shards)).cast("int").alias("shard"), "high", "low", "n", F.coalesce(F.col("owner").cast("long"), F.lit(NO_ID)).alias("owner"))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         shard = int(part["shard"].iloc[0])
@@ -162,15 +179,19 @@ def build_shards(lines: DataFrame, folder: str, shards: int) -> DataFrame:
 
 
 def probe_shards(lines: DataFrame, folder: str, shards: int, documents: int = DOCUMENTS) -> DataFrame:
-    """The rows (id, high, low) whose line some other, smaller document holds, by the shards' arrays.
+    """The rows (id, digest, high, low) whose line some other, smaller document holds, by the shards' arrays.
 
-    Rows come to a task shard by shard and stream past that shard's arrays.
+    Rows come to a task shard by shard and stream past that shard's arrays. The rows of a shard are
+    rebalanced: adaptive execution gives those of a hot one to several tasks.
     """
+    id_type = dict(lines.dtypes)["id"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, table = None, None
         for batch in batches:
-            shard, ids, high, low = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            shard, high, low = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3, 4))
+            none = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -178,12 +199,13 @@ def probe_shards(lines: DataFrame, folder: str, shards: int, documents: int = DO
                 if shard[a] != at:
                     at, table = shard[a], LineShard.load(get_file(f"{folder}/lines-{shard[a]:08d}.npz"))
                 count, owner = table.probe(high[a:b].view(np.uint64), low[a:b].view(np.uint64))
-                gone = np.flatnonzero((count >= documents) & (owner != ids[a:b])) + a
+                gone = np.flatnonzero((count >= documents) & (none[a:b] | (owner != ids[a:b]))) + a
                 if len(gone):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (ids, high, low)], ["id", "high", "low"])
+                    part = pa.RecordBatch.from_arrays(batch.columns[1:], ["id", "digest", "high", "low"])
+                    yield part.take(pa.array(gone))
 
-    dealt = lines.select(F.pmod("high", F.lit(shards)).cast("int").alias("shard"), "id", "high", "low")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(probe, "id long, high long, low long")
+    dealt = lines.select(F.pmod("high", F.lit(shards)).cast("int").alias("shard"), "id", "digest", "high", "low")
+    return dealt.hint("rebalance", F.col("shard")).sortWithinPartitions("shard").mapInArrow(probe, f"id {id_type}, digest long, high long, low long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, documents: int = DOCUMENTS) -> DataFrame:
@@ -192,33 +214,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key is the line stripped of white space, A-Z in lower case. Keys of ``shortest`` or more
     code points that ``documents`` or more documents hold stay in the smallest of these only, with all
     their lines there. Null and empty texts are one empty line. Rows of one identifier are one
-    document; null is one, behind all others. Other columns are not read; an empty table gives an
-    empty result.
+    document; null is one, behind all others. Identifiers are whole numbers; others raise ValueError.
+    Other columns are not read; an empty table gives an empty result.
 
-    Keys that very many rows hold (at most eight per partition can, by their share) are looked up in
-    a broadcast table of that bounded size, so that no shard gets more than its part of the rows.
+    What is gone is grouped by row, that is by identifier and text, so that neither a repeated nor a
+    null identifier gathers lines of many rows.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"the identifiers in {id_col} aren't whole numbers")
     lines = line_hashes(docs, id_col, text_col, shortest)
-    lines = materialise(lines if documents <= 2 else lines.distinct(), "line-hashes")
+    lines = materialise(lines, "line-hashes")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = lines.count()
-    shards, folder = max(4 * partitions, -(-total // KEYS_PER_SHARD)), new_path(spark, "line-shards")
-    often = max(2 * documents, total // (8 * partitions))
-    hot = materialise(lines.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("id").alias("owner"), F.max("id").alias("last")).where((F.col("n") > often) & (F.col("owner") < F.col("last"))), "hot-lines")
-    built = build_shards(lines, folder, shards)
-    materialise(built, "shards")
-    with_hot = lines.join(F.broadcast(hot.select("high", "low", "owner")), ["high", "low"], "left")
-    from_hot = with_hot.where(F.col("owner") < F.col("id")).select("id", "high", "low")
-    from_shards = probe_shards(with_hot.where("owner IS NULL").select("id", "high", "low"), folder, shards, documents)
-    gone = from_hot.unionByName(from_shards).distinct()
-    gone = materialise(gone.groupBy("id").agg(F.collect_list(F.struct("high", "low")).alias("gone")), "gone-lines")
+    shards, folder = max(4 * partitions, -(-lines.count() // KEYS_PER_SHARD)), new_path(spark, "line-shards")
+    # with two documents it is enough that the smallest and the largest identifier differ
+    once = lines if documents <= 2 else lines.select("id", "high", "low").distinct()
+    materialise(build_shards(once, folder, shards), "shards")
+    gone = probe_shards(lines, folder, shards, documents)
+    gone = materialise(gone.groupBy("id", "digest").agg(F.collect_set(F.struct("high", "low")).alias("gone")), "gone-lines")
 
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_lines", "n_dropped", "text"]
-        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+        for batch in (part for b in batches for part in slices(b, 1, 1024)):
             counts, texts = [], []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 all_lines = text.split("\n")
@@ -229,6 +248,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = np.array(counts, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy()), pa.array(texts, pa.string())], names)
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"))
-    joined = rows.join(gone.withColumnRenamed("id", "key"), "key", "left").select("id", "text", "gone")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    named = gone.withColumnsRenamed({"id": "gone_id", "digest": "gone_digest"})
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
+    joined = rows.join(named, same, "left").select("id", "text", "gone")
     return joined.mapInArrow(keep, f"id {id_type}, n_lines long, n_dropped long, text string")

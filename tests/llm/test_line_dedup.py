@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tessella.llm import line_dedup
 
@@ -54,3 +55,24 @@ def test_lines_stay_where_they_come_first(spark):
     got = line_dedup.dedup_lines(docs).collect()
     assert sorted(str((r.id, r.n_lines, r.n_dropped, r.text)) for r in got) == slow(rows)
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_null_and_largest_identifiers_are_documents_of_their_own(spark):
+    largest = (1 << 63) - 1
+    rows = [(largest, "a line both of them hold"), (None, "a line both of them hold\nother"), (None, "only in rows without id\nx"), (None, "only in rows without id\ny")]
+    rows += [(None, f"a hot line in every row\nrow {k} of many null ones") for k in range(300)] + [(5, "A hot line in every row ")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r.id is None, r.id or 0, r.text, r.n_dropped) for r in got)
+    expected = [(False, 5, "A hot line in every row ", 0), (False, largest, "a line both of them hold", 0), (True, 0, "other", 1), (True, 0, "only in rows without id\nx", 0), (True, 0, "only in rows without id\ny", 0)]
+    assert found == sorted(expected + [(True, 0, f"row {k} of many null ones", 1) for k in range(300)])
+
+
+def test_three_documents_and_repeated_identifiers(spark):
+    rows = [(1, "shared by two of them\nshared by all three"), (1, "shared by two of them"), (2, "shared by two of them\nshared by all three"), (3, "shared by all three")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string"), documents=3).collect()
+    assert sorted((r.id, r.text) for r in got) == [(1, rows[1][1]), (1, rows[0][1]), (2, "shared by two of them"), (3, "")]
+
+
+def test_identifiers_that_are_not_numbers_raise(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        line_dedup.dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

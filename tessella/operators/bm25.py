@@ -1,22 +1,35 @@
-"""BM25 per domain: an inverted index as tables, and searches as joins with it."""
+"""BM25 per domain: tokenized chunks and term statistics as tables, searched chunk by chunk.
+
+A search scores chunks where they are read, against blocks of queries, and passes on no more than the
+best of each batch; only these are shuffled.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions.text import tokens
 from ..storage import stored
+from .blocks import ROWS, best_rows, query_blocks, read_block
+
+#: Hits of terms that are added up at once.
+_HITS = 1 << 21
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``postings``: domain, chunk_id, term, tf, dl. ``terms``: domain, term, df, idf. ``domains``: domain, n, avgdl."""
+    """``chunks``: chunk_id, domain, t (tokens). ``terms``: domain, term, df, idf. ``domains``: domain, n, avgdl."""
 
-    postings: DataFrame
+    chunks: DataFrame
     terms: DataFrame
     domains: DataFrame
 
@@ -24,31 +37,90 @@ class Bm25Index:
 def build_index(chunks: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> Bm25Index:
     """Index ``chunks`` (chunk_id, domain, content); statistics never cross domains.
 
-    Terms are counted where their chunk is read, so a posting is shuffled once at most. A negative
-    idf becomes ``epsilon`` times the mean idf of the domain's vocabulary. Empty texts count as chunks.
+    Texts are tokenized once. A negative idf becomes ``epsilon`` times the mean idf of the domain's
+    vocabulary. Empty texts count as chunks. Null domains are none of the domains.
     """
-    listed = chunks.select("chunk_id", "domain", tokens(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
-    domains = listed.groupBy("domain").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = stored(listed.select("domain", "chunk_id", "dl", F.explode("t").alias("term")).groupBy("domain", "chunk_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    domains = stored(domains, "domains")
-    counted = postings.groupBy("domain", "term").agg(F.count("*").alias("df")).join(F.broadcast(domains), "domain")
+    listed = stored(chunks.select("chunk_id", "domain", tokens(F.col("content")).alias("t")), "tokenized")
+    domains = stored(listed.groupBy("domain").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")), "domains")
+    counted = listed.select("domain", F.explode(F.array_distinct("t")).alias("term")).groupBy("domain", "term").agg(F.count("*").alias("df")).join(domains, "domain")
     plain = counted.withColumn("plain", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     plain = stored(plain.select("domain", "term", "df", "plain"), "terms")
     means = plain.groupBy("domain").agg(F.avg("plain").alias("mean"))
     idf = F.when(F.col("plain") < 0, config.epsilon * F.col("mean")).otherwise(F.col("plain"))
-    return Bm25Index(postings, plain.join(F.broadcast(means), "domain").select("domain", "term", "df", idf.alias("idf")), domains)
+    return Bm25Index(listed, plain.join(means, "domain").select("domain", "term", "df", idf.alias("idf")), domains)
+
+
+@dataclass(frozen=True)
+class _Block:
+    """Queries of a file: their terms, and of each domain avgdl, where each term's queries begin, and these with weights."""
+
+    ids: np.ndarray
+    terms: pa.Array
+    domains: dict[str, tuple[float, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def score(index: Bm25Index, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """(query_id, domain, chunk_id, score) of every chunk that shares a term with a query (query_id, question).
+@lru_cache(maxsize=2)
+def _block(uri: str) -> _Block:
+    rows = read_block(uri)
+    terms = pc.unique(rows["term"])
+    ids, query = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+    code, weight = pc.index_in(rows["term"], value_set=terms).to_numpy(), rows["weight"].to_numpy()
+    domain, found = np.array(rows["domain"].to_pylist(), object), {}
+    for name in dict.fromkeys(domain.tolist()):
+        here = np.flatnonzero(domain == name)
+        here = here[np.argsort(code[here], kind="stable")]
+        starts = np.concatenate(([0], np.cumsum(np.bincount(code[here], minlength=len(terms)))))
+        found[name] = float(rows["avgdl"][int(here[0])].as_py()), starts, query[here], weight[here]
+    return _Block(ids, terms, found)
 
-    A term that a query has twice counts twice. Only the queries' terms are read from the postings.
+
+def search(index: Bm25Index, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(query_id, domain, chunk_id, score, rank): the best chunks of each query (query_id, question) and domain.
+
+    Only chunks that share a term with a query are found, and of these only those with a score above
+    0. A term that a query has twice counts twice. Ties go by chunk_id.
     """
     wanted = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = index.postings.join(wanted.join(index.terms, "term"), ["domain", "term"]).join(F.broadcast(index.domains), "domain")
-    tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "domain", "chunk_id").agg(F.sum(part).alias("score"))
+    weighed = wanted.join(index.terms, "term").join(index.domains.select("domain", "avgdl"), "domain")
+    files = query_blocks(weighed.select(F.col("query_id").cast("long").alias("query_id"), "domain", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl"), "query-terms")
+    k, k1, b = config.per_source, config.k1, config.b
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
+            chunk_ids, listed = batch.column(0).to_numpy(), batch.column(2)
+            domain, offsets, flat = np.array(batch.column(1).to_pylist(), object), listed.offsets.to_numpy(), listed.flatten()
+            lengths = np.diff(offsets)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            for block in map(_block, files):
+                code = pc.index_in(flat, value_set=block.terms).fill_null(-1).to_numpy()
+                known = code >= 0
+                cells, tf = np.unique(row[known] * len(block.terms) + code[known], return_counts=True)
+                rows, codes = np.divmod(cells, max(1, len(block.terms)))
+                for name, (avgdl, starts, query, weight) in block.domains.items():
+                    members = np.flatnonzero(domain == name)
+                    place = np.full(len(domain), -1)
+                    place[members] = np.arange(len(members))
+                    mine = place[rows] >= 0
+                    r, c, n = place[rows[mine]], codes[mine], tf[mine]
+                    part = n * (k1 + 1) / (n + k1 * (1 - b + b * lengths[members[r]] / avgdl))
+                    sizes = starts[c + 1] - starts[c]
+                    total, scores, seen = np.cumsum(sizes), np.zeros(len(members) * len(block.ids)), np.zeros(len(members) * len(block.ids), bool)
+                    at = 0
+                    while at < len(c):
+                        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _HITS, side="right")))
+                        s = sizes[at:to]
+                        hit = np.repeat(starts[c[at:to]] - (np.cumsum(s) - s), s) + np.arange(s.sum())
+                        spot = np.repeat(r[at:to] * len(block.ids), s) + query[hit]
+                        scores += np.bincount(spot, np.repeat(part[at:to], s) * weight[hit], len(scores))
+                        seen[spot] = True
+                        at = to
+                    scores[~seen] = -np.inf
+                    scores = scores.reshape(len(members), len(block.ids))
+                    q, m = best_rows(scores, chunk_ids[members], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array([name] * len(q), pa.string()), pa.array(chunk_ids[members[m]]), pa.array(scores[m, q])], ["query_id", "domain", "chunk_id", "score"])
+
+    found = index.chunks.where("domain IS NOT NULL").mapInArrow(best, "query_id long, domain string, chunk_id long, score double")
+    return top_k(found, k, positive=True)
 
 
 def top_k(scores: DataFrame, k: int, positive: bool = False) -> DataFrame:
@@ -59,7 +131,3 @@ def top_k(scores: DataFrame, k: int, positive: bool = False) -> DataFrame:
     order = Window.partitionBy("query_id", "domain").orderBy(F.round("score", 9).desc(), "chunk_id")
     best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.where("score > 0") if positive else best
-
-
-def search(index: Bm25Index, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    return top_k(score(index, queries, config), config.per_source, positive=True)

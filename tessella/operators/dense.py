@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
+from .blocks import BLOCK, ROWS, best_rows, query_blocks, read_block
 from .bm25 import top_k
 
-#: Queries of a block: their vectors are what a task holds besides its batch.
-BLOCK = 2048
-
 
 def normalised(vector: Column) -> Column:
     """The vector at length 1, in doubles; a zero vector stays."""
@@ -31,38 +30,35 @@ def dimension(vectors: DataFrame, column: str = "embedding") -> int | None:
     return row.low
 
 
+@lru_cache(maxsize=2)
+def _block(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = read_block(uri)
+    return rows["query_id"].to_numpy(), np.array(rows["v"].to_pylist(), np.float64)
+
+
 def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
     """(query_id, domain, chunk_id, score, rank): exact cosine top k of ``queries`` (query_id, embedding).
 
-    ``vectors`` has chunk_id, domain and embedding. Queries come in blocks of bounded size; each goes
-    to all tasks, which multiply it with a batch of vectors at a time and pass on the batch's
-    best ``per_source`` of each query and domain. A null vector has no neighbours.
+    ``vectors`` has chunk_id, domain and embedding. The tasks that read the vectors stream through
+    stored blocks of queries, multiply them, and pass on each batch's best ``per_source`` of each
+    query and domain. A null vector has no neighbours.
     """
-    k, spark = config.per_source, vectors.sparkSession
-    listed = queries.where("embedding IS NOT NULL").select("query_id", normalised(F.col("embedding")).alias("v")).orderBy("query_id")
+    k = config.per_source
+    asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), normalised(F.col("embedding")).alias("v"))
+    files = query_blocks(asked, "query-vectors", block)
     rows = vectors.where("embedding IS NOT NULL").select("chunk_id", "domain", normalised(F.col("embedding")).alias("v"))
-    out, part, parts = None, [], []
-    for row in listed.toLocalIterator():
-        part.append(row)
-        if len(part) == block:
-            parts, part = [*parts, part], []
-    for part in [*parts, *([part] if part else [])]:
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in part], np.int64), np.array([r.v for r in part], np.float64)))
 
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for batch in batches:
-                chunk, domain = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), object)
-                v = np.array(batch.column(2).to_pylist(), np.float64).reshape(len(chunk), -1)
-                for name in {*domain.tolist()}:
-                    here = np.flatnonzero(np.array([x == name for x in domain]))
-                    scores = q @ v[here].T
-                    for i in range(len(ids)):
-                        top = np.lexsort((chunk[here], -np.round(scores[i], 9)))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[i])), pa.array([name] * len(top), pa.string()), pa.array(chunk[here][top]), pa.array(scores[i][top])], ["query_id", "domain", "chunk_id", "score"])
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
+            chunk_ids, domain = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            v = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for ids, q in map(_block, files):
+                if not len(ids):
+                    continue
+                for name in dict.fromkeys(domain.tolist()):
+                    here = np.flatnonzero(domain == name)
+                    scores = v[here] @ q.T
+                    columns, found = best_rows(scores, chunk_ids[here], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[columns]), pa.array([name] * len(columns), pa.string()), pa.array(chunk_ids[here[found]]), pa.array(scores[found, columns])], ["query_id", "domain", "chunk_id", "score"])
 
-        found = rows.mapInArrow(best, "query_id long, domain string, chunk_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, domain string, chunk_id long, score double")
-    return top_k(out, k)
+    return top_k(rows.mapInArrow(best, "query_id long, domain string, chunk_id long, score double"), k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, nodes, orchestrate, rerank, wiki
-from ..storage import stored
+from ..storage import spread, stored
 
 #: The domains in their order, with allocations of the fused list.
 DOMAINS = [("en", 0, 4), ("fr", 1, 3), ("de", 2, 2), ("es", 3, 1)]
@@ -19,7 +19,7 @@ ABSTENTIONS = ["cannot answer", "do not know", "not enough information"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

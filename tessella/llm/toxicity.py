@@ -8,24 +8,23 @@ calibrated on the examples themselves, each left out of its own vote.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
+from .pieces import slices
 
 #: Default bound of the fit: labelled examples (a sample by hash of the id, toxic ones first, up to half).
-MOST_EXAMPLES = 6000
+MOST_EXAMPLES = 4000
 #: Beginnings of words of so many letters are terms, too.
 BEGINNINGS = (4, 5, 6, 7)
 #: Terms in more than this share of the documents are known to every task, as are those of the examples.
@@ -33,50 +32,59 @@ COMMON_SHARE = 1 / 1000
 NEIGHBOURS, EVIDENCE = 300, 5
 #: Examples of a block; terms in this share of the examples have dense rows of weights instead of postings.
 BLOCK, DENSE_SHARE = 512, 1 / 12
-#: Texts and postings that a search holds at once.
-_TEXTS, _POSTINGS = 128, 1 << 20
+#: Texts that are counted at once, and texts and postings that a search holds at once.
+_ROWS, _TEXTS, _POSTINGS = 2048, 128, 1 << 20
 #: A share of toxic examples and its weight in examples, for when there are few or none.
 PRIOR_SHARE, PRIOR_WEIGHT = 0.1, 5.0
-_WORD = re.compile(r"[^\W\d_]+")
-#: Words whose terms a task remembers, and terms that it counts before it passes them on.
-_CACHED, _COUNTED = 200_000, 300_000
-
-
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
-
-
-class Vocabulary:
-    """Counts a text's terms; remembers the terms of common words, up to a bound."""
-
-    def __init__(self, terms: list[str]):
-        self._at = {t: k for k, t in enumerate(terms)}
-        self._known: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
-
-    def _terms(self, word: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
-        terms, at = terms_of(word), self._at
-        found = tuple(at[t] for t in terms if t in at), tuple(t for t in terms if t not in at)
-        if len(self._known) > _CACHED:
-            self._known.clear()
-        if len(word) <= 40:
-            self._known[word] = found
-        return found
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-        """The vocabulary's terms in a text, ascending by number, their counts, and all others by name."""
-        words = Counter(_WORD.findall(text.lower()))
-        known, look_up = self._known, self._terms
-        found = [known.get(w) or look_up(w) for w in words]
-        numbers = np.array(list(chain.from_iterable([f[0] for f in found])), np.int64)
-        times = np.repeat(np.array(list(words.values()), np.int64), np.array([len(f[0]) for f in found], np.int64))
-        order = np.argsort(numbers, kind="stable")
-        numbers = numbers[order]
-        first = np.flatnonzero(np.diff(numbers, prepend=-1))
-        others: dict[str, int] = {}
-        for f, n in zip(found, words.values()):
-            for t in f[1]:
-                others[t] = others.get(t, 0) + n
-        return numbers[first], np.add.reduceat(times[order], first) if len(first) else first, others
+
+
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, rows, which, counts) of texts without nulls: text ``rows[i]`` has ``terms[which[i]]`` ``counts[i]`` times.
+
+    Terms are words, that is runs of letters in lower case, and beginnings of longer ones with a star behind.
+    """
+    listed = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts), r"\P{L}+", " "), " ")
+    words, offsets = listed.flatten().dictionary_encode(), listed.offsets.to_numpy()
+    letters = pc.utf8_length(words.dictionary).to_numpy()
+    of_word, terms, width = [np.where(letters > 0, np.arange(len(letters)), -1)], [words.dictionary], len(letters)
+    for k in BEGINNINGS:
+        long = letters > k
+        cut = pc.utf8_slice_codeunits(words.dictionary.filter(pa.array(long)), 0, k).dictionary_encode()
+        place = np.full(len(letters), -1)
+        place[long] = width + cut.indices.to_numpy()
+        of_word.append(place)
+        terms.append(pc.binary_join_element_wise(cut.dictionary, "*", ""))
+        width += len(cut.dictionary)
+    which = np.stack(of_word, axis=1)[words.indices.to_numpy()]
+    keys = np.repeat(np.arange(len(texts)) * max(1, width), np.diff(offsets))[:, None] + which
+    cells, counts = np.unique(keys[which >= 0], return_counts=True)
+    rows, which = np.divmod(cells, max(1, width))
+    return pa.concat_arrays(terms), rows, which, counts
+
+
+@dataclass(frozen=True)
+class Counted:
+    """Texts as counts of a vocabulary's terms: ``numbers`` of text k, ascending, and ``counts`` from
+    ``starts[k]`` to ``starts[k + 1]``; ``others`` lists the terms without a number with their counts."""
+
+    starts: np.ndarray
+    numbers: np.ndarray
+    counts: np.ndarray
+    others: pa.ListArray
+
+    @classmethod
+    def of(cls, texts: pa.Array, vocabulary: pa.Array) -> Counted:
+        terms, rows, which, counts = terms_of(texts)
+        numbers = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy().astype(np.int64)[which]
+        known, each = numbers >= 0, np.arange(len(texts) + 1)
+        order = np.argsort(rows[known] * max(1, len(vocabulary)) + numbers[known])
+        rest = pa.StructArray.from_arrays([terms.take(pa.array(which[~known])), pa.array(counts[~known].astype(np.int32))], ["term", "count"])
+        others = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[~known], each).astype(np.int32)), rest)
+        return cls(np.searchsorted(rows[known], each), numbers[known][order], counts[known][order], others)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in zip(self.starts.tolist(), self.starts[1:].tolist()):
+            yield self.numbers[a:b], self.counts[a:b]
 
 
 class BlockMaxIndex:
@@ -96,8 +104,8 @@ class BlockMaxIndex:
         order = sorted(range(len(ids)), key=lambda k: (*terms[k][np.argsort(idf[terms[k]], kind="stable")[:8]].tolist(), int(ids[k])))
         self.ids, self.labels = ids[order].astype(np.int64), labels[order].astype(np.float64)
         self.blocks = -(-len(order) // BLOCK)
-        rows = np.repeat(np.arange(len(order)), [len(terms[k]) for k in order])
-        numbers = np.concatenate([np.zeros(0, np.int64), *(terms[k] for k in order)])
+        rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(terms[k]) for k in order])
+        numbers = np.concatenate([np.zeros(0, np.int32), *(terms[k] for k in order)])
         weights = np.concatenate([np.zeros(0), *(vectors[k] for k in order)])
         dense = np.flatnonzero(np.bincount(numbers, minlength=len(idf)) > max(1, len(order) * DENSE_SHARE))
         self.dense_at = np.full(len(idf), -1, np.int64)
@@ -109,7 +117,7 @@ class BlockMaxIndex:
         rows, numbers, weights = rows[at < 0], numbers[at < 0], weights[at < 0]
         by_term = np.argsort(numbers, kind="stable")
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(numbers, minlength=len(idf)))))
-        self.rows, self.postings = rows[by_term].astype(np.int32), weights[by_term]
+        self.rows, self.postings = rows[by_term], weights[by_term]
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The unit vector of a text over its terms; zeros stay zeros."""
@@ -169,10 +177,10 @@ class BlockMaxIndex:
 class ToxicityModel:
     """Examples in the order of their texts' hashes, as counts of terms, one example behind another.
 
-    The vocabulary's tables and the index are made where they are asked for, and not sent along.
+    The index is made where it is asked for, and not sent along.
     """
 
-    terms: list[str]
+    terms: pa.Array
     idf: np.ndarray
     names: list
     labels: np.ndarray
@@ -182,11 +190,7 @@ class ToxicityModel:
     share: float
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "index")}
-
-    @cached_property
-    def vocabulary(self) -> Vocabulary:
-        return Vocabulary(self.terms)
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
 
     @cached_property
     def index(self) -> BlockMaxIndex:
@@ -241,33 +245,13 @@ def sizes_of(known: DataFrame) -> tuple[int, int]:
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
-    """(term, n) of every term in the column ``text``; each task adds its rows up before the shuffle."""
+    """(term, n) of every term in the column ``text``; rows are added up by batch and by task before the shuffle."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        known: dict[str, list[str]] = {}
-
-        def passed_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
-            found.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0):
-                here: set[str] = set()
-                for word in set(_WORD.findall(text.as_py().lower())):
-                    terms = known.get(word)
-                    if terms is None:
-                        terms = terms_of(word)
-                        if len(known) > _CACHED:
-                            known.clear()
-                        if len(word) <= 40:
-                            known[word] = terms
-                    here.update(terms)
-                found.update(here)
-                if len(found) > _COUNTED:
-                    yield passed_on()
-        yield passed_on()
+        for batch in (part for b in batches for part in slices(b, 0, _ROWS)):
+            terms, _, which, _ = terms_of(batch.column(0))
+            found = np.bincount(which, minlength=len(terms))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(found.astype(np.int64))], ["term", "n"]).filter(pa.array(found > 0))
 
     return texts.select("text").mapInArrow(listed, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -289,15 +273,14 @@ class Fit:
         return 1 / (1 + F.exp(-odds))
 
 
-def example_vectors(examples: DataFrame, terms: list[str]) -> DataFrame:
+def example_vectors(examples: DataFrame, terms: pa.Array) -> DataFrame:
     """(digest, id, toxic, numbers, counts) of the examples (id, text, digest, toxic)."""
     shared = examples.sparkSession.sparkContext.broadcast(terms)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        for batch in batches:
-            found = [vocabulary.count(text.as_py()) for text in batch.column(3)]
-            lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+        for batch in (part for b in batches for part in slices(b, 3, _ROWS)):
+            found = Counted.of(batch.column(3), shared.value)
+            lists = [pa.ListArray.from_arrays(pa.array(found.starts.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (found.numbers, found.counts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["digest", "id", "toxic", "numbers", "counts"])
 
     types = dict(examples.dtypes)
@@ -311,9 +294,8 @@ def example_votes(examples: DataFrame, shared: Broadcast, neighbours: int) -> Da
         model = shared.value
         index = model.index
         place = dict(zip(model.names, np.argsort(index.ids).tolist()))
-        for batch in batches:
-            counted = [model.vocabulary.count(text.as_py())[:2] for text in batch.column(2)]
-            near = index.search([(t, index.weights(t, c)) for t, c in counted], neighbours, [place[i] for i in batch.column(0).to_pylist()])
+        for batch in (part for b in batches for part in slices(b, 2, _ROWS)):
+            near = index.search([(t, index.weights(t, c)) for t, c in Counted.of(batch.column(2), model.terms)], neighbours, [place[i] for i in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([model.vote(*found) for found in near], pa.float64())], ["toxic", "vote"])
 
     return examples.select("id", "toxic", "text").mapInArrow(voted, f"toxic {dict(examples.dtypes)['toxic']}, vote double")
@@ -340,7 +322,7 @@ def fit(texts: DataFrame, labels: DataFrame, id_col: str, label_col: str, most:
     frequencies = materialise(document_frequencies(texts), "document-frequencies")
     own = document_frequencies(examples).select("term", F.lit(True).alias("own"))
     listed = frequencies.join(own, "term", "left").where(F.col("own") | (F.col("n") > number * COMMON_SHARE)).select("term", "n").orderBy("term").toArrow()
-    terms, idf = listed.column(0).to_pylist(), np.log((1 + number) / (1 + listed.column(1).to_numpy()))
+    terms, idf = pa.concat_arrays(listed.column(0).chunks), np.log((1 + number) / (1 + listed.column(1).to_numpy()))
     found = example_vectors(examples, terms).orderBy("digest", "id").toArrow().combine_chunks()
     flat = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (found["numbers"], found["counts"])]
     starts = flat[0].offsets.to_numpy().astype(np.int64)
@@ -366,18 +348,16 @@ def nearest_examples(texts: DataFrame, shared: Broadcast, neighbours: int = NEIG
     evidence_type = f"array<struct<id: {id_type}, cosine: double, toxic: int>>"
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value  # kept by the worker, with its index and the words met so far
-        index, vocabulary = model.index, model.vocabulary
+        model = shared.value  # kept by the worker, with its index
+        index = model.index
         row = TaskContext.get().partitionId() << 40
-        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            queries, squares, rest = [], [], []
-            for text in batch.column(1):
-                terms, counts, others = vocabulary.count(text.as_py())
+        for batch in (part for b in batches for part in slices(b, 1, _ROWS)):
+            queries, squares, counted = [], [], Counted.of(batch.column(1), model.terms)
+            for terms, counts in counted:
                 weights = index.raw_weights(terms, counts)
                 square = float((weights * weights).sum())
                 queries.append((terms, weights / np.sqrt(square) if square else weights))
                 squares.append(square)
-                rest.append(others)
             near = list(index.search(queries, neighbours))
             evidence = [[{"id": model.names[index.ids[r]], "cosine": float(c), "toxic": int(index.labels[r])} for r, c in zip(rows[:EVIDENCE], cosines)] for rows, cosines in near]
             columns = [
@@ -386,7 +366,7 @@ def nearest_examples(texts: DataFrame, shared: Broadcast, neighbours: int = NEIG
                 pa.array([model.vote(*found) for found in near], pa.float64()),
                 pa.array(squares, pa.float64()),
                 pa.array(evidence, pa.list_(pa.struct([("id", batch.column(0).type), ("cosine", pa.float64()), ("toxic", pa.int32())]))),
-                pa.array([[{"term": t, "count": n} for t, n in others.items()] if len(found[0]) else [] for others, found in zip(rest, near)], pa.list_(pa.struct([("term", pa.string()), ("count", pa.int32())]))),
+                pc.if_else(pa.array([len(found[0]) > 0 for found in near]), counted.others, None),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "vote", "square", "evidence", "others"])
             row += batch.num_rows

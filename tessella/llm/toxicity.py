@@ -32,8 +32,8 @@ COMMON_SHARE = 1 / 1000
 NEIGHBOURS, EVIDENCE = 300, 5
 #: Examples of a block; terms in this share of the examples have dense rows of weights instead of postings.
 BLOCK, DENSE_SHARE = 512, 1 / 12
-#: Texts that are counted at once, and texts and postings that a search holds at once.
-_ROWS, _TEXTS, _POSTINGS = 2048, 128, 1 << 20
+#: Texts and their bytes that are counted at once, and texts and postings that a search holds at once.
+_ROWS, _BYTES, _TEXTS, _POSTINGS = 768, 1 << 21, 128, 1 << 19
 #: A share of toxic examples and its weight in examples, for when there are few or none.
 PRIOR_SHARE, PRIOR_WEIGHT = 0.1, 5.0
 
@@ -248,7 +248,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     """(term, n) of every term in the column ``text``; rows are added up by batch and by task before the shuffle."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b, 0, _ROWS)):
+        for batch in (part for b in batches for part in slices(b, 0, _ROWS, _BYTES)):
             terms, _, which, _ = terms_of(batch.column(0))
             found = np.bincount(which, minlength=len(terms))
             yield pa.RecordBatch.from_arrays([terms, pa.array(found.astype(np.int64))], ["term", "n"]).filter(pa.array(found > 0))
@@ -278,7 +278,7 @@ def example_vectors(examples: DataFrame, terms: pa.Array) -> DataFrame:
     shared = examples.sparkSession.sparkContext.broadcast(terms)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b, 3, _ROWS)):
+        for batch in (part for b in batches for part in slices(b, 3, _ROWS, _BYTES)):
             found = Counted.of(batch.column(3), shared.value)
             lists = [pa.ListArray.from_arrays(pa.array(found.starts.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (found.numbers, found.counts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["digest", "id", "toxic", "numbers", "counts"])
@@ -294,7 +294,7 @@ def example_votes(examples: DataFrame, shared: Broadcast, neighbours: int) -> Da
         model = shared.value
         index = model.index
         place = dict(zip(model.names, np.argsort(index.ids).tolist()))
-        for batch in (part for b in batches for part in slices(b, 2, _ROWS)):
+        for batch in (part for b in batches for part in slices(b, 2, _ROWS, _BYTES)):
             near = index.search([(t, index.weights(t, c)) for t, c in Counted.of(batch.column(2), model.terms)], neighbours, [place[i] for i in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([model.vote(*found) for found in near], pa.float64())], ["toxic", "vote"])
 
@@ -351,7 +351,7 @@ def nearest_examples(texts: DataFrame, shared: Broadcast, neighbours: int = NEIG
         model = shared.value  # kept by the worker, with its index
         index = model.index
         row = TaskContext.get().partitionId() << 40
-        for batch in (part for b in batches for part in slices(b, 1, _ROWS)):
+        for batch in (part for b in batches for part in slices(b, 1, _ROWS, _BYTES)):
             queries, squares, counted = [], [], Counted.of(batch.column(1), model.terms)
             for terms, counts in counted:
                 weights = index.raw_weights(terms, counts)

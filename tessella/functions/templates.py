@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import replaced, stripped
+from .text import cleaned, replaced, stripped
 
 #: Fixed values of the constants template, by name in lower case, as they are printed.
 CONSTANTS = {
@@ -27,19 +28,6 @@ CONSTANTS = {
 }
 #: Fixed names of the symbols that make a parenthesis a side remark.
 SYMBOLS = ["Talent", "Aghshard", "Aghanim", "Daytime", "Nighttime"]
-#: Templates that only carry text, in this order: unit links, keys, coloured fractions, links with a kind, attributes, value colours.
-TEXT_RULES = [
-    (r"\{\{U\|[^|{}]*\|text=([^{}|]+)\}\}", "$1"),
-    (r"\{\{Key press\|double\}\}", "double-tapping"),
-    (r"\{\{Key press\|([^{}]+)\}\}", "$1"),
-    (r"\{\{cf\|([^|{}]+)\|([^{}]+)\}\}", "($1) $2"),
-    (r"\{\{cf\|([^|{}]+)\}\}", "($1)"),
-    (r"\{\{Cl\|\s*([^|{}]+?)\s*\|\s*([^|{}]+?)\s*(?:\|[^{}]*)?\}\}", "$2 ($1)"),
-    (r"\{\{Attribute ID\|([^{}]+)\}\}", "$1"),
-    (r"\{\{ValueColor\|\d+\|([^|{}]*)\|[^{}]+\}\}", "$1"),
-    (r"\{\{ValueColor\|\d+\|([^|{}]+)\}\}", "$1"),
-    (r"\{\{ValueColor\|[^{}]*\}\}", ""),
-]
 DEFINITION = r"\{\{#vardefine(?:echo)?:([^|{}]+)\|([^{}]*)\}\}"
 
 
@@ -49,8 +37,76 @@ def constants(text: Column) -> Column:
     return replaced(text, [*known, (r"\{\{G\|([^{}]+)\}\}", "[G:$1]")])
 
 
+def _printed(text: Column, prints: Callable[[Column, Column], dict[str, Column]]) -> Column:
+    """``text`` with its innermost templates as ``prints`` shows them by name; all others, and those of
+    which it shows null, are left as they are.
+
+    ``prints`` takes the parts of a template, its name the first, and all behind the name as one text.
+    """
+
+    def shown(piece: Column) -> Column:
+        parts = F.split(F.substring(piece, F.lit(3), F.length(piece) - 4), r"\|")
+        rest = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), "|")
+        named = F.coalesce(*[F.when(F.get(parts, F.lit(0)) == name, value) for name, value in prints(parts, rest).items()], piece)
+        return F.when(piece.rlike(r"^\{\{[^{}]*\}\}$"), named).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(text, r"(?=\{\{)|(?<=\}\})"), shown), "")
+
+
 def text_templates(text: Column) -> Column:
-    return replaced(text, TEXT_RULES)
+    """Templates for units, keys, fractions, links, attributes and value colours, replaced by their texts."""
+
+    def prints(parts: Column, rest: Column) -> dict[str, Column]:
+        first, second, number = F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.size(parts)
+        behind = F.array_join(F.slice(parts, 3, F.greatest(number, F.lit(1))), "|")
+        return {
+            "U": F.when((number == 3) & second.rlike("^text=."), F.substring(second, F.lit(6), F.length(second))),
+            "Key press": F.when(rest == "double", "double-tapping").when(number > 1, rest),
+            "cf": F.when(number == 2, F.concat(F.lit("("), first, F.lit(")"))).when(number > 2, F.concat(F.lit("("), first, F.lit(") "), behind)),
+            "Cl": F.when(number > 2, F.concat(stripped(second), F.lit(" ("), stripped(first), F.lit(")"))),
+            "Attribute ID": F.when(number > 1, rest),
+            "ValueColor": F.when((number > 2) & first.rlike(r"^\d+$"), second).when(number > 1, ""),
+        }
+
+    return _printed(text, prints)
+
+
+def page_text(text: Column) -> Column:
+    """A page's text without markup: templates by their texts, then links, tags, quotes and what is left of braces."""
+
+    def prints(parts: Column, rest: Column) -> dict[str, Column]:
+        first, second, number = F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.size(parts)
+        whole = {name: F.when(number > 1, rest) for name in ("Key press", "Key special", "I", "H", "U")}
+        return whole | {
+            "A": F.when(number > 2, first),
+            "cf": F.when(number > 1, F.concat(F.lit("("), rest, F.lit(")"))),
+            "tooltip": F.when(number > 2, first),
+            "Symbol": F.when(number > 1, ""),
+            "ValueColor": F.when((number > 2) & first.rlike(r"^\d+$") & (second != ""), second).when(number > 1, ""),
+        }
+
+    words = F.regexp_replace(_printed(F.regexp_replace(text, r"<sm2>.*?</sm2>", ""), prints), r"\{\{([A-Z][a-z]+)\}\}", "$1")
+    return cleaned(words)
+
+
+def short_text(text: Column) -> Column:
+    """The lighter cleaning of talents, guides and change lists: templates, links and quotes only."""
+
+    def prints(parts: Column, rest: Column) -> dict[str, Column]:
+        first, number = F.get(parts, F.lit(1)), F.size(parts)
+        named = {name: F.when(number > 1, first) for name in ("H", "A", "I")}
+        return named | {"Attribute ID": F.when(number > 1, rest), "tooltip": F.when(number > 2, first), "cf": F.when(number > 1, ""), "Symbol": F.when(number > 1, rest)}
+
+    # the white space behind a fraction goes with it
+    joined = F.regexp_replace(text, r"(\{\{cf\|[^{}]+\}\})\s+", "$1")
+    links = F.regexp_replace(_printed(joined, prints), r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1")
+    return stripped(replaced(links, [("'''", ""), ("''", "")]))
+
+
+def parameters(text: Column, name: str) -> Column:
+    """The parameters of the first template of this name, in any case; none if there is no such template."""
+    inside = F.regexp_extract(text, rf"(?is)\{{\{{{name}\s*\|(.*?)\}}\}}", 1)
+    return F.filter(F.split(inside, r"\|"), lambda p: p != "")
 
 
 def without_remarks(text: Column) -> Column:

@@ -7,29 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: name: pattern, in flavours that Java and RE2 share.
+#: Name and pattern of each kind of leftover, in Java's flavour.
 PATTERNS: dict[str, str] = {
-    "template_braces": r"\{\{[^{}]*\}\}",
-    "wiki_links": r"\[\[[^\[\]]*\]\]",
-    "external_links": r"\[https?://[^\]\s]+[^\]]*\]",
-    "headings": r"={2,6}[^=\n]+={2,6}",
-    "bold_or_italic": r"'{2,5}[^'\n]+'{2,5}",
-    "html_tags": r"</?[a-zA-Z][^<>]*>",
-    "html_entities": r"&(?:[a-zA-Z]+|#\d+);",
-    "reference_tags": r"(?i)<ref[^<>]*>",
-    "file_links": r"\[\[(?:File|Image):[^\[\]]*\]\]",
-    "magic_words": r"__[A-Z]{3,}__",
-    "escaped_unicode": r"\\u[0-9a-fA-F]{4}",
-    "table_markup": r"\{\||\|\}",
-    "double_spaces": r" {2,}",
-    "unresolved": r"\[(?:CALC|VAR|EXPR|TALENT|G):[^\[\]]*\]",
-}
-#: Tags that count as formatting, and the least length of what quotes mark.
-PLAIN_TAGS, LEAST_QUOTED = r"(?i)^</?(?:br|p|strong)\b", 5
-
-
-#: The reference detector's patterns, in Java's flavour; those of PATTERNS are the queries' shorter list.
-REFERENCE_PATTERNS: dict[str, str] = {
     "expression_tag": r"\[EXPR:[^\]]+\]",
     "double_curly_braces_template": r"\{\{[^}]{2,}\}\}",
     "question_mark_pipe_values": r"\?\|[a-zA-Z0-9_]+=",
@@ -55,28 +34,25 @@ REFERENCE_PATTERNS: dict[str, str] = {
 _TEMPLATE_WORDS, _FORMATTING = r"\||\{\{(?:show|Gold|Rune|Ability|Item|Hero)", r"<br|<p>|</p>|<strong|</strong"
 
 
-def findings(texts: DataFrame, most: int = 10, snippet: int = 300) -> DataFrame:
-    """One row per text (item_id, text) and pattern that it matches: the first matches, their number, the text's start."""
-    keep = {"html_tags": lambda m: ~m.rlike(PLAIN_TAGS), "bold_or_italic": lambda m: F.length(m) >= LEAST_QUOTED}
-    return _findings(texts, PATTERNS, keep, most, snippet)
+#: Which matches of a kind count; of the others all do.
+COUNTS: dict[str, Callable[[Column], Column]] = {
+    "double_curly_braces_template": lambda m: m.rlike(_TEMPLATE_WORDS) | ~(m.contains('":') | m.contains('": ')),
+    "double_apostrophe_italic": lambda m: (F.length(m) > 4) & ~m.startswith("''s"),
+    "html_tags": lambda m: ~F.lower(m).rlike(_FORMATTING),
+}
 
 
-def reference_findings(texts: DataFrame, most: int = 10, snippet: int = 300) -> DataFrame:
-    """As ``findings``, by all patterns and filters of the reference; a parser function's match is its name."""
-    keep = {
-        "double_curly_braces_template": lambda m: m.rlike(_TEMPLATE_WORDS) | ~(m.contains('":') | m.contains('": ')),
-        "double_apostrophe_italic": lambda m: (F.length(m) > 4) & ~m.startswith("''s"),
-        "html_tags": lambda m: ~F.lower(m).rlike(_FORMATTING),
-    }
-    return _findings(texts, REFERENCE_PATTERNS, keep, most, snippet)
+def findings(texts: DataFrame, most: int = 10, snippet: int = 300) -> DataFrame:
+    """One row per text (item_id, text) and kind of leftover: the first matches, their number, the text's start.
 
+    A parser function's match is its name. A null text has none.
+    """
 
-def _findings(texts: DataFrame, patterns: dict[str, str], keep: dict[str, Callable[[Column], Column]], most: int, snippet: int) -> DataFrame:
     def matches(name: str, pattern: str) -> Column:
         all_of = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(int(name == "parser_functions")))
-        return F.filter(all_of, keep[name]) if name in keep else all_of
+        return F.filter(all_of, COUNTS[name]) if name in COUNTS else all_of
 
-    found = F.array(*[F.struct(F.lit(name).alias("type"), matches(name, p).alias("matches")) for name, p in patterns.items()])
+    found = F.array(*[F.struct(F.lit(name).alias("type"), matches(name, p).alias("matches")) for name, p in PATTERNS.items()])
     each = texts.select("item_id", "text", F.explode(found).alias("f")).select("item_id", "text", "f.*").where(F.size("matches") > 0)
     return each.select("item_id", "type", F.slice("matches", 1, most).alias("matches"), F.size("matches").alias("match_count"), F.substring("text", 1, snippet).alias("snippet"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import pipe_list, stripped
+
 HITS = (1, 3, 5, 10)
 METRICS = [*(f"hit_{k}" for k in HITS), "rr"]
 
@@ -24,6 +26,53 @@ def join_sheets(runs: DataFrame, truths: DataFrame) -> DataFrame:
     return runs.withColumnsRenamed({c: f"{c}_run" for c in clash}).join(truths.withColumnsRenamed({c: f"{c}_truth" for c in clash}), "question")
 
 
+#: Fixed names of a run sheet's columns, and what they are called here.
+RUN_COLUMNS = {
+    "Answer": "answer",
+    "Admitted Chunk IDs (Ranked)": "admitted_chunk_ids_ranked",
+    "Gated-Out Chunk IDs (Ranked)": "gated_out_chunk_ids_ranked",
+    "Source Domains": "source_domains",
+    "Error": "error",
+    "Expected Domain": "expected_domain",
+    "Expected Decision": "expected_decision",
+}
+#: Columns of a truth sheet that name an item's ground truth.
+SOURCE_COLUMNS = [f"source_chunk_id_{k}" for k in range(1, 7)]
+
+
+def renamed(runs: DataFrame) -> DataFrame:
+    """Runs with the names of RUN_COLUMNS, and ``Tier`` as ``predicted_tier``; what is missing stays so."""
+    return runs.withColumnsRenamed(RUN_COLUMNS | {"Tier": "predicted_tier"})
+
+
+def of_tier(rows: DataFrame, tier: str, column: str = "tier") -> DataFrame:
+    """The rows of exactly this tier."""
+    return rows.where(F.col(column) == tier)
+
+
+def truth_set(columns: list[str] = SOURCE_COLUMNS) -> Column:
+    """The different ids of several columns, trimmed, without blanks."""
+    return F.array_distinct(F.filter(F.array(*[stripped(F.col(c).cast("string")) for c in columns]), lambda x: x.isNotNull() & (x != "")))
+
+
+def full_ranking(admitted: Column, gated_out: Column) -> Column:
+    """The ids of two ``a | b`` lists, what was admitted before what was gated out."""
+    return F.concat(pipe_list(admitted), pipe_list(gated_out))
+
+
+def evaluable(answer: Column, admitted: Column) -> Column:
+    """Whether a run has an answer that isn't blank and admitted some chunk."""
+    return (stripped(F.coalesce(answer, F.lit(""))) != "") & (F.size(pipe_list(admitted)) > 0)
+
+
+def list_metrics(ranking: Column, truth: Column) -> dict[str, Column]:
+    """hit_k for each of HITS and rr of an array of ids against a set; null where the set is empty."""
+    first = F.aggregate(ranking, F.struct(F.lit(0).alias("at"), F.lit(0).alias("first")), lambda s, x: F.struct((s["at"] + 1).alias("at"), F.when((s["first"] == 0) & F.array_contains(truth, x), s["at"] + 1).otherwise(s["first"]).alias("first")), lambda s: s["first"])
+    some = F.size(truth) > 0
+    hits = {f"hit_{k}": F.when(some, ((first > 0) & (first <= k)).cast("double")) for k in HITS}
+    return hits | {"rr": F.when(some, F.when(first > 0, 1 / first).otherwise(0.0))}
+
+
 def rank_metrics(rankings: DataFrame, truths: DataFrame, queries: DataFrame) -> DataFrame:
     """Per query: n_truth, hit_k for each of HITS, and the reciprocal rank of the first hit.
 

@@ -51,3 +51,32 @@ def counts(lists: DataFrame, kept: DataFrame) -> DataFrame:
 def majority_domain(domains: DataFrame) -> DataFrame:
     """The domain of the largest allocation, the first of equals."""
     return domains.orderBy(F.desc("allocation"), "place").limit(1).select(F.col("domain").alias("majority_domain"))
+
+
+def allocations(configs: DataFrame, domains: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(query_id, domain, place, allocation) of the queries that are to be retrieved at all.
+
+    ``configs`` has query_id, should_retrieve (null: true) and allocation, a map from domain to places
+    of the fused list; without one every domain gets an equal whole share.
+    """
+    wanted = configs.where(F.coalesce("should_retrieve", F.lit(True)))
+    number = domains.agg(F.count("*").alias("n_domains"))
+    share = F.when(F.col("allocation").isNull(), F.floor(F.lit(config.fused) / F.col("n_domains"))).otherwise(F.coalesce(F.try_element_at("allocation", F.col("domain")), F.lit(0)))
+    return wanted.select("query_id", "allocation").crossJoin(domains.select("domain", "place")).crossJoin(number).select("query_id", "domain", "place", share.cast("int").alias("allocation"))
+
+
+def retrieved(fused: DataFrame, configs: DataFrame, domains: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """The candidates of every query that is to be retrieved: per domain up to its allocation, domain after domain.
+
+    ``chunks`` has chunk_id, label, token_count and metadata_count; ``domains`` maps labels, in any case, to domains. A label that
+    none has is ``unknown``. Of the two token counts the metadata's counts unless it is null or 0; without
+    any it is 0. Scores are rounded to 4 places, rrf to 6.
+    """
+    shares = allocations(configs, domains, config)
+    order = Window.partitionBy("query_id", "domain").orderBy(F.round("rrf", 12).desc(), "first")
+    kept = fused.drop("place").withColumn("domain_rank", F.row_number().over(order)).join(shares, ["query_id", "domain"]).where("domain_rank <= allocation")
+    placed = kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "domain_rank"))).drop("domain")
+    named = chunks.join(domains.select(F.lower("label").alias("low"), "domain"), F.lower(F.trim("label")) == F.col("low"), "left")
+    told = named.select("chunk_id", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.coalesce(F.nullif("metadata_count", F.lit(0)), "token_count", F.lit(0)).alias("token_count"))
+    scores = [F.round(c, 4).alias(c) for c in ("dense_score", "sparse_score")]
+    return placed.join(told, "chunk_id").select("query_id", "position", "chunk_id", "domain", "dense_rank", "sparse_rank", *scores, F.round("rrf", 6).alias("rrf"), "token_count")

@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from ..functions.scoring import probability
 
 
+#: Fixed phrases by which an answer says that its context doesn't hold it, in lower case.
+ABSTENTIONS = [
+    "does not contain sufficient information",
+    "does not contain enough information",
+    "cannot answer this question based on",
+    "not enough information to answer",
+    "insufficient information to answer",
+    "no relevant information",
+    "is not mentioned in the provided context",
+    "is not mentioned in the context",
+    "not mentioned in the provided context",
+    "no information about",
+    "does not mention",
+    "does not provide information",
+    "there is no information",
+]
+
+
 def prompt(question: Column, context: Column) -> Column:
     """The question, the delimited context, and the question again."""
     return F.concat(F.lit("Question: "), question, F.lit("\n\n<context>\n"), F.coalesce(context, F.lit("")), F.lit("\n</context>\n\nQuestion: "), question)

@@ -82,9 +82,32 @@ def admitted_statistics(queries: DataFrame, placed: DataFrame) -> DataFrame:
     return queries.select("query_id").join(found, "query_id", "left").na.fill(zeros).na.fill({"fallback": False})
 
 
+#: What a citation tells of its chunk, where the candidates have it.
+CITED = ["context_position", "chunk_id", "domain", "score", "raw", "metadata"]
+
+
 def contexts(placed: DataFrame) -> DataFrame:
-    """(query_id, context, citations): the chunks' texts in order of position, a blank line between."""
-    parts = F.array_sort(F.collect_list(F.struct("context_position", "chunk_id", "content", "score")))
-    listed = placed.where("in_context").groupBy("query_id").agg(parts.alias("parts"))
-    cited = F.transform("parts", lambda p: F.struct(p["context_position"].alias("context_position"), p["chunk_id"].alias("chunk_id"), p["score"].alias("score")))
+    """(query_id, context, citations): the chunks' texts in order of position, a blank line between.
+
+    A citation has the fields of CITED that ``placed`` has.
+    """
+    fields = [c for c in CITED if c in placed.columns]
+    parts = F.array_sort(F.collect_list(F.struct("context_position", F.struct("content", *fields).alias("chunk"))), lambda a, b: a["context_position"] - b["context_position"])
+    listed = placed.where("in_context").groupBy("query_id").agg(F.transform(parts, lambda p: p["chunk"]).alias("parts"))
+    cited = F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in fields]))
     return listed.select("query_id", F.array_join(F.transform("parts", lambda p: p["content"]), "\n\n").alias("context"), cited.alias("citations"))
+
+
+def score_report(placed: DataFrame, most: int = 5) -> DataFrame:
+    """Per query the spread of ``score`` and ``raw`` over all scored candidates, candidates by domain, and
+    the best ``most`` that were gated out. The median of an even number is the upper middle."""
+
+    def middle(c: str):
+        listed = F.sort_array(F.collect_list(c))
+        return F.element_at(listed, (F.floor(F.size(listed) / 2) + 1).cast("int"))
+
+    spread = {f"{f.__name__}_{c}": f(c) for c in ("score", "raw") for f in (F.max, F.min)} | {f"median_{c}": middle(c) for c in ("score", "raw")}
+    outs = F.transform(F.sort_array(F.collect_list(F.when(~F.col("passed_gate"), F.struct("rank", "chunk_id")))), lambda x: x["chunk_id"])
+    totals = placed.groupBy("query_id").agg(F.count("*").alias("n_scored"), F.count_if(~F.col("passed_gate")).alias("n_gated_out"), *[c.alias(n) for n, c in spread.items()], F.slice(outs, 1, most).alias("gated_out"))
+    by_domain = placed.groupBy("query_id", "domain").count().groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "count")))).alias("domains"))
+    return totals.join(by_domain, "query_id")

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import templates
 from ..functions import text as T
 from ..operators import audit, bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, nodes, orchestrate, rerank, wiki
 from ..storage import spread, stored
 
 #: The domains in their order, with allocations of the fused list.
 DOMAINS = [("en", 0, 4), ("fr", 1, 3), ("de", 2, 2), ("es", 3, 1)]
-ABSTENTIONS = ["cannot answer", "do not know", "not enough information"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,7 +149,7 @@ def j1_prompt(spark, sf_dir):
 
 
 def j8_abstentions(spark, sf_dir):
-    return answers(spark, sf_dir).select("query_id", generation.abstains(F.col("answer"), ABSTENTIONS).alias("abstains"))
+    return answers(spark, sf_dir).select("query_id", generation.abstains(F.col("answer"), generation.ABSTENTIONS).alias("abstains"))
 
 
 def claim_check(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +205,7 @@ def f4_counts(spark, sf_dir):
 
 
 def d3_plain_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.plain(F.col("html"))).alias("plain_md5"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(templates.page_text(F.col("html"))).alias("plain_md5"))
 
 
 def e2_word_chunks(spark, sf_dir):
@@ -292,9 +292,92 @@ def b3_report(spark, sf_dir):
     return audit.report(audit.findings(pages)).select("n_findings", F.array_join(F.col("by_type.type"), ",").alias("types"))
 
 
+def h11_retrieval(spark, sf_dir):
+    """Every seventh item isn't retrieved, every third allocates by itself; one language has no label."""
+    asked = questions(spark, sf_dir)
+    item = F.col("query_id")
+    own = F.create_map(F.lit("en"), F.lit(2), F.lit("es"), F.lit(5))
+    configs = asked.select("query_id", (item % 7 != 0).alias("should_retrieve"), F.when(item % 3 == 0, own).alias("allocation"))
+    labels = domains(spark).withColumn("label", F.when(F.col("domain") == "fr", "none").otherwise(F.upper("domain")))
+    counted = chunks(spark, sf_dir).select("chunk_id", F.col("domain").alias("label"), F.length("content").alias("token_count"), F.nullif((F.col("chunk_id") % 2).cast("int"), F.lit(2)).alias("metadata_count"))
+    found = fusion.retrieved(fused_lists(spark, sf_dir)[1], configs, labels, counted)
+    return found.select("query_id", F.col("position").cast("long").alias("position"), "chunk_id", "domain", "rrf", F.col("token_count").cast("long").alias("token_count"))
+
+
+def i17_score_report(spark, sf_dir):
+    placed = placed_candidates(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", "domain"), "chunk_id")
+    found = rerank.score_report(placed)
+    shown = F.array_join(F.transform(F.map_entries("domains"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return found.select("query_id", "n_scored", "n_gated_out", *[F.round(c, 6).alias(c) for c in ("max_score", "min_score", "median_score", "max_raw", "min_raw", "median_raw")], F.array_join("gated_out", ",").alias("gated_out"), shown.alias("domains"))
+
+
+def i16_citations(spark, sf_dir):
+    placed = placed_candidates(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", "domain", F.create_map(F.lit("source"), F.col("source")).alias("metadata")), "chunk_id")
+    each = rerank.contexts(placed).select("query_id", F.explode("citations").alias("c")).select("query_id", "c.*")
+    return each.select("query_id", F.col("context_position").cast("long").alias("context_position"), "chunk_id", "domain", "score", F.round("raw", 6).alias("raw"), F.col("metadata")["source"].alias("source"))
+
+
+def run_sheet(spark, sf_dir):
+    """Benchmark items as rows of a run sheet joined with its truth sheet, some of them blank."""
+    item, text = F.col("item_id"), lambda x: x.cast("string")
+    admitted = F.when(item % 5 == 0, " | ").otherwise(F.concat_ws(" | ", text(item), text(item + 1), F.lit(""), text(item + 2)))
+    columns = {"Answer": F.when(item % 4 == 0, "  ").otherwise(F.col("text")), "Admitted Chunk IDs (Ranked)": admitted, "Gated-Out Chunk IDs (Ranked)": F.when(item % 3 == 0, F.concat_ws("|", text(item + 7), text(item * 2)))}
+    truth = {"source_chunk_id_1": F.when(item % 6 == 0, " ").otherwise(text(item * 2)), "source_chunk_id_2": text(item * 2), "source_chunk_id_3": F.when(item % 2 == 0, text(item + 2)), "source_chunk_id_4": F.lit(""), "source_chunk_id_5": F.lit(None).cast("string"), "source_chunk_id_6": F.when(item % 9 == 0, F.concat(F.lit(" "), text(item), F.lit(" ")))}
+    tier = F.concat(F.lit("T"), text(item % 3 + 1))
+    return table(spark, sf_dir, "benchmark").select(item.alias("query_id"), tier.alias("tier"), F.lit("high").alias("Tier_"), *[c.alias(n) for n, c in (columns | truth).items()]).withColumnRenamed("Tier_", "Predicted")
+
+
+def m9_list_metrics(spark, sf_dir):
+    """The tier T1's runs: truth sets, whole rankings, which can be evaluated, and metrics."""
+    runs = evaluate.of_tier(evaluate.renamed(run_sheet(spark, sf_dir)), "T1")
+    admitted = F.col("admitted_chunk_ids_ranked")
+    listed = runs.select("query_id", evaluate.truth_set().alias("truth"), evaluate.full_ranking(admitted, F.col("gated_out_chunk_ids_ranked")).alias("ranking"), evaluate.evaluable(F.col("answer"), admitted).alias("evaluable"))
+    measured = listed.withColumns({n: F.round(c, 6) for n, c in evaluate.list_metrics(F.col("ranking"), F.col("truth")).items()})
+    return measured.withColumns({"truth": F.array_join(F.array_sort("truth"), ","), "ranking": F.array_join("ranking", ",")})
+
+
+def m14_describe(spark, sf_dir):
+    """Sizes of parts as a metric of their own."""
+    found = evaluate.describe(table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), F.col("p_retailprice").cast("double").alias("price")), ["size", "price"])
+    return found.select("metric", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "least", "q25", "q50", "q75", "largest")])
+
+
+def j5_confidence(spark, sf_dir):
+    """Embeddings' negative absolute values as log-probabilities of tokens."""
+    told = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: -F.abs(x.cast("double"))).alias("logprobs"))
+    return generation.factual_confidence(told).select("query_id", F.round("confidence", 6).alias("confidence"), "n_factual")
+
+
+def j6_overrides(spark, sf_dir):
+    """Conversations' answers by the share of their letters, against how faithful they are."""
+    told = k7_faithfulness(spark, sf_dir)
+    sure = (F.col("query_id") % 100) / 100
+    return told.select("query_id", generation.overrides_context(sure, F.col("mean_entailment")).alias("overrides"))
+
+
+def j7_entities(spark, sf_dir):
+    """Sources as entities of an item's sparse candidates."""
+    found = sparse_list(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", F.col("source").alias("entity")), "chunk_id").select("query_id", "entity")
+    return generation.unmentioned_entities(questions(spark, sf_dir), found).select("query_id", F.array_join("entities", ",").alias("entities"))
+
+
+def a8_first_file(spark, sf_dir):
+    """Events as lines of one file per type: a user's last line of the first file."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return ingest.first_file_wins(events, "user_id", "event_type", "event_id")
+
+
+def d16_guide(spark, sf_dir):
+    """Turns as bullets of a guide's sections."""
+    pages = _told(spark, sf_dir, lambda t: F.concat(F.lit("== "), t["role"], t["turn"].cast("string"), F.lit(" ==\n* turn "), t["turn"].cast("string"), F.lit("\n* "), F.length(t["text"]).cast("string")))
+    found = wiki.guide(wiki.sections(pages))
+    return found.select(F.col("title").alias("conv_id"), "section", F.col("item_no").cast("long").alias("item_no"), "item")
+
+
 QUERIES = {f.__name__: f for f in (
     h4_bm25_topk, h1_tokens, h2_index_terms, h5_dense_topk, h8_merged_lists, h9_rrf_per_domain, h10_rrf_over_all, h12_counts,
     i9_gate, i11_context, i12_context_edges, i13_admitted, i15_context_text, j1_prompt, j8_abstentions, k5_claims, k7_faithfulness,
     l6_tiers, m10_rank_metrics, m13_summary, f1_findings, f4_counts, d3_plain_pages, e2_word_chunks, e5_bundles, g2_normalised, g5_chunk_ids, b4_upsert,
     d1_sections, d4_derived, d18_versions, e4_nested_nodes, m6_contexts, b3_report,
+    h11_retrieval, i16_citations, i17_score_report, m9_list_metrics, m14_describe, j5_confidence, j6_overrides, j7_entities, a8_first_file, d16_guide,
 )}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators.audit import LEAST_QUOTED, PATTERNS
-from .queries import ABSTENTIONS, DOMAINS
+from ..operators.audit import PATTERNS
+from ..operators.generation import ABSTENTIONS
+from .queries import DOMAINS
 
 
 def _tokens(text: str) -> str:
@@ -112,18 +113,63 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+#: The two patterns that RE2 can't have as they are, with the group that is the match.
+RE2_PATTERNS = {
+    "html_tags": (r"<[a-zA-Z][a-zA-Z0-9]*[^>]*>", 0),
+    "pipe_separated_template_fragment": (r'(?:^|[^|])(\|[a-zA-Z0-9_]+=(?:[^|"\\]|\\[^\n])*(?:\|[a-zA-Z0-9_]+=))', 1),
+    "parser_functions": (PATTERNS["parser_functions"], 1),
+}
+#: Which matches of a kind count.
+COUNTED = {
+    "double_curly_braces_template": r"""regexp_matches(m, '[|]|\{\{(show|Gold|Rune|Ability|Item|Hero)') OR NOT contains(m, '":')""",
+    "double_apostrophe_italic": "length(m) > 4 AND substr(m, 3, 1) <> 's'",
+    "html_tags": r"NOT regexp_matches(m, '^<br\s*/?\s*>') AND NOT regexp_matches(lower(m), '<br|<p>|</p>|<strong|</strong')",
+}
+
+
 def _findings() -> str:
     parts = []
     for name, pattern in PATTERNS.items():
-        found = f"regexp_extract_all(html, '{pattern.replace(chr(39), chr(39) * 2)}')"
-        if name == "html_tags":
-            found = f"list_filter({found}, lambda m: NOT regexp_matches(m, '(?i)^</?(?:br|p|strong)\\b'))"
-        if name == "bold_or_italic":
-            found = f"list_filter({found}, lambda m: length(m) >= {LEAST_QUOTED})"
-        parts.append(f"SELECT page_id AS item_id, '{name}' AS type, {found} AS m FROM pages")
+        pattern, group = RE2_PATTERNS.get(name, (pattern.replace("u)", ")", 1) if pattern.startswith("(?") else pattern, 0))
+        found = f"regexp_extract_all(coalesce(html, ''), '{pattern.replace(chr(39), chr(39) * 2)}', {group})"
+        parts.append(f"SELECT page_id AS item_id, '{name}' AS type, list_filter({found}, lambda m: {COUNTED.get(name, 'true')}) AS m FROM pages")
     return "found AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE len(m) > 0)"
 
 
+#: The benchmark's items answered by their own text, with their claims against the chunks of their contexts.
+SELF = f""",
+    told AS (SELECT query_id, question AS answer FROM q),
+    sent AS (
+        SELECT query_id, list_filter(list_transform(string_split(regexp_replace(coalesce(answer, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)),
+                                     lambda x: len(regexp_extract_all(x, '\\S+')) >= 3)[1:8] AS s
+        FROM told),
+    claimed AS (SELECT query_id, claim_no, claim, {_tokens("claim")} AS c FROM (SELECT query_id, unnest(s) AS claim, generate_subscripts(s, 1) AS claim_no FROM sent)),
+    parts AS (
+        SELECT query_id, claim_no, c, ct, 400 - len(c) AS room,
+               unnest(CASE WHEN len(ct) <= 400 - len(c) THEN [0]
+                      ELSE list_distinct(list_append(range(0, len(ct) - (400 - len(c)) + 1, greatest(1, 400 - len(c) - least(50, (400 - len(c)) // 2))), len(ct) - (400 - len(c)))) END) AS w
+        FROM claimed JOIN placed USING (query_id) WHERE in_context),
+    entailed AS (
+        SELECT query_id, max(round(e, 4)) AS best
+        FROM (SELECT query_id, claim_no, max(CASE WHEN len(c) = 0 THEN 0 ELSE len(list_intersect(list_distinct(c), ct[w + 1 : w + room])) / len(list_distinct(c)) END) AS e FROM parts GROUP BY ALL)
+        GROUP BY query_id),
+    cited AS (
+        SELECT query_id, median(score) AS score, length('Sources:' || chr(10) || string_agg('[' || rank || '] ' || chunk_id || ' (0.00)', chr(10))) AS chars
+        FROM placed WHERE in_context GROUP BY query_id),
+    signals AS (
+        SELECT query_id, answer, coalesce(score, 0) AS reranker_median, coalesce(best, 0) AS max_entailment, coalesce(chars + 2, 0) AS chars,
+               round(0.7::DOUBLE * coalesce(score, 0) + 0.3::DOUBLE * coalesce(best, 0), 4) AS confidence
+        FROM told LEFT JOIN cited USING (query_id) LEFT JOIN entailed USING (query_id)),
+    tiers AS (SELECT *, CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.5 THEN 'moderate' WHEN confidence >= 0.2 THEN 'low' ELSE 'dead' END AS tier FROM signals)"""
+
+#: A page's text without markup that isn't a template, step by step.
+CLEANED = "html"
+for _pattern, _replacement in [
+    (r"<sm2>.*?</sm2>", ""), (r"\[\[([^\]|]+)\]\]", r"\1"), (r"\[\[.*?\|([^\]]+)\]\]", r"\1"), (r"<code>(.*?)</code>", r"\1"), (r"<br\s*/?>", " "), (r"<ref>.*?</ref>", ""),
+    ("''''''([^'']+)''''''", r"\1"), ("''''([^'']+)''''", r"\1"), (r"\|\w+\}\}", ""), (r"\}\}", ""), (r"\s+", " "), (r"\(\s*\)", ""), (r"\[\s*\]", ""), (r"\s*\*\*\*\s*", " "),
+]:
+    CLEANED = f"regexp_replace({CLEANED}, '{_pattern}', '{_replacement}', 'g')"
+
 _ROOM = "greatest(100, 510 - len(regexp_extract_all(head, '\\S+')))"
 ORACLE_SQL = {
     "h1_tokens": _with(BASE, "SELECT chunk_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM chunks"),
@@ -185,4 +231,62 @@ ORACLE_SQL = {
         f AS (SELECT i.item_id, pos, d.doc_id, coalesce(text, '') AS text FROM i LEFT JOIN documents d USING (doc_id))
         SELECT item_id AS query_id, md5(coalesce(string_agg(text, '|' ORDER BY pos) FILTER (doc_id IS NOT NULL), '')) AS contexts_md5, count(*) FILTER (doc_id IS NULL) AS n_missing FROM f GROUP BY item_id""",
     "b3_report": _with(_findings() + ", n AS (SELECT type, count(*) AS n FROM found GROUP BY type)", "SELECT CAST(sum(n) AS BIGINT) AS n_findings, string_agg(type, ',' ORDER BY n DESC, type) AS types FROM n"),
+    "l6_tiers": _with(BASE + GATED + SELF, f"""
+        SELECT query_id, reranker_median, max_entailment, confidence, tier,
+               CASE tier WHEN 'dead' THEN length('The sources do not answer this question.')
+                    WHEN 'moderate' THEN length('Parts of this answer may be incomplete.') + 2 + length(answer) + chars
+                    WHEN 'low' THEN length('The sources support this answer weakly.') + 2 + length(answer) + chars
+                    ELSE length(answer) + chars END AS response_chars
+        FROM tiers"""),
+    "d3_plain_pages": f"SELECT page_id, md5(trim({CLEANED})) AS plain_md5 FROM pages",
+    "e5_bundles": f"""
+        WITH RECURSIVE t AS (
+            SELECT conv_id, turn, len({_tokens("text")}) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, len({_tokens("text")})) AS pos FROM conversations),
+        b AS (
+            SELECT conv_id, turn, pos, 0::BIGINT AS bundle, n AS used FROM t WHERE pos = 1
+            UNION ALL
+            SELECT t.conv_id, t.turn, t.pos, CASE WHEN used > 0 AND used + n > 60 THEN bundle + 1 ELSE bundle END,
+                   CASE WHEN used > 0 AND used + n > 60 THEN n ELSE used + n END
+            FROM b JOIN t ON t.conv_id = b.conv_id AND t.pos = b.pos + 1)
+        SELECT conv_id, turn, bundle FROM b""",
+    "h11_retrieval": _with(BASE, """
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place, domain_rank) AS position, chunk_id,
+               CASE domain WHEN 'fr' THEN 'unknown' ELSE domain END AS domain, round(rrf, 6) AS rrf, CASE WHEN chunk_id % 2 = 1 THEN 1 ELSE length(content) END AS token_count
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, domain ORDER BY round(rrf, 12) DESC, first) AS domain_rank FROM fused) f
+        JOIN chunks USING (domain, chunk_id)
+        WHERE query_id % 7 <> 0 AND domain_rank <= CASE WHEN query_id % 3 <> 0 THEN 2 WHEN domain = 'en' THEN 2 WHEN domain = 'es' THEN 5 ELSE 0 END"""),
+    "i16_citations": _with(BASE + GATED, """
+        SELECT query_id, n - rank + 1 AS context_position, chunk_id, domain, score, round(raw, 6) AS raw, source
+        FROM placed JOIN raw USING (query_id, chunk_id) JOIN chunks USING (chunk_id) WHERE in_context"""),
+    "i17_score_report": _with(BASE + GATED, """,
+        s AS (SELECT gated.*, raw, domain FROM gated JOIN raw USING (query_id, chunk_id) JOIN chunks USING (chunk_id)),
+        d AS (SELECT query_id, string_agg(domain || ':' || n, ',' ORDER BY domain) AS domains FROM (SELECT query_id, domain, count(*) AS n FROM s GROUP BY ALL) GROUP BY query_id)
+        SELECT query_id, count(*) AS n_scored, count(*) FILTER (NOT passed_gate) AS n_gated_out, max(score) AS max_score, min(score) AS min_score,
+               list_sort(list(score))[count(*) // 2 + 1] AS median_score, round(max(raw), 6) AS max_raw, round(min(raw), 6) AS min_raw, round(list_sort(list(raw))[count(*) // 2 + 1], 6) AS median_raw,
+               array_to_string(coalesce(list(chunk_id ORDER BY rank) FILTER (NOT passed_gate), [])[1:5], ',') AS gated_out, any_value(domains) AS domains
+        FROM s JOIN d USING (query_id) GROUP BY query_id""".lstrip(",")).replace("n FROM fits)\n", "n FROM fits),\n"),
+    "m9_list_metrics": """
+        WITH r AS (
+            SELECT item_id AS i, list_sort(list_distinct(list_filter([CASE WHEN item_id % 6 = 0 THEN NULL ELSE item_id * 2 END, item_id * 2,
+                       CASE WHEN item_id % 2 = 0 THEN item_id + 2 END, CASE WHEN item_id % 9 = 0 THEN item_id END], lambda x: x IS NOT NULL)::VARCHAR[])) AS truth,
+                   list_concat(CASE WHEN item_id % 5 = 0 THEN [] ELSE [item_id, item_id + 1, item_id + 2] END, CASE WHEN item_id % 3 = 0 THEN [item_id + 7, item_id * 2] ELSE [] END)::VARCHAR[] AS ranking,
+                   item_id % 4 <> 0 AND item_id % 5 <> 0 AS evaluable
+            FROM benchmark WHERE item_id % 3 = 0),
+        f AS (SELECT *, list_min(list_filter(range(1, len(ranking) + 1), lambda k: list_contains(truth, ranking[k]))) AS first FROM r)
+        SELECT i AS query_id, array_to_string(truth, ',') AS truth, array_to_string(ranking, ',') AS ranking, evaluable,
+               """ + ", ".join(f"CASE WHEN coalesce(first, 1000) <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_{k}" for k in (1, 3, 5, 10)) + """, round(coalesce(1 / first, 0), 6) AS rr FROM f""",
+    "m14_describe": """
+        WITH x AS (SELECT 'size' AS metric, p_size::DOUBLE AS x FROM part UNION ALL SELECT 'price', p_retailprice::DOUBLE FROM part)
+        SELECT metric, count(*) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(min(x), 4) AS least, round(quantile_cont(x, 0.25), 4) AS q25,
+               round(quantile_cont(x, 0.5), 4) AS q50, round(quantile_cont(x, 0.75), 4) AS q75, round(max(x), 4) AS largest FROM x GROUP BY metric""",
+    "j5_confidence": """
+        WITH p AS (SELECT vec_id AS query_id, exp(-abs(unnest(embedding)::DOUBLE)) AS p FROM embeddings)
+        SELECT query_id, round(coalesce(median(p) FILTER (p < 0.8), median(p)), 6) AS confidence, count(*) FILTER (p < 0.8) AS n_factual FROM p GROUP BY query_id""",
+    "j6_overrides": _with(CLAIMS, """SELECT told.query_id, any_value(told.query_id % 100) / 100 > 0.75 AND coalesce(round(avg(best_entailment), 8), 0) < 0.4 AS overrides
+        FROM told LEFT JOIN checked USING (query_id) GROUP BY told.query_id"""),
+    "j7_entities": _with(BASE, """SELECT query_id, string_agg(DISTINCT source, ',' ORDER BY source) AS entities
+        FROM sparse JOIN chunks USING (domain, chunk_id) JOIN q USING (query_id) WHERE NOT contains(lower(question), lower(source)) GROUP BY query_id"""),
+    "a8_first_file": "SELECT user_id, event_type, max(event_id) AS event_id FROM events JOIN (SELECT user_id, min(event_type) AS event_type FROM events GROUP BY ALL) USING (user_id, event_type) GROUP BY ALL",
+    "d16_guide": """
+        SELECT conv_id, role || turn AS section, unnest([0, 1])::BIGINT AS item_no, unnest(['turn ' || turn, length(coalesce(text, ''))::VARCHAR]) AS item FROM conversations""",
 }

@@ -1,7 +1,7 @@
 from tessella.operators import audit
 
 
-def test_all_patterns_and_filters_of_the_reference(spark):
+def test_all_patterns_and_filters(spark):
     expected = {
         "[EXPR: 1+2]": {"expression_tag": ["[EXPR: 1+2]"]},
         '{{show|a {b}} {{"k": 1}} {{"k": {{Gold}}': {"double_curly_braces_template": ["{{show|a {b}}", '{{"k": {{Gold}}']},
@@ -26,9 +26,9 @@ def test_all_patterns_and_filters_of_the_reference(spark):
     }
     rows = list(enumerate(expected))
     got = {}
-    for r in audit.reference_findings(spark.createDataFrame([*rows, (99, None)], "item_id int, text string")).collect():
+    for r in audit.findings(spark.createDataFrame([*rows, (99, None)], "item_id int, text string")).collect():
         got.setdefault(r.item_id, {})[r.type] = r.matches
         assert r.match_count == len(r.matches)
     for k, text in rows:
         assert got.get(k, {}) == expected[text], text[:60]
-    assert 99 not in got and len(audit.REFERENCE_PATTERNS) == 20
+    assert 99 not in got and len(audit.PATTERNS) == 20

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import token_count
+
 #: The first of these that isn't empty names a chunk's entity.
 ENTITY_KEYS = ("hero", "champion", "item", "mechanics")
 
@@ -23,6 +25,12 @@ def sanitised(metadata: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def with_token_count(metadata: Column, content: Column) -> Column:
+    """A string map of metadata whose ``token_count`` is that of the text, whatever it was."""
+    rest = F.map_filter(metadata, lambda k, v: k != "token_count")
+    return F.map_concat(rest, F.create_map(F.lit("token_count"), token_count(content).cast("string")))
+
+
 def last_of_each(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row per key: the last by ``order``."""
     w = Window.partitionBy(key).orderBy(*[c.desc() for c in order])

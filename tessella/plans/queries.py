@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import templates
 from ..functions import text as T
 from ..operators import audit, bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, nodes, orchestrate, rerank, wiki
+from ..sources import jsonl
 from ..storage import spread, stored
 
 #: The domains in their order, with allocations of the fused list.
@@ -214,6 +215,12 @@ def e2_word_chunks(spark, sf_dir):
     return found.select("chunk_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("page_content").alias("content_md5"), F.col("token_count").cast("long").alias("token_count"))
 
 
+def e3_recursive_chunks(spark, sf_dir):
+    docs = chunks(spark, sf_dir)
+    found = chunking.recursive_chunks(docs, {"Source": F.col("source"), "Language": F.col("domain")}, budget=130)
+    return found.select("chunk_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("page_content").alias("content_md5"), F.col("token_count").cast("long").alias("token_count"))
+
+
 def e5_bundles(spark, sf_dir):
     """Turns of a conversation packed into bundles of 60 tokens."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.token_count(F.col("text")).alias("n"))
@@ -374,10 +381,32 @@ def d16_guide(spark, sf_dir):
     return found.select(F.col("title").alias("conv_id"), "section", F.col("item_no").cast("long").alias("item_no"), "item")
 
 
+def g4_token_metadata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    meta = F.create_map(F.lit("source"), F.col("source"), F.lit("token_count"), F.lit("-1"))
+    found = docs.select("doc_id", ingest.with_token_count(meta, F.col("text")).alias("m"))
+    return found.select("doc_id", F.size("m").cast("long").alias("n_keys"), F.col("m")["source"].alias("source"), F.col("m")["token_count"].cast("long").alias("token_count"))
+
+
+def a7_chunk_texts(spark, sf_dir):
+    """Documents as lines of four shapes: with an id, one in the metadata, one to be put together, and a null one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k, name = F.col("doc_id"), F.col("doc_id").cast("string")
+    shapes = [
+        F.to_json(F.struct(F.concat(F.lit("c"), (k % 100).cast("string")).alias("chunk_id"), "text")),
+        F.to_json(F.struct(F.struct(F.concat(F.lit("m"), name).alias("id")).alias("metadata"), F.col("text").alias("content"))),
+        F.to_json(F.struct(F.struct(F.lit("G").alias("game"), F.lit("").alias("hero"), F.lit("axe").alias("item"), k.alias("chunk_index")).alias("meta"), F.col("text").alias("page_content"))),
+        F.concat(F.lit('{"chunk_id": null, "id": "x", "text": "t'), name, F.lit('"}')),
+    ]
+    line = F.element_at(F.array(*shapes), (k % 4 + 1).cast("int"))
+    found = jsonl.chunk_texts(docs.select(F.lit("f").alias("file"), (k + 5).alias("line_no"), line.alias("line")))
+    return found.select("chunk_id", F.md5("content").alias("content_md5"))
+
+
 QUERIES = {f.__name__: f for f in (
     h4_bm25_topk, h1_tokens, h2_index_terms, h5_dense_topk, h8_merged_lists, h9_rrf_per_domain, h10_rrf_over_all, h12_counts,
     i9_gate, i11_context, i12_context_edges, i13_admitted, i15_context_text, j1_prompt, j8_abstentions, k5_claims, k7_faithfulness,
-    l6_tiers, m10_rank_metrics, m13_summary, f1_findings, f4_counts, d3_plain_pages, e2_word_chunks, e5_bundles, g2_normalised, g5_chunk_ids, b4_upsert,
+    l6_tiers, m10_rank_metrics, m13_summary, f1_findings, f4_counts, d3_plain_pages, e2_word_chunks, e3_recursive_chunks, e5_bundles, g2_normalised, g5_chunk_ids, b4_upsert,
     d1_sections, d4_derived, d18_versions, e4_nested_nodes, m6_contexts, b3_report,
-    h11_retrieval, i16_citations, i17_score_report, m9_list_metrics, m14_describe, j5_confidence, j6_overrides, j7_entities, a8_first_file, d16_guide,
+    h11_retrieval, i16_citations, i17_score_report, m9_list_metrics, m14_describe, j5_confidence, j6_overrides, j7_entities, a8_first_file, d16_guide, g4_token_metadata, a7_chunk_texts,
 )}

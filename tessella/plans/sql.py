@@ -289,4 +289,10 @@ ORACLE_SQL = {
     "a8_first_file": "SELECT user_id, event_type, max(event_id) AS event_id FROM events JOIN (SELECT user_id, min(event_type) AS event_type FROM events GROUP BY ALL) USING (user_id, event_type) GROUP BY ALL",
     "d16_guide": """
         SELECT conv_id, role || turn AS section, unnest([0, 1])::BIGINT AS item_no, unnest(['turn ' || turn, length(coalesce(text, ''))::VARCHAR]) AS item FROM conversations""",
+    "g4_token_metadata": f"SELECT doc_id, 2 AS n_keys, source, len({_tokens('text')}) AS token_count FROM documents",
+    "a7_chunk_texts": """
+        WITH l AS (
+            SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 4 WHEN 0 THEN 'c' || (doc_id % 100) WHEN 1 THEN 'm' || doc_id WHEN 2 THEN 'G_axe_unknown_path_' || doc_id END AS chunk_id
+            FROM documents)
+        SELECT chunk_id, md5(arg_max(text, doc_id)) AS content_md5 FROM l WHERE chunk_id IS NOT NULL GROUP BY chunk_id""",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ingest import ENTITY_KEYS, chunk_id
+
 CHUNK_SCHEMA = "page_content string, metadata map<string, string>, token_count int"
 
 
@@ -14,9 +16,18 @@ def read_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no from 1, line) of text files; each file is one row while it is split."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("at", "line")).select("file", (F.col("at") + 1).alias("line_no"), "line")
+    """(file, line_no from 1, line) of text files, blank lines included.
+
+    Files are read in splits; lines are numbered within a split, and splits by the lines before them.
+    Files of one name in several folders keep apart.
+    """
+    meta = F.col("_metadata")
+    read = spark.read.text(path).select(meta["file_path"].alias("path"), meta["file_name"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    split = Window.partitionBy("path", "block").orderBy("at")
+    lines = read.withColumn("within", F.row_number().over(split))
+    counts = read.groupBy("path", "block").agg(F.count("*").alias("n"))
+    starts = counts.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
+    return lines.join(starts, ["path", "block"]).select("file", (F.col("before") + F.col("within")).alias("line_no"), "line")
 
 
 def scan_tolerant(lines: DataFrame, snippet: int = 200) -> DataFrame:
@@ -30,5 +41,50 @@ def first_field(line: Column, names: list[str]) -> Column:
     return F.coalesce(*[F.get_json_object(line, f"$.{n}") for n in names])
 
 
+#: Fixed names of a chunk's id, of its text, and of the object that may hold the id, in the order in which they count.
+ID_FIELDS = ["chunk_id", "id", "_id"]
+TEXT_FIELDS = ["text", "content", "page_content", "chunk_text", "passage"]
+METADATA_FIELDS = ["metadata", "meta"]
+
+
+def _first_present(line: Column, places: list[tuple[str, str]]) -> Column:
+    """A struct with the value of the first (path of an object, name) that a line has, even as null; null if it has none."""
+
+    def place(at: str, name: str) -> Column:
+        has = F.array_contains(F.json_object_keys(F.get_json_object(line, at)), name)
+        return F.struct(has.alias("has"), F.get_json_object(line, f"{at}.{name}").alias("value"))
+
+    return F.get(F.filter(F.array(*[place(at, name) for at, name in places]), lambda p: p["has"]), F.lit(0))
+
+
+def resolved(lines: DataFrame) -> DataFrame:
+    """Lines (file, line_no, line) with the ``chunk_id`` and ``content`` of their object; null where there is none.
+
+    The id is a field of the object, else of its metadata, else put together from the metadata as
+    ``ingest.chunk_id`` does, if that names a game.
+    """
+    line = F.col("line")
+    own = _first_present(line, [(at, n) for at in ("$", *(f"$.{m}" for m in METADATA_FIELDS)) for n in ID_FIELDS])
+    told = lines.where(F.trim("line") != "").withColumn("tessella_id", own)
+    meta = {n: F.coalesce(*[F.get_json_object(line, f"$.{m}.{n}") for m in METADATA_FIELDS]) for n in ("game", *ENTITY_KEYS, "full_path", "chunk_index")}
+    made = F.when(meta["game"].isNotNull(), chunk_id(meta["game"], [meta[k] for k in ENTITY_KEYS], meta["full_path"], meta["chunk_index"]))
+    identified = told.withColumn("chunk_id", F.when(F.col("tessella_id").isNull(), made).otherwise(F.col("tessella_id.value")))
+    return identified.withColumn("content", _first_present(line, [("$", n) for n in TEXT_FIELDS])["value"]).drop("tessella_id")
+
+
+def chunk_texts(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """(file, chunk_id, content) of lines (file, line_no, line); of one id the last line of a file counts.
+
+    Lines without id or text are left out. With ``strict`` a file's first line, unless blank, has to have both,
+    or ValueError is raised with the file's name.
+    """
+    found = resolved(lines)
+    bad = F.col("chunk_id").isNull() | F.col("content").isNull()
+    if strict and (first := found.where((F.col("line_no") == 1) & bad).select("file").first()):
+        raise ValueError(f"the first line of {first.file} has no id or no text")
+    newest = found.where(~bad).groupBy("file", "chunk_id").agg(F.max_by("content", "line_no").alias("content"))
+    return newest
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)

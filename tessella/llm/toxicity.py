@@ -337,12 +337,13 @@ def fit(texts: DataFrame, labels: DataFrame, id_col: str, label_col: str, most:
     return Fit(shared, float(share), *calibrated(votes["vote"].to_numpy(), kinds, weights / weights.mean()), frequencies, number)
 
 
-def nearest_examples(texts: DataFrame, shared: Broadcast, neighbours: int = NEIGHBOURS) -> DataFrame:
+def nearest_examples(texts: DataFrame, shared: Broadcast, neighbours: int = NEIGHBOURS, others: bool = True) -> DataFrame:
     """(row, id, vote, square, evidence, others) of every row of ``texts`` (id, text).
 
     ``evidence`` has the nearest examples with the cosines of the text's known terms alone, whose
     squared length is ``square``; ``others`` are the text's other terms, which lengthen its vector
-    and so change the size of its cosines, all by one factor, and neither their order nor the votes.
+    and so change the size of its cosines, all by one factor, and neither their order nor the votes. They
+    are null if not asked for.
     """
     id_type = dict(texts.dtypes)["id"]
     evidence_type = f"array<struct<id: {id_type}, cosine: double, toxic: int>>"
@@ -366,7 +367,7 @@ def nearest_examples(texts: DataFrame, shared: Broadcast, neighbours: int = NEIG
                 pa.array([model.vote(*found) for found in near], pa.float64()),
                 pa.array(squares, pa.float64()),
                 pa.array(evidence, pa.list_(pa.struct([("id", batch.column(0).type), ("cosine", pa.float64()), ("toxic", pa.int32())]))),
-                pc.if_else(pa.array([len(found[0]) > 0 for found in near]), counted.others, None),
+                pc.if_else(pa.array([others and len(found[0]) > 0 for found in near]), counted.others, None),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "vote", "square", "evidence", "others"])
             row += batch.num_rows
@@ -374,9 +375,13 @@ def nearest_examples(texts: DataFrame, shared: Broadcast, neighbours: int = NEIG
     return texts.select("id", "text").mapInArrow(searched, f"row long, id {id_type}, vote double, square double, evidence {evidence_type}, others array<struct<term: string, count: int>>")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_EXAMPLES, neighbours: int = NEIGHBOURS, cosines: bool = True) -> DataFrame:
     """(id, score, evidence array<struct<id, cosine, toxic>>) of every row of ``docs``.
 
+    Without ``cosines`` the evidence has no cosine, and what a text's terms outside the examples add to
+    its vector's length isn't looked up: that scales all its cosines alike, so neither their order
+    nor a score depends on it.
+
     The model is fitted on up to ``most`` labelled rows and asks ``neighbours`` of them. Null and
     empty texts, and texts without any term of the examples, get the calibrated base rate and no
     evidence, and so do all if no label or only one kind of label is known. Repeated rows are
@@ -386,14 +391,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     found = fit(texts, labels, id_col, label_col, most, neighbours)
     evidence_type = f"array<struct<id: {dict(texts.dtypes)['id']}, cosine: double, toxic: int>>"
+    bare = F.transform("evidence", lambda x: x.dropFields("cosine"))
     if found.model is None:
-        return texts.select("id", found.score(F.lit(found.share)).alias("score"), F.array().cast(evidence_type).alias("evidence"))
-    near = materialise(nearest_examples(texts, found.model, neighbours), "nearest-examples")
+        none = texts.select("id", found.score(F.lit(found.share)).alias("score"), F.array().cast(evidence_type).alias("evidence"))
+        return none if cosines else none.withColumn("evidence", bare)
+    near = nearest_examples(texts, found.model, neighbours, others=cosines)
+    score = found.score(F.col("vote")).alias("score")
+    if not cosines:
+        return near.select("id", score, bare.alias("evidence"))
+    near = materialise(near, "nearest-examples")
     # a term that isn't common is in few documents, so no key is hot
     others = near.select("row", F.explode("others").alias("o")).select("row", "o.term", "o.count").join(found.frequencies, "term")
     weight = (1 + F.log("count")) * F.log((1 + found.number) / (1 + F.col("n")))
     longer = others.groupBy("row").agg(F.sum(weight * weight).alias("more"))
     shrink = F.sqrt(F.col("square") / (F.col("square") + F.coalesce("more", F.lit(0.0))))
-    evidence = F.transform("evidence", lambda x: F.struct(x["id"].alias("id"), (x["cosine"] * F.col("shrink")).alias("cosine"), x["toxic"].alias("toxic")))
+    evidence = F.transform("evidence", lambda x: x.withField("cosine", x["cosine"] * F.col("shrink")))
     whole = near.drop("others").join(longer, "row", "left").withColumn("shrink", shrink)
-    return whole.select("id", found.score(F.col("vote")).alias("score"), evidence.alias("evidence"))
+    return whole.select("id", score, evidence.alias("evidence"))

@@ -107,3 +107,31 @@ def test_blocks_stop_late_enough(monkeypatch):
             best = sorted((-round(c, 6), i) for i, c in enumerate(full) if c > 1e-7 and not (without is not None and i == k))[:7]
             assert [int(i) for i in index.ids[found]] == [i for _, i in best]
             assert np.allclose(cosines, [-c for c, _ in best], atol=2e-6)
+
+
+def test_scores_and_evidence_are_the_same_without_cosines(spark):
+    rows, labels = table()
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    kept = {(str(r.id), r.score, tuple((e.id, e.toxic) for e in r.evidence)) for r in toxicity.score_toxicity(docs, known).collect()}
+    assert kept == {(str(r.id), r.score, tuple((e.id, e.toxic) for e in r.evidence)) for r in toxicity.score_toxicity(docs, known, cosines=False).collect()}
+    none = toxicity.score_toxicity(docs, known.limit(0), cosines=False)
+    assert none.schema["evidence"].dataType.elementType.names == ["id", "toxic"] and none.count() == len(rows)
+
+
+def test_other_columns_long_texts_and_string_ids(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdeghil", k=5)) for _ in range(80)]
+    rows = [(f"d{k}", " ".join(rng.choices(words, k=20)), 1, 2.0, "x") for k in range(60)] + [("long", " ".join(rng.choices(words, k=300_000)), 0, 0.0, "y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, toxic int, score double, term string")
+    got = toxicity.score_toxicity(docs, spark.createDataFrame([(f"d{k}", k % 2) for k in range(60)], "doc_id string, toxic int"), most=20, neighbours=5).collect()
+    assert len(got) == 61 and all(0 <= r.score <= 1 and r.evidence for r in got)
+
+
+def test_the_sample_takes_toxic_labels_first(spark):
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(1000)], "doc_id long, toxic int")
+    known = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 5]
+    toxic = sum(k % 10 == 0 for k in known)
+    for most in (40, 400, 5000):
+        got = toxicity.example_sample(labels, "doc_id", "toxic", most).collect()
+        assert len(got) == min(most, len(known)) and sum(r.toxic for r in got) == min(toxic, max(most // 2, most - (len(known) - toxic)))
+        assert {r.id for r in got} <= set(known) and all(r.toxic == (r.id % 10 == 0) for r in got)

@@ -1,7 +1,7 @@
 """Secrets in texts, and weak candidates that complementary parts nearby confirm.
 
 Strong matches (``BASE``) always count. Weak candidates are parts of a credential: an access
-identifier, a secret, or an endpoint. By itself each is as likely a harmless word, so one is
+identifier such as a user's name or e-mail address, a secret, or an endpoint such as a URL or address. By itself each is as likely a harmless word, so one is
 reported only if the parts that complete it stand in its scope: within REACH code points, without a
 blank line between. Parts meet in an interval join of scopes and spans over (document, bin).
 """
@@ -30,7 +30,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_ENDPOINT = re.compile(r"(?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s\"'<>]+|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b", _EITHER_CASE)
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_ENDPOINT = re.compile(r"(?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s\"'<>]+|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b(?!\.\d)", _EITHER_CASE)
 #: Where a label begins: behind no letter, or at a change of case as in dbUser.
 _LABEL = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"
 _WEAK_ACCESS = re.compile(_LABEL + r"""(?:(?<!secret)(?<!secret_)access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:_?name|_?id)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,64}""", _EITHER_CASE)
@@ -63,12 +64,13 @@ def weak_spans(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int,
     """
     low = text.lower()
     access = [m.span() + ("weak_access",) for m in _WEAK_ACCESS.finditer(text)] if any(w in low for w in _WEAK_ACCESS_WORDS) else []
+    access += [m.span() + ("weak_access",) for m in _EMAIL.finditer(text)] if "@" in text else []
     labelled = [m.span() + ("weak_secret",) for m in _WEAK_LABELLED.finditer(text)] if any(w in low for w in _WEAK_LABELLED_WORDS) else []
     # values that were too short for a strong match are weak ones
     labelled += [m.span() + ("weak_secret",) for m in _ASSIGN.finditer(text) if 4 <= len(m[2]) < 8] if any(w in low for w in _ASSIGN_WORDS) else []
     bare = [m.span() + ("weak_secret",) for m in _WEAK_BARE.finditer(text) if all(c.search(m[0]) for c in _MIXED)]
     endpoints, parts = [], sorted([*strong, *access, *labelled])
-    for m in _ENDPOINT.finditer(text) if ":" in text else ():
+    for m in _ENDPOINT.finditer(text) if ":" in text or text.count(".") > 2 else ():
         start, end = m.span()
         if "://" in m[0]:
             host = text.index("://", start) + 3

@@ -89,3 +89,15 @@ def test_labels_in_names_and_parts_in_urls_are_reported(spark):
     for k, text in rows:
         spans = [(text.index(x) + skip, text.index(x) + len(x), kind) for x, skip, kind in expected[text]]
         assert got[k] == spans, text
+
+
+def test_addresses_complete_a_secret(spark):
+    texts = {
+        1: "mail anna.b@example.org with password=hunter2hunter2 at 10.0.0.7 now",
+        2: "mail anna.b@example.org or 10.0.0.7",
+        3: "password=hunter2hunter2\n\nanna@example.org",
+        4: "version 1.2.3.4.5 and a@b with password=hunter2hunter2",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.id: [(texts[r.id][x.start : x.end], x.kind) for x in r.linked] for r in credentials.find_secrets(docs).collect()}
+    assert got == {1: [("anna.b@example.org", "weak_access"), ("10.0.0.7", "endpoint")], 2: [], 3: [], 4: []}

@@ -14,6 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_documents
 from .common import exists, get_file, list_files, new_name, put_file, text_or_empty
 
 KEYS = ["source", "lang", "version"]
@@ -32,6 +33,13 @@ def counted(docs: DataFrame, tokenizers: dict[str, Column], source_col: str = "s
     return docs.select(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), versions.alias("x")).select("source", "lang", "x.version", "x.tokens")
 
 
+def bpe_counted(docs: DataFrame, version: str, vocabulary: str, source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(source, lang, version, tokens) for each row by a byte-level vocabulary, as ``bpe.encode_documents`` has it."""
+    keyed = docs.select(F.struct(F.col(source_col).alias("source"), F.col(lang_col).alias("lang")).alias("key"), F.col(text_col).alias("text"))
+    encoded = encode_documents(keyed, vocabulary, id_col="key")
+    return encoded.select("id.source", "id.lang", F.lit(version).alias("version"), F.size("ids").cast("long").alias("tokens"))
+
+
 def inserts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sign", F.lit(1))
 

@@ -73,3 +73,20 @@ def test_sums_of_many_keys_are_not_written_by_one_task(spark):
         assert sorted((r.source, r.n_docs, r.n_tokens) for r in rollup.totals().collect()) == sorted((s, 1, n) for s, _, _, n in rows)
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_counts_of_a_vocabulary(spark, tmp_path):
+    import tiktoken
+
+    from tessella.llm import pieces
+    from tessella.llm.token_rollup import bpe_counted
+
+    path = pieces.vocabulary_path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=pieces.default_pattern(), mergeable_ranks=pieces.read_ranks(path), special_tokens={})
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", None]), rng.choice(["en", "fr"]), rng.choice([None, "", "one two\n three", "élan über 123 ", "<|endoftext|> x"])) for _ in range(50)]
+    docs = spark.createDataFrame(rows, "source string, lang string, text string")
+    rollup = TokenRollup(spark, f"file://{tmp_path}/bpe")
+    assert rollup.commit("load", inserts(bpe_counted(docs, "bpe-50k", path)))
+    assert rollup.commit("gone", deletes(bpe_counted(docs.limit(0), "bpe-50k", path)))
+    assert totals(rollup) == brute([((s, lang, "bpe-50k", len(library.encode_ordinary(t or ""))), 1) for s, lang, t in rows])

@@ -28,7 +28,7 @@ RULES: dict[str, tuple[str, str, str | None]] = {
     "symbols": ("n_symbols / n_words", "x > 0.1", None),
     "plain_words": ("n_plain / n_words", "x < 0.6", "x > 0.8"),
     "repeated_lines": ("n_dup_lines / n_lines", "x > 0.5", None),
-    "repeated_words": ("n_repeat_words / n_words", "x > 0.2", None),
+    "repeated_words": ("n_repeat_words / n_words", "x > 0.1", None),
     "capitals": ("n_capitals / word_chars", "x > 0.3", None),
     "word_length": ("word_chars / n_words", "x < 2.5 OR x > 12", None),
     "line_ends": ("n_closed_lines / n_lines", "x < 0.2", "x > 0.5"),
@@ -88,6 +88,11 @@ def _votes(at: str) -> Column:
     return F.array(*votes)
 
 
+def _weight(bad: tuple[float, ...], good: tuple[float, ...], vote: int) -> float:
+    """What a vote says for a good document; nothing, if it is never given."""
+    return math.log(good[vote] / bad[vote]) if good[vote] and bad[vote] else 0.0
+
+
 @dataclass(frozen=True)
 class VoteModel:
     """Share of good documents, and of either kind the share that each rule gives its votes to.
@@ -99,7 +104,7 @@ class VoteModel:
     chances: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
 
     def log_odds(self, votes) -> float:
-        return math.log(self.good / (1 - self.good)) + sum(math.log(good[v] / bad[v]) for (bad, good), v in zip(self.chances, votes) if v != 1)
+        return math.log(self.good / (1 - self.good)) + sum(_weight(bad, good, v) for (bad, good), v in zip(self.chances, votes) if v != 1)
 
     def accuracies(self) -> dict[str, float]:
         """For each rule, how likely a vote is right if good and bad documents are equally many."""
@@ -113,13 +118,15 @@ class VoteModel:
         odds = F.lit(math.log(self.good / (1 - self.good)))
         for k, (bad, good) in enumerate(self.chances):
             vote = F.get(votes, F.lit(k))
-            odds = odds + F.when(vote == 0, math.log(good[0] / bad[0])).when(vote == 2, math.log(good[2] / bad[2])).otherwise(0.0)
+            odds = odds + F.when(vote == 0, _weight(bad, good, 0)).when(vote == 2, _weight(bad, good, 2)).otherwise(0.0)
         return odds
 
 
 #: Where fitting starts, and as how many more documents that counts: a rule seldom speaks against a
 #: good document, and a bad document breaks a few of the rules only.
 START_GOOD, START_CHANCES, PRIOR_DOCUMENTS = 0.85, ((0.3, 0.1, 0.6), (0.02, 0.08, 0.9)), 10.0
+#: The same for rules that never speak for a text.
+START_AGAINST = ((0.3, 0.7, 0.0), (0.02, 0.98, 0.0))
 #: The most good documents, and the fewest bad ones, that a rule may speak against, and the most bad
 #: ones it may speak for. Bad documents are of several kinds; without these bounds, fitting can take
 #: one common kind of them for good ones, or good ones for bad.
@@ -139,9 +146,10 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> VoteModel:
     The first step takes the start for the chances; each later one weighs every pattern by its
     probability of being good under the model so far.
     """
-    model = VoteModel(START_GOOD, (START_CHANCES,) * len(RULES))
+    starts = tuple(START_CHANCES if good else START_AGAINST for _, _, good in RULES.values())
+    model = VoteModel(START_GOOD, starts)
     for _ in range(rounds):
-        weight = [[[PRIOR_DOCUMENTS * p for p in START_CHANCES[kind]] for kind in (0, 1)] for _ in RULES]
+        weight = [[[PRIOR_DOCUMENTS * p for p in start[kind]] for kind in (0, 1)] for start in starts]
         total = [PRIOR_DOCUMENTS * (1 - START_GOOD), PRIOR_DOCUMENTS * START_GOOD]
         for votes, n in sorted(patterns.items()):
             good = 1 / (1 + math.exp(-max(-700.0, min(700.0, model.log_odds(votes)))))
@@ -158,7 +166,7 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> VoteModel:
 def assess(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, into: str = "quality") -> DataFrame:
     """The columns ``carry`` of every row (all, if None) and a struct column ``into``.
 
-    It holds the counts, ``votes`` (per rule 0 bad, 1 abstains, 2 good), ``base_failed``,
+    It holds the counts (windows are compared by their 64-bit hashes), ``votes`` (per rule 0 bad, 1 abstains, 2 good), ``base_failed``,
     ``log_odds`` of being good and ``kept``: not base_failed, and good is at least as likely as bad.
     Null texts count as empty and fail the base rule, as do all of under ten words. Repeated rows
     are judged alike; an empty table gives an empty result. A carried column that is called as

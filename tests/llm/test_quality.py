@@ -65,3 +65,16 @@ def test_clean_texts_stay_and_junk_goes(spark):
     docs = spark.createDataFrame([(i, t, i < 300) for i, t in enumerate(clean + junk)], "doc_id long, text string, clean boolean")
     for r in quality.assess(docs).collect():
         assert r["quality"]["kept"] == r["clean"]
+
+
+def test_rules_that_only_speak_against_have_no_votes_for():
+    model = quality.fit({(1,) * len(quality.RULES): 900, (0,) + (1,) * (len(quality.RULES) - 1): 100})
+    for (_, _, for_good), (bad, good) in zip(quality.RULES.values(), model.chances):
+        assert for_good or (bad[2], good[2]) == (0.0, 0.0)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    long = "".join(str(rng.random())[2:8] + rng.choice((" ", "\n")) for _ in range(60_000))
+    row = quality.assess(spark.createDataFrame([(1, long)], "doc_id long, text string"), carry=["doc_id"]).first()["quality"]
+    assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"], row["base_failed"]) == base(long)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, exact_dedup, mixing, quality, queries, simhash
-from tessella.llm.common import documents, materialise
+from tessella.llm.common import documents, new_path, remove, scratch
 from tessella.llm.pieces import vocabulary_path
 
 
@@ -46,10 +46,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
-    docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, name.replace(" ", "-"))
-    return docs
+    """All stages over ``documents``, each written and read again before the next.
+
+    A stage's own tables are removed once it is written, and so is the table that it read.
+    """
+    docs, read = documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if read:
+            remove(spark, read)
+        read = path
+    return STAGES[-1][1](spark, docs, sf_dir)

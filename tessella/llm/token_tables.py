@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import file_system, materialise, new_path, text_or_empty
 from .pieces import CachedEncoder, slices
@@ -263,8 +264,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     a repeated or null identifier doesn't fill one task. Null texts count as empty: they get the
     end id only. Repeated rows are all written, those of one identifier in order of the text's hash.
     ``added_tokens`` is that of ``library_encoder``.
-    A retried task writes the same file again under the same name. Other columns are not read.
+    A retried task writes the same file again under the same name. Identifiers that aren't whole
+    numbers raise ValueError, and so does an id that doesn't fit ``id_bytes``. Other columns are not read.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"the identifiers in {id_col} aren't whole numbers")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("order", F.xxhash64("text"))
     order = [F.col("id").asc_nulls_last(), F.col("order")]
 

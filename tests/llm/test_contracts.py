@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tessella.llm import queries
+from tessella.llm import common, queries
 
 EXPECTED = {
     "op1_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
@@ -56,3 +56,9 @@ def test_pipeline_keeps_the_tables_columns(spark, sf_dir):
         out = stage(spark, out, sf_dir)
         assert out.columns == clashing.columns
     assert dict(corpus_pipeline.STAGES[-1][1](spark, out, sf_dir).dtypes)["ids_sha256"] == "string"
+
+
+def test_pipeline_removes_what_it_stored(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda session: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0 and [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["mix-sources"]

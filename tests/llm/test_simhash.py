@@ -38,6 +38,12 @@ def test_fingerprint_is_that_of_the_definition(text):
     assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
+def test_fingerprint_of_a_very_long_text():
+    rng = random.Random(7)
+    text = " ".join(rng.choices("abcdefghij", k=simhash._AT_ONCE + 5000))
+    assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from tessella.llm import common, queries, token_tables
@@ -80,3 +81,15 @@ def test_added_tokens_are_those_of_the_unchanged_library(spark, tmp_path):
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op4_token_tables(spark, str(tmp_path)).collect()}
     expected = {k: t.encode(x, add_special_tokens=False).ids + [2] for k, x in docs}
     assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in expected.items()}
+
+
+def test_what_does_not_fit_raises(spark):
+    writer = token_tables.ShardWriter(io.BytesIO(), 2)
+    with pytest.raises(ValueError, match="70000"):
+        writer.add(1, np.array([5, 70_000], "<u4"))
+    wide = token_tables.ShardWriter(out := io.BytesIO(), 4)
+    wide.add(1, np.array([5, 70_000], "<u4"))
+    wide.close()
+    assert token_tables.ShardReader(io.BytesIO(out.getvalue()), len(out.getvalue())).get(1)[0].tolist() == [5, 70_000]
+    with pytest.raises(ValueError, match="whole numbers"):
+        token_tables.token_tables(spark.createDataFrame([("a", "b")], "doc_id string, text string"), PATH, 2)

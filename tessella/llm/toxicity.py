@@ -33,7 +33,7 @@ NEIGHBOURS, EVIDENCE = 300, 5
 #: Examples of a block; terms in this share of the examples have dense rows of weights instead of postings.
 BLOCK, DENSE_SHARE = 512, 1 / 12
 #: Texts and their bytes that are counted at once, and texts and postings that a search holds at once.
-_ROWS, _BYTES, _TEXTS, _POSTINGS = 768, 1 << 21, 128, 1 << 19
+_ROWS, _BYTES, _TEXTS, _POSTINGS = 768, 1 << 21, 128, 1 << 16
 #: A share of toxic examples and its weight in examples, for when there are few or none.
 PRIOR_SHARE, PRIOR_WEIGHT = 0.1, 5.0
 
@@ -134,24 +134,31 @@ class BlockMaxIndex:
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of every query, in order."""
-        sizes = [int((self.starts[t + 1] - self.starts[t]).sum()) for t, _ in queries]
-        at = 0
-        while at < len(queries):
-            to, total = at + 1, sizes[at]
-            while to < len(queries) and to - at < _TEXTS and total + sizes[to] <= _POSTINGS:
-                total += sizes[to]
-                to += 1
-            yield from self._search(queries[at:to], k, without and without[at:to])
-            at = to
+        for at in range(0, len(queries), _TEXTS):
+            yield from self._search(queries[at : at + _TEXTS], k, without and without[at : at + _TEXTS])
+
+    def _sums(self, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What the postings give every example, by query; as many queries at once as have _POSTINGS of them."""
+        m, width = len(ends) - 1, self.blocks * BLOCK
+        sums, sizes = np.zeros((m, width)), self.starts[terms + 1] - self.starts[terms]
+        total = np.concatenate(([0], np.cumsum(sizes)))[ends]
+        a = 0
+        while a < m:
+            b = max(a + 1, int(np.searchsorted(total, total[a] + _POSTINGS, side="right")) - 1)
+            part, n = slice(ends[a], ends[b]), sizes[ends[a] : ends[b]]
+            at = np.repeat(self.starts[terms[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            row = np.repeat(np.arange(b - a) * width, np.diff(total[a : b + 1]))
+            if len(at):
+                sums[a:b] = np.bincount(row + self.rows[at], self.postings[at] * np.repeat(weights[part], n), (b - a) * width).reshape(b - a, width)
+            a = b
+        return sums
 
     def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         m, width = len(queries), self.blocks * BLOCK
-        query = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        lengths = [len(t) for t, _ in queries]
+        query, ends = np.repeat(np.arange(m), lengths), np.concatenate(([0], np.cumsum(lengths)))
         terms, weights = (np.concatenate(x) for x in zip(*queries))
-        first, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        spots, shares = np.repeat(query * width, sizes) + self.rows[at], self.postings[at] * np.repeat(weights, sizes)
-        sums = (np.bincount(spots, shares, m * width) if len(at) else np.zeros(m * width)).reshape(m, width)
+        sums = self._sums(terms, weights, ends)
         known = self.dense_at[terms] >= 0
         heavy = np.zeros((m, len(self.dense)))
         heavy[query[known], self.dense_at[terms[known]]] = weights[known]
@@ -161,7 +168,9 @@ class BlockMaxIndex:
         for block in range(self.blocks):
             some = np.flatnonzero(bound[:, block] >= floor - 1e-5)
             here = slice(block * BLOCK, (block + 1) * BLOCK)
-            if len(some):
+            if len(some) == m:
+                sums[:, here] += heavy @ self.dense[:, here]
+            elif len(some):
                 sums[some, here] += heavy[some] @ self.dense[:, here]
         if without is not None:
             sums[np.arange(m), without] = 0

@@ -32,6 +32,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _ENDPOINT = re.compile(r"(?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s\"'<>]+|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b(?!\.\d)", _EITHER_CASE)
+#: What every address has.
+_DOTTED = re.compile(r"\.\d{1,3}\.\d{1,3}\.\d")
 #: Where a label begins: behind no letter, or at a change of case as in dbUser.
 _LABEL = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"
 _WEAK_ACCESS = re.compile(_LABEL + r"""(?:(?<!secret)(?<!secret_)access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:_?name|_?id)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,64}""", _EITHER_CASE)
@@ -70,7 +72,7 @@ def weak_spans(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int,
     labelled += [m.span() + ("weak_secret",) for m in _ASSIGN.finditer(text) if 4 <= len(m[2]) < 8] if any(w in low for w in _ASSIGN_WORDS) else []
     bare = [m.span() + ("weak_secret",) for m in _WEAK_BARE.finditer(text) if all(c.search(m[0]) for c in _MIXED)]
     endpoints, parts = [], sorted([*strong, *access, *labelled])
-    for m in _ENDPOINT.finditer(text) if ":" in text or text.count(".") > 2 else ():
+    for m in _ENDPOINT.finditer(text) if "://" in text or _DOTTED.search(text) else ():
         start, end = m.span()
         if "://" in m[0]:
             host = text.index("://", start) + 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, exact_dedup, line_dedup, mixing, quality, simhash, token_rollup, token_tables, toxicity
+from . import bpe, credentials, exact_dedup, line_dedup, merkle, mixing, quality, simhash, token_rollup, token_tables, toxicity
 from .common import WORD, documents, new_path
 from .pieces import vocabulary_path
 
@@ -95,6 +95,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    out = merkle.proofs(documents(spark, sf_dir), tampered, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mix_sources": op2_mix_sources,
@@ -106,6 +112,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_rollup": op9_token_rollup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {

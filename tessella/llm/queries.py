@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, exact_dedup, line_dedup, merkle, mixing, quality, simhash, token_rollup, token_tables, toxicity
+from . import bpe, conversations, credentials, exact_dedup, line_dedup, merkle, mixing, quality, simhash, token_rollup, token_tables, toxicity
 from .common import WORD, documents, new_path
 from .pieces import vocabulary_path
+from .sql import CONVERSATION_REPAIR, MERKLE_MANIFEST
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = conversations.repair_conversations(conversations.damage(turns))
+    return conversations.with_all(found, turns).withColumnRenamed("conv", "conv_id")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     out = merkle.proofs(documents(spark, sf_dir), tampered, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
@@ -112,10 +119,13 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_rollup": op9_token_rollup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
+    "op11_conversation_repair": CONVERSATION_REPAIR,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
     "op6_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -18,6 +18,8 @@ EXPECTED = {
     "op8_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
     "op9_token_rollup": {"source": "string", "lang": "string", "version": "string", "n_docs": "bigint", "n_tokens": "bigint"},
     "op10_simhash_near_dedup": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op11_conversation_repair": {"conv_id": "bigint", **dict.fromkeys(["gaps", "blank", "duplicate", "truncated", "illegal", "cost"], "bigint"), "audit": "string", "repaired_sha256": "string"},
+    "op12_merkle_manifest": {"doc_id": "bigint", **dict.fromkeys(["leaf", "subroot", "root", "proof_sha256", "folded_root"], "string"), "verified": "boolean"},
 }
 
 
@@ -31,6 +33,8 @@ def sf_dir(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     labels = [(k, 1, int(rng.random() < 0.3)) for k in range(0, 60, 2)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    turns = [(k // 4, k % 4 if k % 9 else None, ("user", "assistant")[k % 2], "Text. " * (k % 3)) for k in range(60)] + [(None, 1, None, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 
@@ -44,7 +48,9 @@ def test_query(spark, sf_dir, name):
     types = dict(out.dtypes)
     assert {c: types.get(c) for c in EXPECTED[name]} == EXPECTED[name]
     rows = out.collect()
-    if name != "op9_token_rollup":
+    if name == "op11_conversation_repair":
+        assert sorted((r.conv_id for r in rows), key=str) == sorted([*range(15), None], key=str)
+    elif name != "op9_token_rollup":
         assert sorted(r.doc_id for r in rows) == sorted([*range(60), 70, 71, 72, 73])
 
 

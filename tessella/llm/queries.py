@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, credentials, exact_dedup, line_dedup, merkle, mixing, quality, simhash, token_rollup, token_tables, toxicity
+from . import bpe, conversations, credentials, exact_dedup, line_dedup, merkle, mixing, ngram_join, quality, simhash, token_rollup, token_tables, toxicity
 from .common import WORD, documents, new_path
 from .pieces import vocabulary_path
 from .sql import CONVERSATION_REPAIR, MERKLE_MANIFEST
@@ -108,6 +108,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.jaccard_components(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mix_sources": op2_mix_sources,
@@ -121,6 +126,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 ORACLE_SQL = {

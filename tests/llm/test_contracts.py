@@ -19,6 +19,7 @@ EXPECTED = {
     "op9_token_rollup": {"source": "string", "lang": "string", "version": "string", "n_docs": "bigint", "n_tokens": "bigint"},
     "op10_simhash_near_dedup": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op11_conversation_repair": {"conv_id": "bigint", **dict.fromkeys(["gaps", "blank", "duplicate", "truncated", "illegal", "cost"], "bigint"), "audit": "string", "repaired_sha256": "string"},
+    "op13_ngram_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
     "op12_merkle_manifest": {"doc_id": "bigint", **dict.fromkeys(["leaf", "subroot", "root", "proof_sha256", "folded_root"], "string"), "verified": "boolean"},
 }
 

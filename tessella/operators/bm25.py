@@ -1,7 +1,7 @@
-"""BM25 per domain: tokenized chunks and term statistics as tables, searched chunk by chunk.
+"""BM25 per domain: posting blocks with bounds of each term, searched block by block.
 
-A search scores chunks where they are read, against blocks of queries, and passes on no more than the
-best of each batch; only these are shuffled.
+A block has the postings of a few chunks of one domain and similar length. For each of its terms
+it stores the largest count and the smallest length, which bound the term's part of any score in it.
 """
 
 from __future__ import annotations
@@ -19,42 +19,86 @@ from pyspark.sql import functions as F
 from ..config import RetrievalConfig
 from ..functions.text import tokens
 from ..storage import stored
-from .blocks import ROWS, best_rows, query_blocks, read_block
-
-#: Hits of terms that are added up at once.
-_HITS = 1 << 21
+from .blocks import BUFFER, ROWS, Best, as_batch, buffered, codes, count_batch, listed, query_blocks, read_block, whole
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``chunks``: chunk_id, domain, t (tokens). ``terms``: domain, term, df, idf. ``domains``: domain, n, avgdl."""
+    """``blocks``: postings (see ``posting_blocks``). ``terms``: domain, term, df, idf. ``domains``: domain, n, avgdl."""
 
-    chunks: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     domains: DataFrame
 
 
+def posting_blocks(chunks: DataFrame) -> DataFrame:
+    """One row per block of chunks (chunk_id, domain, t), cut where they are read, without a shuffle.
+
+    ``terms``, ``most`` (largest count), ``least`` (smallest length) and ``ends`` go by term; postings ``docs``
+    (places in ``chunk_ids`` and ``lengths``) and ``counts`` of term i stand before ``ends[i]``.
+    """
+    id_type = chunks.schema["chunk_id"].dataType.simpleString()
+    fields = "lengths array<int>, terms array<string>, ends array<int>, docs array<int>, counts array<int>, most array<int>, least array<int>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in buffered(batches, BUFFER):
+            ids, domain, t = (whole(table.column(c)) for c in range(3))
+            lengths, words = np.diff(t.offsets.to_numpy()), t.flatten().dictionary_encode()
+            names = words.dictionary
+            order = np.lexsort((lengths, group := codes(domain)))
+            group = group[order]
+            first = np.concatenate(([True], np.diff(group) != 0))
+            within = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            block = np.cumsum(first | (within % ROWS == 0)) - 1  # of each place in the order
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+
+            row = place[np.repeat(np.arange(len(lengths)), lengths)]
+            cells = (block[row] * max(1, len(names)) + words.indices.to_numpy()) * ROWS + row - starts[block[row]] if len(row) else np.empty(0, np.int64)
+            cells, counts = np.unique(cells, return_counts=True)  # by block, term, place
+            (key, doc), size = np.divmod(cells, ROWS), lengths[order]
+            edges = np.flatnonzero(np.diff(key, prepend=-1))
+            of_term, of_block = key[edges] % max(1, len(names)), key[edges] // max(1, len(names))
+            long = size[starts[key // max(1, len(names))] + doc]
+            most, least = (np.maximum.reduceat(counts, edges), np.minimum.reduceat(long, edges)) if len(edges) else (counts, long)
+            to = np.append(edges[1:], len(cells))
+            term_ends = np.searchsorted(of_block, np.arange(len(starts)), side="right")
+            cell_ends = np.concatenate(([0], to))[term_ends]
+            base = np.concatenate(([0], cell_ends))[of_block]
+            row_ends = np.append(starts[1:], len(order))
+            narrow = lambda x: x.astype(np.int32)
+            columns = [domain.take(pa.array(order[starts])), listed(ids.take(pa.array(order)), row_ends), listed(narrow(size), row_ends), listed(names.take(pa.array(of_term)), term_ends)]
+            columns += [listed(narrow(to - base), term_ends), listed(narrow(doc), cell_ends), listed(narrow(counts), cell_ends), listed(narrow(most), term_ends), listed(narrow(least), term_ends)]
+            yield pa.RecordBatch.from_arrays(columns, ["domain", "chunk_ids", "lengths", "terms", "ends", "docs", "counts", "most", "least"])
+
+    return chunks.select("chunk_id", "domain", "t").mapInArrow(cut, f"domain string, chunk_ids array<{id_type}>, {fields}")
+
+
 def build_index(chunks: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> Bm25Index:
-    """Index ``chunks`` (chunk_id, domain, content); statistics never cross domains.
+    """Index ``chunks`` (chunk_id of any type, domain, content); statistics never cross domains.
 
     Texts are tokenized once. A negative idf becomes ``epsilon`` times the mean idf of the domain's
-    vocabulary. Empty texts count as chunks. Null domains are none of the domains.
+    vocabulary. Empty texts count as chunks. Null domains are none of the domains. An empty table gives an empty index.
     """
-    listed = stored(chunks.select("chunk_id", "domain", tokens(F.col("content")).alias("t")), "tokenized")
-    domains = stored(listed.groupBy("domain").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")), "domains")
-    counted = listed.select("domain", F.explode(F.array_distinct("t")).alias("term")).groupBy("domain", "term").agg(F.count("*").alias("df")).join(domains, "domain")
+    told = chunks.where("domain IS NOT NULL").select("chunk_id", "domain", tokens(F.col("content")).alias("t"))
+    blocks = stored(posting_blocks(told), "posting-blocks")
+    words = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
+    domains = stored(blocks.groupBy("domain").agg(F.sum(F.size("lengths")).alias("n"), (F.sum(words) / F.sum(F.size("lengths"))).alias("avgdl")), "domains")
+    df = F.transform("terms", lambda term, i: F.struct(term.alias("term"), (F.get("ends", i) - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).alias("df")))
+    counted = blocks.select("domain", F.explode(df).alias("x")).groupBy("domain", "x.term").agg(F.sum("x.df").alias("df")).join(domains, "domain")
     plain = counted.withColumn("plain", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     plain = stored(plain.select("domain", "term", "df", "plain"), "terms")
     means = plain.groupBy("domain").agg(F.avg("plain").alias("mean"))
     idf = F.when(F.col("plain") < 0, config.epsilon * F.col("mean")).otherwise(F.col("plain"))
-    return Bm25Index(listed, plain.join(means, "domain").select("domain", "term", "df", idf.alias("idf")), domains)
+    return Bm25Index(blocks, plain.join(means, "domain").select("domain", "term", "df", idf.alias("idf")), domains)
 
 
 @dataclass(frozen=True)
 class _Block:
     """Queries of a file: their terms, and of each domain avgdl, where each term's queries begin, and these with weights."""
 
-    ids: np.ndarray
+    ids: pa.Array
     terms: pa.Array
     domains: dict[str, tuple[float, np.ndarray, np.ndarray, np.ndarray]]
 
@@ -62,9 +106,9 @@ class _Block:
 @lru_cache(maxsize=2)
 def _block(uri: str) -> _Block:
     rows = read_block(uri)
-    terms = pc.unique(rows["term"])
-    ids, query = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
-    code, weight = pc.index_in(rows["term"], value_set=terms).to_numpy(), rows["weight"].to_numpy()
+    terms, ids = pc.unique(whole(rows["term"])), pc.unique(whole(rows["query_id"]))
+    query = pc.index_in(whole(rows["query_id"]), value_set=ids).to_numpy()
+    code, weight = pc.index_in(whole(rows["term"]), value_set=terms).to_numpy(), rows["weight"].to_numpy()
     domain, found = np.array(rows["domain"].to_pylist(), object), {}
     for name in dict.fromkeys(domain.tolist()):
         here = np.flatnonzero(domain == name)
@@ -74,60 +118,80 @@ def _block(uri: str) -> _Block:
     return _Block(ids, terms, found)
 
 
-def search(index: Bm25Index, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """(query_id, domain, chunk_id, score, rank): the best chunks of each query (query_id, question) and domain.
-
-    Only chunks that share a term with a query are found, and of these only those with a score above
-    0. A term that a query has twice counts twice. Ties go by chunk_id.
-    """
+def _searched(index: Bm25Index, queries: DataFrame, config: RetrievalConfig, schema: str, counting: bool) -> DataFrame:
     wanted = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighed = wanted.join(index.terms, "term").join(index.domains.select("domain", "avgdl"), "domain")
-    files = query_blocks(weighed.select(F.col("query_id").cast("long").alias("query_id"), "domain", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl"), "query-terms")
+    files = query_blocks(weighed.select("query_id", "domain", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl"), "query-terms")
     k, k1, b = config.per_source, config.k1, config.b
 
+    def part(count: np.ndarray, length: np.ndarray, avgdl: float) -> np.ndarray:
+        return count * (k1 + 1) / (count + k1 * (1 - b + b * length / avgdl))
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
-            chunk_ids, listed = batch.column(0).to_numpy(), batch.column(2)
-            domain, offsets, flat = np.array(batch.column(1).to_pylist(), object), listed.offsets.to_numpy(), listed.flatten()
-            lengths = np.diff(offsets)
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            for block in map(_block, files):
-                code = pc.index_in(flat, value_set=block.terms).fill_null(-1).to_numpy()
-                known = code >= 0
-                cells, tf = np.unique(row[known] * len(block.terms) + code[known], return_counts=True)
-                rows, codes = np.divmod(cells, max(1, len(block.terms)))
-                for name, (avgdl, starts, query, weight) in block.domains.items():
-                    members = np.flatnonzero(domain == name)
-                    place = np.full(len(domain), -1)
-                    place[members] = np.arange(len(members))
-                    mine = place[rows] >= 0
-                    r, c, n = place[rows[mine]], codes[mine], tf[mine]
-                    part = n * (k1 + 1) / (n + k1 * (1 - b + b * lengths[members[r]] / avgdl))
-                    sizes = starts[c + 1] - starts[c]
-                    total, scores, seen = np.cumsum(sizes), np.zeros(len(members) * len(block.ids)), np.zeros(len(members) * len(block.ids), bool)
-                    at = 0
-                    while at < len(c):
-                        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _HITS, side="right")))
-                        s = sizes[at:to]
-                        hit = np.repeat(starts[c[at:to]] - (np.cumsum(s) - s), s) + np.arange(s.sum())
-                        spot = np.repeat(r[at:to] * len(block.ids), s) + query[hit]
-                        scores += np.bincount(spot, np.repeat(part[at:to], s) * weight[hit], len(scores))
-                        seen[spot] = True
-                        at = to
-                    scores[~seen] = -np.inf
-                    scores = scores.reshape(len(members), len(block.ids))
-                    q, m = best_rows(scores, chunk_ids[members], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array([name] * len(q), pa.string()), pa.array(chunk_ids[members[m]]), pa.array(scores[m, q])], ["query_id", "domain", "chunk_id", "score"])
-
-    found = index.chunks.where("domain IS NOT NULL").mapInArrow(best, "query_id long, domain string, chunk_id long, score double")
-    return top_k(found, k, positive=True)
-
-
-def top_k(scores: DataFrame, k: int, positive: bool = False) -> DataFrame:
-    """The ``k`` best of each query and domain with their rank from 1; ties by chunk_id.
-
-    With ``positive``, scores of 0 and less are dropped after the cut.
+        for table in buffered(batches, BUFFER // ROWS):
+            domain = table.column(0).to_pylist()
+            ids, lengths, terms, ends, docs, counts, most, least = (whole(table.column(c)) for c in range(1, 9))
+            for asked in map(_block, files):
+                held, scored, pairs = {}, 0, 0
+                at = pc.index_in(terms.flatten(), value_set=asked.terms).fill_null(-1).to_numpy()
+                for i, name in enumerate(domain):
+                    if name not in asked.domains:
+                        continue
+                    avgdl, starts, query, weight = asked.domains[name]
+                    top = held.setdefault(name, Best(len(asked.ids), k))
+                    span = slice(terms.offsets[i].as_py(), terms.offsets[i + 1].as_py())
+                    known = np.flatnonzero(at[span] >= 0)
+                    code, size = at[span][known], lengths[i].values.to_numpy()
+                    each = starts[code + 1] - starts[code]
+                    hit = np.repeat(starts[code] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                    bound = part(most[i].values.to_numpy()[known], least[i].values.to_numpy()[known], avgdl)
+                    limit = np.bincount(query[hit], np.maximum(weight[hit], 0) * np.repeat(bound, each), len(asked.ids))
+                    active = np.flatnonzero((limit > 0) & (limit >= top.floor()))
+                    pairs += len(asked.ids) * len(size)
+                    if not len(active):
+                        continue
+                    scored += len(active) * len(size)
+                    column = np.full(len(asked.ids), -1)
+                    column[active] = np.arange(len(active))
+                    mine = column[query[hit]] >= 0
+                    weights = np.zeros((len(code), len(active)))
+                    weights[np.repeat(np.arange(len(code)), each)[mine], column[query[hit[mine]]]] = weight[hit[mine]]
+                    to = ends[i].values.to_numpy()
+                    before = np.concatenate(([0], to[:-1]))
+                    n = (to - before)[known]
+                    cell = np.repeat(before[known] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    doc = docs[i].values.to_numpy()[cell]
+                    parts = np.zeros((len(size), len(code)))
+                    parts[doc, np.repeat(np.arange(len(code)), n)] = part(counts[i].values.to_numpy()[cell], size[doc], avgdl)
+                    scores = parts @ weights
+                    top.add(active, np.where(scores > 0, scores, -np.inf), ids[i].values)
+                if counting:
+                    yield count_batch(scored, pairs)
+                else:
+                    yield from (as_batch(asked.ids, name, rows) for name, top in held.items() if (rows := top.rows()))
+
+    return index.blocks.mapInArrow(best, schema)
+
+
+def search(index: Bm25Index, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(query_id, domain, chunk_id, score, rank): the best chunks of each query (query_id, question) and domain.
+
+    Only chunks that share a term with a query are found, and of these only those with a score above
+    0. A term that a query has twice counts twice. Ties go by chunk_id. Ids are of any type; a null
+    question finds nothing.
     """
+    types = [index.blocks.schema["chunk_ids"].dataType.elementType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
+    found = _searched(index, queries, config, f"query_id {types[1]}, domain string, chunk_id {types[0]}, score double", False)
+    return top_k(found, config.per_source)
+
+
+def scored_pairs(index: Bm25Index, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> tuple[int, int]:
+    """(pairs of query and chunk that a search scores, all pairs of a query and a chunk of its domains)."""
+    row = _searched(index, queries, config, "scored long, pairs long", True).agg(F.sum("scored"), F.sum("pairs")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def top_k(scores: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query and domain with their rank from 1; ties by chunk_id."""
     order = Window.partitionBy("query_id", "domain").orderBy(F.round("score", 9).desc(), "chunk_id")
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.where("score > 0") if positive else best
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -1,4 +1,8 @@
-"""Vectors: normalising, checking, exact nearest neighbours."""
+"""Vectors: normalising, checking, exact nearest neighbours from cells, with predicates of each query.
+
+A cell has some vectors of one domain about a centre, and the largest angle to it. By the triangle
+inequality of angles no vector of it is nearer to a query than the query's angle to the centre less that.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
-from .blocks import BLOCK, ROWS, best_rows, query_blocks, read_block
+from ..storage import stored
+from .blocks import BLOCK, BUFFER, ROWS, Best, as_batch, buffered, codes, count_batch, listed, query_blocks, read_block, whole
 from .bm25 import top_k
 
+#: Rounds of moving centres to the means of their cells.
+_ROUNDS = 3
+
 
 def normalised(vector: Column) -> Column:
     """The vector at length 1, in doubles; a zero vector stays."""
@@ -30,35 +38,133 @@ def dimension(vectors: DataFrame, column: str = "embedding") -> int | None:
     return row.low
 
 
-@lru_cache(maxsize=2)
-def _block(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = read_block(uri)
-    return rows["query_id"].to_numpy(), np.array(rows["v"].to_pylist(), np.float64)
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(len(lists), -1) if len(lists) else np.empty((0, 1))
 
 
-def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
-    """(query_id, domain, chunk_id, score, rank): exact cosine top k of ``queries`` (query_id, embedding).
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
 
-    ``vectors`` has chunk_id, domain and embedding. The tasks that read the vectors stream through
-    stored blocks of queries, multiply them, and pass on each batch's best ``per_source`` of each
-    query and domain. A null vector has no neighbours.
+def _cells(v: np.ndarray) -> list[np.ndarray]:
+    """Rows of about ROWS vectors each that are near each other."""
+    if len(v) <= ROWS:
+        return [np.arange(len(v))]
+    centres = v[:: max(1, ROWS)][: len(v)]
+    for _ in range(_ROUNDS):
+        nearest = np.argmax(v @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, v)
+        lengths = np.linalg.norm(sums, axis=1)
+        centres = np.where(lengths[:, None] > 0, sums / np.where(lengths > 0, lengths, 1)[:, None], centres)
+    order = np.argsort(nearest, kind="stable")
+    cut = np.flatnonzero(np.diff(nearest[order])) + 1
+    return [part for cell in np.split(order, cut) for part in np.split(cell, range(4 * ROWS, len(cell), 4 * ROWS))]
+
+
+def cell_index(vectors: DataFrame) -> DataFrame:
+    """One row per cell of vectors (chunk_id, domain, embedding; metadata, a string map, if there is one), cut where they are read.
+
+    ``v`` has the normalised vectors one after another. A null vector is left out; a null domain is one of its own.
     """
-    k = config.per_source
-    asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), normalised(F.col("embedding")).alias("v"))
+    has = "metadata" in vectors.columns
+    id_type = vectors.schema["chunk_id"].dataType.simpleString()
+    rows = vectors.where("embedding IS NOT NULL").select("chunk_id", "domain", normalised(F.col("embedding")).alias("v"), *(["metadata"] if has else []))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in buffered(batches, BUFFER):
+            ids, domain, v = whole(table.column(0)), whole(table.column(1)), _matrix(whole(table.column(2)))
+            group, order, sizes, centres, radii, first = codes(domain), [], [], [], [], []
+            for name in np.unique(group):
+                here = np.flatnonzero(group == name)
+                for cell in _cells(v[here]):
+                    rows = here[cell]
+                    centre = v[rows].sum(axis=0)
+                    centre = centre / (np.linalg.norm(centre) or 1)
+                    order.append(rows)
+                    sizes.append(len(rows))
+                    centres.append(centre)
+                    near = _angles(v[rows] @ centre)
+                    radii.append(float(near.max()) if np.linalg.norm(centre) else np.pi)
+                    first.append(rows[0])
+            order, ends = np.concatenate(order), np.cumsum(sizes)
+            width = v.shape[1]
+            columns = [domain.take(pa.array(first)), listed(ids.take(pa.array(order)), ends), listed(v[order].ravel(), ends * width), listed(np.concatenate(centres), np.arange(1, len(ends) + 1) * width), pa.array(radii)]
+            if has:
+                columns.append(listed(whole(table.column(3)).take(pa.array(order)), ends))
+            yield pa.RecordBatch.from_arrays(columns, ["domain", "chunk_ids", "v", "centre", "radius", *(["metadata"] if has else [])])
+
+    extra = ", metadata array<map<string,string>>" if has else ""
+    return rows.mapInArrow(cut, f"domain string, chunk_ids array<{id_type}>, v array<double>, centre array<double>, radius double{extra}")
+
+
+@lru_cache(maxsize=2)
+def _block(uri: str) -> tuple[pa.Array, np.ndarray, np.ndarray, list[dict]]:
+    """(ids, vectors, number of each query's predicates, the different predicates) of a block's queries."""
+    rows = read_block(uri)
+    wanted = [tuple(sorted(map(tuple, x))) for x in rows["wanted"].to_pylist()]
+    different = list(dict.fromkeys(wanted))
+    return whole(rows["query_id"]), _matrix(whole(rows["v"])), np.array([different.index(w) for w in wanted], np.int64), [dict(w) for w in different]
+
+
+def _searched(cells: DataFrame, queries: DataFrame, config: RetrievalConfig, block: int, schema: str, counting: bool) -> DataFrame:
+    k, has = config.per_source, "metadata" in cells.columns
+    given = F.col("where") if "where" in queries.columns else F.create_map().cast("map<string,string>")
+    wanted = F.coalesce(F.map_entries(given), F.array().cast("array<struct<key:string,value:string>>"))
+    asked = queries.where("embedding IS NOT NULL").select("query_id", normalised(F.col("embedding")).alias("v"), F.transform(wanted, lambda e: F.array(e["key"], e["value"])).alias("wanted"))
     files = query_blocks(asked, "query-vectors", block)
-    rows = vectors.where("embedding IS NOT NULL").select("chunk_id", "domain", normalised(F.col("embedding")).alias("v"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
-            chunk_ids, domain = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
-            v = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            for ids, q in map(_block, files):
-                if not len(ids):
+        for table in buffered(batches, BUFFER // ROWS):
+            domain, radius = table.column(0).to_pylist(), table.column(4).to_numpy()
+            ids, flat, centre = (whole(table.column(c)) for c in (1, 2, 3))
+            for query_ids, q, number, predicates in map(_block, files):
+                if not len(query_ids):
                     continue
-                for name in dict.fromkeys(domain.tolist()):
-                    here = np.flatnonzero(domain == name)
-                    scores = v[here] @ q.T
-                    columns, found = best_rows(scores, chunk_ids[here], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[columns]), pa.array([name] * len(columns), pa.string()), pa.array(chunk_ids[here[found]]), pa.array(scores[found, columns])], ["query_id", "domain", "chunk_id", "score"])
+                held, scored, pairs = {}, 0, 0
+                plain = [not p for p in predicates]
+                limit = np.cos(np.maximum(0, _angles(_matrix(centre) @ q.T) - radius[:, None])) + 1e-9
+                for i in np.argsort(-limit.max(axis=1), kind="stable"):
+                    top = held.setdefault(domain[i], Best(len(q), k))
+                    count = len(ids[i])
+                    pairs += count * len(q)
+                    active = np.flatnonzero(limit[i] >= top.floor())
+                    if not len(active):
+                        continue
+                    fits = None
+                    if not all(plain):
+                        held_by = [dict(m or ()) for m in table.column(5)[i].as_py()] if has else [{}] * count
+                        fits = np.array([[all(m.get(key) == value and value is not None for key, value in p.items()) for p in predicates] for m in held_by])
+                        active = active[fits.any(axis=0)[number[active]]]
+                        if not len(active):
+                            continue
+                    scores = flat[i].values.to_numpy().reshape(count, -1) @ q[active].T
+                    if fits is not None:
+                        scores = np.where(fits[:, number[active]], scores, -np.inf)
+                    scored += scores.size
+                    top.add(active, scores, ids[i].values)
+                if counting:
+                    yield count_batch(scored, pairs)
+                else:
+                    yield from (as_batch(query_ids, name, rows) for name, top in held.items() if (rows := top.rows()))
+
+    return cells.mapInArrow(best, schema)
+
+
+def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> DataFrame:
+    """(query_id, domain, chunk_id, score, rank): exact cosine top k of ``queries`` (query_id, embedding; where, if there is one).
+
+    ``vectors`` has chunk_id, domain, embedding and, if asked for, metadata; or it is a stored table of
+    ``cell_index``. ``where`` is a string map: only chunks whose metadata has all its entries are ranked, so
+    the cut comes after the predicate. A null or empty map asks for nothing; a null value is never met, nor
+    is anything where there is no metadata. A null vector has no neighbours and is none. Ids are of any type; ties go by chunk_id.
+    """
+    cells = vectors if "chunk_ids" in vectors.columns else stored(cell_index(vectors), "cells")
+    types = [cells.schema["chunk_ids"].dataType.elementType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
+    return top_k(_searched(cells, queries, config, block, f"query_id {types[1]}, domain string, chunk_id {types[0]}, score double", False), config.per_source)
+
 
-    return top_k(rows.mapInArrow(best, "query_id long, domain string, chunk_id long, score double"), k)
+def scored_pairs(cells: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> tuple[int, int]:
+    """(pairs of query and vector that a search scores, all pairs) of a table of ``cell_index``."""
+    row = _searched(cells, queries, config, BLOCK, "scored long, pairs long", True).agg(F.sum("scored"), F.sum("pairs")).first()
+    return row[0] or 0, row[1] or 0

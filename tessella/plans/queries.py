@@ -41,15 +41,39 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", F.col("text").alias("answer"))
 
 
+#: Stored indexes of a session by the tables they are of.
+_indexes: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build):
+    """An index that all queries of a session over one folder share."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        _indexes[key] = build()
+    return _indexes[key]
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
+    return _once(spark, sf_dir, "bm25", lambda: bm25.build_index(chunks(spark, sf_dir)))
+
+
 def sparse_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.search(bm25.build_index(chunks(spark, sf_dir)), questions(spark, sf_dir))
+    return bm25.search(sparse_index(spark, sf_dir), questions(spark, sf_dir))
 
 
-def dense_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    stored_vectors = vectors.join(chunks(spark, sf_dir).select("chunk_id", "domain"), F.col("vec_id") == F.col("chunk_id")).select("chunk_id", "domain", "embedding")
-    asked = questions(spark, sf_dir).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
-    return dense.search(stored_vectors, asked)
+    of = chunks(spark, sf_dir).select("chunk_id", "domain", F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
+    told = vectors.join(of, F.col("vec_id") == F.col("chunk_id")).select("chunk_id", "domain", "embedding", "metadata")
+    return _once(spark, sf_dir, "cells", lambda: stored(dense.cell_index(told), "cells"))
+
+
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+
+
+def dense_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.search(dense_cells(spark, sf_dir), asked_vectors(spark, sf_dir))
 
 
 def fused_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +112,7 @@ def h1_tokens(spark, sf_dir):
 
 
 def h2_index_terms(spark, sf_dir):
-    return bm25.build_index(chunks(spark, sf_dir)).terms.select("domain", "term", "df", F.round("idf", 6).alias("idf"))
+    return sparse_index(spark, sf_dir).terms.select("domain", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def h4_bm25_topk(spark, sf_dir):
@@ -99,6 +123,14 @@ def h5_dense_topk(spark, sf_dir):
     return dense_list(spark, sf_dir).select("query_id", "domain", "chunk_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def h6_filtered_topk(spark, sf_dir):
+    """Each third item asks for one source only, the next with no predicate, the last with an empty one."""
+    item = F.col("query_id")
+    where = F.when(item % 3 == 0, F.create_map(F.lit("source"), F.concat(F.lit("src"), (item % 20).cast("string")))).when(item % 3 == 1, F.create_map().cast("map<string,string>"))
+    found = dense.search(dense_cells(spark, sf_dir), asked_vectors(spark, sf_dir).withColumn("where", where))
+    return found.select("query_id", "domain", "chunk_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def h8_merged_lists(spark, sf_dir):
     fused = fused_lists(spark, sf_dir)[1]
     return fused.select("query_id", "domain", "chunk_id", F.round("rrf", 6).alias("rrf"), F.col("dense_rank").cast("long").alias("dense_rank"), F.col("sparse_rank").cast("long").alias("sparse_rank"))
@@ -404,7 +436,7 @@ def a7_chunk_texts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    h4_bm25_topk, h1_tokens, h2_index_terms, h5_dense_topk, h8_merged_lists, h9_rrf_per_domain, h10_rrf_over_all, h12_counts,
+    h4_bm25_topk, h1_tokens, h2_index_terms, h5_dense_topk, h6_filtered_topk, h8_merged_lists, h9_rrf_per_domain, h10_rrf_over_all, h12_counts,
     i9_gate, i11_context, i12_context_edges, i13_admitted, i15_context_text, j1_prompt, j8_abstentions, k5_claims, k7_faithfulness,
     l6_tiers, m10_rank_metrics, m13_summary, f1_findings, f4_counts, d3_plain_pages, e2_word_chunks, e3_recursive_chunks, e5_bundles, g2_normalised, g5_chunk_ids, b4_upsert,
     d1_sections, d4_derived, d18_versions, e4_nested_nodes, m6_contexts, b3_report,

@@ -176,6 +176,15 @@ ORACLE_SQL = {
     "h2_index_terms": _with(BASE, "SELECT domain, term, df, round(idf, 6) AS idf FROM terms"),
     "h4_bm25_topk": _with(BASE, "SELECT query_id, domain, chunk_id, round(score, 5) AS score, rank FROM sparse"),
     "h5_dense_topk": _with(BASE, "SELECT query_id, domain, chunk_id, round(score, 5) AS score, rank FROM dense"),
+    "h6_filtered_topk": _with(BASE, """
+        SELECT query_id, domain, chunk_id, round(score, 5) AS score, rank
+        FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id, domain ORDER BY round(score, 9) DESC, chunk_id) AS rank
+            FROM (
+                SELECT query_id, domain, chunk_id, list_dot_product(a.v, b.v) AS score
+                FROM q JOIN unit a ON a.vec_id = query_id, unit b JOIN chunks ON b.vec_id = chunk_id
+                WHERE query_id % 3 <> 0 OR source = 'src' || (query_id % 20)))
+        WHERE rank <= 10"""),
     "h8_merged_lists": _with(BASE, "SELECT query_id, domain, chunk_id, round(rrf, 6) AS rrf, dense_rank, sparse_rank FROM fused"),
     "h9_rrf_per_domain": _with(BASE, "SELECT query_id, domain, chunk_id, round(rrf, 6) AS rrf, position FROM per_domain"),
     "h10_rrf_over_all": _with(BASE, "SELECT query_id, domain, chunk_id, round(rrf, 6) AS rrf, position FROM over_all"),

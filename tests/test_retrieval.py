@@ -148,6 +148,82 @@ def test_dense_search_in_blocks(spark):
         dense.dimension(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "embedding array<double>"))
 
 
+def test_predicates_cut_before_the_k_best(spark):
+    vectors = spark.createDataFrame([(f"c{k}", "a", [float(k), 1.0], {"game": "xy"[k % 2], "no": None}) for k in range(8)] + [("none", "a", [9.0, 1.0], None)], "chunk_id string, domain string, embedding array<double>, metadata map<string,string>")
+    rows = [("all", None), ("empty", {}), ("x", {"game": "x"}), ("both", {"game": "y", "other": "z"}), ("null", {"no": None})]
+    asked = spark.createDataFrame([(q, [1.0, 0.0], w) for q, w in rows], "query_id string, embedding array<double>, where map<string,string>")
+    got = dense.search(vectors, asked, RetrievalConfig(per_source=2))
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got.collect()) == [("all", 1, "none"), ("all", 2, "c7"), ("empty", 1, "none"), ("empty", 2, "c7"), ("x", 1, "c6"), ("x", 2, "c4")]
+    assert {r.query_id for r in dense.search(vectors.drop("metadata"), asked).collect()} == {"all", "empty"}
+
+
+def test_string_ids_and_ties(spark):
+    docs = spark.createDataFrame([(f"k{k}", "d", "same words here") for k in (3, 10, 1)] + [("z", None, "same"), ("e", "d", None)], "chunk_id string, domain string, content string")
+    asked = spark.createDataFrame([("q1", "words here"), ("q2", None)], "query_id string, question string")
+    got = bm25.search(bm25.build_index(docs), asked, RetrievalConfig(per_source=2))
+    assert got.count() == 0  # every term is in most chunks, and the vocabulary's mean idf is negative
+    more = docs.unionByName(spark.createDataFrame([(f"f{k}", "d", f"other{k} text{k}") for k in range(9)], docs.schema))
+    got = bm25.search(bm25.build_index(more), asked, RetrievalConfig(per_source=2))
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got.collect()) == [("q1", 1, "k1"), ("q1", 2, "k10")]
+    assert bm25.search(bm25.build_index(more.limit(0)), asked).count() == 0
+
+
+def plain_bm25(docs, questions, k):
+    """{(query, domain): [(chunk, score)]} by the formula, chunk by chunk."""
+    import re
+    from collections import Counter
+
+    words = lambda t: re.findall("[a-z0-9]+", re.sub(r"'s\\b", "", (t or "").lower()))
+    out = {}
+    for domain in sorted({d for _, d, _ in docs}):
+        own = [(c, Counter(words(t))) for c, d, t in docs if d == domain]
+        avgdl, df = sum(sum(x.values()) for _, x in own) / len(own), Counter(t for _, x in own for t in x)
+        idf = {t: math.log(len(own) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+        idf = {t: v if v >= 0 else 0.25 * sum(idf.values()) / len(idf) for t, v in idf.items()}
+        for q, text in questions:
+            scores = []
+            for c, x in own:
+                long = 1.5 * (0.25 + 0.75 * sum(x.values()) / avgdl)
+                scores.append((c, sum(n * idf[t] * x[t] * 2.5 / (x[t] + long) for t, n in Counter(words(text)).items() if t in x)))
+            best = sorted((s for s in scores if s[1] > 0), key=lambda s: (-round(s[1], 9), s[0]))[:k]
+            if best:
+                out[q, domain] = best
+    return out
+
+
+def test_blocks_skip_nothing_that_counts(spark):
+    """All results against the formula, and how many pairs the bounds leave to be scored."""
+    import random
+
+    rng = random.Random(8)
+    common, rare = [f"c{k}" for k in range(30)], [f"r{k}" for k in range(3000)]
+    docs = [(k, f"d{k % 3}", " ".join(rng.choices(common, k=rng.randrange(1, 90)) + rng.choices(rare, k=rng.randrange(9)))) for k in range(6000)]
+    asked = [(k, " ".join(rng.choices(rare, k=6) + rng.choices(common, k=2))) for k in range(40)]
+    index = bm25.build_index(spark.createDataFrame(docs, "chunk_id long, domain string, content string").repartition(4))
+    queries = spark.createDataFrame(asked, "query_id long, question string")
+    got = {}
+    for r in bm25.search(index, queries, RetrievalConfig(per_source=3)).orderBy("rank").collect():
+        got.setdefault((r.query_id, r.domain), []).append((r.chunk_id, pytest.approx(r.score)))
+    assert got == plain_bm25(docs, asked, 3)
+    scored, pairs = bm25.scored_pairs(index, queries, RetrievalConfig(per_source=3))
+    assert pairs == 6000 * 40 and scored < 0.7 * pairs
+
+
+def test_cells_skip_what_is_far(spark):
+    import random
+
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    near = lambda k: [x + rng.gauss(0, 0.05) for x in centres[k % 40]]
+    vectors = spark.createDataFrame([(f"v{k}", "d", near(k)) for k in range(4000)], "chunk_id string, domain string, embedding array<double>").coalesce(1)
+    asked = [(k, near(k)) for k in range(20)]
+    cells, queries = dense.cell_index(vectors).persist(), spark.createDataFrame(asked, "query_id int, embedding array<double>")
+    scored, pairs = dense.scored_pairs(cells, queries)
+    assert pairs == 4000 * 20 and scored < 0.1 * pairs
+    got = dense.search(cells, queries, RetrievalConfig(per_source=5)).collect()
+    assert len(got) == 100 and all(int(r.chunk_id[1:]) % 40 == r.query_id % 40 for r in got)
+
+
 def test_ingestion_and_chunking(spark):
     assert one(spark, ingest.chunk_id(F.lit(None).cast("string"), [F.lit(""), F.lit("Lux")], F.lit("a/b"), F.lit(None).cast("int"))) == "Unknown_Lux_a/b_0"
     assert one(spark, ingest.sanitised(F.expr("map('A', 'x', 'a', 'y', 'b', null)"))) == {"a": "y"}

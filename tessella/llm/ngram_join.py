@@ -117,8 +117,8 @@ def repeated(listed: DataFrame, folder: str, least: int) -> DataFrame:
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         once = [np.frombuffer(x, np.uint32) for x in rows.once]
         seen, counts = np.unique(np.concatenate([*once, *(np.frombuffer(x, np.uint32) for x in rows.again)]), return_counts=True)
-        shared = seen[counts > 1]
-        return pd.DataFrame({"chunk": rows.chunk, "range": rows.range, "bits": [np.packbits(np.isin(x, shared, assume_unique=False)).tobytes() for x in once]})
+        several = counts > 1
+        return pd.DataFrame({"chunk": rows.chunk, "range": rows.range, "bits": [np.packbits(several[np.searchsorted(seen, x)]).tobytes() for x in once]})
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
         sizes, tokens, unique, _, edges = distinct(folder, int(rows.chunk.iloc[0]))
@@ -162,35 +162,40 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, least: int) -> DataFrame:
 
 
 def _possible(least: int) -> Column:
-    """Pairs whose sizes and repeated n-grams allow a link."""
-    enough = F.least("sa", "sb") * (100 + least) >= least * (F.col("na") + F.col("nb"))
+    """Pairs that may be linked by their sizes and by what is left of each from their first common n-gram on.
+
+    ``ra`` and ``rb`` count the repeated n-grams from this one on; at a later common n-gram this may fail.
+    """
+    enough = F.least("ra", "rb") * (100 + least) >= least * (F.col("na") + F.col("nb"))
     return enough & (F.least("na", "nb") * 100 >= least * F.greatest("na", "nb"))
 
 
 def linked_classes(classes: DataFrame, least: int) -> DataFrame:
     """(c, component) of the classes (c, n, tokens) that are linked with any."""
     spread = materialise(ordered(classes, least), "ordered")
-    order = lambda x: x["df"] * (1 << 20) + F.shiftrightunsigned(x["token"], 44)
+    order = lambda x: x["df"] * (1 << 20) + F.shiftright(x["token"], 44)
     places = spread.select(F.explode(F.transform("listed", order)).alias("o"))
-    pivots = places.agg(F.percentile_approx("o", [k / FRAGMENTS for k in range(1, FRAGMENTS)]).alias("p")).first().p or []
-    fragment = lambda x: sum(((order(x) > p).cast("int") for p in pivots), F.lit(0))
+    pivots = places.agg(F.percentile_approx("o", [k / FRAGMENTS for k in range(1, FRAGMENTS)]).alias("p")).first().p or [0] * (FRAGMENTS - 1)
 
-    def within(f: int) -> Column:
-        return F.transform(F.filter("listed", lambda x: fragment(x) == f), lambda x: x["token"])
+    def until(pivot: int) -> Column:
+        return F.size(F.filter("listed", lambda x: order(x) <= pivot))
 
-    cut = F.explode(F.array(*[F.struct(F.lit(f).alias("fragment"), within(f).alias("tokens")) for f in range(FRAGMENTS)]))
-    segments = materialise(spread.select("c", cut.alias("s")).select("c", "s.*").where(F.size("tokens") > 0), "segments")
+    cuts = spread.select("c", "listed", F.array(F.lit(0), *map(until, pivots), F.size("listed")).alias("cuts"))
+    each = cuts.select("c", "listed", "cuts", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    size = F.get("cuts", F.col("fragment") + 1) - F.get("cuts", F.col("fragment"))
+    segments = each.where(size > 0).select("c", "fragment", F.transform(F.slice("listed", F.get("cuts", F.col("fragment")) + 1, size), lambda x: x["token"]).alias("tokens"))
+    segments = materialise(segments, "segments")
 
     s = F.size("listed").cast("long")
     first = s - _needed(F.col("n"), least) + 1  # n-grams of one set only come before all others in the order
-    rows = spread.select("c", "n", s.alias("s"), F.explode(F.slice("listed", F.lit(1), first.cast("int"))).alias("x")).select("c", "n", "s", F.col("x.token").alias("token"))
+    rows = spread.select("c", "n", s.alias("s"), F.posexplode(F.slice("listed", F.lit(1), first.cast("int"))).alias("i", "x")).select("c", "n", "s", (F.col("s") - F.col("i")).alias("r"), F.col("x.token").alias("token"))
     several = rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     rows = materialise(rows.join(several, "token"), "first-n-grams")
 
     # every class meets the most central one under each n-gram, largest share of repeated n-grams first
-    heads = rows.groupBy("token").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("n")).alias("size"), "c", "n", "s")).alias("head"))
-    met = rows.join(heads, "token").select(F.col("head.c").alias("a"), F.col("c").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"), F.col("head.s").alias("sa"), F.col("s").alias("sb"))
-    pairs = materialise(met.where("a <> b").where(_possible(least)).distinct(), "met")
+    heads = rows.groupBy("token").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("n")).alias("size"), "c", "n", "r")).alias("head"))
+    met = rows.join(heads, "token").select(F.col("head.c").alias("a"), F.col("c").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"), F.col("head.r").alias("ra"), F.col("r").alias("rb"))
+    pairs = materialise(met.where("a <> b").where(_possible(least)).select("a", "b", "na", "nb").distinct(), "met")
     links = materialise(_overlaps(pairs, segments, least), "links")
     reach = materialise(connected_components(links), "reach")
 
@@ -199,7 +204,7 @@ def linked_classes(classes: DataFrame, least: int) -> DataFrame:
     sizes = named.groupBy("token", "component").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("different")).where("different > 1").select("token", F.col("most.component").alias("largest"))
     open_rows = materialise(named.join(mixed, "token"), "open")
-    side = lambda x: [F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"), F.col("component").alias(f"c{x}")]
+    side = lambda x: [F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("component").alias(f"c{x}")]
     rest = open_rows.where("component <> largest").select("token", *side("a"))
     every = open_rows.select("token", *side("b"), (F.col("component") == F.col("largest")).alias("in_largest"))
     across = rest.join(every, "token").where((F.col("ca") != F.col("cb")) & (F.col("in_largest") | (F.col("a") < F.col("b")))).where(_possible(least))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import balanced
 from .text import cleaned, replaced, stripped
 
 #: Fixed values of the constants template, by name in lower case, as they are printed.
@@ -28,7 +28,6 @@ CONSTANTS = {
 }
 #: Fixed names of the symbols that make a parenthesis a side remark.
 SYMBOLS = ["Talent", "Aghshard", "Aghanim", "Daytime", "Nighttime"]
-DEFINITION = r"\{\{#vardefine(?:echo)?:([^|{}]+)\|([^{}]*)\}\}"
 
 
 def constants(text: Column) -> Column:
@@ -110,9 +109,9 @@ def parameters(text: Column, name: str) -> Column:
 
 
 def without_remarks(text: Column) -> Column:
-    """Without parentheses that start with a symbol (one level of parentheses may be within), nor signs of day and night."""
-    remark = rf"\(\s*\{{\{{Symbol\|(?:{'|'.join(SYMBOLS)})\}}\}}(?:[^()]++|\([^()]*+\))*+\)"
-    return replaced(text, [(remark, ""), (r"\{\{Symbol\|(?:Daytime|Nighttime)\}\}\s*", "")])
+    """Without parentheses, of any depth, that start with a symbol, nor signs of day and night."""
+    symbol = rf"\s*\{{\{{Symbol\|(?:{'|'.join(SYMBOLS)})\}}\}}"
+    return F.regexp_replace(balanced.without(text, symbol), r"\{\{Symbol\|(?:Daytime|Nighttime)\}\}\s*", "")
 
 
 def talent_placeholders(text: Column, hero: Column) -> Column:
@@ -120,26 +119,79 @@ def talent_placeholders(text: Column, hero: Column) -> Column:
     return F.regexp_replace(text, F.concat(F.lit(r"(?i)\{\{Talent\|\s*\Q"), F.coalesce(hero, F.lit("")), F.lit(r"\E\s*\|([^{}]*)\}\}")), F.lit("[TALENT:$1]"))
 
 
-def definitions(text: Column) -> Column:
-    """A map of the variables that a text defines without templates in their values; the last definition of a name counts."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(DEFINITION), F.lit(1)), stripped)
-    values = F.transform(F.regexp_extract_all(text, F.lit(DEFINITION), F.lit(2)), stripped)
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: F.coalesce(~F.array_contains(F.slice(names, i + F.lit(2), F.greatest(F.size(names), F.lit(1))), p["k"]), F.lit(True)))
-    return F.map_from_entries(F.coalesce(last, F.array().cast("array<struct<k:string,v:string>>")))
+def _filled(text: Column, known: Column, given: Column) -> Column:
+    """References to what is known, or else given, by their values; others as ``[VAR:name]``."""
+
+    def shown(piece: Column) -> Column:
+        name = stripped(F.regexp_extract(piece, r"^\{\{#var:([^{}]*)\}\}$", 1))
+        value = F.coalesce(F.try_element_at(known, name), F.try_element_at(given, name), F.concat(F.lit("[VAR:"), name, F.lit("]")))
+        return F.when(piece.rlike(r"^\{\{#var:[^{}]*\}\}$"), value).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(text, r"(?=\{\{#var:)|(?<=\}\})"), shown), "")
+
+
+_STATE = "struct<out:string,known:map<string,string>>"
 
 
-def resolved(text: Column, variables: Column, rounds: int = 3) -> Column:
-    """References replaced by a map's values, definitions removed or echoed; unknown names give ``[VAR:name]``.
+def _run(text: Column, given: Column) -> Column:
+    """(out, known) of a text: a fold over its definitions in their order.
 
-    Values may refer to other variables, up to ``rounds`` deep.
+    A value's references are filled with what is defined before it, so that every value in the map is
+    resolved however long a chain is. What is defined later, or by a cycle, isn't known there and is marked.
+    A value that has other templates than references defines nothing and stays in the text.
     """
 
-    def once(c: Column) -> Column:
-        return F.aggregate(F.map_entries(variables), c, lambda s, e: F.replace(s, F.concat(F.lit("{{#var:"), e["key"], F.lit("}}")), e["value"]))
+    def step(state: Column, segment: Column) -> Column:
+        inside = F.regexp_replace(segment["text"], r"(?s)^\{\{#vardefine(?:echo)?:|\}\}$", "")
+        name, value = stripped(F.substring_index(inside, "|", 1)), stripped(F.substring(inside, F.instr(inside, "|") + 1, F.length(inside)))
+        filled = _filled(value, state["known"], given)
+        defines = (segment["kind"] == "block") & (F.instr(inside, "|") > 0) & ~F.contains(filled, F.lit("{{"))
+        known = F.map_concat(F.map_filter(state["known"], lambda k, v: k != name), F.create_map(name, filled))
+        shown = F.when(~defines, segment["text"]).when(segment["text"].startswith("{{#vardefineecho:"), filled).otherwise("")
+        return F.struct(F.concat(state["out"], shown).alias("out"), F.when(defines, known).otherwise(state["known"]).alias("known")).cast(_STATE)
+
+    begin = F.struct(F.lit("").alias("out"), F.create_map().cast("map<string,string>").alias("known")).cast(_STATE)
+    return F.aggregate(balanced.segments(text, "#vardefine(?:echo)?:"), begin, step)
+
+
+def definitions(text: Column, given: Column | None = None) -> Column:
+    """A map of the variables that a text defines; of a name defined again the last value counts."""
+    return _run(text, given if given is not None else F.create_map().cast("map<string,string>"))["known"]
+
+
+def resolved(text: Column, variables: Column) -> Column:
+    """References replaced by values, definitions removed or echoed; unknown names give ``[VAR:name]``.
+
+    The text's own definitions count before ``variables``, a map whose values may hold references to each
+    other: those are followed by pointer doubling (see ``closed``), a cycle is marked.
+    """
+    given = closed(variables)
+    return F.aggregate(F.array(_run(text, given)), F.lit(""), lambda _, s: _filled(s["out"], s["known"], given))
+
+
+def closed(variables: Column) -> Column:
+    """The map with all references within its values replaced; names on a cycle, or that lead to one, and unknown ones stay as ``[VAR:name]``.
+
+    Each round replaces every reference by its name's text of the round before, so the distance that
+    is covered doubles; it ends when the map is as deep as it has names, in the logarithm of their number.
+    """
+    names = F.map_keys(variables)
+    doublings = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(names), F.lit(1)) + 1)).cast("int"))
+
+    def doubled(known: Column, _: Column) -> Column:
+        def value(k: Column, v: Column) -> Column:
+            def shown(piece: Column) -> Column:
+                name = stripped(F.regexp_extract(piece, r"^\{\{#var:([^{}]*)\}\}$", 1))
+                inner = F.try_element_at(known, name)
+                loops = (name == k) | F.contains(inner, F.concat(F.lit("{{#var:"), name, F.lit("}}")))
+                return F.when(piece.rlike(r"^\{\{#var:[^{}]*\}\}$"), F.when(loops | inner.isNull(), F.concat(F.lit("[VAR:"), name, F.lit("]"))).otherwise(inner)).otherwise(piece)
+
+            return F.array_join(F.transform(F.split(v, r"(?=\{\{#var:)|(?<=\}\})"), shown), "")
+
+        return F.transform_values(known, value)
 
-    shown = replaced(text, [(r"\{\{#vardefine:[^|{}]+\|[^{}]*\}\}", ""), (r"\{\{#vardefineecho:[^|{}]+\|([^{}]*)\}\}", "$1")])
-    return F.regexp_replace(reduce(lambda c, _: once(c), range(rounds), shown), r"\{\{#var:([^{}]*)\}\}", "[VAR:$1]")
+    ended = F.aggregate(doublings, variables, doubled)
+    return F.transform_values(ended, lambda k, v: F.regexp_replace(v, r"\{\{#var:([^{}]*)\}\}", "[VAR:$1]"))
 
 
 def titled(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
+from ..storage import stored
 from .chunking import bundles
 
 #: Fixed classes of the top nodes; others are counted by ``unmapped``.
@@ -44,26 +45,27 @@ def unmapped(nodes: DataFrame) -> DataFrame:
     return nodes.where(~F.col("node").isin(list(CLASSES))).groupBy("node").agg(F.count("*").alias("n"))
 
 
-def flatten(nodes: DataFrame, deepest: int = 6) -> DataFrame:
-    """(..., path, item_no, text): objects by dotted path, lists of objects by item, all else whole.
+def flatten(nodes: DataFrame) -> DataFrame:
+    """(..., path, item_no, text): objects by dotted path, lists of objects by item, all else whole, at any depth.
 
-    ``nodes`` has path and json. An item is named by its title, its name or its number; what is nested
-    deeper than ``deepest`` stays JSON text.
+    ``nodes`` has path and json. An item is named by its title, its name or its number. A frontier of objects
+    is opened level by level, each stored once, until none is left.
     """
     kept = [c for c in nodes.columns if c not in ("path", "json")]
     level, leaves = nodes.withColumn("item_no", F.lit(0)), []
-    for _ in range(deepest):
-        objects, others = level.where(_is(F.col("json"), "{")), level.where(~_is(F.col("json"), "{"))
+    while True:
+        level = stored(level.withColumn("is_object", _is(F.col("json"), "{")), "frontier")
+        objects, others = level.where("is_object").drop("is_object"), level.where("NOT is_object").drop("is_object")
         objects_in = _is(F.get(_items(F.col("json")), F.lit(0)), "{")
-        lists = others.where(_is(F.col("json"), "[") & F.coalesce(objects_in, F.lit(False)))
-        leaves.append(others.where(~(_is(F.col("json"), "[") & F.coalesce(objects_in, F.lit(False)))).select(*kept, "path", "item_no", F.col("json").alias("text")))
-        item = lists.select(*kept, "path", F.posexplode(_items(F.col("json"))).alias("item_no", "text"))
+        of_objects = _is(F.col("json"), "[") & F.coalesce(objects_in, F.lit(False))
+        leaves.append(others.where(~of_objects).select(*kept, "path", "item_no", F.col("json").alias("text")))
+        item = others.where(of_objects).select(*kept, "path", F.posexplode(_items(F.col("json"))).alias("item_no", "text"))
         title = F.coalesce(*[F.nullif(F.get_json_object("text", f"$.{k}"), F.lit("")) for k in ("title", "name")], F.concat(F.lit("item_"), "item_no"))
         leaves.append(item.select(*kept, F.concat_ws(".", F.nullif("path", F.lit("")), title).alias("path"), "item_no", "text"))
+        if objects.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
         level = objects.select(*kept, "path", "item_no", F.explode(_fields(F.col("json"))).alias("k", "json"))
         level = level.select(*kept, F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "item_no", "json")
-    leaves.append(level.select(*kept, "path", "item_no", F.col("json").alias("text")))
-    return reduce(DataFrame.unionByName, leaves)
 
 
 def bundled(lists: DataFrame, budget: int) -> DataFrame:

@@ -413,6 +413,65 @@ def d16_guide(spark, sf_dir):
     return found.select(F.col("title").alias("conv_id"), "section", F.col("item_no").cast("long").alias("item_no"), "item")
 
 
+def d16_builds(spark, sf_dir):
+    """Conversations as guides: turns as levels of two build orders, as tips, and as items of phases."""
+    def page(t):
+        side = F.when(t["turn"] % 2 == 0, "even").otherwise("odd")
+        level = F.concat(F.lit("{{build order | title = "), t["role"], F.lit("\n| lvl"), t["turn"], F.lit(" = a"), t["turn"], F.lit("\n| lvl9 = z\n| lvl"), t["turn"], F.lit(" = "), side, F.lit("\n}}\n"))
+        return F.concat(level, F.lit("<!-- -->"))
+
+    pages = _told(spark, sf_dir, page)
+    builds = wiki.guide_builds(pages).select(F.col("title").alias("conv_id"), F.col("build_no").cast("long").alias("build_no"), "name", F.explode("progression").alias("level", "ability"))
+    return builds
+
+
+def d16_items(spark, sf_dir):
+    """Roles as phases of recommended items, one bullet a turn; of a role that comes again the last turn counts."""
+    pages = _told(spark, sf_dir, lambda t: F.concat(F.lit("'''"), F.initcap(t["role"]), F.lit(" Items:'''\n* {{I|item "), t["turn"], F.lit("}} for ''turn'' "), t["turn"], F.lit("\n* no item")))
+    framed = pages.withColumn("text", F.concat(F.lit("x <section begin=Items />"), "text", F.lit("\n<section end=Items />")))
+    found = wiki.guide_items(framed)
+    return found.select(F.col("title").alias("conv_id"), "phase", F.col("item_no").cast("long").alias("item_no"), "item", "description")
+
+
+def d7_blocks(spark, sf_dir):
+    """Turns as ability blocks, nested as deep as their number says; every fifth is followed by one that never ends."""
+    deep = (F.col("turn") * 3).cast("int")
+    bare = F.translate(F.coalesce("text", F.lit("")), "{}|\n", "")
+    block = F.concat(F.lit("{{Ability\n| name = t"), "turn", F.lit("\n| v = "), F.repeat(F.lit("{{n|"), deep), bare, F.repeat(F.lit("}}"), deep), F.lit("\n}}"))
+    tail = F.when(F.col("turn") % 5 == 0, " {{Ability\n| name = open {{").otherwise("")
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("title"), F.lit("Abilities").alias("section"), F.concat(F.lit("a }} "), block, F.lit(" b"), tail).alias("content"))
+    found = wiki.abilities(pages)
+    return found.select(F.col("title").alias("page"), "kind", "ability", F.md5("block").alias("block_md5"))
+
+
+def c10_references(spark, sf_dir):
+    """A chain of definitions through each conversation's turns, the first defined anew at its end."""
+    def turn(t):
+        return F.concat(F.lit("{{#vardefine:v"), t["turn"], F.lit("|{{#var:v"), t["turn"] - 1, F.lit("}}."), t["role"], F.lit("}}"))
+
+    pages = _told(spark, sf_dir, turn)
+    text = F.concat(F.lit("{{#vardefineecho:v-1|start}}"), "text", F.lit("{{#vardefine:v-1|end}} {{#var:v1}} {{#var:v-1}} {{#var:none}}"))
+    shown = templates.resolved(text, F.create_map().cast("map<string,string>"))
+    return pages.select(F.col("title").alias("conv_id"), F.replace(F.replace(shown, F.lit("\n"), F.lit("")), F.lit("VAR:v1"), F.lit("none yet")).alias("text"))
+
+
+def d19_records(spark, sf_dir):
+    """Conversations as pages: turns as one part, of which those that hold a number have broken braces, and roles as another."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("title"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    broken = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("{{"), "role")).otherwise("{{fine}}")
+    part = wiki.checked(turns.select("title", "turn", broken.alias("markup")), wiki.markup_error(F.col("markup"))).drop("markup")
+    found = wiki.records(turns.select("title").distinct(), {"talents": part, "roles": turns.select("title", "role").distinct()})
+    return found.select(F.col("title").alias("conv_id"), F.array_join(F.col("talents.turn").cast("array<string>"), ",").alias("turns"), F.col("_talents_parse_error").alias("error"), F.array_join("roles.role", ",").alias("roles"))
+
+
+def e7_deep_nodes(spark, sf_dir):
+    """Documents as objects nested one level deeper for each of sixteen remainders."""
+    depth = (F.col("doc_id") % 16).cast("int")
+    json = F.concat(F.repeat(F.lit('{"a":'), depth), F.lit('["'), F.col("doc_id").cast("string"), F.lit('"]'), F.repeat(F.lit("}"), depth))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("path"), json.alias("json"))
+    return nodes.flatten(rows).select("doc_id", "path", F.col("item_no").cast("long").alias("item_no"), "text")
+
+
 def g4_token_metadata(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     meta = F.create_map(F.lit("source"), F.col("source"), F.lit("token_count"), F.lit("-1"))
@@ -440,5 +499,5 @@ QUERIES = {f.__name__: f for f in (
     i9_gate, i11_context, i12_context_edges, i13_admitted, i15_context_text, j1_prompt, j8_abstentions, k5_claims, k7_faithfulness,
     l6_tiers, m10_rank_metrics, m13_summary, f1_findings, f4_counts, d3_plain_pages, e2_word_chunks, e3_recursive_chunks, e5_bundles, g2_normalised, g5_chunk_ids, b4_upsert,
     d1_sections, d4_derived, d18_versions, e4_nested_nodes, m6_contexts, b3_report,
-    h11_retrieval, i16_citations, i17_score_report, m9_list_metrics, m14_describe, j5_confidence, j6_overrides, j7_entities, a8_first_file, d16_guide, g4_token_metadata, a7_chunk_texts,
+    h11_retrieval, i16_citations, i17_score_report, m9_list_metrics, m14_describe, j5_confidence, j6_overrides, j7_entities, a8_first_file, d16_guide, d16_builds, d16_items, d7_blocks, c10_references, d19_records, e7_deep_nodes, g4_token_metadata, a7_chunk_texts,
 )}

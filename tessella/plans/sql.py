@@ -298,6 +298,27 @@ ORACLE_SQL = {
     "a8_first_file": "SELECT user_id, event_type, max(event_id) AS event_id FROM events JOIN (SELECT user_id, min(event_type) AS event_type FROM events GROUP BY ALL) USING (user_id, event_type) GROUP BY ALL",
     "d16_guide": """
         SELECT conv_id, role || turn AS section, unnest([0, 1])::BIGINT AS item_no, unnest(['turn ' || turn, length(coalesce(text, ''))::VARCHAR]) AS item FROM conversations""",
+    "d16_builds": """
+        WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, '')) - 1 AS build_no FROM conversations),
+        l AS (SELECT conv_id, build_no, role AS name, turn::VARCHAR AS level, CASE WHEN turn % 2 = 0 THEN 'even' ELSE 'odd' END AS ability FROM t)
+        SELECT * FROM l UNION ALL SELECT conv_id, build_no, name, '9', 'z' FROM l WHERE level <> '9'""",
+    "d16_items": """
+        SELECT conv_id, role || '_items' AS phase, 0::BIGINT AS item_no, 'item ' || max(turn) AS item, 'for turn ' || max(turn) AS description FROM conversations GROUP BY conv_id, role""",
+    "d7_blocks": """
+        SELECT conv_id || '-' || turn AS page, 'abilities' AS kind, 't' || turn AS ability,
+               md5('{{Ability' || chr(10) || '| name = t' || turn || chr(10) || '| v = ' || repeat('{{n|', 3 * turn) || translate(coalesce(text, ''), '{}|' || chr(10), '') || repeat('}}', 3 * turn) || chr(10) || '}}') AS block_md5
+        FROM conversations""",
+    "c10_references": """
+        SELECT conv_id, 'start ' || CASE WHEN min(turn) > 1 THEN '[none yet]'
+                    WHEN min(turn) = 0 THEN 'start.' || string_agg(role, '.' ORDER BY turn) FILTER (turn <= 1)
+                    ELSE '[VAR:v0].' || arg_min(role, turn) END || ' end [VAR:none]' AS text
+        FROM conversations GROUP BY conv_id""",
+    "d19_records": """
+        SELECT conv_id, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (turn % 4 <> 3), '') AS turns,
+               CASE WHEN bool_or(turn % 4 = 3) THEN '1 braces open, 0 close' END AS error, string_agg(DISTINCT role, ',' ORDER BY role) AS roles
+        FROM conversations GROUP BY conv_id""",
+    "e7_deep_nodes": """
+        SELECT doc_id, array_to_string(list_transform(range(doc_id % 16), lambda x: 'a'), '.') AS path, 0::BIGINT AS item_no, '["' || doc_id || '"]' AS text FROM documents""",
     "g4_token_metadata": f"SELECT doc_id, 2 AS n_keys, source, len({_tokens('text')}) AS token_count FROM documents",
     "a7_chunk_texts": """
         WITH l AS (

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import templates
+from tessella.functions import balanced, templates
 from tessella.operators import audit, evaluate, nodes, wiki
-from tessella.sources import sheets
+from tessella.sources import folder, sheets
 
 PAGE = """{{Hero infobox
 | title = Moss Giant
@@ -181,3 +181,110 @@ def test_sheets(spark, tmp_path):
     assert {r.file: (r.json, r.error) for r in sheets.read_json_files(spark, str(tmp_path / "j")).collect()} == {"good.json": ('{"a": 1}', None), "bad.json": (None, "{")}
     sheets.write_records(spark.createDataFrame([("Old Moss's", 1)], "name string, n int"), "name", str(tmp_path / "r"))
     assert (tmp_path / "r" / "record=old_mosss").is_dir()
+
+
+GUIDE = """{{hero intro
+| intro = Big [[moss|green]] one.
+| pros =
+* Strong {{A|Root|Moss}}
+** heals
+| cons =
+* Slow
+}}
+== Builds ==
+{{build order | title = First
+| lvl1 = Root
+| lvl2 = Slam
+| lvl1 = Roots
+}}
+{{build order |
+| lvl10 = Grow
+}}
+== Tips & Tactics ==
+=== General ===
+* Keep ''calm''
+not a bullet
+=== Abilities ===
+==== {{A|Root|Moss}} ====
+* Root early
+* Root late
+==== {{A|Slam|Moss}} ====
+* Slam
+== Items ==
+<section begin=Items />
+'''Starting items:'''
+* {{I|Tango}} heals
+* nothing
+'''Odd Phase:'''
+* {{I|Boots|x}} ''fast''
+'''Late game:'''
+<section end=Items />
+== Talents ==
+"""
+
+
+def test_guide_record(spark):
+    pages = spark.createDataFrame([("Moss", GUIDE), ("none", "no guide"), ("null", None)], "title string, text string")
+    got = {r.title: r for r in wiki.guide_records(pages).collect()}
+    moss = got["Moss"]
+    assert tuple(moss.gameplay_guide) == ("Big green one.", ["Strong Root", "heals"], ["Slow"])
+    assert [(b.build_no, b.name, {e.key: e.value for e in b.progression}) for b in moss.ability_builds] == [(0, "First", {"2": "Slam", "1": "Roots"}), (1, "Unknown", {"10": "Grow"})]
+    assert [(t.ability, t.tips) for t in moss.tips] == [(None, ["Keep calm"]), ("Root", ["Root early", "Root late"]), ("Slam", ["Slam"])]
+    assert [(p.phase, [tuple(i) for i in p["items"]]) for p in moss.recommended_items] == [("odd_phase", [("Boots", "fast")]), ("starting_items", [("Tango", "heals")])]
+    for title in ("none", "null"):
+        assert got[title].gameplay_guide is None and not any((got[title].ability_builds, got[title].tips, got[title].recommended_items))
+
+
+def test_balanced_blocks_of_any_depth(spark):
+    deep = "{{Ability|name=" + "{{n|" * 12 + "x" + "}}" * 12 + "}}"
+    assert one(spark, balanced.blocks(F.lit(f"a {deep} b {{{{Ability|c}}}}"), r"Ability\b")) == [deep, "{{Ability|c}}"]
+    assert one(spark, balanced.blocks(F.lit("{{Ability|{{x}} open"), r"Ability\b")) == []
+    assert one(spark, balanced.blocks(F.lit("}} {{Abilityx}} {{x|{{Ability|in}}}}"), r"Ability\b")) == ["{{Ability|in}}"]
+    assert one(spark, balanced.blocks(F.lit(None).cast("string"), "x")) is None and one(spark, balanced.blocks(F.lit(""), "x")) == []
+    remark = "( {{Symbol|Aghanim}} " + "(" * 12 + "y" + ")" * 12 + ")"
+    assert one(spark, templates.without_remarks(F.lit(f"x {remark} z (({{{{Symbol|Talent}}}}) w) (q ({{{{Symbol|Talent}}}} open"))) == "x  z ( w) (q "
+
+
+def test_references_in_the_order_of_the_page(spark):
+    none = F.create_map().cast("map<string,string>")
+    chain = "{{#vardefine:v0|z}}" + "".join(f"{{{{#vardefine:v{k}|{{{{#var:v{k - 1}}}}}.{k}}}}}" for k in range(1, 21)) + "{{#var:v20}}"
+    assert one(spark, templates.resolved(F.lit(chain), none)) == "z." + ".".join(map(str, range(1, 21)))
+    cycle = "{{#vardefine:a|1{{#var:b}}}}{{#vardefine:b|2{{#var:a}}}}{{#var:a}} {{#var:b}}"
+    assert one(spark, templates.resolved(F.lit(cycle), none)) == "1[VAR:b] 21[VAR:b]"
+    again = "{{#vardefine:a|1}}{{#vardefine:c|{{#var:a}}!}}{{#vardefineecho:a|2}} {{#var:c}} {{#var:a}}"
+    assert one(spark, templates.resolved(F.lit(again), none)) == "2 1! 2"
+    given = {f"c{k}": "{{#var:c%d}}+%d" % (k - 1, k) if k else "base" for k in range(20)} | {"p": "{{#var:q}}", "q": "x{{#var:p}}", "self": "{{#var:self}}"}
+    got = one(spark, templates.closed(F.create_map(*[F.lit(x) for pair in given.items() for x in pair])))
+    assert got["c19"] == "base+" + "+".join(map(str, range(1, 20))) and got["self"] == "[VAR:self]"
+    assert all("[VAR:" in got[k] and "#var" not in got[k] for k in "pq")
+    assert one(spark, templates.resolved(F.lit(None).cast("string"), none)) is None
+
+
+def test_json_of_any_depth(spark):
+    deep = '{"a":' * 15 + '"end"' + "}" * 15
+    found = nodes.flatten(spark.createDataFrame([("r", "", deep), ("s", "p", "[1, 2]"), ("t", "", None)], "record_id string, path string, json string"))
+    assert sorted((r.record_id, r.path, str(r.text)) for r in found.collect()) == [("r", ".".join("a" * 15), "end"), ("s", "p", "[1, 2]"), ("t", "", "None")]
+
+
+def test_one_bad_part_leaves_the_others(spark):
+    pages = spark.createDataFrame([("a",), ("b",)], "title string")
+    talents = wiki.checked(spark.createDataFrame([("a", "x", "{{open"), ("b", "y", "{{fine}}")], "title string, t string, text string"), wiki.markup_error(F.col("text"))).drop("text")
+    notes = spark.createDataFrame([("a", 1), ("a", 2)], "title string, n int")
+    got = {r.title: r for r in wiki.records(pages, {"talents": talents, "notes": notes}).collect()}
+    assert got["a"]._talents_parse_error == "1 braces open, 0 close" and got["a"].talents == [] and [n.n for n in got["a"].notes] == [1, 2]
+    assert got["b"]._talents_parse_error is None and [t.t for t in got["b"].talents] == ["y"] and got["b"].notes == []
+
+
+def test_a_second_run_reads_new_files_only(spark, tmp_path):
+    source, out = tmp_path / "in", f"{tmp_path}/out"
+    source.mkdir()
+    (source / "moss.json").write_text('{"profile": {"name": "Moss"}, "trivia": ["old"]}')
+    (source / "bad.json").write_text("{broken")
+    (source / "skip.txt").write_text("{}")
+    folder.ingest_folder(spark, str(source), out).awaitTermination(120)
+    first = folder.chunks(spark, out).collect()
+    assert {(r.name, r.primary_node) for r in first} == {("Moss", "trivia"), ("Moss", "profile")} and [r.start for r in folder.rejects(spark, out).collect()] == ["{broken"]
+    (source / "fern.json").write_text('{"basics": {"a": 1}}')
+    folder.ingest_folder(spark, str(source), out).awaitTermination(120)
+    rows = folder.chunks(spark, out).collect()
+    assert len(rows) == len(first) + 1 and {(r.name, r.batch) for r in rows} == {("Moss", 0), ("fern", 1)} and folder.rejects(spark, out).count() == 1

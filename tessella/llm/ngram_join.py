@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_file, materialise, new_path, put_file, text_or_empty
+from .common import get_file, materialise, new_path, put_file, remove, text_or_empty
 from .components import connected_components
 
 #: N-grams of a file, and of a range of hashes; fragments of the order in which overlaps are counted.
@@ -228,6 +228,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     folder = new_path(docs.sparkSession, "shingle-sets")
     listed = shingled(docs, folder, id_col, text_col, width)
     alive = materialise(repeated(listed, folder, least).dropDuplicates(["key"]), "repeated")
+    remove(docs.sparkSession, folder)  # what is left of the sets is stored
     classes = materialise(alive.withColumn("c", F.monotonically_increasing_id()), "classes")
     reach = linked_classes(classes, least)
     heads = materialise(listed.where("n > 0").groupBy("key").agg(F.min("id").alias("head")), "heads")

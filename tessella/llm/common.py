@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,6 +132,12 @@ def keep_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return kept
 
 
+def with_own_names(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` of ``docs``, for steps that keep the columns: those named like helper columns have other names meanwhile."""
+    names = {c: new_name("column").replace("-", "_") for c in docs.columns if c.startswith("tessella_")}
+    return step(docs.withColumnsRenamed(names)).withColumnsRenamed({own: c for c, own in names.items()})
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, text_or_empty
+from .common import WORD, materialise, new_name, text_or_empty
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Characters that end a sentence or a quotation.
@@ -188,6 +188,7 @@ def assess(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
     return stored.withColumn(into, q.withField("base_failed", failed).withField("log_odds", odds).withField("kept", ~failed & (odds >= 0)))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", into: str = "tessella_quality") -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, with all their columns."""
+    into = new_name("quality").replace("-", "_")
     return assess(docs, text_col, into=into).where(F.col(into)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

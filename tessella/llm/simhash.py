@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, materialise, text_or_empty
 from .components import connected_components
+from .ngram_join import shingle_set
 
 BITS = 64
 #: Shingles that are turned into bits at once; bounds the memory for a very long text.
@@ -131,3 +132,100 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = materialise(found.groupBy("root").agg(F.min(first).alias("best")), "best")
     here = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))
     return keep_rows(docs, found.join(best, "root").where(here).select("id", "digest"), id_col, text_col)
+
+
+#: Of ``near_copies``: fingerprints of a text, words of their features, blocks of each, bits in which all of a linked pair's may differ.
+TABLES, FEATURE, BLOCKS, FARTHEST = 4, 2, 5, 56
+
+
+def wide_fingerprint(text: str, tables: int = TABLES, feature: int = FEATURE) -> np.ndarray:
+    """SimHashes of a whole text's distinct features by ``tables`` seeds, as signed 64-bit integers."""
+    hashes, out = shingle_set(text, feature), np.zeros(tables, np.uint64)
+    for t in range(tables):
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), _AT_ONCE):
+            mixed = hashes[at : at + _AT_ONCE] + np.uint64(t) * np.uint64(0x9E3779B97F4A7C15)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+            mixed ^= mixed >> np.uint64(31)
+            ones += np.unpackbits(mixed.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        out[t] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out.view(np.int64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose shingles' overlap is ``similarity`` percent of their union or more."""
+    a, b = (sets.select(F.col("c").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+    return both.where(100 * F.col("both") >= similarity * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80) -> DataFrame:
+    """(id, digest, root) for every row: rows of one root are near copies, linked by similar sets of ``width``-word shingles.
+
+    Texts meet that agree in two of the five blocks of one of four SimHashes of their word pairs. Under a common
+    key each meets one of them, another one for each key; then texts of different components meet.
+    Every pair is verified by its whole texts' shingles, so nothing is linked that isn't similar; a pair at the similarity
+    itself may be missed (the README has shares). Equal texts are one; texts without words are linked with
+    equal ones only. Null texts are empty. Repeated rows stay repeated; an empty table gives an empty result; other columns are not read.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    def mapped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([wide_fingerprint(t) for t in texts])
+
+    def sliced(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
+
+    for f in (mapped, sliced):
+        f.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    text = text_or_empty(text_col)
+    name = F.md5(text.cast("binary"))
+    prints = materialise(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("digest"), name.alias("name"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"), pandas_udf(mapped, "array<long>")(text).alias("fps")), "prints")
+    classes = materialise(prints.groupBy("name", "words").agg(F.any_value("fps").alias("fps")).withColumn("c", F.monotonically_increasing_id()), "texts")
+
+    masks = _masks(BLOCKS - 2, BLOCKS)
+    keyed = F.explode(F.array(*[F.struct(F.lit(t * len(masks) + i).alias("choice"), F.get("fps", F.lit(t)).bitwiseAND(F.lit(m)).alias("key")) for t in range(TABLES) for i, m in enumerate(masks)]))
+    rows = classes.where("words").select("c", keyed.alias("k")).select("c", "k.choice", "k.key")
+    heads = rows.groupBy("choice", "key").agg(F.min_by("c", F.xxhash64("c", "choice")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = materialise(rows.join(heads, ["choice", "key"]), "keyed")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs once, without those that differ in too many bits."""
+        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        x, y = (classes.select(F.col("c").alias(side), F.col("fps").alias(f"p{side}")) for side in "ab")
+        differ = sum((F.bit_count(F.get("pa", F.lit(t)).bitwiseXOR(F.get("pb", F.lit(t)))) for t in range(TABLES)), F.lit(0))
+        return once.join(x, "a").join(y, "b").where(differ <= FARTHEST).select("a", "b")
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """(c, shingles) of the texts in the pairs, read once more."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "name"), "c")
+        found = docs.select(name.alias("name"), text.alias("text")).join(wanted, "name")
+        return materialise(found.select("c", pandas_udf(sliced, "array<long>")("text").alias("shingles")).groupBy("c").agg(F.any_value("shingles").alias("shingles")), "shingles")
+
+    met = materialise(close(rows.where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))), "met")
+    links = materialise(_verified(met, with_sets(met), similarity), "links")
+    reach = materialise(connected_components(links), "reach")
+
+    named = materialise(rows.drop("head").join(reach.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "named")
+    sizes = named.groupBy("choice", "key", "component").agg(F.count("*").alias("k")).groupBy("choice", "key").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("different"))
+    open_rows = materialise(named.join(sizes.where("different > 1").select("choice", "key", F.col("most.component").alias("largest")), ["choice", "key"]), "open")
+    rest = open_rows.where("component <> largest").select("choice", "key", F.col("c").alias("a"), F.col("component").alias("ca"))
+    every = open_rows.select("choice", "key", F.col("c").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("in_largest"))
+    across = rest.join(every, ["choice", "key"]).where("ca <> cb AND (in_largest OR a < b)").select("a", "b")
+    more = materialise(close(across).join(met, ["a", "b"], "left_anti"), "across")
+    if not more.isEmpty() and not (more := materialise(_verified(more, with_sets(more), similarity), "more-links")).isEmpty():
+        reach = connected_components(links.unionByName(more))
+    roots = materialise(classes.join(reach.withColumnRenamed("node", "c"), "c", "left").select("name", F.coalesce("component", "c").alias("root")), "roots")
+    return prints.join(roots, "name").select("id", "digest", "root")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, one of each group of ``near_copies``, with all their columns: the smallest id, nulls last, then the smallest text hash."""
+    found = materialise(near_copies(docs, id_col, text_col, **options), "near-copies")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    best = materialise(found.groupBy("root").agg(F.min(first).alias("best")), "best")
+    here = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))
+    return keep_rows(docs, found.join(best, "root").where(here).select("id", "digest"), id_col, text_col)

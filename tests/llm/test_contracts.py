@@ -57,7 +57,8 @@ def test_query(spark, sf_dir, name):
 
 def test_pipeline_keeps_the_tables_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    clashing = docs.withColumns({c: docs["n_chars"] for c in ("shard", "slot_order", "piece_first", "digest", "quality", "component", "k")})
+    clashing = docs.withColumns({c: docs["n_chars"] for c in ("shard", "slot_order", "piece_first", "digest", "quality", "component", "k", "name", "c", "root", "fps")})
+    clashing = clashing.withColumns({f"tessella_{c}": docs["n_chars"] for c in ("quality", "id", "digest", "pieces", "piece", "words", "row")})
     out = clashing
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, out, sf_dir)

@@ -8,7 +8,7 @@ from collections import Counter
 import tiktoken
 
 import corpus_pipeline
-from tessella.llm import mixing, pieces, quality, simhash
+from tessella.llm import mixing, ngram_join, pieces, quality
 from tessella.llm.common import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,11 +48,11 @@ def test_stages_are_those_of_brute_force(spark):
     assert sorted((str(r.doc_id), r.text) for r in exact.collect()) == sorted((str(i), t) for i, t in groups.values())
 
     near = materialise(stages["simhash near-dedup"](spark, exact, ""), "t")
-    rows = [(r.doc_id, simhash.fingerprint(r.text or "")) for r in exact.collect()]
+    rows = [(r.doc_id, set(ngram_join.shingle_set(r.text or "", 5).tolist())) for r in exact.collect()]
     group = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
-            if (rows[a][1] ^ rows[b][1]).bit_count() <= 2 and group[a] != group[b]:
+            if 100 * len(rows[a][1] & rows[b][1]) >= 80 * len(rows[a][1] | rows[b][1]) > 0 and group[a] != group[b]:
                 group = [group[b] if g == group[a] else g for g in group]
     stays = {min((rows[k][0] is None, rows[k][0] or 0) for k in range(len(rows)) if group[k] == g) for g in set(group)}
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect()) == sorted(stays)

@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, exact_dedup, mixing, quality, queries, simhash
-from tessella.llm.common import documents, new_path, remove, scratch
+from tessella.llm.common import documents, new_path, remove, scratch, with_own_names
 from tessella.llm.pieces import vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the base rules and the weighed votes keep."""
-    return quality.keep_good(docs)
+    return with_own_names(docs, quality.keep_good)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.drop_exact_duplicates(docs)
+    return with_own_names(docs, exact_dedup.drop_exact_duplicates)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints are linked."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies: SimHash candidates, verified by five-word shingles."""
+    return with_own_names(docs, simhash.drop_near_copies)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents that the mix takes; a piece taken again is a row again."""
-    return mixing.mixed_documents(docs)
+    return with_own_names(docs, mixing.mixed_documents)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

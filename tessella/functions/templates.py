@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import balanced
-from .text import cleaned, replaced, stripped
+from .text import cleaned, linked, replaced, stripped
 
 #: Fixed values of the constants template, by name in lower case, as they are printed.
 CONSTANTS = {
@@ -98,8 +98,7 @@ def short_text(text: Column) -> Column:
 
     # the white space behind a fraction goes with it
     joined = F.regexp_replace(text, r"(\{\{cf\|[^{}]+\}\})\s+", "$1")
-    links = F.regexp_replace(_printed(joined, prints), r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1")
-    return stripped(replaced(links, [("'''", ""), ("''", "")]))
+    return stripped(F.regexp_replace(linked(_printed(joined, prints)), "'{2,3}", ""))
 
 
 def parameters(text: Column, name: str) -> Column:

@@ -31,12 +31,13 @@ PATTERNS: dict[str, str] = {
     "html_entities": r"&[a-z0-9#]+;",
     "unicode_escape_sequence": r"\\u[0-9a-fA-F]{4}",
 }
+#: Fixed words: a match with one of the first is a template, one with a tag of the second formats text.
 _TEMPLATE_WORDS, _FORMATTING = r"\||\{\{(?:show|Gold|Rune|Ability|Item|Hero)", r"<br|<p>|</p>|<strong|</strong"
 
 
 #: Which matches of a kind count; of the others all do.
 COUNTS: dict[str, Callable[[Column], Column]] = {
-    "double_curly_braces_template": lambda m: m.rlike(_TEMPLATE_WORDS) | ~(m.contains('":') | m.contains('": ')),
+    "double_curly_braces_template": lambda m: m.rlike(_TEMPLATE_WORDS) | ~m.contains('":'),
     "double_apostrophe_italic": lambda m: (F.length(m) > 4) & ~m.startswith("''s"),
     "html_tags": lambda m: ~F.lower(m).rlike(_FORMATTING),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
+from ..storage import small
 
 
 def ranked_lists(dense: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def fuse(lists: DataFrame, domains: DataFrame, config: RetrievalConfig = Retriev
     ``domains`` (domain, place), dense before sparse, and rank. The merge of the two lists and the sum are one
     aggregation.
     """
-    placed = lists.join(F.broadcast(domains.select("domain", "place")), "domain")
+    placed = lists.join(small(domains.select("domain", "place")), "domain")
     is_dense = F.col("source") == "dense"
     first = F.min(F.struct("place", F.when(is_dense, 0).otherwise(1).alias("list"), "rank", "chunk_id")).alias("first")
     sides = [F.min(F.when(is_dense == want, F.col(c))).alias(f"{name}_{c}") for name, want in (("dense", True), ("sparse", False)) for c in ("rank", "score")]
@@ -30,7 +31,7 @@ def fuse(lists: DataFrame, domains: DataFrame, config: RetrievalConfig = Retriev
 def per_domain(fused: DataFrame, domains: DataFrame) -> DataFrame:
     """The best of each domain up to its ``allocation``, domain after domain, with ``position`` from 1."""
     order = Window.partitionBy("query_id", "domain").orderBy(F.round("rrf", 12).desc(), "first")
-    kept = fused.withColumn("domain_rank", F.row_number().over(order)).join(F.broadcast(domains.select("domain", "allocation")), "domain").where("domain_rank <= allocation")
+    kept = fused.withColumn("domain_rank", F.row_number().over(order)).join(small(domains.select("domain", "allocation")), "domain").where("domain_rank <= allocation")
     place = Window.partitionBy("query_id").orderBy("first.place", "domain_rank")
     return kept.withColumn("position", F.row_number().over(place)).drop("allocation")
 
@@ -53,16 +54,16 @@ def majority_domain(domains: DataFrame) -> DataFrame:
     return domains.orderBy(F.desc("allocation"), "place").limit(1).select(F.col("domain").alias("majority_domain"))
 
 
-def allocations(configs: DataFrame, domains: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """(query_id, domain, place, allocation) of the queries that are to be retrieved at all.
+def allocated(rows: DataFrame, configs: DataFrame, domains: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """``rows`` (query_id, domain, ...) of the queries that are to be retrieved at all, with their domain's place and allocation.
 
     ``configs`` has query_id, should_retrieve (null: true) and allocation, a map from domain to places
     of the fused list; without one every domain gets an equal whole share.
     """
-    wanted = configs.where(F.coalesce("should_retrieve", F.lit(True)))
-    number = domains.agg(F.count("*").alias("n_domains"))
-    share = F.when(F.col("allocation").isNull(), F.floor(F.lit(config.fused) / F.col("n_domains"))).otherwise(F.coalesce(F.try_element_at("allocation", F.col("domain")), F.lit(0)))
-    return wanted.select("query_id", "allocation").crossJoin(domains.select("domain", "place")).crossJoin(number).select("query_id", "domain", "place", share.cast("int").alias("allocation"))
+    wanted = configs.where(F.coalesce("should_retrieve", F.lit(True))).select("query_id", F.col("allocation").alias("shares"))
+    share = F.when(F.col("shares").isNull(), F.floor(F.lit(config.fused / max(1, domains.count())))).otherwise(F.coalesce(F.try_element_at("shares", F.col("domain")), F.lit(0)))
+    named = rows.join(wanted, "query_id").join(small(domains.select("domain", "place")), "domain")
+    return named.withColumn("allocation", share.cast("int")).drop("shares")
 
 
 def retrieved(fused: DataFrame, configs: DataFrame, domains: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -72,9 +73,8 @@ def retrieved(fused: DataFrame, configs: DataFrame, domains: DataFrame, chunks:
     none has is ``unknown``. Of the two token counts the metadata's counts unless it is null or 0; without
     any it is 0. Scores are rounded to 4 places, rrf to 6.
     """
-    shares = allocations(configs, domains, config)
     order = Window.partitionBy("query_id", "domain").orderBy(F.round("rrf", 12).desc(), "first")
-    kept = fused.drop("place").withColumn("domain_rank", F.row_number().over(order)).join(shares, ["query_id", "domain"]).where("domain_rank <= allocation")
+    kept = allocated(fused.drop("place").withColumn("domain_rank", F.row_number().over(order)), configs, domains, config).where("domain_rank <= allocation")
     placed = kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "domain_rank"))).drop("domain")
     named = chunks.join(domains.select(F.lower("label").alias("low"), "domain"), F.lower(F.trim("label")) == F.col("low"), "left")
     told = named.select("chunk_id", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.coalesce(F.nullif("metadata_count", F.lit(0)), "token_count", F.lit(0)).alias("token_count"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
@@ -32,9 +32,9 @@ def with_token_count(metadata: Column, content: Column) -> Column:
 
 
 def last_of_each(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """One row per key: the last by ``order``."""
-    w = Window.partitionBy(key).orderBy(*[c.desc() for c in order])
-    return rows.withColumn("tessella_row", F.row_number().over(w)).where("tessella_row = 1").drop("tessella_row")
+    """One row per key: the last by ``order``. Rows of a key are aggregated before the shuffle, however many it has."""
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order))
+    return rows.groupBy(F.col(f"`{key}`").alias("tessella_key")).agg(best.alias("tessella_row")).select("tessella_row.*")
 
 
 def upsert(current: DataFrame, batch: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -47,6 +47,6 @@ def upsert(current: DataFrame, batch: DataFrame, key: str, order: list[str]) ->
 
 
 def first_file_wins(rows: DataFrame, key: str, file_order: str, line: str) -> DataFrame:
-    """Per key the last line of the first file that has it."""
-    w = Window.partitionBy(key).orderBy(F.col(file_order), F.col(line).desc())
-    return rows.withColumn("tessella_row", F.row_number().over(w)).where("tessella_row = 1").drop("tessella_row")
+    """Per key the last line, a number, of the first file that has it; aggregated before the shuffle."""
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(F.col(f"`{file_order}`"), -F.col(f"`{line}`")))
+    return rows.groupBy(F.col(f"`{key}`").alias("tessella_key")).agg(best.alias("tessella_row")).select("tessella_row.*")

@@ -6,14 +6,16 @@ documents that hold a passage for its ground truth, assistant turns for answers.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import templates
 from ..functions import text as T
 from ..operators import audit, bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, nodes, orchestrate, rerank, wiki
-from ..sources import jsonl
-from ..storage import spread, stored
+from ..sources import buckets, jsonl
+from ..storage import shared_folder, spread, stored
 
 #: The domains in their order, with allocations of the fused list.
 DOMAINS = [("en", 0, 4), ("fr", 1, 3), ("de", 2, 2), ("es", 3, 1)]
@@ -279,6 +281,16 @@ def b4_upsert(spark, sf_dir):
     return ingest.upsert(old, new, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+def b4_buckets(spark, sf_dir):
+    """Views, then other events, then purchases as batches of a bucketed table, each tried twice: a user's last event of the last batch."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    kept = buckets.BucketedTable(spark, f"{shared_folder(spark)}/latest-events-{uuid.uuid4().hex}", "user_id", ["ts", "event_id"], buckets=16)
+    for number, which in enumerate(("event_type = 'view'", "event_type NOT IN ('view', 'purchase')", "event_type = 'purchase'")):
+        for _ in range(2):
+            kept.apply(events.where(which), number)
+    return kept.read().select("user_id", "event_id", "event_type")
+
+
 def _told(spark, sf_dir, turn):
     """Conversations as pages (title, text): each turn as ``turn`` writes it, in their order."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
@@ -497,7 +509,7 @@ def a7_chunk_texts(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     h4_bm25_topk, h1_tokens, h2_index_terms, h5_dense_topk, h6_filtered_topk, h8_merged_lists, h9_rrf_per_domain, h10_rrf_over_all, h12_counts,
     i9_gate, i11_context, i12_context_edges, i13_admitted, i15_context_text, j1_prompt, j8_abstentions, k5_claims, k7_faithfulness,
-    l6_tiers, m10_rank_metrics, m13_summary, f1_findings, f4_counts, d3_plain_pages, e2_word_chunks, e3_recursive_chunks, e5_bundles, g2_normalised, g5_chunk_ids, b4_upsert,
+    l6_tiers, m10_rank_metrics, m13_summary, f1_findings, f4_counts, d3_plain_pages, e2_word_chunks, e3_recursive_chunks, e5_bundles, g2_normalised, g5_chunk_ids, b4_upsert, b4_buckets,
     d1_sections, d4_derived, d18_versions, e4_nested_nodes, m6_contexts, b3_report,
     h11_retrieval, i16_citations, i17_score_report, m9_list_metrics, m14_describe, j5_confidence, j6_overrides, j7_entities, a8_first_file, d16_guide, d16_builds, d16_items, d7_blocks, c10_references, d19_records, e7_deep_nodes, g4_token_metadata, a7_chunk_texts,
 )}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.audit import PATTERNS
 from ..operators.generation import ABSTENTIONS
 from .queries import DOMAINS
 
@@ -113,11 +112,28 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
-#: The two patterns that RE2 can't have as they are, with the group that is the match.
+#: Name, expression and the group that is the match of each kind of leftover, as RE2 reads them.
 RE2_PATTERNS = {
+    "expression_tag": (r"\[EXPR:[^\]]+\]", 0),
+    "double_curly_braces_template": (r"\{\{[^}]{2,}\}\}", 0),
+    "question_mark_pipe_values": (r"\?\|[a-zA-Z0-9_]+=", 0),
+    "unresolved_wiki_link": (r"\[\[[^\]]*\]\]", 0),
     "html_tags": (r"<[a-zA-Z][a-zA-Z0-9]*[^>]*>", 0),
     "pipe_separated_template_fragment": (r'(?:^|[^|])(\|[a-zA-Z0-9_]+=(?:[^|"\\]|\\[^\n])*(?:\|[a-zA-Z0-9_]+=))', 1),
-    "parser_functions": (PATTERNS["parser_functions"], 1),
+    "unresolved_magic_words": (r"__[A-Z]+__", 0),
+    "parser_functions": (r"\{\{#(if|switch|ifeq|expr|rel2abs|titleparts):[^}]+\}\}", 1),
+    "wiki_table_remnants": (r"(?:^|\n)(?:\{\||\|\}|\|\+|\|-|!|\|)", 0),
+    "category_tags": (r"(?i)\[\[Category:[^\]]*\]\]", 0),
+    "ref_tags": (r"(?is)<ref[^>]*>.*?</ref>", 0),
+    "nowiki_tags": (r"(?is)<nowiki[^>]*>.*?</nowiki>", 0),
+    "gallery_tags": (r"(?is)<gallery[^>]*>.*?</gallery>", 0),
+    "triple_apostrophe_bold": (r"'''[^']+'''", 0),
+    "double_apostrophe_italic": (r"''[^']+''", 0),
+    "equals_heading": (r"(?:^|\n)={2,}[^=]+=+", 0),
+    "template_parameter_default": (r"\{\{\{[^}]+\}\}\}", 0),
+    "unresolved_file_image": (r"(?i)\[\[(?:File|Image):[^\]]*\]\]", 0),
+    "html_entities": (r"&[a-z0-9#]+;", 0),
+    "unicode_escape_sequence": (r"\\u[0-9a-fA-F]{4}", 0),
 }
 #: Which matches of a kind count.
 COUNTED = {
@@ -129,8 +145,7 @@ COUNTED = {
 
 def _findings() -> str:
     parts = []
-    for name, pattern in PATTERNS.items():
-        pattern, group = RE2_PATTERNS.get(name, (pattern.replace("u)", ")", 1) if pattern.startswith("(?") else pattern, 0))
+    for name, (pattern, group) in RE2_PATTERNS.items():
         found = f"regexp_extract_all(coalesce(html, ''), '{pattern.replace(chr(39), chr(39) * 2)}', {group})"
         parts.append(f"SELECT page_id AS item_id, '{name}' AS type, list_filter({found}, lambda m: {COUNTED.get(name, 'true')}) AS m FROM pages")
     return "found AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE len(m) > 0)"
@@ -162,11 +177,11 @@ SELF = f""",
         FROM told LEFT JOIN cited USING (query_id) LEFT JOIN entailed USING (query_id)),
     tiers AS (SELECT *, CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.5 THEN 'moderate' WHEN confidence >= 0.2 THEN 'low' ELSE 'dead' END AS tier FROM signals)"""
 
-#: A page's text without markup that isn't a template, step by step.
-CLEANED = "html"
+#: A page's text without markup that isn't a template: links, tags, quotes, leftovers.
+CLEANED = "regexp_replace(html, '<sm2>.*?</sm2>|<ref>.*?</ref>', '', 'g')"
 for _pattern, _replacement in [
-    (r"<sm2>.*?</sm2>", ""), (r"\[\[([^\]|]+)\]\]", r"\1"), (r"\[\[.*?\|([^\]]+)\]\]", r"\1"), (r"<code>(.*?)</code>", r"\1"), (r"<br\s*/?>", " "), (r"<ref>.*?</ref>", ""),
-    ("''''''([^'']+)''''''", r"\1"), ("''''([^'']+)''''", r"\1"), (r"\|\w+\}\}", ""), (r"\}\}", ""), (r"\s+", " "), (r"\(\s*\)", ""), (r"\[\s*\]", ""), (r"\s*\*\*\*\s*", " "),
+    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]]+)\]\]", r"\1"), (r"<code>(.*?)</code>", r"\1"), (r"<br\s*/?>|\s+", " "), ("''''''([^'']+)''''''|''''([^'']+)''''", r"\1\2"), (r"(\|\w+)?\}\}", ""),
+    (r"\s+", " "), (r"\( ?\)|\[ ?\]", ""), (r" ?[*]{3} ?", " "),
 ]:
     CLEANED = f"regexp_replace({CLEANED}, '{_pattern}', '{_replacement}', 'g')"
 
@@ -295,6 +310,9 @@ ORACLE_SQL = {
         FROM told LEFT JOIN checked USING (query_id) GROUP BY told.query_id"""),
     "j7_entities": _with(BASE, """SELECT query_id, string_agg(DISTINCT source, ',' ORDER BY source) AS entities
         FROM sparse JOIN chunks USING (domain, chunk_id) JOIN q USING (query_id) WHERE NOT contains(lower(question), lower(source)) GROUP BY query_id"""),
+    "b4_buckets": """
+        WITH e AS (SELECT *, CASE event_type WHEN 'view' THEN 0 WHEN 'purchase' THEN 2 ELSE 1 END AS batch FROM events)
+        SELECT user_id, arg_max(event_id, (batch, ts, event_id)) AS event_id, arg_max(event_type, (batch, ts, event_id)) AS event_type FROM e GROUP BY user_id""",
     "a8_first_file": "SELECT user_id, event_type, max(event_id) AS event_id FROM events JOIN (SELECT user_id, min(event_type) AS event_type FROM events GROUP BY ALL) USING (user_id, event_type) GROUP BY ALL",
     "d16_guide": """
         SELECT conv_id, role || turn AS section, unnest([0, 1])::BIGINT AS item_no, unnest(['turn ' || turn, length(coalesce(text, ''))::VARCHAR]) AS item FROM conversations""",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ingest import ENTITY_KEYS, chunk_id
+from ..storage import small, stored
 
 CHUNK_SCHEMA = "page_content string, metadata map<string, string>, token_count int"
 
@@ -16,18 +17,18 @@ def read_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no from 1, line) of text files, blank lines included.
+    """(path, file, line_no from 1, line) of text files, blank lines included.
 
-    Files are read in splits; lines are numbered within a split, and splits by the lines before them.
-    Files of one name in several folders keep apart.
+    Files are read in splits. The lines of each are counted first; then a line's number is its place in
+    its split and the lines of the file's splits before it, added where the line is read: lines aren't shuffled.
+    Files of one name in several folders keep apart by their path.
     """
     meta = F.col("_metadata")
     read = spark.read.text(path).select(meta["file_path"].alias("path"), meta["file_name"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    split = Window.partitionBy("path", "block").orderBy("at")
-    lines = read.withColumn("within", F.row_number().over(split))
-    counts = read.groupBy("path", "block").agg(F.count("*").alias("n"))
-    starts = counts.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
-    return lines.join(starts, ["path", "block"]).select("file", (F.col("before") + F.col("within")).alias("line_no"), "line")
+    counts = read.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    starts = small(stored(counts.select("path", "block", (before - F.col("first") + 1).alias("start")), "splits"))
+    return read.join(starts, ["path", "block"]).select("path", "file", (F.col("at") + F.col("start")).alias("line_no"), "line")
 
 
 def scan_tolerant(lines: DataFrame, snippet: int = 200) -> DataFrame:
@@ -73,17 +74,17 @@ def resolved(lines: DataFrame) -> DataFrame:
 
 
 def chunk_texts(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """(file, chunk_id, content) of lines (file, line_no, line); of one id the last line of a file counts.
+    """(file, chunk_id, content) of lines (file, line_no, line; path, if it is known); of one id the last line of a file counts.
 
-    Lines without id or text are left out. With ``strict`` a file's first line, unless blank, has to have both,
+    With paths, files of one name in several folders keep apart, and their paths are in the result. Lines without id or text are left out. With ``strict`` a file's first line, unless blank, has to have both,
     or ValueError is raised with the file's name.
     """
     found = resolved(lines)
     bad = F.col("chunk_id").isNull() | F.col("content").isNull()
     if strict and (first := found.where((F.col("line_no") == 1) & bad).select("file").first()):
         raise ValueError(f"the first line of {first.file} has no id or no text")
-    newest = found.where(~bad).groupBy("file", "chunk_id").agg(F.max_by("content", "line_no").alias("content"))
-    return newest
+    of_file = ["path", "file"] if "path" in lines.columns else ["file"]
+    return found.where(~bad).groupBy(*of_file, "chunk_id").agg(F.max_by("content", "line_no").alias("content"))
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

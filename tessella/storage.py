@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -29,6 +30,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores if it is read from fewer files than there are; others stay as they are."""
+    """``df`` dealt to all cores if its scan has fewer partitions than there are, which only small tables have; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast if it has no more than ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import last_of_each, upsert
+from ..sources.buckets import BucketedTable
 
 
 def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, key: str, order: list[str], partitions: int | None = None) -> StreamingQuery:
@@ -24,3 +25,8 @@ def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, key: str, ord
         (out.repartition(partitions) if partitions else out).write.mode("overwrite").parquet(f"{folder}/version={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def bucketed_stream(stream: DataFrame, table: BucketedTable, checkpoint: str) -> StreamingQuery:
+    """Run what is there of ``stream`` into a bucketed table, of which each batch rewrites only the buckets it has keys of."""
+    return stream.writeStream.foreachBatch(table.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -467,6 +467,18 @@ def c10_references(spark, sf_dir):
     return pages.select(F.col("title").alias("conv_id"), F.replace(F.replace(shown, F.lit("\n"), F.lit("")), F.lit("VAR:v1"), F.lit("none yet")).alias("text"))
 
 
+def c2_variables(spark, sf_dir):
+    """Turns as abilities, named by their role, with a cooldown, mana of one turn, and values that refer to each other."""
+    def turn(t):
+        number = t["turn"].cast("string")
+        lines = [F.concat(F.lit("| name = "), t["role"], F.lit(" "), number), F.concat(F.lit("| cooldown = "), number, F.lit("/9 {{note}}")), F.concat(F.lit("| value1 = "), number, F.lit(".5 (+1)"))]
+        lines += [F.concat(F.lit("| value2 alt = {{#vardefineecho:of"), number, F.lit("|"), number, F.lit("0}}")), F.concat(F.lit("| value3 = {{#var:"), t["role"], F.lit(" "), number, F.lit(" value1}}%"))]
+        return F.concat_ws("\n", *lines)
+
+    found = wiki.page_variables(_told(spark, sf_dir, turn).withColumn("text", F.concat(F.lit("| mana = 7\n"), "text", F.lit("\n| mana = 70"))))
+    return found.select(F.col("title").alias("conv_id"), "name", "value")
+
+
 def d19_records(spark, sf_dir):
     """Conversations as pages: turns as one part, of which those that hold a number have broken braces, and roles as another."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("title"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -511,5 +523,5 @@ QUERIES = {f.__name__: f for f in (
     i9_gate, i11_context, i12_context_edges, i13_admitted, i15_context_text, j1_prompt, j8_abstentions, k5_claims, k7_faithfulness,
     l6_tiers, m10_rank_metrics, m13_summary, f1_findings, f4_counts, d3_plain_pages, e2_word_chunks, e3_recursive_chunks, e5_bundles, g2_normalised, g5_chunk_ids, b4_upsert, b4_buckets,
     d1_sections, d4_derived, d18_versions, e4_nested_nodes, m6_contexts, b3_report,
-    h11_retrieval, i16_citations, i17_score_report, m9_list_metrics, m14_describe, j5_confidence, j6_overrides, j7_entities, a8_first_file, d16_guide, d16_builds, d16_items, d7_blocks, c10_references, d19_records, e7_deep_nodes, g4_token_metadata, a7_chunk_texts,
+    h11_retrieval, i16_citations, i17_score_report, m9_list_metrics, m14_describe, j5_confidence, j6_overrides, j7_entities, a8_first_file, d16_guide, d16_builds, d16_items, d7_blocks, c2_variables, c10_references, d19_records, e7_deep_nodes, g4_token_metadata, a7_chunk_texts,
 )}

@@ -326,6 +326,14 @@ ORACLE_SQL = {
         SELECT conv_id || '-' || turn AS page, 'abilities' AS kind, 't' || turn AS ability,
                md5('{{Ability' || chr(10) || '| name = t' || turn || chr(10) || '| v = ' || repeat('{{n|', 3 * turn) || translate(coalesce(text, ''), '{}|' || chr(10), '') || repeat('}}', 3 * turn) || chr(10) || '}}') AS block_md5
         FROM conversations""",
+    "c2_variables": """
+        WITH t AS (SELECT conv_id, role || ' ' || turn AS ability, turn FROM conversations)
+        SELECT conv_id, ability || ' cooldown' AS name, turn || '/9' AS value FROM t
+        UNION ALL SELECT conv_id, ability || ' value1', turn || '.5' FROM t
+        UNION ALL SELECT conv_id, ability || ' value2 alt', turn || '0' FROM t
+        UNION ALL SELECT conv_id, 'of' || turn, turn || '0' FROM t
+        UNION ALL SELECT conv_id, ability || ' value3', ((turn || '.5')::DOUBLE / 100)::VARCHAR FROM t
+        UNION ALL SELECT conv_id, arg_max(ability, turn) || ' mana', '70' FROM t GROUP BY conv_id""",
     "c10_references": """
         SELECT conv_id, 'start ' || CASE WHEN min(turn) > 1 THEN '[none yet]'
                     WHEN min(turn) = 0 THEN 'start.' || string_agg(role, '.' ORDER BY turn) FILTER (turn <= 1)

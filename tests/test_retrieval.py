@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import RerankConfig, RetrievalConfig, TierConfig
 from tessella.functions import text as T
-from tessella.operators import bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, orchestrate, rerank
+from tessella.operators import bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, orchestrate, rerank, retrievers
 from tessella.operators.windows import window_starts
 from tessella.sources import jsonl
 from tessella.streaming.upserts import upsert_stream
@@ -252,3 +252,14 @@ def test_files_and_streams(spark, tmp_path):
         stream = spark.readStream.schema("k long, v string, n long").parquet(f"{tmp_path}/stream")
         upsert_stream(stream, f"{tmp_path}/table", f"{tmp_path}/checkpoint", "k", ["n"]).awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/table/version=1").collect())) == [(1, "a", 1), (2, "c", 2)]
+
+
+def test_retrievers_over_questions_embedded_once(spark):
+    docs = spark.createDataFrame([(f"c{k}", "d", f"word{k} text") for k in range(9)], "chunk_id string, domain string, content string")
+    cells = dense.cell_index(docs.select("chunk_id", "domain", F.array(F.length("content").cast("double"), F.xxhash64("content") % 7 + 0.5).alias("embedding")))
+    both = [retrievers.Sparse(bm25.build_index(docs)), retrievers.Dense(cells, RetrievalConfig(per_source=2))]
+    assert all(isinstance(r, retrievers.Retriever) for r in both)
+    asked = spark.createDataFrame([("q", "word3")], "query_id string, question string")
+    got = retrievers.ranked(asked, both, lambda text: F.array(F.length(text).cast("double"), F.lit(0.5)))
+    lists = {(r.source, r["rank"]): r.chunk_id for r in got.collect()}
+    assert lists["sparse", 1] == "c3" and {k for k in lists if k[0] == "dense"} == {("dense", 1), ("dense", 2)}

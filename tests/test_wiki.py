@@ -288,3 +288,11 @@ def test_a_second_run_reads_new_files_only(spark, tmp_path):
     folder.ingest_folder(spark, str(source), out).awaitTermination(120)
     rows = folder.chunks(spark, out).collect()
     assert len(rows) == len(first) + 1 and {(r.name, r.batch) for r in rows} == {("Moss", 0), ("fern", 1)} and folder.rejects(spark, out).count() == 1
+
+
+def test_variables_of_a_page(spark):
+    text = "| mana = 1\n| name = Root\n| cooldown = 12/10 {{note}}\n| mana = 30 (x)\n| mana = 40\n| value1 = 5%\n| value2 big = {{#vardefineecho:own|7}}\n| value3 = {{#var:own}}0%\n| value4 = {{#var:nope}}\n| name = Slam\n| value1 = text"
+    found = wiki.page_variables(spark.createDataFrame([("p", text), ("n", None)], "title string, text string"))
+    assert {r["name"]: r.value for r in found.collect()} == {
+        "Root cooldown": "12/10", "Root mana": "40", "Root value1": "5%", "Root value2 big": "7", "own": "7", "Root value3": "0.7", "Root value4": "[VAR:nope]", "Slam value1": "text",
+    }

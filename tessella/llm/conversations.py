@@ -169,7 +169,10 @@ def blocks(placed: DataFrame) -> DataFrame:
     sums = [F.count_if(c).alias(c) for c in ("illegal", "new")]
     grouped = told.groupBy("conv", "block").agg(F.min("at").alias("seg"), listed.alias("turns"), F.min("turn").alias("low"), F.max("turn").alias("high"), *counts, *sums)
     ends = [F.element_at("turns", at)[c].alias(f"{name}_{c}") for at, name in ((1, "first"), (-1, "last")) for c in ("initial", "turn")]
-    return grouped.select("conv", "seg", "low", "high", "blank", "duplicate", "truncated", "illegal", "new", *ends, F.array(*[_fold(F.col("turns"), place) for place in range(4)]).alias("matrix"))
+    # turns of a conversation follow each other, so one that doesn't begin with a block begins in it: it has only one place to start from
+    begins = F.col("seg").bitwiseAND((1 << BLOCK_BITS) - 1) != 0
+    matrix = F.when(begins, F.array_repeat(_fold(F.col("turns"), 0), 4)).otherwise(F.array(*[_fold(F.col("turns"), place) for place in range(4)]))
+    return grouped.select("conv", "seg", "low", "high", "blank", "duplicate", "truncated", "illegal", "new", *ends, matrix.alias("matrix"))
 
 
 def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

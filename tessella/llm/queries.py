@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, conversations, credentials, exact_dedup, line_dedup, merkle, mixing, ngram_join, quality, simhash, token_rollup, token_tables, toxicity
-from .common import WORD, documents, new_path
+from .common import WORD, documents, materialise, new_path
 from .pieces import vocabulary_path
 from .sql import CONVERSATION_REPAIR, MERKLE_MANIFEST
 
@@ -70,20 +70,21 @@ MARKUP = r"[#*$%&|<>]"
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents after their load by both versions, a recount of the texts without
-    markup, the removal of what is under ten words long, and a second try of each batch."""
-    docs = documents(spark, sf_dir)
-    words = token_rollup.pattern_count("text", WORD)
-    marked = docs.where(F.col("text").rlike(MARKUP) & (words >= 10))
-    plain = marked.withColumn("text", F.regexp_replace("text", MARKUP, ""))
+    markup, the removal of what is under ten words long, and a second try of each batch. Texts are read once."""
+    plain, words = F.regexp_replace("text", MARKUP, ""), token_rollup.pattern_count("text", WORD)
+    marked = F.coalesce(F.col("text").rlike(MARKUP), F.lit(False)) & (words >= 10)
+    before = {v: token_rollup.pattern_count("text", p).alias(v) for v, p in TOKENIZERS.items()}
+    after = [F.when(marked, token_rollup.pattern_count(plain, p)).alias(f"plain {v}") for v, p in TOKENIZERS.items()]
+    counts = materialise(documents(spark, sf_dir).select("source", "lang", (words < 10).alias("short"), marked.alias("marked"), *before.values(), *after), "counts")
 
-    def counts(rows: DataFrame) -> DataFrame:
-        return token_rollup.counted(rows, {v: token_rollup.pattern_count("text", p) for v, p in TOKENIZERS.items()})
+    def counted(rows: DataFrame, of: str = "") -> DataFrame:
+        return token_rollup.counted(rows, {v: F.col(f"`{of}{v}`") for v in TOKENIZERS})
 
     rollup = token_rollup.TokenRollup(spark, new_path(spark, "token-rollup"))
     batches = {
-        "load": token_rollup.inserts(counts(docs)),
-        "short documents": token_rollup.deletes(counts(docs.where(words < 10))),
-        "markup": token_rollup.revisions(counts(marked), counts(plain)),
+        "load": token_rollup.inserts(counted(counts)),
+        "short documents": token_rollup.deletes(counted(counts.where("short"))),
+        "markup": token_rollup.revisions(counted(counts.where("marked")), counted(counts.where("marked"), "plain ")),
     }
     for batch, changes in [*batches.items(), *batches.items()]:
         rollup.commit(batch, changes)
@@ -91,6 +92,16 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def token_rollup_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rollup by op1's vocabulary: the load of all documents, then the removal of those under ten words, each tried twice."""
+    docs, path = documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.tiktoken")
+    rollup = token_rollup.TokenRollup(spark, new_path(spark, "token-rollup"))
+    short = docs.where(token_rollup.pattern_count("text", WORD) < 10)
+    for batch, changes in [("load", token_rollup.inserts(token_rollup.bpe_counted(docs, "bpe-50k", path))), ("short documents", token_rollup.deletes(token_rollup.bpe_counted(short, "bpe-50k", path)))] * 2:
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -127,6 +138,7 @@ QUERIES = {
     "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_ngram_join": op13_ngram_join,
+    "token_rollup_bpe": token_rollup_bpe,
 }
 
 ORACLE_SQL = {

@@ -90,3 +90,24 @@ def test_counts_of_a_vocabulary(spark, tmp_path):
     assert rollup.commit("load", inserts(bpe_counted(docs, "bpe-50k", path)))
     assert rollup.commit("gone", deletes(bpe_counted(docs.limit(0), "bpe-50k", path)))
     assert totals(rollup) == brute([((s, lang, "bpe-50k", len(library.encode_ordinary(t or ""))), 1) for s, lang, t in rows])
+
+
+def test_query_by_the_vocabulary(spark, tmp_path):
+    """All documents but those under ten words, by the library."""
+    from collections import Counter
+
+    import tiktoken
+
+    from tessella.llm import pieces, queries
+
+    library = tiktoken.Encoding("own", pat_str=pieces.default_pattern(), mergeable_ranks=pieces.read_ranks(pieces.vocabulary_path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rng = random.Random(7)
+    rows = [(k, rng.choice(["a", None]), rng.choice(["en", "fr"]), " ".join(rng.choices(["élan", "über", "12", "word"], k=rng.choice((3, 9, 10, 40)))) if k else None) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, total = Counter(), Counter()
+    for _, source, lang, text in rows:
+        if text and len(text.split()) >= 10:
+            docs[source, lang] += 1
+            total[source, lang] += len(library.encode_ordinary(text))
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in queries.token_rollup_bpe(spark, str(tmp_path)).collect()}
+    assert got == {k: (docs[k], total[k]) for k in docs}

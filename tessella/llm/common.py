@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,30 +9,18 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import spread
+from ..storage import shared_folder, spread
 
 #: The white space of every contract here: space and U+0009 to U+000D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: dict[str, str] = {}
 _scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local-mode session without that setting (tests) gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return _own_dir[app]
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, in local sessions without it a temporary one."""
+    return shared_folder(spark)
 
 
 def new_name(name: str) -> str:

@@ -161,7 +161,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, least: int) -> DataFrame:
     return sums.where(100 * F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _possible(least: int) -> Column:
+def possible(least: int) -> Column:
     """Pairs that may be linked by their sizes and by what is left of each from their first common n-gram on.
 
     ``ra`` and ``rb`` count the repeated n-grams from this one on; at a later common n-gram this may fail.
@@ -195,7 +195,7 @@ def linked_classes(classes: DataFrame, least: int) -> DataFrame:
     # every class meets the most central one under each n-gram, largest share of repeated n-grams first
     heads = rows.groupBy("token").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("n")).alias("size"), "c", "n", "r")).alias("head"))
     met = rows.join(heads, "token").select(F.col("head.c").alias("a"), F.col("c").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"), F.col("head.r").alias("ra"), F.col("r").alias("rb"))
-    pairs = materialise(met.where("a <> b").where(_possible(least)).select("a", "b", "na", "nb").distinct(), "met")
+    pairs = materialise(met.where("a <> b").where(possible(least)).select("a", "b", "na", "nb").distinct(), "met")
     links = materialise(_overlaps(pairs, segments, least), "links")
     reach = materialise(connected_components(links), "reach")
 
@@ -207,7 +207,7 @@ def linked_classes(classes: DataFrame, least: int) -> DataFrame:
     side = lambda x: [F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("component").alias(f"c{x}")]
     rest = open_rows.where("component <> largest").select("token", *side("a"))
     every = open_rows.select("token", *side("b"), (F.col("component") == F.col("largest")).alias("in_largest"))
-    across = rest.join(every, "token").where((F.col("ca") != F.col("cb")) & (F.col("in_largest") | (F.col("a") < F.col("b")))).where(_possible(least))
+    across = rest.join(every, "token").where((F.col("ca") != F.col("cb")) & (F.col("in_largest") | (F.col("a") < F.col("b")))).where(possible(least))
     both = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(_overlaps(both.join(done, ["a", "b"], "left_anti"), segments, least), "more-links")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, materialise, text_or_empty
 from .components import connected_components
-from .ngram_join import shingle_set
+from .ngram_join import ordered, possible, shingle_set
 
 BITS = 64
 #: Shingles that are turned into bits at once; bounds the memory for a very long text.
@@ -199,25 +199,31 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         differ = sum((F.bit_count(F.get("pa", F.lit(t)).bitwiseXOR(F.get("pb", F.lit(t)))) for t in range(TABLES)), F.lit(0))
         return once.join(x, "a").join(y, "b").where(differ <= FARTHEST).select("a", "b")
 
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        """(c, shingles) of the texts in the pairs, read once more."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "name"), "c")
+    def with_sets(some: DataFrame) -> DataFrame:
+        """(c, shingles) of some texts (c), read once more."""
+        wanted = some.distinct().join(classes.select("c", "name"), "c")
         found = docs.select(name.alias("name"), text.alias("text")).join(wanted, "name")
         return materialise(found.select("c", pandas_udf(sliced, "array<long>")("text").alias("shingles")).groupBy("c").agg(F.any_value("shingles").alias("shingles")), "shingles")
 
     met = materialise(close(rows.where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))), "met")
-    links = materialise(_verified(met, with_sets(met), similarity), "links")
+    links = materialise(_verified(met, with_sets(met.select(F.explode(F.array("a", "b")).alias("c"))), similarity), "links")
     reach = materialise(connected_components(links), "reach")
 
+    # texts of different components under one key; what shares too few shingles with all of these texts together is linked with none
     named = materialise(rows.drop("head").join(reach.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "named")
-    sizes = named.groupBy("choice", "key", "component").agg(F.count("*").alias("k")).groupBy("choice", "key").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("different"))
-    open_rows = materialise(named.join(sizes.where("different > 1").select("choice", "key", F.col("most.component").alias("largest")), ["choice", "key"]), "open")
-    rest = open_rows.where("component <> largest").select("choice", "key", F.col("c").alias("a"), F.col("component").alias("ca"))
-    every = open_rows.select("choice", "key", F.col("c").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("in_largest"))
-    across = rest.join(every, ["choice", "key"]).where("ca <> cb AND (in_largest OR a < b)").select("a", "b")
-    more = materialise(close(across).join(met, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty() and not (more := materialise(_verified(more, with_sets(more), similarity), "more-links")).isEmpty():
-        reach = connected_components(links.unionByName(more))
+    several = named.groupBy("choice", "key", "component").agg(F.count("*").alias("k")).groupBy("choice", "key").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("different"))
+    open_rows = materialise(named.join(several.where("different > 1").select("choice", "key", F.col("most.component").alias("largest")), ["choice", "key"]), "open")
+    if not open_rows.isEmpty():
+        sets = with_sets(open_rows.select("c"))
+        alive = materialise(ordered(sets.select("c", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("tokens")), similarity).select("c", "n", F.size("listed").cast("long").alias("s")), "alive")
+        open_rows = open_rows.join(alive, "c")
+        side = lambda x: [F.col("c").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"r{x}")]
+        rest = open_rows.where("component <> largest").select("choice", "key", *side("a"))
+        every = open_rows.select("choice", "key", *side("b"), (F.col("component") == F.col("largest")).alias("in_largest"))
+        across = rest.join(every, ["choice", "key"]).where("ca <> cb AND (in_largest OR a < b)").where(possible(similarity)).select("a", "b")
+        more = materialise(_verified(close(across).join(met, ["a", "b"], "left_anti"), sets, similarity), "more-links")
+        if not more.isEmpty():
+            reach = connected_components(links.unionByName(more))
     roots = materialise(classes.join(reach.withColumnRenamed("node", "c"), "c", "left").select("name", F.coalesce("component", "c").alias("root")), "roots")
     return prints.join(roots, "name").select("id", "digest", "root")
 

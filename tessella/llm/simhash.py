@@ -144,7 +144,7 @@ def wide_fingerprint(text: str, tables: int = TABLES, feature: int = FEATURE) ->
     for t in range(tables):
         ones = np.zeros(BITS, np.int64)
         for at in range(0, len(hashes), _AT_ONCE):
-            mixed = hashes[at : at + _AT_ONCE] + np.uint64(t) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = hashes[at : at + _AT_ONCE] + np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
                 mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
             mixed ^= mixed >> np.uint64(31)

@@ -132,7 +132,8 @@ def repeated(listed: DataFrame, folder: str, least: int) -> DataFrame:
         alive = np.flatnonzero((sizes > 0) & (100 * (sums[ends] - sums[starts]) >= least * sizes))
         sets = [tokens[starts[i] : ends[i]] for i in alive]
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        return pd.DataFrame({"key": keys, "n": sizes[alive], "tokens": [s[flags[starts[i] : ends[i]]].view(np.int64) for i, s in zip(alive, sets)]})
+        left = [s[flags[starts[i] : ends[i]]].view(np.int64) for i, s in zip(alive, sets)]
+        return pd.DataFrame({"key": pd.Series(keys, dtype=object), "n": sizes[alive], "tokens": pd.Series(left, dtype=object)})
 
     dealt = chunks.select("chunk").repartition(max(1, min(4096, total // CHUNK + 1)), "chunk").mapInPandas(deal, "range int, chunk long, once binary, again binary")
     told = dealt.groupBy("range").applyInPandas(count, "chunk long, range int, bits binary")

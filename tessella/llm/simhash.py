@@ -173,11 +173,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def mapped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([wide_fingerprint(t) for t in texts])
+            yield pd.Series([wide_fingerprint(t) for t in texts], dtype=object)
 
     def sliced(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
+            yield pd.Series([shingle_set(t, width).view(np.int64) for t in texts], dtype=object)
 
     for f in (mapped, sliced):
         f.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}

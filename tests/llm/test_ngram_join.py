@@ -90,3 +90,9 @@ def test_thresholds_at_the_edge(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == Counter()
+
+
+def test_files_of_which_nothing_is_left(spark):
+    """Sets that share nothing: each file keeps none of them."""
+    rows = [(k, f"only{k} words{k} of{k} this{k} one{k}") for k in range(9)]
+    assert found(spark, rows) == brute(rows)

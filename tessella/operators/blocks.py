@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 #: Queries of a block; rows of an index block; rows that are cut into blocks together, and their bytes at most.
-BLOCK, ROWS, BUFFER, BUFFER_BYTES = 512, 16, 16_384, 1 << 27
+BLOCK, ROWS, BUFFER, BUFFER_BYTES = 512, 16, 16_384, 1 << 22
+#: Index blocks are wide rows, and a reader decodes up to 4096 rows of a row group at once; so row groups are small.
+NARROW = {"parquet.block.size": str(1 << 22)}
+#: Files of queries up to which a task holds the best rows of all that it reads; with more it passes on those of each piece.
+HELD_FILES = 8
 #: Scores are compared after rounding to 9 places; bounds leave room for that.
 SLACK = 1e-8
 
@@ -42,15 +46,23 @@ def read_block(uri: str) -> pa.Table:
 
 
 def buffered(batches, rows: int, size: int = BUFFER_BYTES):
-    """Record batches put together until they have ``rows`` rows or ``size`` bytes."""
+    """Record batches put together, and larger ones cut, to pieces of about ``rows`` rows or ``size`` bytes, whichever comes first."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
+        each = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, each):
+            held.append(batch.slice(at, each))
+            if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+                yield _merged(held)
+                held = []
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield _merged(held)
+
+
+def _merged(held: list[pa.RecordBatch]) -> pa.Table:
+    """One table of its own memory, whose lists begin at 0."""
+    columns = [pa.concat_arrays([b.column(c) for b in held]) for c in range(held[0].num_columns)]
+    return pa.Table.from_arrays(columns, schema=held[0].schema)
 
 
 def whole(column: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -88,6 +100,11 @@ class Best:
         column, row = np.nonzero((scores >= self.floor()[queries]).T & np.isfinite(scores.T))
         self.found.append((queries[column], ids.take(pa.array(row)), scores[row, column]))
 
+    def settle(self) -> None:
+        """Forget what can't be among the best any more."""
+        if self.found:
+            self.found = [self.rows()]
+
     def rows(self) -> tuple[np.ndarray, pa.Array, np.ndarray] | None:
         """(query, id, score) of all that may be among the best."""
         if not self.found:

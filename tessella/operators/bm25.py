@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import RetrievalConfig
 from ..functions.text import tokens
 from ..storage import stored
-from .blocks import BUFFER, ROWS, Best, as_batch, buffered, codes, count_batch, listed, query_blocks, read_block, whole
+from .blocks import BUFFER, HELD_FILES, NARROW, ROWS, Best, as_batch, buffered, codes, count_batch, listed, query_blocks, read_block, whole
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def build_index(chunks: DataFrame, config: RetrievalConfig = RetrievalConfig())
     vocabulary. Empty texts count as chunks. Null domains are none of the domains. An empty table gives an empty index.
     """
     told = chunks.where("domain IS NOT NULL").select("chunk_id", "domain", tokens(F.col("content")).alias("t"))
-    blocks = stored(posting_blocks(told), "posting-blocks")
+    blocks = stored(posting_blocks(told), "posting-blocks", **NARROW)
     words = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
     domains = stored(blocks.groupBy("domain").agg(F.sum(F.size("lengths")).alias("n"), (F.sum(words) / F.sum(F.size("lengths"))).alias("avgdl")), "domains")
     df = F.transform("terms", lambda term, i: F.struct(term.alias("term"), (F.get("ends", i) - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).alias("df")))
@@ -128,11 +128,12 @@ def _searched(index: Bm25Index, queries: DataFrame, config: RetrievalConfig, sch
         return count * (k1 + 1) / (count + k1 * (1 - b + b * length / avgdl))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[str, Best]] = {}
         for table in buffered(batches, BUFFER // ROWS):
             domain = table.column(0).to_pylist()
             ids, lengths, terms, ends, docs, counts, most, least = (whole(table.column(c)) for c in range(1, 9))
-            for asked in map(_block, files):
-                held, scored, pairs = {}, 0, 0
+            for file in files:
+                asked, held, scored, pairs = _block(file), kept.setdefault(file, {}) if len(files) <= HELD_FILES else {}, 0, 0
                 at = pc.index_in(terms.flatten(), value_set=asked.terms).fill_null(-1).to_numpy()
                 for i, name in enumerate(domain):
                     if name not in asked.domains:
@@ -167,8 +168,14 @@ def _searched(index: Bm25Index, queries: DataFrame, config: RetrievalConfig, sch
                     top.add(active, np.where(scores > 0, scores, -np.inf), ids[i].values)
                 if counting:
                     yield count_batch(scored, pairs)
+                elif file in kept:
+                    for top in held.values():
+                        top.settle()
                 else:
                     yield from (as_batch(asked.ids, name, rows) for name, top in held.items() if (rows := top.rows()))
+        if not counting:
+            for file, held in kept.items():
+                yield from (as_batch(_block(file).ids, name, rows) for name, top in held.items() if (rows := top.rows()))
 
     return index.blocks.mapInArrow(best, schema)
 

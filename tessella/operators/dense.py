@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..storage import stored
-from .blocks import BLOCK, BUFFER, ROWS, Best, as_batch, buffered, codes, count_batch, listed, query_blocks, read_block, whole
+from .blocks import BLOCK, BUFFER, HELD_FILES, NARROW, ROWS, Best, as_batch, buffered, codes, count_batch, listed, query_blocks, read_block, whole
 from .bm25 import top_k
 
 #: Rounds of moving centres to the means of their cells.
@@ -115,13 +115,15 @@ def _searched(cells: DataFrame, queries: DataFrame, config: RetrievalConfig, blo
     files = query_blocks(asked, "query-vectors", block)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[str | None, Best]] = {}
         for table in buffered(batches, BUFFER // ROWS):
             domain, radius = table.column(0).to_pylist(), table.column(4).to_numpy()
             ids, flat, centre = (whole(table.column(c)) for c in (1, 2, 3))
-            for query_ids, q, number, predicates in map(_block, files):
+            for file in files:
+                query_ids, q, number, predicates = _block(file)
                 if not len(query_ids):
                     continue
-                held, scored, pairs = {}, 0, 0
+                held, scored, pairs = kept.setdefault(file, {}) if len(files) <= HELD_FILES else {}, 0, 0
                 plain = [not p for p in predicates]
                 limit = np.cos(np.maximum(0, _angles(_matrix(centre) @ q.T) - radius[:, None])) + 1e-9
                 for i in np.argsort(-limit.max(axis=1), kind="stable"):
@@ -145,8 +147,14 @@ def _searched(cells: DataFrame, queries: DataFrame, config: RetrievalConfig, blo
                     top.add(active, scores, ids[i].values)
                 if counting:
                     yield count_batch(scored, pairs)
+                elif file in kept:
+                    for top in held.values():
+                        top.settle()
                 else:
                     yield from (as_batch(query_ids, name, rows) for name, top in held.items() if (rows := top.rows()))
+        if not counting:
+            for file, held in kept.items():
+                yield from (as_batch(_block(file)[0], name, rows) for name, top in held.items() if (rows := top.rows()))
 
     return cells.mapInArrow(best, schema)
 
@@ -159,7 +167,7 @@ def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = Ret
     the cut comes after the predicate. A null or empty map asks for nothing; a null value is never met, nor
     is anything where there is no metadata. A null vector has no neighbours and is none. Ids are of any type; ties go by chunk_id.
     """
-    cells = vectors if "chunk_ids" in vectors.columns else stored(cell_index(vectors), "cells")
+    cells = vectors if "chunk_ids" in vectors.columns else stored(cell_index(vectors), "cells", **NARROW)
     types = [cells.schema["chunk_ids"].dataType.elementType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
     return top_k(_searched(cells, queries, config, block, f"query_id {types[1]}, domain string, chunk_id {types[0]}, score double", False), config.per_source)
 

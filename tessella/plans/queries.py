@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import templates
 from ..functions import text as T
 from ..operators import audit, bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, nodes, orchestrate, rerank, wiki
+from ..operators.blocks import NARROW
 from ..sources import buckets, jsonl
 from ..storage import shared_folder, spread, stored
 
@@ -67,7 +68,7 @@ def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     of = chunks(spark, sf_dir).select("chunk_id", "domain", F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
     told = vectors.join(of, F.col("vec_id") == F.col("chunk_id")).select("chunk_id", "domain", "embedding", "metadata")
-    return _once(spark, sf_dir, "cells", lambda: stored(dense.cell_index(told), "cells"))
+    return _once(spark, sf_dir, "cells", lambda: stored(dense.cell_index(told), "cells", **NARROW))
 
 
 def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

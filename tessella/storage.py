@@ -22,10 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tessella-"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under a new name and read it back; later uses don't compute it again."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` under a new name, with the writer's ``options``, and read it back; later uses don't compute it again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

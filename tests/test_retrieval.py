@@ -263,3 +263,22 @@ def test_retrievers_over_questions_embedded_once(spark):
     got = retrievers.ranked(asked, both, lambda text: F.array(F.length(text).cast("double"), F.lit(0.5)))
     lists = {(r.source, r["rank"]): r.chunk_id for r in got.collect()}
     assert lists["sparse", 1] == "c3" and {k for k in lists if k[0] == "dense"} == {("dense", 1), ("dense", 2)}
+
+
+def test_pieces_of_large_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    from tessella.operators import blocks
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([[f"{k}-{i}" for i in range(10)] for k in range(n)])], ["t"]) for n in (3, 5000, 0, 7)]
+    pieces = list(blocks.buffered(batches, 1000, 1 << 14))
+    assert max(p.nbytes for p in pieces) < 1 << 16 and all(p.column(0).chunk(0).offsets[0].as_py() == 0 for p in pieces)
+    assert [x for p in pieces for x in p.column(0).to_pylist()] == [x for b in batches for x in b.column(0).to_pylist()]
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 20_000, 1, 1).select(F.col("id").alias("chunk_id"), F.lit("d").alias("domain"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(80)), lambda i: F.xxhash64("id", i).cast("string")), " ").alias("content"))
+    found = bm25.build_index(docs).blocks.inputFiles()
+    read = [pq.ParquetFile(x.removeprefix("file:")).metadata for x in found]
+    groups = [m.row_group(g).total_byte_size for m in read for g in range(m.num_row_groups)]
+    assert len(groups) > 2 and max(groups) < 1 << 23

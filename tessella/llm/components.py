@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a node, and then the smaller ones, to the smallest of them, so that the edge count never grows
     and the rounds grow with the logarithm of a component's size. The minima are aggregated
     before the shuffle and stored, which leaves plain shuffled joins whose hot nodes adaptive
-    execution splits.
+    execution splits; none of them is broadcast, as the driver would have to hold it.
     """
     a, b = F.col("a"), F.col("b")
     kept = materialise(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
@@ -30,9 +30,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = kept.select("u", "v").unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
-        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = materialise(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
-        rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rest = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = materialise(rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _digest(kept)
         if after == before:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialise, text_or_empty
+from .common import keep_rows, materialise, new_path, remove, text_or_empty
 from .components import connected_components
-from .ngram_join import ordered, possible, shingle_set
+from .ngram_join import possible, repeated, shingle_set, shingled
 
 BITS = 64
 #: Shingles that are turned into bits at once; bounds the memory for a very long text.
@@ -154,10 +156,27 @@ def wide_fingerprint(text: str, tables: int = TABLES, feature: int = FEATURE) ->
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose shingles' overlap is ``similarity`` percent of their union or more."""
-    a, b = (sets.select(F.col("c").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
-    return both.where(100 * F.col("both") >= similarity * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
+    """The pairs (a, b) whose shingles' overlap is ``similarity`` percent of their union or more.
+
+    Of ``n`` shingles of a text, ``shingles`` has those at least that another text has.
+    """
+    a, b = (sets.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+    return both.where(100 * F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``name`` is one of ``wanted``, and about one in sixteen of the others, told without a shuffle.
+
+    The names' hashes are marked in bitmaps, which go to all tasks: two to four bytes a wanted name, 16 MB at most.
+    """
+    size = 1 << min(27, max(15, (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("name"), F.lit(size)) + 1
+    marked = wanted.select(F.bitmap_bucket_number(place).alias("tessella_part"), F.bitmap_bit_position(place).alias("bit"))
+    maps = materialise(marked.groupBy("tessella_part").agg(F.bitmap_construct_agg("bit").alias("tessella_bits")), "bitmaps")
+    named = rows.withColumns({"tessella_part": F.bitmap_bucket_number(place), "tessella_bit": F.bitmap_bit_position(place)})
+    byte = "cast(conv(hex(substring(tessella_bits, cast(tessella_bit div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    return named.join(F.broadcast(maps), "tessella_part").where(f"shiftright({byte}, cast(tessella_bit % 8 AS int)) & 1 = 1").select(*rows.columns)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80) -> DataFrame:
@@ -190,42 +209,50 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = F.explode(F.array(*[F.struct(F.lit(t * len(masks) + i).alias("choice"), F.get("fps", F.lit(t)).bitwiseAND(F.lit(m)).alias("key")) for t in range(TABLES) for i, m in enumerate(masks)]))
     rows = classes.where("words").select("c", keyed.alias("k")).select("c", "k.choice", "k.key")
     heads = rows.groupBy("choice", "key").agg(F.min_by("c", F.xxhash64("c", "choice")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = materialise(rows.join(heads, ["choice", "key"]), "keyed")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """Pairs once, without those that differ in too many bits."""
-        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        x, y = (classes.select(F.col("c").alias(side), F.col("fps").alias(f"p{side}")) for side in "ab")
-        differ = sum((F.bit_count(F.get("pa", F.lit(t)).bitwiseXOR(F.get("pb", F.lit(t)))) for t in range(TABLES)), F.lit(0))
-        return once.join(x, "a").join(y, "b").where(differ <= FARTHEST).select("a", "b")
-
-    def with_sets(some: DataFrame) -> DataFrame:
-        """(c, shingles) of some texts (c), read once more."""
-        wanted = some.distinct().join(classes.select("c", "name"), "c")
-        found = docs.select(name.alias("name"), text.alias("text")).join(wanted, "name")
-        return materialise(found.select("c", pandas_udf(sliced, "array<long>")("text").alias("shingles")).groupBy("c").agg(F.any_value("shingles").alias("shingles")), "shingles")
-
-    met = materialise(close(rows.where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))), "met")
-    links = materialise(_verified(met, with_sets(met.select(F.explode(F.array("a", "b")).alias("c"))), similarity), "links")
+    rows = materialise(rows.join(heads.hint("merge"), ["choice", "key"]), "keyed")
+
+    def apart(t: int) -> Column:
+        return F.get("pa", F.lit(t)).bitwiseXOR(F.get("pb", F.lit(t)))
+
+    near = sum((F.bit_count(apart(t)) for t in range(TABLES)), F.lit(0)) <= FARTHEST
+    earlier = [(F.col("choice") > t * len(masks) + i) & (apart(t).bitwiseAND(F.lit(m)) == 0) for t in range(TABLES) for i, m in enumerate(masks)]
+
+    def with_texts(some: DataFrame) -> DataFrame:
+        """(c, text) of some texts (c), read once more."""
+        wanted = materialise(some.distinct().join(classes.select("c", "name").hint("merge"), "c"), "wanted")
+        found = _among(docs.select(name.alias("name"), text.alias("text")), wanted).join(wanted.hint("merge"), "name")
+        return found.groupBy("name", "c").agg(F.any_value("text").alias("text")).select("c", "text")
+
+    once = rows.where("c <> head").select(F.least("c", "head").alias("a"), F.greatest("c", "head").alias("b")).distinct()
+    x, y = (classes.select(F.col("c").alias(side), F.col("fps").alias(f"p{side}")).hint("merge") for side in "ab")
+    met = materialise(once.join(x, "a").join(y, "b").where(near).select("a", "b"), "met")
+    sets = with_texts(met.select(F.explode(F.array("a", "b")).alias("c"))).select("c", pandas_udf(sliced, "array<long>")("text").alias("shingles"))
+    links = materialise(_verified(met, materialise(sets.select("c", F.size("shingles").alias("n"), "shingles"), "shingles"), similarity), "links")
     reach = materialise(connected_components(links), "reach")
 
     # texts of different components under one key; what shares too few shingles with all of these texts together is linked with none
-    named = materialise(rows.drop("head").join(reach.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "named")
+    named = materialise(rows.drop("head").join(reach.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c")), "named")
     several = named.groupBy("choice", "key", "component").agg(F.count("*").alias("k")).groupBy("choice", "key").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("different"))
-    open_rows = materialise(named.join(several.where("different > 1").select("choice", "key", F.col("most.component").alias("largest")), ["choice", "key"]), "open")
+    open_rows = materialise(named.join(several.where("different > 1").select("choice", "key", F.col("most.component").alias("largest")).hint("merge"), ["choice", "key"]), "open")
     if not open_rows.isEmpty():
-        sets = with_sets(open_rows.select("c"))
-        alive = materialise(ordered(sets.select("c", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("tokens")), similarity).select("c", "n", F.size("listed").cast("long").alias("s")), "alive")
-        open_rows = open_rows.join(alive, "c")
-        side = lambda x: [F.col("c").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"r{x}")]
+        folder = new_path(docs.sparkSession, "open-sets")
+        listed = shingled(with_texts(open_rows.select("c")), folder, "c", "text", width)
+        left = materialise(repeated(listed, folder, similarity).dropDuplicates(["key"]), "repeated")
+        remove(docs.sparkSession, folder)  # what is left of the sets is stored
+        sets = materialise(listed.select(F.col("id").alias("c"), "key").join(left.hint("merge"), "key").select("c", "n", F.col("tokens").alias("shingles")), "alive")
+        alive = sets.select("c", "n", F.size("shingles").cast("long").alias("s")).join(classes.select("c", "fps").hint("merge"), "c")
+        open_rows = materialise(open_rows.join(alive.hint("merge"), "c"), "open-alive")
+        side = lambda x: [F.col("c").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"r{x}"), F.col("fps").alias(f"p{x}")]
         rest = open_rows.where("component <> largest").select("choice", "key", *side("a"))
         every = open_rows.select("choice", "key", *side("b"), (F.col("component") == F.col("largest")).alias("in_largest"))
-        across = rest.join(every, ["choice", "key"]).where("ca <> cb AND (in_largest OR a < b)").where(possible(similarity)).select("a", "b")
-        more = materialise(_verified(close(across).join(met, ["a", "b"], "left_anti"), sets, similarity), "more-links")
+        # a pair counts under the first key that it shares, so it comes up once
+        across = rest.join(every.hint("merge"), ["choice", "key"]).where("ca <> cb AND (in_largest OR a < b)").where(possible(similarity) & near & ~reduce(or_, earlier))
+        pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = materialise(_verified(pairs.join(met.hint("merge"), ["a", "b"], "left_anti"), sets, similarity), "more-links")
         if not more.isEmpty():
             reach = connected_components(links.unionByName(more))
-    roots = materialise(classes.join(reach.withColumnRenamed("node", "c"), "c", "left").select("name", F.coalesce("component", "c").alias("root")), "roots")
-    return prints.join(roots, "name").select("id", "digest", "root")
+    roots = materialise(classes.join(reach.withColumnRenamed("node", "c").hint("merge"), "c", "left").select("name", F.coalesce("component", "c").alias("root")), "roots")
+    return prints.join(roots.hint("merge"), "name").select("id", "digest", "root")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

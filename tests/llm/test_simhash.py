@@ -147,3 +147,12 @@ def test_near_copies_edge_cases(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 5)]
     assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_texts_that_are_read_again_are_told_without_a_shuffle(spark):
+    rows = spark.range(40_000).select(F.md5(F.col("id").cast("string")).alias("name"), F.col("id").alias("text"))
+    wanted = rows.where("text % 20 = 3").select("name", F.col("text").alias("c"))
+    kept = simhash._among(rows, wanted)
+    assert kept.join(wanted, "name").count() == 2000 and 2000 <= kept.count() < 6000
+    assert kept.columns == rows.columns and "hashpartitioning" not in kept._jdf.queryExecution().toString()
+    assert simhash._among(rows, wanted.limit(0)).count() == 0

@@ -138,6 +138,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 #: Of ``near_copies``: fingerprints of a text, words of their features, blocks of each, bits in which all of a linked pair's may differ.
 TABLES, FEATURE, BLOCKS, FARTHEST = 4, 2, 5, 56
+#: Longs of the marks of a text's outline; a power of 2.
+MARKS = 4
 
 
 def wide_fingerprint(text: str, tables: int = TABLES, feature: int = FEATURE) -> np.ndarray:
@@ -179,6 +181,42 @@ def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.join(F.broadcast(maps), "tessella_part").where(f"shiftright({byte}, cast(tessella_bit % 8 AS int)) & 1 = 1").select(*rows.columns)
 
 
+def _marks(hashes: Column) -> Column:
+    """``MARKS`` longs of 64 bits in which each hash sets one; the bits set are no more than the different hashes."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda i: lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(MARKS - 1)) == i
+    return F.array(*[F.aggregate(F.filter(hashes, of(i)), F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(bit(h))) for i in range(MARKS)])
+
+
+def _outlined(open_rows: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``open_rows`` (c, largest, component, ...) with an outline of each text against a pivot, one text for each ``largest``.
+
+    The pivot is the component's text with the most links. ``outline``: shingles of the pivot; of these those that the
+    text has, and marks of the others; shingles that the text has besides, and their marks.
+    """
+    degrees = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("degree"))
+    central = F.struct(F.col("component") == F.col("largest"), F.coalesce("degree", F.lit(0)))
+    chosen = open_rows.join(degrees.hint("merge"), "c", "left").groupBy("largest").agg(F.max_by("c", central).alias("c"))
+    pivots = materialise(chosen.join(sets.hint("merge"), "c").select("largest", F.col("shingles").alias("pivot")), "pivots")
+    each = open_rows.select("c", "largest").distinct().join(sets.select("c", "shingles").hint("merge"), "c").join(pivots.hint("merge"), "largest")
+    each = each.select("c", "largest", F.size("pivot").alias("of"), F.array_except("pivot", "shingles").alias("missing"), F.array_except("shingles", "pivot").alias("more"))
+    outline = F.struct("of", (F.col("of") - F.size("missing")).alias("inside"), _marks(F.col("missing")).alias("missing"), F.size("more").alias("besides"), _marks(F.col("more")).alias("more"))
+    return open_rows.join(materialise(each.select("c", "largest", outline.alias("outline")), "outlines").hint("merge"), ["c", "largest"])
+
+
+def _may_overlap(similarity: int) -> Column:
+    """Pairs that may be linked by their outlines ``oa`` and ``ob`` against the same pivot.
+
+    What they have in common of the pivot is what neither misses, and of two sets' union there are as many
+    hashes as bits of their marks at least.
+    """
+    oa, ob = F.col("oa"), F.col("ob")
+    union = lambda field: sum((F.bit_count(F.get(oa[field], F.lit(i)).bitwiseOR(F.get(ob[field], F.lit(i)))) for i in range(MARKS)), F.lit(0))
+    inside = F.least(oa["inside"], ob["inside"], oa["of"] - union("missing"))
+    besides = F.least(oa["besides"], ob["besides"], oa["besides"] + ob["besides"] - union("more"))
+    return (inside + besides) * (100 + similarity) >= similarity * (F.col("na") + F.col("nb"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80) -> DataFrame:
     """(id, digest, root) for every row: rows of one root are near copies, linked by similar sets of ``width``-word shingles.
 
@@ -242,11 +280,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = materialise(listed.select(F.col("id").alias("c"), "key").join(left.hint("merge"), "key").select("c", "n", F.col("tokens").alias("shingles")), "alive")
         alive = sets.select("c", "n", F.size("shingles").cast("long").alias("s")).join(classes.select("c", "fps").hint("merge"), "c")
         open_rows = materialise(open_rows.join(alive.hint("merge"), "c"), "open-alive")
-        side = lambda x: [F.col("c").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"r{x}"), F.col("fps").alias(f"p{x}")]
+        open_rows = materialise(_outlined(open_rows, sets, links), "open-outlined")
+        side = lambda x: [F.col("c").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"r{x}"), F.col("fps").alias(f"p{x}"), F.col("outline").alias(f"o{x}")]
         rest = open_rows.where("component <> largest").select("choice", "key", *side("a"))
         every = open_rows.select("choice", "key", *side("b"), (F.col("component") == F.col("largest")).alias("in_largest"))
         # a pair counts under the first key that it shares, so it comes up once
-        across = rest.join(every.hint("merge"), ["choice", "key"]).where("ca <> cb AND (in_largest OR a < b)").where(possible(similarity) & near & ~reduce(or_, earlier))
+        across = rest.join(every.hint("merge"), ["choice", "key"]).where("ca <> cb AND (in_largest OR a < b)").where(possible(similarity) & _may_overlap(similarity) & near & ~reduce(or_, earlier))
         pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = materialise(_verified(pairs.join(met.hint("merge"), ["a", "b"], "left_anti"), sets, similarity), "more-links")
         if not more.isEmpty():

@@ -138,6 +138,33 @@ def test_near_copies_are_found_and_verified(spark):
         assert len(share) > 100 and sum(share) / len(share) >= least
 
 
+def test_groups_around_the_similarity_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Variants of one text with words of each other's: what is verified after the first links grows with the members, and no link is lost."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghiklmnoprstu", k=rng.randrange(2, 9))) for _ in range(400)]
+    base, few = rng.choices(words, k=150), [(at, word) for at in rng.sample(range(150), 30) for word in rng.choices(words, k=2)]
+    rows = []
+    for k in range(700):
+        own = list(base)
+        for at, word in rng.sample(few, rng.choice((2, 3, 4, 5, 6))):
+            own[at] = word
+        rows.append((k, " ".join(own)))
+    verified, counts = simhash._verified, []
+
+    def counted(pairs, sets, similarity):
+        pairs = pairs.cache()
+        counts.append(pairs.count())
+        return verified(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    found = {r.id: r.root for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    monkeypatch.setattr(simhash, "_may_overlap", lambda similarity: F.lit(True))
+    plain = {r.id: r.root for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    together = lambda roots: {frozenset(k for k in roots if roots[k] == r) for r in set(roots.values())}
+    assert together(found) == together(plain) and 1 < len(together(found)) < 650
+    assert len(counts) == 4 and 4 * counts[1] < counts[3], counts
+
+
 def test_near_copies_edge_cases(spark):
     base = " ".join(f"w{k}" for k in range(60))
     group = [(100 + k, base.replace(f"w{k % 50} ", f"x{k} ")) for k in range(120)]

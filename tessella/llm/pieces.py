@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that each of a worker's two tables remembers at most, and the length of the longest.
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 40
+#: Words that a worker's table remembers at most, with up to eight ids each on average, and the length of the longest.
+REMEMBERED, LONGEST_REMEMBERED = 600_000, 40
 
 
 def vocabulary_path(name: str) -> str:
@@ -49,9 +49,9 @@ class CachedEncoder:
     splitting pattern reaches across such a place, so these words have ids of their own, and each
     different word of a batch is looked up once. ``encode_words`` maps a list of words, each behind a
     space, to their ids as little-endian strings; ``encode_texts`` takes texts as wholes, which is
-    for those in which spaces stand otherwise, and for what comes before the first space. When
-    the table of words is full it becomes the old one and a new one is begun; words that are met
-    again move over.
+    for those in which spaces stand otherwise, and for what comes before the first space. The table of
+    words is Arrow and numpy arrays, a few tens of bytes a word. When it is full, the half that was met last
+    stays.
     """
 
     #: A space before any white space of Unicode, or at the end.
@@ -59,27 +59,37 @@ class CachedEncoder:
 
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_texts: Callable[[list[str]], list[bytes]]):
         self._encode_words, self._encode_texts = encode_words, encode_texts
-        self._known: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """The ids of different words."""
-        found = list(map(self._known.get, words))
-        unknown = [k for k, ids in enumerate(found) if ids is None]
-        if not unknown:
-            return found
-        missing = []
-        for k in unknown:
-            ids = found[k] = self._old.get(words[k])
-            if ids is None:
-                missing.append(k)
-        if missing:
-            for k, ids in zip(missing, self._encode_words([words[k] for k in missing]), strict=True):
-                found[k] = ids
-        if len(self._known) + len(unknown) > REMEMBERED:
-            self._known, self._old = {}, self._known
-        self._known.update([(words[k], found[k]) for k in unknown if len(words[k]) <= LONGEST_REMEMBERED][:REMEMBERED])
-        return found
+        self._words, self._table, self._sizes = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self._used, self._round = np.zeros(0, np.int64), 0
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, places) of different words: the ids of word i are the slice of number ``places[i]``."""
+        places = pc.index_in(words, value_set=self._words).fill_null(-1).to_numpy().astype(np.int64)
+        self._round += 1
+        self._used[places[places >= 0]] = self._round
+        missing = np.flatnonzero(places < 0)
+        unknown = words.take(pa.array(missing))
+        parts = self._encode_words(unknown.to_pylist()) if len(missing) else []
+        if len(parts) != len(missing):
+            raise ValueError("as many words have to come back as went in")
+        places[missing] = len(self._words) + np.arange(len(missing))
+        table = np.concatenate((self._table, np.frombuffer(b"".join(parts), "<u4")))
+        sizes = np.concatenate((self._sizes, np.fromiter(map(len, parts), np.int64, len(parts)) // 4))
+        if len(missing):
+            self._remember(pa.concat_arrays([self._words, unknown]), table, sizes)
+        return table, sizes, places
+
+    def _remember(self, words: pa.Array, table: np.ndarray, sizes: np.ndarray) -> None:
+        used = np.concatenate((self._used, np.full(len(words) - len(self._used), self._round)))
+        keep = np.flatnonzero(pc.utf8_length(words).to_numpy() <= LONGEST_REMEMBERED)
+        if len(keep) > REMEMBERED or sizes[keep].sum() > 8 * REMEMBERED:
+            keep = keep[np.argsort(-used[keep], kind="stable")][: REMEMBERED // 2]
+            keep = keep[np.cumsum(sizes[keep]) <= 4 * REMEMBERED]
+        if len(keep) < len(words):
+            starts = np.cumsum(sizes) - sizes
+            table = table[np.repeat(starts[keep] - np.cumsum(sizes[keep]) + sizes[keep], sizes[keep]) + np.arange(sizes[keep].sum())]
+            words, sizes, used = words.take(pa.array(keep)), sizes[keep], used[keep]
+        self._words, self._table, self._sizes, self._used = words, table, sizes, used
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each begins and the last ends) of a string array without nulls."""
@@ -91,11 +101,12 @@ class CachedEncoder:
         heads = pc.if_else(odd, texts, words.take(pa.array(offsets[:-1])))
         different = words.dictionary_encode()
         codes = different.indices.to_numpy().astype(np.int64)
-        parts = self._ids(different.dictionary.to_pylist())
-        codes[offsets[:-1]] = np.arange(len(parts), len(parts) + len(texts))
-        parts += self._encode_texts(heads.to_pylist())
-        table = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        table, sizes, places = self._ids(different.dictionary.cast(pa.string()))
+        codes = places[codes]
+        codes[offsets[:-1]] = np.arange(len(sizes), len(sizes) + len(texts))
+        parts = self._encode_texts(heads.to_pylist())
+        table = np.concatenate((table, np.frombuffer(b"".join(parts), "<u4")))
+        sizes = np.concatenate((sizes, np.fromiter(map(len, parts), np.int64, len(parts)) // 4))
         starts = np.cumsum(sizes) - sizes
         lengths = sizes[codes]
         ends = np.concatenate(([0], np.cumsum(lengths)))

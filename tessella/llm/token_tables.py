@@ -19,6 +19,7 @@ identifier, which sorts last) and the identifier in 8 bytes, offset so that byte
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
@@ -39,6 +40,8 @@ MAGIC = b"TSSTABL1"
 RESTART = 16
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
+#: New words that go to the library as one text.
+AT_ONCE = 64
 _FOOTER = struct.Struct("<QQQQQQIIHI8s")
 
 
@@ -210,13 +213,14 @@ def library_encoder(path: str, added_tokens: bool = False) -> CachedEncoder | Wh
     """An encoder that asks the tokenizers library for new words and odd texts; one per worker process.
 
     The file has to hold a byte-level vocabulary, each of whose token's characters stands for one
-    byte. New words go to the library as one text, whose ids are dealt out by their tokens' lengths.
+    byte. New words go to the library as short texts, whose ids are dealt out by their tokens' lengths.
     Strings of special tokens in a text are ordinary text, unless ``added_tokens`` is set: then the
     strings of all added tokens become their ids, as by the library's default.
     """
     if (path, added_tokens) not in _loaded:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
         vocabulary = library.get_vocab()
@@ -228,8 +232,9 @@ def library_encoder(path: str, added_tokens: bool = False) -> CachedEncoder | Wh
             return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
         def encode_words(words: list[str]) -> list[bytes]:
-            ids = encode_text(" " + " ".join(words))
-            ends = np.cumsum([len(w.encode()) + 1 for w in words])
+            texts = [" " + " ".join(words[at : at + AT_ONCE]) for at in range(0, len(words), AT_ONCE)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in library.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64) + 1)
             at = np.cumsum(lengths[ids])
             last = np.searchsorted(at, ends)
             if not np.array_equal(at[last], ends):

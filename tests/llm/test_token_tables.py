@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tessella.llm import common, queries, token_tables
+from tessella.llm import common, pieces, queries, token_tables
 from tessella.llm.pieces import vocabulary_path
 from tests.llm.test_bpe import odd_texts
 
@@ -93,3 +93,26 @@ def test_what_does_not_fit_raises(spark):
     assert token_tables.ShardReader(io.BytesIO(out.getvalue()), len(out.getvalue())).get(1)[0].tolist() == [5, 70_000]
     with pytest.raises(ValueError, match="whole numbers"):
         token_tables.token_tables(spark.createDataFrame([("a", "b")], "doc_id string, text string"), PATH, 2)
+
+
+def test_words_are_remembered_up_to_a_bound():
+    asked = []
+
+    def encode_words(words):
+        asked.append(len(words))
+        return [len(w).to_bytes(4, "little") * (len(w) % 3) for w in words]
+
+    encoder = pieces.CachedEncoder(encode_words, lambda texts: [b"\7\0\0\0"] * len(texts))
+    batches = [pa.array(["head " + " ".join(f"w{k}" for k in range(at, at + 50_000)), "head same" + " long" * 3 + " " + "y" * 50]) for at in range(0, 500_000, 50_000)]
+    for _ in range(2):
+        for number, batch in enumerate(batches):
+            ids, ends = encoder.batch(batch)
+            words = [f"w{k}" for k in range(number * 50_000, number * 50_000 + 50_000)]
+            told = [7] + [len(w) for w in words for _ in range(len(w) % 3)], [7] + [4] * 4 + [50] * 2
+            assert ids.tolist() == told[0] + told[1] and ends.tolist() == [0, len(told[0]), len(ids)]
+    assert sum(asked) == 500_000 + 3 + 2 * len(batches)  # all once, but for the word that is too long
+    for at in range(1_000_000, 1_200_000, 50_000):
+        encoder.batch(pa.array(["head " + " ".join(f"w{k}" for k in range(at, at + 50_000))]))
+    asked.clear()
+    encoder.batch(pa.array(["head " + " ".join(f"w{k}" for k in range(1_100_000, 1_200_000))]))
+    assert not asked and len(encoder._words) <= pieces.REMEMBERED and len(encoder._table) <= 8 * pieces.REMEMBERED

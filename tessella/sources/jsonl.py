@@ -48,29 +48,43 @@ TEXT_FIELDS = ["text", "content", "page_content", "chunk_text", "passage"]
 METADATA_FIELDS = ["metadata", "meta"]
 
 
-def _first_present(line: Column, places: list[tuple[str, str]]) -> Column:
-    """A struct with the value of the first (path of an object, name) that a line has, even as null; null if it has none."""
+def _has(keys: Column, name: str) -> Column:
+    return F.coalesce(F.array_contains(keys, name), F.lit(False))
 
-    def place(at: str, name: str) -> Column:
-        has = F.array_contains(F.json_object_keys(F.get_json_object(line, at)), name)
-        return F.struct(has.alias("has"), F.get_json_object(line, f"{at}.{name}").alias("value"))
 
-    return F.get(F.filter(F.array(*[place(at, name) for at, name in places]), lambda p: p["has"]), F.lit(0))
+def _first_of(line: Column, keys: Column, names: list[str], at: str = "$") -> tuple[Column, Column]:
+    """(whether an object at a path of ``line`` has one of several ``names``, the value of the first that it has, even if that is null).
+
+    ``keys`` are the object's. A line is parsed for the one value only, as the branches of a CASE are.
+    """
+    there, value = F.lit(False), F.lit(None).cast("string")
+    for name in reversed(names):
+        there, value = there | _has(keys, name), F.when(_has(keys, name), F.get_json_object(line, f"{at}.{name}")).otherwise(value)
+    return there, value
 
 
 def resolved(lines: DataFrame) -> DataFrame:
     """Lines (file, line_no, line) with the ``chunk_id`` and ``content`` of their object; null where there is none.
 
     The id is a field of the object, else of its metadata, else put together from the metadata as
-    ``ingest.chunk_id`` does, if that names a game.
+    ``ingest.chunk_id`` does, if that names a game. A line is read for its keys once, then only for what these say is there.
     """
-    line = F.col("line")
-    own = _first_present(line, [(at, n) for at in ("$", *(f"$.{m}" for m in METADATA_FIELDS)) for n in ID_FIELDS])
-    told = lines.where(F.trim("line") != "").withColumn("tessella_id", own)
-    meta = {n: F.coalesce(*[F.get_json_object(line, f"$.{m}.{n}") for m in METADATA_FIELDS]) for n in ("game", *ENTITY_KEYS, "full_path", "chunk_index")}
-    made = F.when(meta["game"].isNotNull(), chunk_id(meta["game"], [meta[k] for k in ENTITY_KEYS], meta["full_path"], meta["chunk_index"]))
-    identified = told.withColumn("chunk_id", F.when(F.col("tessella_id").isNull(), made).otherwise(F.col("tessella_id.value")))
-    return identified.withColumn("content", _first_present(line, [("$", n) for n in TEXT_FIELDS])["value"]).drop("tessella_id")
+    line, keys = F.col("line"), F.col("tessella_keys")
+    read = lines.where(F.trim("line") != "").withColumn("tessella_keys", F.json_object_keys(line))
+    own, own_id = _first_of(line, keys, ID_FIELDS)
+    # keys of the objects that may hold the id, where it isn't in the line's own
+    of = {m: F.when(_has(keys, m) & ~own, F.json_object_keys(F.get_json_object(line, f"$.{m}"))) for m in METADATA_FIELDS}
+    told = read.withColumn("tessella_of", F.struct(*[k.alias(m) for m, k in of.items()]))
+
+    def meta(name: str) -> Column:
+        return F.coalesce(*[F.when(_has(keys, m), F.get_json_object(line, f"$.{m}.{name}")) for m in METADATA_FIELDS])
+
+    made = F.when(meta("game").isNotNull(), chunk_id(meta("game"), [meta(k) for k in ENTITY_KEYS], meta("full_path"), meta("chunk_index")))
+    for m in reversed(METADATA_FIELDS):
+        there, value = _first_of(line, F.col(f"tessella_of.{m}"), ID_FIELDS, f"$.{m}")
+        made = F.when(there, value).otherwise(made)
+    identified = told.withColumns({"chunk_id": F.when(own, own_id).otherwise(made), "content": _first_of(line, keys, TEXT_FIELDS)[1]})
+    return identified.drop("tessella_keys", "tessella_of")
 
 
 def chunk_texts(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -79,12 +93,14 @@ def chunk_texts(lines: DataFrame, strict: bool = True) -> DataFrame:
     With paths, files of one name in several folders keep apart, and their paths are in the result. Lines without id or text are left out. With ``strict`` a file's first line, unless blank, has to have both,
     or ValueError is raised with the file's name.
     """
-    found = resolved(lines)
     bad = F.col("chunk_id").isNull() | F.col("content").isNull()
-    if strict and (first := found.where((F.col("line_no") == 1) & bad).select("file").first()):
+    if strict and (first := resolved(lines.where("line_no = 1")).where(bad).select("file").first()):
         raise ValueError(f"the first line of {first.file} has no id or no text")
     of_file = ["path", "file"] if "path" in lines.columns else ["file"]
-    return found.where(~bad).groupBy(*of_file, "chunk_id").agg(F.max_by("content", "line_no").alias("content"))
+    # an array of one or none: a filter would be moved before the parsing, which then would be done for it as well
+    whole = F.when(~bad, F.array(F.struct("chunk_id", "content")))
+    found = resolved(lines).select(*of_file, "line_no", F.explode(whole).alias("x")).select(*of_file, "line_no", "x.*")
+    return found.groupBy(*of_file, "chunk_id").agg(F.max_by("content", "line_no").alias("content"))
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

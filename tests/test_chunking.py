@@ -77,6 +77,16 @@ def test_ids_of_lines_and_first_lines(spark):
     assert jsonl.chunk_texts(broken, strict=False).count() == 0
 
 
+def test_lines_are_parsed_for_what_their_keys_name(spark):
+    lines = ['{"metadata": "{\\"id\\": 1, \\"game\\": \\"g\\"}", "text": "t"}', '{"metadata": {"_id": null}, "meta": {"id": 4}, "text": "t"}', '{"metadata": {"game": null, "hero": ""}, "meta": {"game": "h", "hero": "z"}, "content": null, "text": "t"}', '{"id": null, "id": 2, "text": "x", "text": "y"}']
+    rows = spark.createDataFrame([("f", k, x) for k, x in enumerate(lines, 2)], "file string, line_no long, line string")
+    assert [(r.chunk_id, r.content) for r in jsonl.resolved(rows).orderBy("line_no").collect()] == [(None, "t"), (None, "t"), ("h_general_unknown_path_0", "t"), ("2", "x")]
+    assert sorted((r.chunk_id, r.content) for r in jsonl.chunk_texts(rows).collect()) == [("2", "x"), ("h_general_unknown_path_0", "t")]
+    plan = jsonl.chunk_texts(rows)._jdf.queryExecution().optimizedPlan().toString()
+    # no line is written anew for its keys, and no filter parses what a projection parses again
+    assert ", $)" not in plan and not [x for x in plan.splitlines() if "Filter" in x and ("get_json_object" in x or "json_object_keys" in x)]
+
+
 def test_collections_keep_their_settings(spark, tmp_path):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id long, embedding array<double>")
     with pytest.raises(ValueError, match="no collection"):

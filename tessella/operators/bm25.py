@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions.text import tokens
-from ..storage import stored
+from ..storage import stored, stored_in_pieces
 from .blocks import BUFFER, HELD_FILES, NARROW, ROWS, Best, as_batch, buffered, codes, count_batch, listed, query_blocks, read_block, whole
 
 
@@ -82,7 +82,7 @@ def build_index(chunks: DataFrame, config: RetrievalConfig = RetrievalConfig())
     vocabulary. Empty texts count as chunks. Null domains are none of the domains. An empty table gives an empty index.
     """
     told = chunks.where("domain IS NOT NULL").select("chunk_id", "domain", tokens(F.col("content")).alias("t"))
-    blocks = stored(posting_blocks(told), "posting-blocks", **NARROW)
+    blocks = stored_in_pieces(posting_blocks(told), "posting-blocks", **NARROW)
     words = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
     domains = stored(blocks.groupBy("domain").agg(F.sum(F.size("lengths")).alias("n"), (F.sum(words) / F.sum(F.size("lengths"))).alias("avgdl")), "domains")
     df = F.transform("terms", lambda term, i: F.struct(term.alias("term"), (F.get("ends", i) - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).alias("df")))
@@ -189,7 +189,7 @@ def search(index: Bm25Index, queries: DataFrame, config: RetrievalConfig = Retri
     """
     types = [index.blocks.schema["chunk_ids"].dataType.elementType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
     found = _searched(index, queries, config, f"query_id {types[1]}, domain string, chunk_id {types[0]}, score double", False)
-    return top_k(found, config.per_source)
+    return top_k(stored_in_pieces(found, "sparse-found"), config.per_source)
 
 
 def scored_pairs(index: Bm25Index, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> tuple[int, int]:

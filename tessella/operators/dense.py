@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
-from ..storage import stored
+from ..storage import stored_in_pieces
 from .blocks import BLOCK, BUFFER, HELD_FILES, NARROW, ROWS, Best, as_batch, buffered, codes, count_batch, listed, query_blocks, read_block, whole
 from .bm25 import top_k
 
@@ -167,9 +167,10 @@ def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = Ret
     the cut comes after the predicate. A null or empty map asks for nothing; a null value is never met, nor
     is anything where there is no metadata. A null vector has no neighbours and is none. Ids are of any type; ties go by chunk_id.
     """
-    cells = vectors if "chunk_ids" in vectors.columns else stored(cell_index(vectors), "cells", **NARROW)
+    cells = vectors if "chunk_ids" in vectors.columns else stored_in_pieces(cell_index(vectors), "cells", **NARROW)
     types = [cells.schema["chunk_ids"].dataType.elementType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
-    return top_k(_searched(cells, queries, config, block, f"query_id {types[1]}, domain string, chunk_id {types[0]}, score double", False), config.per_source)
+    found = _searched(cells, queries, config, block, f"query_id {types[1]}, domain string, chunk_id {types[0]}, score double", False)
+    return top_k(stored_in_pieces(found, "dense-found"), config.per_source)
 
 
 def scored_pairs(cells: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> tuple[int, int]:

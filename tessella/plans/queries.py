@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import audit, bm25, chunking, dense, evaluate, faithfulness, fusion, generation, ingest, nodes, orchestrate, rerank, wiki
 from ..operators.blocks import NARROW
 from ..sources import buckets, jsonl
-from ..storage import shared_folder, spread, stored
+from ..storage import shared_folder, small, spread, stored, stored_in_pieces
 
 #: The domains in their order, with allocations of the fused list.
 DOMAINS = [("en", 0, 4), ("fr", 1, 3), ("de", 2, 2), ("es", 3, 1)]
@@ -68,7 +68,7 @@ def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     of = chunks(spark, sf_dir).select("chunk_id", "domain", F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
     told = vectors.join(of, F.col("vec_id") == F.col("chunk_id")).select("chunk_id", "domain", "embedding", "metadata")
-    return _once(spark, sf_dir, "cells", lambda: stored(dense.cell_index(told), "cells", **NARROW))
+    return _once(spark, sf_dir, "cells", lambda: stored_in_pieces(dense.cell_index(told), "cells", **NARROW))
 
 
 def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,9 @@ def placed_candidates(spark: SparkSession, sf_dir: str, placement: str = "recenc
     """The sparse lists' chunks, scored, gated and placed."""
     position = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))
     texts = chunks(spark, sf_dir).select("chunk_id", "content", T.token_count(F.col("content")).alias("token_count"))
-    found = sparse_list(spark, sf_dir).select("query_id", "chunk_id", position.alias("position")).join(texts, "chunk_id")
+    # the lists go to the texts: those of all chunks aren't shuffled and sorted for a few
+    listed = stored(sparse_list(spark, sf_dir).select("query_id", "chunk_id", position.alias("position")), "sparse-lists")
+    found = small(listed).join(texts, "chunk_id")
     scored = rerank.score_candidates(questions(spark, sf_dir), found)
     return rerank.place(rerank.gate(scored), placement=placement)
 
@@ -106,7 +108,8 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = docs.withColumn("words", hashes("content")).withColumn("starts", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 4)), at))
     starts = listed.select("chunk_id", F.explode(F.array_distinct("starts")).alias("h"))
     asked = questions(spark, sf_dir).withColumn("words", hashes("question")).select("query_id", "question", at(F.lit(1)).alias("h"))
-    found = starts.join(asked, "h").select("query_id", "chunk_id", "question").distinct().join(docs.select("chunk_id", "content"), "chunk_id")
+    pairs = stored(starts.join(asked, "h").select("query_id", "chunk_id", "question").distinct(), "truth-candidates")
+    found = small(pairs).join(docs.select("chunk_id", "content"), "chunk_id")
     return found.where(F.contains("content", F.col("question"))).select("query_id", "chunk_id").distinct()
 
 

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch of wide rows.
+PIECE = 1 << 23
+
 _own: dict[str, str] = {}
 
 
@@ -29,6 +32,17 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_pieces(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``stored``, while Python gets its rows in Arrow batches of PIECE bytes at most: Spark, Arrow and Python each hold some for every task."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(PIECE))
+    try:
+        return stored(df, name, **options)
+    finally:
+        conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if its scan has fewer partitions than there are, which only small tables have; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

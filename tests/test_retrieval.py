@@ -282,3 +282,41 @@ def test_pieces_of_large_batches(spark, tmp_path):
     read = [pq.ParquetFile(x.removeprefix("file:")).metadata for x in found]
     groups = [m.row_group(g).total_byte_size for m in read for g in range(m.num_row_groups)]
     assert len(groups) > 2 and max(groups) < 1 << 23
+
+
+def test_lists_go_to_the_texts(spark, tmp_path):
+    from tessella.plans import queries as plans
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("w"), (F.col("doc_id") * i % 50).cast("string"))), " ")
+    docs = spark.range(60).select(F.col("id").alias("doc_id")).select("doc_id", words.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    passage = F.concat_ws(" ", F.slice(F.split("text", " "), 3, 6))
+    docs.where("doc_id < 3").select(F.col("doc_id").alias("item_id"), passage.alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        placed, found = plans.placed_candidates(spark, str(tmp_path)), plans.truths(spark, str(tmp_path))
+        for told in (placed, found):
+            plan = told._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin [chunk_id" in plan and "SortMergeJoin [chunk_id" not in plan
+        assert placed.select("query_id").distinct().count() == 3
+        assert {(r.query_id, r.chunk_id) for r in found.collect()} >= {(k, k) for k in range(1, 3)}
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_python_gets_small_batches(spark):
+    import pyarrow as pa
+
+    from tessella import storage
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t")).mapInArrow(sizes, "n long")
+    got = [r.n for r in storage.stored_in_pieces(wide, "wide").collect()]
+    assert sum(got) >= 40_000_000 and max(got) < 2 * storage.PIECE and spark.conf.get(key) == before

@@ -22,6 +22,10 @@ from ..storage import stored, stored_in_pieces
 from .blocks import BUFFER, HELD_FILES, NARROW, ROWS, Best, as_batch, buffered, codes, count_batch, listed, query_blocks, read_block, whole
 
 
+#: Tokens whose postings are made at once, which takes several times their memory; a block isn't cut for it.
+TOKENS = 1 << 16
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     """``blocks``: postings (see ``posting_blocks``). ``terms``: domain, term, df, idf. ``domains``: domain, n, avgdl."""
@@ -31,6 +35,28 @@ class Bm25Index:
     domains: DataFrame
 
 
+def _postings(ids: pa.Array, domain: pa.Array, t: pa.Array, starts: np.ndarray) -> pa.RecordBatch:
+    """The blocks that begin at ``starts``, of chunks in their order."""
+    row_ends, size, words = np.append(starts[1:], len(ids)), np.diff(t.offsets.to_numpy()), t.flatten().dictionary_encode()
+    names, n_names = words.dictionary, max(1, len(words.dictionary))
+    block, row = np.repeat(np.arange(len(starts)), np.diff(row_ends, prepend=0)), np.repeat(np.arange(len(size)), size)
+    cells = (block[row] * n_names + words.indices.to_numpy()) * ROWS + row - starts[block[row]] if len(row) else np.empty(0, np.int64)
+    cells, counts = np.unique(cells, return_counts=True)  # by block, term, place
+    key, doc = np.divmod(cells, ROWS)
+    edges = np.flatnonzero(np.diff(key, prepend=-1))
+    of_term, of_block = key[edges] % n_names, key[edges] // n_names
+    long = size[starts[key // n_names] + doc]
+    most, least = (np.maximum.reduceat(counts, edges), np.minimum.reduceat(long, edges)) if len(edges) else (counts, long)
+    to = np.append(edges[1:], len(cells))
+    term_ends = np.searchsorted(of_block, np.arange(len(starts)), side="right")
+    cell_ends = np.concatenate(([0], to))[term_ends]
+    base = np.concatenate(([0], cell_ends))[of_block]
+    narrow = lambda x: x.astype(np.int32)
+    columns = [domain.take(pa.array(starts)), listed(ids, row_ends), listed(narrow(size), row_ends), listed(names.take(pa.array(of_term)), term_ends)]
+    columns += [listed(narrow(to - base), term_ends), listed(narrow(doc), cell_ends), listed(narrow(counts), cell_ends), listed(narrow(most), term_ends), listed(narrow(least), term_ends)]
+    return pa.RecordBatch.from_arrays(columns, ["domain", "chunk_ids", "lengths", "terms", "ends", "docs", "counts", "most", "least"])
+
+
 def posting_blocks(chunks: DataFrame) -> DataFrame:
     """One row per block of chunks (chunk_id, domain, t), cut where they are read, without a shuffle.
 
@@ -43,34 +69,16 @@ def posting_blocks(chunks: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in buffered(batches, BUFFER):
             ids, domain, t = (whole(table.column(c)) for c in range(3))
-            lengths, words = np.diff(t.offsets.to_numpy()), t.flatten().dictionary_encode()
-            names = words.dictionary
+            lengths = np.diff(t.offsets.to_numpy())
             order = np.lexsort((lengths, group := codes(domain)))
-            group = group[order]
-            first = np.concatenate(([True], np.diff(group) != 0))
+            first = np.concatenate(([True], np.diff(group[order]) != 0))
             within = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            block = np.cumsum(first | (within % ROWS == 0)) - 1  # of each place in the order
-            starts = np.flatnonzero(np.diff(block, prepend=-1))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-
-            row = place[np.repeat(np.arange(len(lengths)), lengths)]
-            cells = (block[row] * max(1, len(names)) + words.indices.to_numpy()) * ROWS + row - starts[block[row]] if len(row) else np.empty(0, np.int64)
-            cells, counts = np.unique(cells, return_counts=True)  # by block, term, place
-            (key, doc), size = np.divmod(cells, ROWS), lengths[order]
-            edges = np.flatnonzero(np.diff(key, prepend=-1))
-            of_term, of_block = key[edges] % max(1, len(names)), key[edges] // max(1, len(names))
-            long = size[starts[key // max(1, len(names))] + doc]
-            most, least = (np.maximum.reduceat(counts, edges), np.minimum.reduceat(long, edges)) if len(edges) else (counts, long)
-            to = np.append(edges[1:], len(cells))
-            term_ends = np.searchsorted(of_block, np.arange(len(starts)), side="right")
-            cell_ends = np.concatenate(([0], to))[term_ends]
-            base = np.concatenate(([0], cell_ends))[of_block]
-            row_ends = np.append(starts[1:], len(order))
-            narrow = lambda x: x.astype(np.int32)
-            columns = [domain.take(pa.array(order[starts])), listed(ids.take(pa.array(order)), row_ends), listed(narrow(size), row_ends), listed(names.take(pa.array(of_term)), term_ends)]
-            columns += [listed(narrow(to - base), term_ends), listed(narrow(doc), cell_ends), listed(narrow(counts), cell_ends), listed(narrow(most), term_ends), listed(narrow(least), term_ends)]
-            yield pa.RecordBatch.from_arrays(columns, ["domain", "chunk_ids", "lengths", "terms", "ends", "docs", "counts", "most", "least"])
+            starts = np.flatnonzero(first | (within % ROWS == 0))
+            share = np.cumsum(lengths[order], dtype=np.int64)[starts] // TOKENS
+            for blocks in np.split(starts, np.flatnonzero(np.diff(share)) + 1):
+                to = starts[np.searchsorted(starts, blocks[-1], side="right") :][:1]
+                rows = pa.array(order[blocks[0] : to[0] if len(to) else len(order)])
+                yield _postings(ids.take(rows), domain.take(rows), t.take(rows), blocks - blocks[0])
 
     return chunks.select("chunk_id", "domain", "t").mapInArrow(cut, f"domain string, chunk_ids array<{id_type}>, {fields}")
 

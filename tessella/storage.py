@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch of wide rows.
-PIECE = 1 << 23
+PIECE = 1 << 21
 
 _own: dict[str, str] = {}
 

@@ -320,3 +320,39 @@ def test_python_gets_small_batches(spark):
     wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t")).mapInArrow(sizes, "n long")
     got = [r.n for r in storage.stored_in_pieces(wide, "wide").collect()]
     assert sum(got) >= 40_000_000 and max(got) < 2 * storage.PIECE and spark.conf.get(key) == before
+
+
+def test_postings_of_a_few_tokens_at_once():
+    import tracemalloc
+    from collections import Counter
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella import storage
+    from tessella.operators import blocks
+
+    got = {}
+    ids = SimpleNamespace(schema={"chunk_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))})
+    ids.select = lambda *_: SimpleNamespace(mapInArrow=lambda f, schema: got.update(cut=f))
+    bm25.posting_blocks(ids)
+    random = np.random.default_rng(1)
+    words = [[f"w{x}" for x in random.zipf(1.3, n) % 5000] for n in random.integers(0, 900, 1000)]
+    table = pa.table({"chunk_id": range(1000), "domain": ["ab"[k % 2] for k in range(1000)], "t": words}).combine_chunks()
+    tracemalloc.start()
+    found = list(got["cut"](table.to_batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert table.nbytes < blocks.BUFFER_BYTES and peak < 4 * blocks.BUFFER_BYTES and 2 * storage.PIECE <= blocks.BUFFER_BYTES
+    assert len(found) > 4 and max(b.nbytes for b in found) < blocks.BUFFER_BYTES
+    rows = [r for b in found for r in b.to_pylist()]
+    assert sum(-(-500 // blocks.ROWS) for _ in "ab") == len(rows) and max(len(r["chunk_ids"]) for r in rows) == blocks.ROWS
+    counted = {}
+    for r in rows:
+        for i, term in enumerate(r["terms"]):
+            for at in range(r["ends"][i - 1] if i else 0, r["ends"][i]):
+                counted.setdefault(r["chunk_ids"][r["docs"][at]], Counter())[term] += r["counts"][at]
+        for k, n in zip(r["chunk_ids"], r["lengths"], strict=True):
+            assert r["domain"] == "ab"[k % 2] and n == len(words[k])
+    assert counted == {k: Counter(w) for k, w in enumerate(words) if w}

@@ -356,3 +356,11 @@ def test_postings_of_a_few_tokens_at_once():
         for k, n in zip(r["chunk_ids"], r["lengths"], strict=True):
             assert r["domain"] == "ab"[k % 2] and n == len(words[k])
     assert counted == {k: Counter(w) for k, w in enumerate(words) if w}
+
+
+def test_domains_need_no_python_workers(spark):
+    from tessella.plans import queries as plans
+
+    told = plans.domains(spark)
+    assert "ExistingRDD" not in told._jdf.queryExecution().sparkPlan().toString()
+    assert [tuple(r) for r in told.collect()] == plans.DOMAINS and [t for _, t in told.dtypes] == ["string", "int", "int"]

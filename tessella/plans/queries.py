@@ -89,10 +89,9 @@ def fused_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def placed_candidates(spark: SparkSession, sf_dir: str, placement: str = "recency") -> DataFrame:
     """The sparse lists' chunks, scored, gated and placed."""
     position = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))
-    texts = chunks(spark, sf_dir).select("chunk_id", "content", T.token_count(F.col("content")).alias("token_count"))
-    # the lists go to the texts: those of all chunks aren't shuffled and sorted for a few
+    # the lists go to the texts: those of all chunks aren't shuffled and sorted for a few, nor are their tokens told
     listed = stored(sparse_list(spark, sf_dir).select("query_id", "chunk_id", position.alias("position")), "sparse-lists")
-    found = small(listed).join(texts, "chunk_id")
+    found = small(listed).join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id").withColumn("token_count", T.token_count(F.col("content")))
     scored = rerank.score_candidates(questions(spark, sf_dir), found)
     return rerank.place(rerank.gate(scored), placement=placement)
 

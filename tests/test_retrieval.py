@@ -364,3 +364,16 @@ def test_domains_need_no_python_workers(spark):
     told = plans.domains(spark)
     assert "ExistingRDD" not in told._jdf.queryExecution().sparkPlan().toString()
     assert [tuple(r) for r in told.collect()] == plans.DOMAINS and [t for _, t in told.dtypes] == ["string", "int", "int"]
+
+
+def test_tokens_of_listed_texts_only(spark, tmp_path):
+    from tessella.plans import queries as plans
+
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two w"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.where("doc_id = 3").select(F.col("doc_id").alias("item_id"), "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    placed = plans.placed_candidates(spark, str(tmp_path))
+    lines = placed._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, x in enumerate(lines) if "Join Inner" in x and "chunk_id" in x)
+    assert not any("AS token_count" in x for x in lines[join:]) and any("AS token_count" in x for x in lines[:join])
+    assert {r.token_count for r in placed.collect()} == {3}
